@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing
+from . import exact_dedup, langid, licenses, packing, quality
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(of: int) -> F.Column:
+    """crc32 of the document id as text, modulo ``of``: the fold of a document."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,9 +37,41 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, remainder(4) != 2)
+    return langid.predict(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _op6_sql() -> str:
+    """The phrases by position in the list of words, the templates as regular expressions over words each followed by a space."""
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM words, unnest(range(1, len(w) + 1)) AS t(i) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        for phrase, label in licenses.PHRASES.items()
+    )
+    own = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM plain WHERE regexp_matches(t, '(^| ){licenses.template_regex(template)}')" for label, template in licenses.TEMPLATES.items())
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+plain AS (SELECT doc_id, array_to_string(w, ' ') || ' ' AS t FROM words),
+base AS ({base}),
+own AS ({own}),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM own) GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN words.doc_id IN (SELECT doc_id FROM own) THEN 1.0::DOUBLE WHEN n_base IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM words LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_best_fit_packing)}
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_language_id, op6_license_scan, op8_best_fit_packing)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op6_license_scan": _op6_sql()}
