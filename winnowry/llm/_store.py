@@ -56,3 +56,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key with more than this share of the rows is hot. There are at most 1/HOT_SHARE such keys, which bounds what is broadcast.
+HOT_SHARE = 1e-3
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key and in ``weight`` the number of left rows with it; ``total``: rows of left.
+    Rows of hot keys meet their few partners by broadcast and aren't shuffled; the others are joined by sort-merge.
+    Both tables are read twice: pass written ones."""
+    from pyspark.sql import functions as F
+
+    most = F.lit(HOT_SHARE * max(total, 1))
+    hot = F.broadcast(right.where(F.col(weight) > most))
+    rest = right.where(F.col(weight) <= most)
+    near = left.join(hot, key)
+    far = left.join(hot.select(key), key, "left_anti").join(rest.hint("merge"), key, how)
+    return near.unionByName(far)

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, packing, quality
+from . import exact_dedup, langid, licenses, minhash_dedup, packing, quality
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -73,5 +73,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_language_id, op6_license_scan, op8_best_fit_packing)}
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_language_id, op6_license_scan, op8_best_fit_packing, op9_minhash_dedup)}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op6_license_scan": _op6_sql()}
