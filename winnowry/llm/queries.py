@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, minhash_dedup, packing, quality
+from . import embedding_dedup, exact_dedup, langid, licenses, minhash_dedup, mixing, packing, quality, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -77,5 +77,64 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_language_id, op6_license_scan, op8_best_fit_packing, op9_minhash_dedup)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op6_license_scan": _op6_sql()}
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica with known damage: letters overwritten in some bodies, the ends of some files cut off."""
+    pages = table(spark, sf_dir, "pages")
+    rotten = F.pmod("page_id", F.lit(101)) == 7
+    cut = (F.pmod("page_id", F.lit(warc.SLOTS)) >= 500) & (F.pmod(F.floor(F.col("page_id") / warc.SLOTS), F.lit(3)) == 0)
+    replica = pages.where(~cut).withColumn("html", F.when(rotten, F.translate("html", "et", "xy")).otherwise(F.col("html")))
+    return warc.fixity(pages, replica)
+
+
+def _op5_sql() -> str:
+    def leaves(rows: str) -> str:
+        return f"""SELECT page_id, CAST(floor(page_id / {warc.SLOTS}.0) AS BIGINT) AS file, page_id % {warc.SLOTS} AS slot, length, digest,
+            CAST(coalesce(sum(length) OVER (PARTITION BY CAST(floor(page_id / {warc.SLOTS}.0) AS BIGINT) ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low
+            FROM (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS length, sha256(t) AS digest FROM (SELECT page_id,
+            'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
+            || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS t FROM ({rows})))"""
+
+    levels = ["l0 AS (SELECT file, slot AS node, low, low + length AS high, digest FROM a)"]
+    for k in range(1, warc.LEVELS + 1):
+        levels.append(f"l{k} AS (SELECT file, node // {warc.FANOUT} AS node, min(low) AS low, max(high) AS high, sha256(min(low) || '-' || max(high) || ':' || string_agg(digest, ',' ORDER BY node)) AS digest FROM l{k - 1} GROUP BY file, node // {warc.FANOUT})")
+    damaged = f"""SELECT page_id, url, CASE WHEN page_id % 101 = 7 THEN translate(html, 'et', 'xy') ELSE html END AS html FROM pages
+        WHERE NOT (page_id % {warc.SLOTS} >= 500 AND CAST(floor(page_id / {warc.SLOTS}.0) AS BIGINT) % 3 = 0)"""
+    return f"""WITH a AS ({leaves("SELECT page_id, url, html FROM pages")}), b AS ({leaves(damaged)}), {", ".join(levels)}
+SELECT a.page_id, a.file, a.slot, CAST(1 AS BIGINT) AS n_records, a.low AS "offset", a.length, a.digest AS record_sha256,
+       CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest <> b.digest THEN 'corrupt' WHEN a.low <> b.low THEN 'moved' ELSE 'ok' END AS status, r.digest AS file_root
+FROM a LEFT JOIN b ON a.page_id = b.page_id LEFT JOIN l{warc.LEVELS} r ON a.file = r.file"""
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.plan(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({"weight": F.round("weight", 9), "repeats": F.round("repeats", 9)})
+
+
+def op10_sql(documents: str = "documents") -> str:
+    """The exponent by bisection over the same grid, in a recursive query."""
+    sums = lambda k: f"(SELECT ln(sum(pow(p, {k} / {mixing.GRID}.0))) - {k} / {mixing.GRID}.0 * sum(pow(p, {k} / {mixing.GRID}.0) * ln(p)) / sum(pow(p, {k} / {mixing.GRID}.0)) >= {mixing.TARGET_ENTROPY} * ln(count(*)) FROM shares)"
+    few = lambda k: f"(SELECT max(pow(p, {k} / {mixing.GRID}.0 - 1)) / sum(pow(p, {k} / {mixing.GRID}.0)) <= {mixing.MAX_REPEATS} FROM shares)"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM {documents}),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n_docs FROM d GROUP BY source),
+shares AS (SELECT tokens / (SELECT sum(tokens)::DOUBLE FROM s) AS p FROM s WHERE tokens > 0),
+e(low, high) AS (SELECT 0::BIGINT, {mixing.GRID + 1}::BIGINT UNION ALL
+    SELECT CASE WHEN {sums("((low + high) // 2)")} THEN (low + high) // 2 ELSE low END, CASE WHEN {sums("((low + high) // 2)")} THEN high ELSE (low + high) // 2 END FROM e WHERE high - low > 1),
+r(low, high) AS (SELECT -1::BIGINT, {mixing.GRID}::BIGINT UNION ALL
+    SELECT CASE WHEN {few("((low + high) // 2)")} THEN low ELSE (low + high) // 2 END, CASE WHEN {few("((low + high) // 2)")} THEN (low + high) // 2 ELSE high END FROM r WHERE high - low > 1),
+a AS (SELECT greatest((SELECT least(max(low), {mixing.GRID}) FROM e), (SELECT min(high) FROM r), 0) / {mixing.GRID}.0 AS a),
+w AS (SELECT source, tokens, ceil(n_docs / {mixing.BLOCK_DOCS}.0)::BIGINT AS blocks, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens)::DOUBLE FROM s), (SELECT a FROM a)) / (SELECT sum(pow(p, (SELECT a FROM a))) FROM shares) END AS weight FROM s),
+q AS (SELECT *, coalesce(floor(round(weight * (SELECT sum(tokens)::DOUBLE FROM s), 3))::BIGINT, 0) AS quota FROM w),
+x AS (SELECT doc_id, source, n_tokens, weight, tokens, quota, CASE WHEN tokens > 0 THEN quota // tokens ELSE 0 END AS passes, md5(concat_ws('|', '{mixing.SEED}', source, doc_id::VARCHAR)) AS h, blocks FROM d JOIN q USING (source)),
+y AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % blocks AS block FROM x),
+z AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY block, h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM y)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CASE WHEN tokens > 0 THEN round(quota / tokens, 9) END AS repeats,
+       CASE WHEN n_tokens = 0 THEN 1 ELSE passes + (start + n_tokens <= quota - passes * tokens)::BIGINT END AS copies, block, start FROM z"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_language_id, op4_embedding_dedup, op5_warc_fixity, op6_license_scan, op8_best_fit_packing, op9_minhash_dedup, op10_source_mixing)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op5_warc_fixity": _op5_sql(), "op6_license_scan": _op6_sql(), "op10_source_mixing": op10_sql()}
