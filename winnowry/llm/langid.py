@@ -276,3 +276,21 @@ def sample(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str =
 def fit(docs: DataFrame, learn_from, **columns) -> Model | None:
     rows = sample(docs, learn_from, **columns)
     return train(rows["text"].tolist(), rows["lang"].tolist()) if len(rows) else None
+
+
+def keep_known(docs: DataFrame, model: Model | None, least_score: float, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, whose language is told with at least this score; ``und`` goes. Without a model only texts with letters are told from others."""
+    at = docs.columns.index(text_col)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for _, _, data, of in blocks(batch.column(at)):
+                has = lettered(data, of)
+                if model is not None:
+                    sums = classify(model, data, of)
+                    has &= sums.max(1) >= least_score * sums.sum(1)
+                keep.append(has)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(go, docs.schema)

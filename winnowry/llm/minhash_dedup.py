@@ -263,4 +263,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = labelled(classes.select(*same, "id"), labels, "id", "component_id").drop("id")
     found = materialise(found, "found")
     out = sketched.select("id", *same).join(found.hint("merge"), same, "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that their component keeps."""
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(materialise(kept, "kept").hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, langid, licenses, minhash_dedup, mixing, packing, quality, warc
+from . import embedding_dedup, exact_dedup, langid, licenses, line_dedup, minhash_dedup, mixing, packing, quality, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -69,6 +69,10 @@ FROM words LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -136,5 +140,5 @@ SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CASE WHEN tokens >
        CASE WHEN n_tokens = 0 THEN 1 ELSE passes + (start + n_tokens <= quota - passes * tokens)::BIGINT END AS copies, block, start FROM z"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_language_id, op4_embedding_dedup, op5_warc_fixity, op6_license_scan, op8_best_fit_packing, op9_minhash_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_language_id, op4_embedding_dedup, op5_warc_fixity, op6_license_scan, op7_line_dedup, op8_best_fit_packing, op9_minhash_dedup, op10_source_mixing)}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op5_warc_fixity": _op5_sql(), "op6_license_scan": _op6_sql(), "op10_source_mixing": op10_sql()}
