@@ -1,2 +1,5 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All queries of the reference's operators, with the SQL of those that SQL can express."""
+from winnowry.plans import corpus_queries
+
+QUERIES = dict(corpus_queries.QUERIES)
+ORACLES = dict(corpus_queries.ORACLES)
