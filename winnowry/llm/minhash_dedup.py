@@ -6,11 +6,13 @@ merge by their maximum. The sketch is locality-sensitive: at similarity 0.75 two
 
 1. Documents with the same set form a class; its smallest id stands for it from here on.
 2. Bands of register values are keys. Within a key every class is paired with the smallest one: as many pairs as rows.
+   A few bands come first; of all bands only keys that then still hold more than one component are read on.
 3. Registers of a pair give counts of greater, smaller and equal values; with the known set sizes they make a likelihood
    of the similarity. A pair goes on unless the threshold and all above it are far less likely than the best value.
 4. Pairs that go on are verified on full sets, first the likeliest of each document, then those between components.
-5. Keys that still hold more than one component: members outside the key's largest component meet the others. Where that
-   would make many pairs, the key is first refined by a second band.
+5. Keys that still hold more than one component: members outside the key's largest component meet the others, and pairs
+   whose sizes or whose registers' parities are too far apart for the threshold are dropped within the join. Keys with
+   very many members outside are first refined by a second band.
 
 The chance that a pair at the threshold shares no band is below 1e-6.
 
@@ -38,8 +40,12 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.1, 20.0
 #: How much less likely (natural logarithm) the threshold has to be than the best similarity for a pair to be given up.
 GIVE_UP = 14.0
-#: Pairs that a key may make at once; beyond, it's refined by second bands.
-MANY = 4096
+#: Bands of the first round.
+FIRST = 6
+#: Members outside a key's largest component that meet its others at once; beyond, the key is refined by second bands.
+MANY = 512
+#: Registers that may differ in parity. At the threshold 30 of 240 do on average, with a deviation of 5.2.
+MAX_PARITY = 55
 _RNG = np.random.default_rng(19)
 _FLIP = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -152,19 +158,33 @@ def _matrix(column: pa.Array, dtype=np.uint8) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def bands_of(classes: DataFrame) -> DataFrame:
-    """(key, id): a row per band of each class."""
+def bands_of(classes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame:
+    """(key, id, c): a row per band of each class (id, c, regs)."""
     weights = np.random.default_rng(23).integers(1, 1 << 62, (BANDS, ROWS), dtype=U64) * U64(2) + U64(1)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            regs = _matrix(batch.column(1)).reshape(-1, BANDS, ROWS).astype(U64)
-            keys = mix((mix(regs + U64(1)) * weights).sum(2, dtype=U64) + np.arange(BANDS, dtype=U64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                regs = _matrix(part.column(2)).reshape(-1, BANDS, ROWS).astype(U64)
+                keys = mix((mix(regs + U64(1)) * weights).sum(2, dtype=U64) + np.arange(BANDS, dtype=U64))[:, first:last]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *[pa.array(np.repeat(part.column(k).to_numpy(), last - first)) for k in (0, 1)]], ["key", "id", "c"])
 
-    return classes.select("id", "regs").mapInArrow(go, "key long, id long")
+    return classes.select("id", "c", "regs").mapInArrow(go, "key long, id long, c long")
+
+
+def parities(classes: DataFrame) -> DataFrame:
+    """(id, n, b0..b3): the lowest bits of the registers, as four numbers."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.zeros((batch.num_rows, 256), np.uint8)
+                bits[:, :REGISTERS] = _matrix(batch.column(2)) & 1
+                words = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(4)]], ["id", "n", "b0", "b1", "b2", "b3"])
+
+    return classes.select("id", "n", "regs").mapInArrow(go, "id long, n long, b0 long, b1 long, b2 long, b3 long")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -217,32 +237,49 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def star_pairs(bands: DataFrame) -> DataFrame:
-    """Each member of a key with the key's smallest member: distinct pairs (a, b), b < a. The table of bands is read twice; both sides of the join are shuffled, so a hot key can be split."""
-    centres = materialise(bands.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b != most").select("key", "b"), "centres")
-    return bands.join(centres.hint("merge"), "key").where("id != b").select(F.col("id").alias("a"), "b").distinct()
+    """Each member of a key with the key's smallest member, where their components differ: distinct pairs (a, b), b < a.
+    The table of bands is read twice; both sides of the join are shuffled, so a hot key can be split."""
+    centres = bands.groupBy("key").agg(F.min(F.struct("id", "c")).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    centres = materialise(centres.select("key", F.col("m.id").alias("b"), F.col("m.c").alias("c_b")), "centres")
+    return bands.join(centres.hint("merge"), "key").where("c != c_b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def leftover_pairs(bands: DataFrame, labels: DataFrame, refine: bool = True) -> DataFrame:
-    """Pairs that stars didn't try: in keys that hold several components, members outside the key's largest component with all members of other components."""
-    spread = materialise(labelled(bands, labels, "id", "c"), "spread")
-    parts = spread.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+def leftover_pairs(bands: DataFrame, detail: DataFrame, every: DataFrame, refine: bool = True) -> DataFrame:
+    """Pairs that stars didn't try: in keys that hold several components, members outside the key's largest one with all members of other components.
+    bands: key, id, c; detail: sizes and parities by id; every: the bands from which second ones are taken."""
+    parts = bands.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1 and all > 2")
-    mixed = materialise(mixed.select("key", "all", F.col("top.c").alias("main"), ((F.col("all") - F.col("top.k")) * F.col("all")).alias("work")), "mixed")
-    here = mixed if not refine else mixed.where(F.col("work") <= MANY)
-    members = spread.join(here.select("key", "main").hint("merge"), "key")
-    outside = members.where("c != main").select("key", F.col("id").alias("x"), F.col("c").alias("c_x"))
-    pairs = outside.join(members.select("key", "id", "c").hint("merge"), "key").where("c != c_x").select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
+    mixed = materialise(mixed.select("key", F.col("top.c").alias("main"), (F.col("all") - F.col("top.k")).alias("outside")), "mixed")
+    here = mixed.where(F.col("outside") <= MANY) if refine else mixed
+    members = materialise(bands.join(here.select("key", "main").hint("merge"), "key").join(detail.hint("merge"), "id"), "members")
+    outside = members.where("c != main").select("key", *[F.col(x).alias(f"{x}_x") for x in ("id", "c", "n", "b0", "b1", "b2", "b3")])
+    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_x"))) for k in range(1, 4)), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_x"))))
+    near = (OF * F.least("n", "n_x") >= SIMILAR * F.greatest("n", "n_x")) & (apart <= MAX_PARITY)
+    once = (F.col("c") == F.col("main")) | (F.col("id") < F.col("id_x"))
+    right = outside.withColumnRenamed("key", "key_x").hint("merge")
+    pairs = members.join(right, (F.col("key") == F.col("key_x")) & (F.col("c") != F.col("c_x")) & once & near)
+    pairs = pairs.select(F.greatest("id_x", "id").alias("a"), F.least("id_x", "id").alias("b")).distinct()
     if not refine:
         return pairs
-    hot = spread.join(mixed.where(F.col("work") > MANY).select("key").hint("merge"), "key", "left_semi").select("key", "id")
-    hot = materialise(hot, "hot")
+    hot = materialise(bands.join(mixed.where(F.col("outside") > MANY).select("key").hint("merge"), "key", "left_semi"), "hot")
     if hot.isEmpty():
         return pairs
-    second = bands.join(hot.select("id").distinct().hint("merge"), "id", "left_semi")
-    finer = hot.join(second.select("id", F.col("key").alias("other")).hint("merge"), "id").where("key < other").select(F.xxhash64("key", "other").alias("key"), "id")
+    second = every.select("id", F.col("key").alias("other"))
+    finer = hot.join(second.hint("merge"), "id").where("key < other").select(F.xxhash64("key", "other").alias("key"), "id", "c")
     finer = materialise(finer, "finer")
-    stars = star_pairs(finer)
-    return pairs.unionByName(stars).unionByName(leftover_pairs(finer, labels, refine=False)).distinct()
+    return pairs.unionByName(star_pairs(finer)).unionByName(leftover_pairs(finer, detail, every, refine=False)).distinct()
+
+
+def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those of the pairs that prove true; without pairs as they are."""
+    pairs = materialise(pairs, "pairs")
+    if pairs.isEmpty():
+        return links, labels
+    new = verified(pairs, texts)
+    if new.isEmpty():
+        return links, labels
+    links = links.unionByName(new)
+    return links, materialise(components(links.toDF("u", "v")), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,15 +288,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialise(sketches(docs, id_col, text_col), "sketches")
     same = ["n", "h1", "h2"]
     classes = materialise(sketched.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.min("regs").alias("regs")), "classes")
-    bands = materialise(bands_of(classes), "bands")
-    tried = materialise(estimated(star_pairs(bands), classes), "likely")
-    best = tried.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b"))
+    alone = classes.withColumn("c", F.col("id"))
+    tried = materialise(estimated(star_pairs(materialise(bands_of(alone, 0, FIRST), "bands")), classes), "likely")
+    best = materialise(tried.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b")), "best")
     links = verified(best, texts)
     labels = materialise(components(links.toDF("u", "v")), "labels")
-    for more in (lambda: tried.select("a", "b"), lambda: estimated(leftover_pairs(bands, labels), classes).select("a", "b")):
-        rest = between(more(), labels).join(best.hint("merge"), ["a", "b"], "left_anti")
-        links = links.unionByName(verified(rest, texts))
-        labels = materialise(components(links.toDF("u", "v")), "labels")
+    links, labels = _more(links, labels, between(tried.select("a", "b"), labels).join(best.hint("merge"), ["a", "b"], "left_anti"), texts)
+    # of all bands, those rows whose key still holds more than one component
+    bands = bands_of(labelled(classes, labels, "id", "c"))
+    open_ = bands.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
+    bands = materialise(bands.join(materialise(open_, "open").hint("merge"), "key", "left_semi"), "bands")
+    links, labels = _more(links, labels, estimated(star_pairs(bands), classes).select("a", "b"), texts)
+    bands = labelled(bands.drop("c"), labels, "id", "c")
+    bands = materialise(bands, "bands")
+    rest = estimated(leftover_pairs(bands, materialise(parities(classes), "parities"), bands), classes).select("a", "b")
+    links, labels = _more(links, labels, between(rest, labels), texts)
     found = labelled(classes.select(*same, "id"), labels, "id", "component_id").drop("id")
     found = materialise(found, "found")
     out = sketched.select("id", *same).join(found.hint("merge"), same, "left").withColumn("component_id", F.coalesce("component_id", "id"))
