@@ -7,7 +7,7 @@ if their sets' Jaccard similarity is at least ``SIMILAR / OF``. A line is remove
 1. Words are ordered by rarity: by the count of their hash bucket over the whole corpus (2^16 counters, whatever the
    corpus), then by hash. Any order is correct; this one makes common words rare in prefixes.
 2. The first n - ceil(t n) + 1 words of a line are its prefix; linked lines share a word there. Postings (word, class,
-   length, position, 64-bit map of the set) meet word by word; length, positional and bit-map filters leave few classes
+   length, position, 128-bit map of the set) meet word by word; length, positional and bit-map filters leave few classes
    with a possible partner. Only the classes, not the pairs, are written.
 3. The sets of those classes meet word by word again; a pair is counted where its first common word is, verified on the
    whole sets, and each task returns for each class its number of links and its earliest linked line: rows grow with
@@ -39,6 +39,16 @@ BLOOM_BITS = 1 << 23
 WORD_SPACE = SPACE
 
 
+def order_of(line: np.ndarray, rest: np.ndarray, words: np.ndarray, exact) -> np.ndarray:
+    """Order by line (below 2^20), then by 44 bits of ``rest``, as one number each; where that leaves different words in a tie, the order that ``exact`` gives."""
+    if not len(words) or line[-1] >= 1 << 20:
+        return exact()
+    key = line.astype(U64) << U64(44) | rest & U64((1 << 44) - 1)
+    order = np.argsort(key)
+    tied = key[order[1:]] == key[order[:-1]]
+    return exact() if (tied & (words[order[1:]] != words[order[:-1]])).any() else order
+
+
 def line_sets(data: np.ndarray, at: np.ndarray):
     """Of a block: each line's document and number, the hashes of its distinct words (sorted), and where each line's begin."""
     ends_line = np.flatnonzero(data == 10) + 1
@@ -54,7 +64,7 @@ def line_sets(data: np.ndarray, at: np.ndarray):
     words = Rolling(data, LOWER_BYTES)(starts, ends)
     # lines with equal beginnings are empty ones before the last; a word belongs to the last line that begins at or before it
     line = np.searchsorted(begin, starts, "right") - 1
-    order = np.lexsort((words, line))
+    order = order_of(line, words >> U64(20), words, lambda: np.lexsort((words, line)))
     words, line = words[order], line[order]
     if len(words):
         new = np.ones(len(words), bool)
@@ -81,8 +91,9 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
 
 
 def by_rarity(words: np.ndarray, line: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The order that sorts each line's words by rarity; words come sorted by (line, hash)."""
-    return np.lexsort((words, counts[bucket_of(words)], line))
+    """The order that sorts each line's words by rarity; words come sorted by (line, hash). counts: the buckets' ranks."""
+    rank = counts[bucket_of(words)]
+    return order_of(line, rank.astype(U64) << U64(28) | words >> U64(20) & U64((1 << 28) - 1), words, lambda: np.lexsort((words, rank, line)))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,23 +117,25 @@ def lines_of(texts: DataFrame) -> DataFrame:
 
 
 def word_counts(texts: DataFrame) -> np.ndarray:
-    """Lines that hold a word of each bucket: COUNTERS numbers, summed over the whole corpus."""
+    """Ranks of the hash buckets by the number of their words in the whole corpus: COUNTERS numbers."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, _, data, at in blocks(batch.column(1)):
-                total += np.bincount(bucket_of(line_sets(data, at)[2]), minlength=COUNTERS)
+                total += np.bincount(bucket_of(Rolling(data, LOWER_BYTES)(*spans(data, at, ~WORD_SPACE))), minlength=COUNTERS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "k"])
 
     rows = texts.mapInArrow(go, "bucket int, k long").groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()
     counts = np.zeros(COUNTERS, np.int64)
     counts[rows["bucket"].to_numpy(np.int64)] = rows["k"].to_numpy(np.int64)
-    return counts
+    ranks = np.empty(COUNTERS, np.int64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(COUNTERS)
+    return ranks
 
 
-POSTING = np.dtype([("word", "<u8"), ("set", "<u8"), ("map", "<u8"), ("n", "<u4"), ("at", "<u4")])
+POSTING = np.dtype([("word", "<u8"), ("set", "<u8"), ("map", "<u8", 2), ("n", "<u4"), ("at", "<u4")])
 
 
 def postings(texts: DataFrame, counts: np.ndarray, tasks: int) -> DataFrame:
@@ -138,7 +151,9 @@ def postings(texts: DataFrame, counts: np.ndarray, tasks: int) -> DataFrame:
                 use = np.zeros(len(n), bool)
                 use[one] = True
                 use &= n >= MIN_WORDS
-                bits = np.bitwise_or.reduceat(np.append(U64(1) << (words >> U64(20) & U64(63)), U64(0)), of[:-1])
+                bit = U64(1) << (words >> U64(20) & U64(63))
+                half = words >> U64(26) & U64(1)
+                bits = np.stack([np.bitwise_or.reduceat(np.append(np.where(half == k, bit, U64(0)), U64(0)), of[:-1]) for k in (0, 1)], 1)
                 words = words[by_rarity(words, line, counts)]
                 place = np.arange(len(words)) - of[line]
                 pick = np.flatnonzero(use[line] & (place < prefix_length(n)[line]))
@@ -155,8 +170,11 @@ def postings(texts: DataFrame, counts: np.ndarray, tasks: int) -> DataFrame:
 
 def possible(p: np.ndarray) -> np.ndarray:
     """The sets among postings that some other set of a shared word may be linked with, by length, position and bit map."""
-    p = np.unique(p)
-    p = p[np.lexsort((p["n"], p["word"]))]
+    p = p[np.lexsort((p["set"], p["n"], p["word"]))]
+    if len(p):
+        new = np.ones(len(p), bool)
+        new[1:] = (p["set"][1:] != p["set"][:-1]) | (p["word"][1:] != p["word"][:-1])
+        p = p[new]
     hit = np.zeros(len(p), bool)
     here = np.arange(len(p))
     n, at, bits = p["n"].astype(np.int64), p["at"].astype(np.int64), p["map"]
@@ -169,7 +187,7 @@ def possible(p: np.ndarray) -> np.ndarray:
             break
         j = i + k
         need = -(-SIMILAR * (n[i] + n[j]) // (OF + SIMILAR))
-        near = (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 + np.minimum(at[i], at[j]) >= need) & ((n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j])) // 2 >= need) & (p["set"][i] != p["set"][j])
+        near = (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 + np.minimum(at[i], at[j]) >= need) & ((n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)) // 2 >= need) & (p["set"][i] != p["set"][j])
         hit[i[near]] = True
         hit[j[near]] = True
     return np.unique(p["set"][hit])
@@ -207,9 +225,9 @@ def sets_of(texts: DataFrame, counts: np.ndarray, chosen: np.ndarray) -> DataFra
                 once = np.zeros(len(use), bool)
                 once[one] = True
                 use &= once
-                words = words[by_rarity(words, line, counts)]
                 rows = np.flatnonzero(use)
-                flat = words[use[line]]
+                flat, line = words[use[line]], line[use[line]]
+                flat = flat[by_rarity(flat, line, counts)]
                 sizes = np.concatenate([[0], np.cumsum(np.diff(of)[rows])])
                 yield pa.RecordBatch.from_arrays([binary_array(keys[rows].ravel(), np.arange(len(rows) + 1) * 2), binary_array(flat, sizes)], ["key", "words"])
 
@@ -217,21 +235,23 @@ def sets_of(texts: DataFrame, counts: np.ndarray, chosen: np.ndarray) -> DataFra
 
 
 def spread(sets: DataFrame, tasks: int) -> DataFrame:
-    """A row per word of each set's prefix: (task, word, at, key, words, id, line)."""
+    """A row per set and task that a word of its prefix belongs to: (task, places of such words, key, words, id, line)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                lists = [np.frombuffer(w.as_buffer(), U64) for w in part.column(1)]
-                many = prefix_length(np.array([len(x) for x in lists]))
-                row = np.repeat(np.arange(len(lists)), many)
-                words = np.concatenate([x[:k] for x, k in zip(lists, many, strict=True)])
-                at = np.concatenate([np.arange(k) for k in many])
-                rest = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array((words % U64(tasks)).astype(np.int32)), pa.array(words.view(np.int64)), pa.array(at.astype(np.int32)), *rest.columns], ["task", "word", "at", "key", "words", "id", "line"])
+                task_of, places, rows = [], [], []
+                for r, raw in enumerate(part.column(1)):
+                    words = np.frombuffer(raw.as_buffer(), U64)
+                    task = (words[: prefix_length(np.int64(len(words)))] % U64(tasks)).astype(np.int64)
+                    for t in np.unique(task).tolist():
+                        task_of.append(t)
+                        places.append(np.flatnonzero(task == t).astype(np.int32).tobytes())
+                        rows.append(r)
+                yield pa.RecordBatch.from_arrays([pa.array(task_of, pa.int32()), pa.array(places, pa.binary()), *part.take(pa.array(rows, pa.int64())).columns], ["task", "places", "key", "words", "id", "line"])
 
-    return sets.select("key", "words", "id", "line").mapInArrow(go, "task int, word long, at int, key binary, words binary, id long, line long")
+    return sets.select("key", "words", "id", "line").mapInArrow(go, "task int, places binary, key binary, words binary, id long, line long")
 
 
 def linked_within(lists: list[np.ndarray], at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -269,24 +289,27 @@ def join_links(sets: DataFrame, tasks: int) -> DataFrame:
     """(key, n_links, first): per class the number of linked classes and the earliest line of any of them."""
 
     def go(table: pa.Table) -> pa.Table:
-        word = table["word"].to_numpy()
+        lists = [np.frombuffer(x, U64) for x in table["words"].to_pylist()]
+        places = [np.frombuffer(x, np.int32) for x in table["places"].to_pylist()]
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in places])
+        at = np.concatenate(places) if places else np.zeros(0, np.int32)
+        word = np.concatenate([x[k] for x, k in zip(lists, places, strict=True)]) if lists else np.zeros(0, U64)
         order = np.argsort(word, kind="stable")
-        word = word[order]
+        word, row, at = word[order], row[order], at[order]
         cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]])) if len(word) else np.zeros(1, np.int64)
-        raw, at = table["words"].to_pylist(), table["at"].to_numpy()
-        ids, lines = table["id"].to_numpy(), table["line"].to_numpy()
-        links = np.zeros(len(order), np.int64)
+        ids, lines = table["id"].to_pylist(), table["line"].to_pylist()
+        links = np.zeros(len(lists), np.int64)
         best: dict[int, tuple[int, int]] = {}
         for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if high - low < 2:
                 continue
-            rows = order[low:high]
-            for i, j in linked_within([np.frombuffer(raw[r], U64) for r in rows], at[rows]):
+            rows = row[low:high].tolist()
+            for i, j in linked_within([lists[r] for r in rows], at[low:high]):
                 for x, y in ((rows[i], rows[j]), (rows[j], rows[i])):
                     links[x] += 1
-                    best[x] = min(best.get(x, (1 << 62, 0)), (int(ids[y]), int(lines[y])))
+                    best[x] = min(best.get(x, (1 << 62, 0)), (ids[y], lines[y]))
         some = sorted(best)
-        return pa.table({"key": table["key"].combine_chunks().take(pa.array(some, pa.int64())).cast(pa.binary()) if some else pa.array([], pa.binary()), "links": pa.array(links[some]), "id": pa.array([best[x][0] for x in some], pa.int64()), "line": pa.array([best[x][1] for x in some], pa.int64())})
+        return pa.table({"key": table["key"].combine_chunks().take(pa.array(some, pa.int64())) if some else pa.array([], pa.binary()), "links": pa.array(links[some]), "id": pa.array([best[x][0] for x in some], pa.int64()), "line": pa.array([best[x][1] for x in some], pa.int64())})
 
     met = spread(sets, tasks).groupBy("task").applyInArrow(go, "key binary, links long, id long, line long")
     return met.groupBy("key").agg(F.sum("links").alias("n_links"), F.min(F.struct("id", "line")).alias("linked"))
