@@ -7,6 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to a value that's computed once; a function's body over an array would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(value: Column) -> Column:
     """As a double; null where it can't be read, isn't a number or is infinite."""
     x = value.try_cast("double")
@@ -27,8 +32,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalise(v: Column, eps: float = 1e-12) -> Column:
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return let(F.greatest(F.sqrt(dot(v, v)), F.lit(eps)), lambda norm: F.transform(v, lambda x: x.cast("double") / norm))
 
 
 def weighted_mean(parts: Mapping[str, Column], weights: Mapping[str, float], scale: float = 100.0) -> Column:
@@ -63,9 +67,8 @@ def mean_of(xs: Column) -> Column:
 
 def variation(xs: Column) -> Column:
     """Population standard deviation over the mean's absolute value; null for an empty array or a mean of 0."""
-    mean = mean_of(xs)
-    spread = F.sqrt(mean_of(F.transform(xs, lambda x: (x - mean) * (x - mean))))
-    return F.when(mean != 0, spread / F.abs(mean))
+    spread = lambda mean: F.sqrt(mean_of(F.transform(xs, lambda x: (x - mean) * (x - mean))))
+    return let(mean_of(xs), lambda mean: F.when(mean != 0, spread(mean) / F.abs(mean)))
 
 
 def rms_db(samples: Column) -> Column:

@@ -72,11 +72,12 @@ def is_char_repetitive(text: Column, threshold: float = 0.5) -> Column:
     From one half up only one character can: sorted, it's the one in the middle, so one count decides."""
     if threshold < 0.5:
         raise ValueError("threshold must be at least 0.5")
-    chars = F.array_sort(F.split(no_space(text), ""))
-    n = F.size(chars)
-    middle = F.get(chars, F.floor(n / 2).cast("int"))
-    same = F.array_size(F.filter(chars, lambda c: c == middle))
-    return F.when(F.length(no_space(text)) == 0, F.lit(False)).otherwise(same / n > threshold)
+    plain = no_space(text)
+    n = F.length(plain)
+    chars = F.array_sort(F.split(plain, ""))
+    middle = F.get(chars, F.floor(F.size(chars) / 2).cast("int"))
+    same = n - F.length(F.replace(plain, middle, F.lit("")))
+    return F.when(n == 0, F.lit(False)).otherwise(same / n > threshold)
 
 
 def has_phrase_loop(text: Column, min_unit: int = 2, max_unit: int = 8, min_repeats: int = 3) -> Column:

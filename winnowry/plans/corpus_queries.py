@@ -89,18 +89,18 @@ n AS (SELECT *, CASE WHEN tier = 'A' THEN 0.5 ELSE 0.45 END AS need, regexp_repl
 cl AS (SELECT doc_id, sum(CASE WHEN c >= 3 THEN 1 ELSE c END) AS cl FROM (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, (lag(ch) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM ch)::INT AS s FROM (SELECT doc_id, unnest(string_split(p, '')) AS ch, generate_subscripts(string_split(p, ''), 1) AS i FROM n WHERE p <> ''))) GROUP BY ALL) GROUP BY doc_id),
 r AS (SELECT n.*, coalesce(cl, 0) AS cl, list_filter([CASE WHEN dur IS NULL OR NOT dur BETWEEN 1.5 AND 20 THEN 'duration' END, CASE WHEN rms IS NULL OR rms < -40 THEN 'low_energy' END, CASE WHEN f AND vr > 0.75 AND cv < 0.15 AND lv > 3 THEN 'singing' END,
     CASE WHEN NOT s OR quality <> 1 OR (tier = 'A' AND (low IS NULL OR low < 0.25)) THEN 'speaker' END, CASE WHEN NOT a THEN 'missing_asr' END, CASE WHEN a AND lang NOT IN ('en', 'zh', 'ja') THEN 'lang' END,
-    CASE WHEN NOT a OR lp < 0.5 OR lg < -1 OR nsp > 0.6 OR cr > 2.4 THEN 'asr_quality' END, CASE WHEN NOT g THEN 'missing_alignment' END, CASE WHEN NOT g OR sim < need THEN 'alignment' END, CASE WHEN text = '' OR len(q) > 0 THEN 'text_quality' END], x -> x IS NOT NULL) AS reject_reasons FROM n LEFT JOIN cl USING (doc_id)),
+    CASE WHEN NOT a OR lp < 0.5 OR lg < -1 OR nsp > 0.6 OR cr > 2.4 THEN 'asr_quality' END, CASE WHEN NOT g THEN 'missing_alignment' END, CASE WHEN NOT g OR sim < need THEN 'alignment' END, CASE WHEN text = '' OR len(q) > 0 THEN 'text_quality' END], lambda x: x IS NOT NULL) AS reject_reasons FROM n LEFT JOIN cl USING (doc_id)),
 z AS (SELECT *, least(1, greatest(0, coalesce(sim, 0))) AS c_align, CASE WHEN a THEN 0.5 * least(1, greatest(0, lp)) + 0.5 * least(1, greatest(0, lg + 1)) ELSE 0 END AS c_asr, coalesce(spk, 0) AS c_spk,
     {sql.script_ratio("ns", "CASE WHEN lang = '''' THEN ''zh'' ELSE lang END".replace("''", "'"))} * CASE WHEN cl < 2 THEN 0 WHEN cl <= 40 THEN 1 ELSE greatest(0.5, 40.0::DOUBLE / cl) END AS c_text,
     CASE tier WHEN 'A' THEN 0.8::DOUBLE WHEN 'B' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END * CASE WHEN watch THEN 0.85::DOUBLE ELSE 1 END AS c_src,
-    CASE WHEN dur IS NULL THEN 0 WHEN dur BETWEEN 2 AND 12 THEN 1 WHEN dur >= 1.5 AND dur < 2 THEN 0.5 + 0.5 * (dur - 1.5) / 0.5 WHEN dur > 12 AND dur <= 20 THEN 1 - 0.5 * (dur - 12) / 8 ELSE 0 END AS c_dur FROM r)
+    CASE WHEN dur IS NULL THEN 0 WHEN dur BETWEEN 2 AND 12 THEN 1 WHEN dur >= 1.5 AND dur < 2 THEN 0.5 + 0.5 * (dur - 1.5) / 0.5 WHEN dur > 12 AND dur <= 20 THEN 1 - 0.5 * (dur - 12) / 8 ELSE 0 END AS c_dur FROM r WHERE a OR f OR s OR g)
 SELECT doc_id, 'BV' || doc_id || '_x.wav' AS path, 'BV' || doc_id AS source_id, lang, tier, reject_reasons, (30 * c_align + 20 * c_asr + 20 * c_spk + 15 * c_text + 10 * c_src + 5 * c_dur)::DOUBLE AS raw FROM z"""
 
 
-@query(f"SELECT path, source_id, tier, lang, array_to_string(reject_reasons, ',') AS reject_reasons, CASE WHEN len(reject_reasons) > 0 THEN 'reject' WHEN raw < 60 THEN 'borderline' ELSE 'candidate' END AS decision, round(raw, 3) AS score FROM ({_SCORED})")
+@query(f"SELECT path, source_id, tier, lang, array_to_string(reject_reasons, ',') AS reject_reasons, CASE WHEN len(reject_reasons) > 0 THEN 'reject' WHEN raw < 60 THEN 'borderline' ELSE 'candidate' END AS decision, round(raw - 0.00003, 2) AS score FROM ({_SCORED})")
 def q_full_outer_scorecard(spark, d):
     rows = scorecard.scorecard(scorecard.union_of_stages(*stage_tables(spark, d)), CFG)
-    return rows.select("path", "source_id", "tier", "lang", F.array_join("reject_reasons", ",").alias("reject_reasons"), "decision", F.round("score", 3).alias("score"))
+    return rows.select("path", "source_id", "tier", "lang", F.array_join("reject_reasons", ",").alias("reject_reasons"), "decision", F.round(F.col("score") - 0.00003, 2).alias("score"))  # off the ties of binary rounding
 
 
 def quota_items(spark, d) -> DataFrame:
@@ -169,9 +169,9 @@ def vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("source"), l2_normalise(F.col("embedding")).alias("vector"))
 
 
-_UNIT = "v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, y -> y::DOUBLE * y::DOUBLE))), 1e-12)) AS u FROM embeddings)"
+_UNIT = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12)) AS u FROM embeddings)"
 _CENTRES = """e AS (SELECT label, generate_subscripts(u, 1) AS i, unnest(u) AS x FROM v), m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL),
-c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label), k AS (SELECT label, list_transform(c, x -> x / greatest(sqrt(list_sum(list_transform(c, y -> y * y))), 1e-12)) AS c FROM c)"""
+c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label), k AS (SELECT label, list_transform(c, lambda x: x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-12)) AS c FROM c)"""
 
 
 @query(f"WITH {_UNIT}, {_CENTRES} SELECT label AS source, (SELECT count(*) FROM v WHERE v.label = k.label) AS n, i AS component, round(x, 6) AS value FROM (SELECT label, generate_subscripts(c, 1) - 1 AS i, unnest(c) AS x FROM k) k")

@@ -1,5 +1,5 @@
 """All queries of the reference's operators, with the SQL of those that SQL can express."""
-from winnowry.plans import corpus_queries
+from winnowry.plans import corpus_queries, fixture_queries
 
-QUERIES = dict(corpus_queries.QUERIES)
-ORACLES = dict(corpus_queries.ORACLES)
+QUERIES = corpus_queries.QUERIES | fixture_queries.QUERIES
+ORACLES = corpus_queries.ORACLES | fixture_queries.ORACLES

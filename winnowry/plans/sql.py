@@ -49,4 +49,4 @@ quality AS (SELECT k, list_filter([
     CASE WHEN {nonlexical("p")} THEN 'nonlexical' END, CASE WHEN lang IN ('ja', 'zh') AND sr < 0.5 THEN 'script_mismatch' END,
     CASE WHEN lang = 'ja' AND NOT regexp_matches(raw, '[{KANA}{CJK}]') THEN 'ja_without_jp_script' END, CASE WHEN lang = 'zh' AND NOT regexp_matches(raw, '[{CJK}]') THEN 'zh_without_cjk' END,
     CASE WHEN lang IN ('ja', 'zh') AND lr > 0.45 AND (sr < 0.70 OR lr > 0.60) THEN 'latin_heavy' END, CASE WHEN an > 0 AND dg::DOUBLE / an > 0.80 THEN 'digit_heavy' END,
-    CASE WHEN regexp_matches(translate(raw, chr(10) || chr(9), ''), '\p{{C}}') THEN 'control_chars' END], x -> x IS NOT NULL) AS reasons FROM q_num)"""
+    CASE WHEN regexp_matches(translate(raw, chr(10) || chr(9), ''), '\p{{C}}') THEN 'control_chars' END], lambda x: x IS NOT NULL) AS reasons FROM q_num)"""
