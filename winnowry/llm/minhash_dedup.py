@@ -10,11 +10,12 @@ merge by their maximum. The sketch is locality-sensitive: at similarity 0.75 two
 3. Registers of a pair give counts of greater, smaller and equal values; with the known set sizes they make a likelihood
    of the similarity. A pair goes on unless the threshold and all above it are far less likely than the best value.
 4. Pairs that go on are verified on full sets, first the likeliest of each document, then those between components.
-5. Keys that still hold more than one component: members outside the key's largest component meet the others, and pairs
-   whose sizes or whose registers' parities are too far apart for the threshold are dropped within the join. Keys with
-   very many members outside are first refined by a second band.
+5. Keys that still hold more than one component: members outside the key's largest component meet the others block by
+   block, and only pairs that the likelihood doesn't give up leave the task. Keys with very many members outside are
+   first refined by a second band.
 
-The chance that a pair at the threshold shares no band is below 1e-6.
+The chance that a pair at the threshold shares no band is below 1e-6, that the likelihood gives it up below 1e-5.
+Verification is by blocks: a document's set travels once to each pair of blocks, not once a pair.
 
 Defined results: a null or wordless text has an empty set, links with nothing and stands alone; a text of fewer words
 than a shingle is one shingle; rows that repeat an id are one vertex; extra columns are ignored; an empty table gives an
@@ -39,13 +40,13 @@ BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.1, 20.0
 #: How much less likely (natural logarithm) the threshold has to be than the best similarity for a pair to be given up.
-GIVE_UP = 14.0
+GIVE_UP = 10.0
 #: Bands of the first round.
 FIRST = 6
 #: Members outside a key's largest component that meet its others at once; beyond, the key is refined by second bands.
 MANY = 512
-#: Registers that may differ in parity. At the threshold 30 of 240 do on average, with a deviation of 5.2.
-MAX_PARITY = 55
+#: Documents of a block when pairs are verified, and members and outside members of a key's block.
+BLOCK = 1024
 _RNG = np.random.default_rng(19)
 _FLIP = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -173,58 +174,55 @@ def bands_of(classes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame
     return classes.select("id", "c", "regs").mapInArrow(go, "key long, id long, c long")
 
 
-def parities(classes: DataFrame) -> DataFrame:
-    """(id, n, b0..b3): the lowest bits of the registers, as four numbers."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bits = np.zeros((batch.num_rows, 256), np.uint8)
-                bits[:, :REGISTERS] = _matrix(batch.column(2)) & 1
-                words = np.packbits(bits, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(4)]], ["id", "n", "b0", "b1", "b2", "b3"])
-
-    return classes.select("id", "n", "regs").mapInArrow(go, "id long, n long, b0 long, b1 long, b2 long, b3 long")
+def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of registers the likelihood doesn't give up, and the likeliest similarities of all."""
+    value = likelihoods(a, b, n_a.astype(float), n_b.astype(float))
+    at = int(np.searchsorted(_GRID, SIMILAR / OF - 1e-9))
+    return value[:, at:].max(1) >= value.max(1) - GIVE_UP, _GRID[value.argmax(1)]
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that the likelihood doesn't give up, with the likeliest similarity."""
     side = classes.select("id", "n", "regs")
     both = pairs.join(side.toDF("a", "n_a", "regs_a").hint("merge"), "a").join(side.toDF("b", "n_b", "regs_b").hint("merge"), "b")
-    at = int(np.searchsorted(_GRID, SIMILAR / OF - 1e-9))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
                 a, b, n_a, n_b, x, y = part.columns
-                value = likelihoods(_matrix(x), _matrix(y), n_a.to_numpy().astype(float), n_b.to_numpy().astype(float))
-                best = value.argmax(1)
-                keep = value[:, at:].max(1) >= value.max(1) - GIVE_UP
-                yield pa.RecordBatch.from_arrays([a, b, pa.array(_GRID[best])], ["a", "b", "likely"]).filter(pa.array(keep))
+                keep, likely = plausible(_matrix(x), _matrix(y), n_a.to_numpy(), n_b.to_numpy())
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(likely)], ["a", "b", "likely"]).filter(pa.array(keep))
 
     return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(go, "a long, b long, likely double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the threshold. docs: id, text."""
+    """Those of the pairs (a, b) whose full sets reach the threshold. docs: id, text. Documents are dealt into blocks; a task has the pairs of two blocks and the sets they need."""
     pairs = materialise(pairs.select("a", "b"), "to_verify")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    need = materialise(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct(), "need")
+    many = max(1, -(-need.count() // BLOCK))
     sets = materialise(sets_of(docs.join(need.hint("merge"), "id", "left_semi").select("id", "text").dropDuplicates(["id"])), "sets")
-    both = pairs.join(sets.toDF("a", "set_a").hint("merge"), "a").join(sets.toDF("b", "set_b").hint("merge"), "b")
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                together = np.concatenate([x, y])
-                together.sort(kind="stable")
-                shared = int((together[1:] == together[:-1]).sum())
-                keep.append(OF * shared >= SIMILAR * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(go, "a long, b long"), "links")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
+    pairs = pairs.withColumns({"i": block("a"), "j": block("b")})
+    sent = pairs.select("i", "j", F.col("a").alias("id")).distinct().union(pairs.select("i", "j", "b").distinct()).distinct()
+    sent = sent.join(sets.hint("merge"), "id").select(F.col("i").alias("i2"), F.col("j").alias("j2"), "id", "elements")
+
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {k: np.frombuffer(v, U64) for k, v in zip(right["id"].to_pylist(), right["elements"].to_pylist(), strict=True)}
+        keep = []
+        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
+            x, y = held[a], held[b]
+            if OF * min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+                keep.append(False)
+                continue
+            together = np.concatenate([x, y])
+            together.sort()
+            shared = int(np.count_nonzero(together[1:] == together[:-1]))
+            keep.append(OF * shared >= SIMILAR * (len(x) + len(y) - shared))
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialise(pairs.groupBy("i", "j").cogroup(sent.groupBy("i2", "j2")).applyInArrow(go, "a long, b long"), "links")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataFrame:
@@ -246,19 +244,35 @@ def star_pairs(bands: DataFrame) -> DataFrame:
 
 def leftover_pairs(bands: DataFrame, detail: DataFrame, every: DataFrame, refine: bool = True) -> DataFrame:
     """Pairs that stars didn't try: in keys that hold several components, members outside the key's largest one with all members of other components.
-    bands: key, id, c; detail: sizes and parities by id; every: the bands from which second ones are taken."""
+    bands: key, id, c; detail: sizes and registers by id; every: the bands from which second ones are taken. Pairs that the likelihood gives up don't leave their task."""
     parts = bands.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1 and all > 2")
-    mixed = materialise(mixed.select("key", F.col("top.c").alias("main"), (F.col("all") - F.col("top.k")).alias("outside")), "mixed")
+    mixed = materialise(mixed.select("key", F.col("top.c").alias("main"), "all", (F.col("all") - F.col("top.k")).alias("outside")), "mixed")
     here = mixed.where(F.col("outside") <= MANY) if refine else mixed
-    members = materialise(bands.join(here.select("key", "main").hint("merge"), "key").join(detail.hint("merge"), "id"), "members")
-    outside = members.where("c != main").select("key", *[F.col(x).alias(f"{x}_x") for x in ("id", "c", "n", "b0", "b1", "b2", "b3")])
-    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_x"))) for k in range(1, 4)), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_x"))))
-    near = (OF * F.least("n", "n_x") >= SIMILAR * F.greatest("n", "n_x")) & (apart <= MAX_PARITY)
-    once = (F.col("c") == F.col("main")) | (F.col("id") < F.col("id_x"))
-    right = outside.withColumnRenamed("key", "key_x").hint("merge")
-    pairs = members.join(right, (F.col("key") == F.col("key_x")) & (F.col("c") != F.col("c_x")) & once & near)
-    pairs = pairs.select(F.greatest("id_x", "id").alias("a"), F.least("id_x", "id").alias("b")).distinct()
+    tasks = F.ceil(F.col("outside") / BLOCK).cast("int").alias("u_tasks"), F.ceil(F.col("all") / (4 * BLOCK)).cast("int").alias("m_tasks")
+    members = bands.join(here.select("key", "main", *tasks).hint("merge"), "key").join(detail.hint("merge"), "id")
+    members = materialise(members, "members")
+    dealt = lambda many, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(many)).cast("int")
+    every_of = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    outside = members.where("c != main").withColumn("u", dealt("u_tasks", "u")).withColumn("m", every_of("m_tasks")).select("key", "u", "m", "id", "c", "n", "regs")
+    others = members.withColumn("m", dealt("m_tasks", "m")).withColumn("u", every_of("u_tasks")).select("key", "u", "m", "id", "c", "main", "n", "regs").toDF("key2", "u2", "m2", "id", "c", "main", "n", "regs")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            x, y = _matrix(left["regs"].combine_chunks()), _matrix(right["regs"].combine_chunks())
+            id_x, id_y, c_x, c_y, n_x, n_y = (t[k].to_numpy() for k in ("id", "c", "n") for t in (left, right))
+            main = c_y == right["main"].to_numpy()
+            for k in range(len(id_x)):
+                some = np.flatnonzero((c_y != c_x[k]) & (main | (id_y < id_x[k])) & (OF * np.minimum(n_y, n_x[k]) >= SIMILAR * np.maximum(n_y, n_x[k])))
+                if len(some):
+                    keep, _ = plausible(np.broadcast_to(x[k], (len(some), x.shape[1])), y[some], np.full(len(some), n_x[k]), n_y[some])
+                    some = some[keep]
+                    out_a.append(np.maximum(id_y[some], id_x[k]))
+                    out_b.append(np.minimum(id_y[some], id_x[k]))
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    pairs = outside.groupBy("key", "u", "m").cogroup(others.groupBy("key2", "u2", "m2")).applyInArrow(meet, "a long, b long").distinct()
     if not refine:
         return pairs
     hot = materialise(bands.join(mixed.where(F.col("outside") > MANY).select("key").hint("merge"), "key", "left_semi"), "hot")
@@ -267,7 +281,7 @@ def leftover_pairs(bands: DataFrame, detail: DataFrame, every: DataFrame, refine
     second = every.select("id", F.col("key").alias("other"))
     finer = hot.join(second.hint("merge"), "id").where("key < other").select(F.xxhash64("key", "other").alias("key"), "id", "c")
     finer = materialise(finer, "finer")
-    return pairs.unionByName(star_pairs(finer)).unionByName(leftover_pairs(finer, detail, every, refine=False)).distinct()
+    return pairs.unionByName(leftover_pairs(finer, detail, every, refine=False)).distinct()
 
 
 def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -301,8 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, labels = _more(links, labels, estimated(star_pairs(bands), classes).select("a", "b"), texts)
     bands = labelled(bands.drop("c"), labels, "id", "c")
     bands = materialise(bands, "bands")
-    rest = estimated(leftover_pairs(bands, materialise(parities(classes), "parities"), bands), classes).select("a", "b")
-    links, labels = _more(links, labels, between(rest, labels), texts)
+    links, labels = _more(links, labels, leftover_pairs(bands, classes.select("id", "n", "regs"), bands), texts)
     found = labelled(classes.select(*same, "id"), labels, "id", "component_id").drop("id")
     found = materialise(found, "found")
     out = sketched.select("id", *same).join(found.hint("merge"), same, "left").withColumn("component_id", F.coalesce("component_id", "id"))
