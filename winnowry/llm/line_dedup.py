@@ -8,8 +8,8 @@ if their sets' Jaccard similarity is at least ``SIMILAR / OF``. A line is remove
    corpus), then by hash. Any order is correct; this one makes common words rare in prefixes.
 2. The first n - ceil(t n) + 1 words of a line are its prefix; linked lines share a word there. Postings (word, class,
    length, position, 128-bit map of the set) meet word by word; length, positional and bit-map filters leave few classes
-   with a possible partner. Only the classes, not the pairs, are written.
-3. The sets of those classes meet word by word again; a pair is counted where its first common word is, verified on the
+   with a possible partner of which the word may be the first in common. Only classes and such words are written, not pairs.
+3. The sets of those classes meet at those words again; a pair is counted where its first common word is, verified on the
    whole sets, and each task returns for each class its number of links and its earliest linked line: rows grow with
    the classes, not with the pairs.
 
@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans
-from ._store import lookup, materialise
+from ._store import lookup, materialise, partitions
 
 SIMILAR, OF = 85, 100
 MIN_WORDS = 5
 COUNTERS = 1 << 16
 #: Postings that a task of the join holds on average.
 TASK_POSTINGS = 400_000
+#: Bytes of sets that a task of the second join holds on average, at most.
+TASK_BYTES = 32 << 20
 BLOOM_BITS = 1 << 23
 WORD_SPACE = SPACE
 
@@ -169,7 +171,7 @@ def postings(texts: DataFrame, counts: np.ndarray, tasks: int) -> DataFrame:
 
 
 def possible(p: np.ndarray) -> np.ndarray:
-    """The sets among postings that some other set of a shared word may be linked with, by length, position and bit map."""
+    """The postings whose set may be linked with another set of which their word is the first in common, by length, position and bit map."""
     p = p[np.lexsort((p["set"], p["n"], p["word"]))]
     if len(p):
         new = np.ones(len(p), bool)
@@ -187,20 +189,20 @@ def possible(p: np.ndarray) -> np.ndarray:
             break
         j = i + k
         need = -(-SIMILAR * (n[i] + n[j]) // (OF + SIMILAR))
-        near = (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 + np.minimum(at[i], at[j]) >= need) & ((n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)) // 2 >= need) & (p["set"][i] != p["set"][j])
+        near = (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & ((n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)) // 2 >= need)
         hit[i[near]] = True
         hit[j[near]] = True
-    return np.unique(p["set"][hit])
+    return p[hit]
 
 
 def flagged(texts: DataFrame, counts: np.ndarray, tasks: int) -> DataFrame:
-    """(set): the first hash of every class with a possible partner."""
+    """(set, word): the first hash of every class with a possible partner, and the words of its prefix at which there may be one."""
 
     def go(table: pa.Table) -> pa.Table:
-        p = np.frombuffer(b"".join(table["blob"].to_pylist()), POSTING)
-        return pa.table({"set": pa.array(possible(p).view(np.int64))})
+        p = possible(np.frombuffer(b"".join(table["blob"].to_pylist()), POSTING))
+        return pa.table({k: pa.array(np.ascontiguousarray(p[k]).view(np.int64)) for k in ("set", "word")})
 
-    return postings(texts, counts, tasks).groupBy("task").applyInArrow(go, "set long").distinct()
+    return postings(texts, counts, tasks).groupBy("task").applyInArrow(go, "set long, word long")
 
 
 def bloom(sets: DataFrame) -> np.ndarray:
@@ -235,23 +237,24 @@ def sets_of(texts: DataFrame, counts: np.ndarray, chosen: np.ndarray) -> DataFra
 
 
 def spread(sets: DataFrame, tasks: int) -> DataFrame:
-    """A row per set and task that a word of its prefix belongs to: (task, places of such words, key, words, id, line)."""
+    """A row per set and task that a marked word of its prefix belongs to: (task, places of such words, key, words, id, line)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 task_of, places, rows = [], [], []
-                for r, raw in enumerate(part.column(1)):
+                for r, (raw, marks) in enumerate(zip(part.column(1), part.column(4).to_pylist(), strict=True)):
                     words = np.frombuffer(raw.as_buffer(), U64)
-                    task = (words[: prefix_length(np.int64(len(words)))] % U64(tasks)).astype(np.int64)
+                    at = np.flatnonzero(np.isin(words[: prefix_length(np.int64(len(words)))], np.array(marks, np.int64).view(U64)))
+                    task = (words[at] % U64(tasks)).astype(np.int64)
                     for t in np.unique(task).tolist():
                         task_of.append(t)
-                        places.append(np.flatnonzero(task == t).astype(np.int32).tobytes())
+                        places.append(at[task == t].astype(np.int32).tobytes())
                         rows.append(r)
-                yield pa.RecordBatch.from_arrays([pa.array(task_of, pa.int32()), pa.array(places, pa.binary()), *part.take(pa.array(rows, pa.int64())).columns], ["task", "places", "key", "words", "id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(task_of, pa.int32()), pa.array(places, pa.binary()), *part.take(pa.array(rows, pa.int64())).columns[:4]], ["task", "places", "key", "words", "id", "line"])
 
-    return sets.select("key", "words", "id", "line").mapInArrow(go, "task int, places binary, key binary, words binary, id long, line long")
+    return sets.select("key", "words", "id", "line", "marks").mapInArrow(go, "task int, places binary, key binary, words binary, id long, line long")
 
 
 def linked_within(lists: list[np.ndarray], at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -323,11 +326,14 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(lines.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), F.min("set").alias("set")), "classes")
     counts = word_counts(texts)
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR / OF) + 1)).first()[0] or 0
-    tasks = max(1, -(-int(total) // TASK_POSTINGS))
-    sets = materialise(flagged(texts, counts, tasks), "flagged")
-    partners = classes.join(sets.hint("merge"), "set", "left_semi").select("key", "first")
-    known = materialise(sets_of(texts, counts, bloom(sets)).groupBy("key").agg(F.min("words").alias("words")).join(partners.hint("merge"), "key").select("key", "words", "first.id", "first.line"), "known")
-    links = join_links(known, max(1, -(-known.agg(F.sum(F.length("words") / 8)).first()[0] // TASK_POSTINGS) if not known.isEmpty() else 1))
+    least = partitions(docs.sparkSession)
+    marks = flagged(texts, counts, max(least, -(-int(total) // TASK_POSTINGS)))
+    sets = materialise(marks.groupBy("set").agg(F.collect_set("word").alias("marks")), "flagged")
+    partners = classes.join(sets.hint("merge"), "set").select("key", "first", "marks")
+    known = sets_of(texts, counts, bloom(sets)).groupBy("key").agg(F.min("words").alias("words"))
+    known = materialise(known.join(partners.hint("merge"), "key").select("key", "words", "first.id", "first.line", "marks"), "known")
+    size = known.agg(F.coalesce(F.sum(F.size("marks") * F.length("words")), F.lit(0))).first()[0]
+    links = join_links(known, max(least, -(-int(size) // TASK_BYTES)))
     told = classes.join(links.hint("merge"), "key", "left").select("key", "k", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce(F.col("linked") < F.col("first"), F.lit(False)).alias("late"))
     told = materialise(told, "told")
     keyed = lines.where("key is not null")
