@@ -141,3 +141,24 @@ def test_windows_and_joins(spark):
     assert {r["part"]: r["keys"] for r in joins.key_counts({"a": a, "b": b}, "k").collect()} == {"a": 2, "b": 2, "all": 1}
     assert {r["reason"]: r["n"] for r in aggregates.reason_counts(spark.sql("select array('a', 'b') as reasons union all select array()")).collect()} == {"keep": 1, "drop": 1, "a": 1, "b": 1}
     assert selection.balanced_shards([("a", 5), ("b", 3), ("c", 3)], 2) == [["a"], ["b", "c"]]
+
+
+def test_order_statistics(spark):
+    values = [5.0, 1.0, 1.0, 9.0, 3.0, None, 7.0, 2.0]
+    table = spark.createDataFrame([(v,) for v in values], "x double")
+    got = aggregates.order_statistics(table, "x", {"mid": (1, 2), "low": (1, 10), "high": (9, 10)}).first()
+    known = sorted(v for v in values if v is not None)
+    assert tuple(got) == (known[len(known) // 2], known[len(known) // 10], known[len(known) * 9 // 10])
+    assert tuple(aggregates.order_statistics(table.limit(0), "x", {"mid": (1, 2)}).first()) == (None,)
+
+
+def test_retrieval(spark):
+    from winnowry.operators import retrieval
+
+    facts = spark.createDataFrame([("f1", "profile", ["生日", "蛋糕"], "五月", 1), ("f2", "sensitive", ["男朋友"], "x", 2)], "id string, cat string, q array<string>, fact string, ordinal long")
+    asked = spark.createDataFrame([(1, "你的生日吃蛋糕吗"), (2, "男朋友生日"), (3, "天气")], "query_id long, text string")
+    found = retrieval.retrieve_facts(asked, facts)
+    assert sorted((r["query_id"], r["sensitive"], r["fact_id"]) for r in found.collect()) == [(1, False, "f1"), (2, True, None)]
+    shown = spark.createDataFrame([(1, "你好", 1)], "query_id long, text string, rank int")
+    messages = {r["query_id"]: [m["content"] for m in r["messages"]] for r in retrieval.compose_context(asked, found, shown, "avoid").collect()}
+    assert messages[2] == ["avoid"] and len(messages[1]) == 2 and messages[3] == []

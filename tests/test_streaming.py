@@ -37,3 +37,18 @@ def test_stream_equals_batch(spark, tmp_path):
     sentences.stream_sentences(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["session_id"], r["number"], r["style"], r["sentence"]) for r in spark.read.parquet(out).collect())
     assert got == want
+
+
+def test_session_stream(spark, tmp_path):
+    from winnowry.streaming import session
+
+    rows = [("s", k, "user" if k % 2 == 0 else "assistant", "x") for k in range(26)] + [("t", 0, "user", "x"), ("t", 1, "assistant", "y")]
+    source = str(tmp_path / "messages")
+    schema = "session_id string, turn long, role string, content string"
+    for part in (rows[:10], rows[10:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    session.stream_sessions(stream, ttl_minutes=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["session_id"], r["archived"], r["kept"]) for r in spark.read.parquet(out).collect()}
+    assert ("s", 10, 16) in got and ("t", 0, 2) in got

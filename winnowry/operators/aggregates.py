@@ -32,16 +32,19 @@ def percentiles(rows: DataFrame, column: str, by: list[str] | None = None, perce
     return out.select(*(by or []), "n", *[F.get("_p", F.lit(k)).alias(f"p{p:02d}") for k, p in enumerate(percents)])
 
 
-def order_statistics(rows: DataFrame, column: str, positions: dict[str, tuple[int, int]]) -> DataFrame:
-    """Sorted values at n*a//b, not interpolated, for each name: (a, b). A global rank comes from counts per value, not from one sorted task."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    total = rows.agg(F.count(column).alias("n"))
-    ranged = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
-    sums = ranged.groupBy("p").agg(F.sum("k").alias("s"))
-    before = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
-    upto = F.sum("k").over(Window.partitionBy("p").orderBy("v")) + F.col("before")
-    ranks = ranged.join(F.broadcast(before), "p").withColumn("high", upto).withColumn("low", F.col("high") - F.col("k"))
-    met = ranks.crossJoin(F.broadcast(total))
+def order_statistics(rows: DataFrame, column: str, positions: dict[str, tuple[int, int]], ranges: int = 64) -> DataFrame:
+    """Sorted values at n*a//b, not interpolated, for each name: (a, b). Exact at any size: values are counted, counts are summed over
+    ranges between approximate quantiles (a few dozen rows), and ranks run within a range, so no task orders the whole column."""
+    known = rows.where(F.col(column).isNotNull())
+    bounds = known.approxQuantile(column, [k / ranges for k in range(1, ranges)], 0.5 / ranges)
+    counts = known.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    place = F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("v"))) if bounds else F.lit(0)
+    counts = counts.withColumn("p", place)
+    sums = counts.groupBy("p").agg(F.sum("k").alias("s"))
+    before = sums.select("p", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("n"))
+    met = counts.join(F.broadcast(before), "p")  # at most ``ranges`` rows
+    high = F.sum("k").over(Window.partitionBy("p").orderBy("v")) + F.col("before")
+    met = met.withColumn("high", high).withColumn("low", F.col("high") - F.col("k"))
     at = {name: F.floor(F.col("n") * a / b).cast("long") for name, (a, b) in positions.items()}
     return met.agg(*[F.max(F.when((F.col("low") <= x) & (x < F.col("high")), F.col("v"))).alias(name) for name, x in at.items()])
 

@@ -96,9 +96,10 @@ def newest_audio(events: DataFrame) -> DataFrame:
     return audio_queue(events).groupBy("session_id").agg(F.max_by(F.struct("turn", "index"), F.struct("turn", "index")).alias("play"))
 
 
-def stream_sessions(messages: DataFrame, limits: CompactionLimits | None = None, ttl_minutes: int = 120) -> DataFrame:
+def stream_sessions(messages: DataFrame, limits: CompactionLimits | None = None, ttl_minutes: int | None = 120) -> DataFrame:
     """A stream of committed messages (session_id, turn, role, content) -> (session_id, archived, kept): for each batch of a session, how
-    many messages it now archives and keeps. State holds the kept messages' lengths only; idle sessions are evicted."""
+    many messages it now archives and keeps. State holds the kept messages' lengths only. Idle sessions are evicted after
+    ``ttl_minutes``; give None to a run that ends when its input does, which a timeout by the clock would keep going."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     c = limits or CompactionLimits()
@@ -117,10 +118,11 @@ def stream_sessions(messages: DataFrame, limits: CompactionLimits | None = None,
             archived = 2 * (turns - c.recent_turns)
             kept = kept[archived:]
         state.update((kept,))
-        state.setTimeoutDuration(ttl_minutes * 60_000)
+        if ttl_minutes is not None:
+            state.setTimeoutDuration(ttl_minutes * 60_000)
         yield pd.DataFrame({"session_id": [key[0]], "archived": [archived], "kept": [len(kept)]})
 
-    return messages.groupBy("session_id").applyInPandasWithState(go, "session_id string, archived int, kept int", "kept array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("session_id").applyInPandasWithState(go, "session_id string, archived int, kept int", "kept array<int>", "append", GroupStateTimeout.NoTimeout if ttl_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
