@@ -332,3 +332,18 @@ def test_arrow_helpers():
     h = Rolling(data, LOWER_BYTES)(starts, ends)
     assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
     assert sum(high - low for low, high, _, _ in blocks(pa.array(texts), 10)) == 5
+
+
+def test_null_ids(spark):
+    rows = spark.createDataFrame([(None, BASE), (None, BASE), (1, BASE), (None, None), (2, "x y z a b c\nx y z a b c")], "doc_id long, text string").withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    assert exact_dedup.exact_dedup(rows).where("kept").count() == 3
+    near = minhash_dedup.near_duplicates(rows).collect()
+    assert len(near) == 5 and {r["component_id"] for r in near} == {1, 2, None}
+    lines = line_dedup.duplicate_lines(rows)
+    assert lines.count() == 6 and lines.where("removed").count() == 2
+    assert packing.best_fit_pack(rows, TOKENIZER).count() == 5
+    assert licenses.license_scan(rows).count() == mixing.plan(rows).count() == quality.score_documents(rows, None).count() == langid.predict(rows, None).count() == 5
+    assert langid.fit(rows, F.lit(True)) is None
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in embedding_dedup.near_duplicate_vectors(vectors).collect())
+    assert got == [(0, 0, 0), (0, 0, 1), (1, 0, 1), (2, 0, 2)]

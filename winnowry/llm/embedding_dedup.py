@@ -11,7 +11,8 @@ indexed. Equal vectors form a class that is compared once. Cells are dealt into
 of its links, never the links themselves. The grid has at most 2^16 cells; their sizes are broadcast.
 
 Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or have another length than
-the most frequent one link with nothing; rows that repeat a vector count as other vectors; extra columns are ignored;
+the most frequent one link with nothing; rows that repeat a vector count as other vectors; a row
+without id gets the links of an equal vector with one, if there is any; extra columns are ignored;
 an empty table gives an empty result.
 """
 from __future__ import annotations
@@ -167,11 +168,11 @@ def _packed(rows: DataFrame, vec_col: str) -> DataFrame:
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """One row per input row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept (id = component_id)."""
     every = materialise(_packed(rows.withColumn("id", F.col(id_col).cast("long")), vec_col), "vectors")
-    usual = every.where("length is not null").groupBy("length").count().orderBy(F.desc("count"), "length").first()
+    usual = every.where("length is not null and id is not null").groupBy("length").count().orderBy(F.desc("count"), "length").first()
     if usual is None:
         return every.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     size = usual["length"]
-    classes = materialise(every.where(F.col("length") == size).groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "classes")
+    classes = materialise(every.where((F.col("length") == size) & F.col("id").isNotNull()).groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "classes")
     n = classes.count()
     some = classes.orderBy(F.xxhash64("id", F.lit("grid")), "id").select("vector").limit(SAMPLE).toPandas()["vector"]
     grid = fit(np.frombuffer(b"".join(map(bytes, some)), np.float32).reshape(-1, size), n, threshold, target)
@@ -222,4 +223,4 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
     known = materialise(known.select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "known")
     out = every.join(known.hint("merge"), "vector", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

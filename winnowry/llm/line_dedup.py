@@ -15,7 +15,7 @@ if their sets' Jaccard similarity is at least ``SIMILAR / OF``. A line is remove
 
 Defined results: a null text has one empty line; empty lines and short lines are kept; rows that repeat an id number
 their lines alike, so equal lines of theirs count as one line, and a line goes from all of them if it goes from one; extra
-columns stay as they are; an empty table gives an empty result.
+columns stay as they are; rows without id come before all others, and drop_lines leaves them whole; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -98,8 +98,12 @@ def by_rarity(words: np.ndarray, line: np.ndarray, counts: np.ndarray) -> np.nda
     return order_of(line, rank.astype(U64) << U64(28) | words >> U64(20) & U64((1 << 28) - 1), words, lambda: np.lexsort((words, rank, line)))
 
 
+#: Stands for a null id inside.
+NO_ID = -(1 << 63)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -342,7 +346,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = met.select("id", "line", F.col("n").alias("n_words"), F.col("first.id").alias("class_id"), F.col("first.line").alias("class_line"), "n_links", (F.col("late") | (here != F.col("first"))).alias("removed"))
     none = F.lit(None).cast("long")
     out = out.unionByName(lines.where("key is null").select("id", "line", F.col("n").alias("n_words"), none.alias("class_id"), none.alias("class_line"), F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed")))
-    return out.withColumnRenamed("id", id_col)
+    shown = out.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("id", "class_id")})
+    return shown.withColumnRenamed("id", id_col)
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,8 @@ The chance that a pair at the threshold shares no band is below 1e-6, that the l
 Verification is by blocks: a document's set travels once to each pair of blocks, not once a pair.
 
 Defined results: a null or wordless text has an empty set, links with nothing and stands alone; a text of fewer words
-than a shingle is one shingle; rows that repeat an id are one vertex; extra columns are ignored; an empty table gives an
+than a shingle is one shingle; rows that repeat an id are one vertex; a row without
+id is no vertex, and is kept unless a document has its set; extra columns are ignored; an empty table gives an
 empty result.
 """
 from __future__ import annotations
@@ -301,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = materialise(sketches(docs, id_col, text_col), "sketches")
     same = ["n", "h1", "h2"]
-    classes = materialise(sketched.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.min("regs").alias("regs")), "classes")
+    classes = materialise(sketched.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.min("regs").alias("regs")), "classes")
     alone = classes.withColumn("c", F.col("id"))
     tried = materialise(estimated(star_pairs(materialise(bands_of(alone, 0, FIRST), "bands")), classes), "likely")
     best = materialise(tried.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b")), "best")
