@@ -46,6 +46,8 @@ GIVE_UP = 10.0
 FIRST = 6
 #: Members outside a key's largest component that meet its others at once; beyond, the key is refined by second bands.
 MANY = 512
+#: Registers that agree at least. At the threshold 182 of 240 do on average, with a deviation of 6.5.
+LEAST_EQUAL = 140
 #: Documents of a block when pairs are verified, and members and outside members of a key's block.
 BLOCK = 1024
 _RNG = np.random.default_rng(19)
@@ -176,10 +178,17 @@ def bands_of(classes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame
 
 
 def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of registers the likelihood doesn't give up, and the likeliest similarities of all."""
-    value = likelihoods(a, b, n_a.astype(float), n_b.astype(float))
+    """Which pairs of registers the likelihood doesn't give up, and the likeliest similarities (0 where too few registers agree to look further)."""
+    keep, likely = np.zeros(len(a), bool), np.zeros(len(a))
     at = int(np.searchsorted(_GRID, SIMILAR / OF - 1e-9))
-    return value[:, at:].max(1) >= value.max(1) - GIVE_UP, _GRID[value.argmax(1)]
+    for low in range(0, len(a), 512):
+        x, y = a[low : low + 512], b[low : low + 512]
+        some = np.flatnonzero((x == y).sum(1) >= LEAST_EQUAL)
+        if len(some):
+            value = likelihoods(x[some], y[some], n_a[low + some].astype(float), n_b[low + some].astype(float))
+            keep[low + some] = value[:, at:].max(1) >= value.max(1) - GIVE_UP
+            likely[low + some] = _GRID[value.argmax(1)]
+    return keep, likely
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
