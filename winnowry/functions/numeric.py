@@ -78,7 +78,7 @@ def rms_db(samples: Column) -> Column:
 
 def quantile_of(xs: Column, q: float) -> Column:
     """Linear interpolation between the order statistics of an array."""
-    s = F.array_sort(xs)
+    s = F.sort_array(xs)
     at = (F.size(s) - 1) * F.lit(q)
     low = F.floor(at).cast("int")
     a, b = F.get(s, low), F.coalesce(F.get(s, low + 1), F.get(s, low))

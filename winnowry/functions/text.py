@@ -74,7 +74,7 @@ def is_char_repetitive(text: Column, threshold: float = 0.5) -> Column:
         raise ValueError("threshold must be at least 0.5")
     plain = no_space(text)
     n = F.length(plain)
-    chars = F.array_sort(F.split(plain, ""))
+    chars = F.sort_array(F.split(plain, ""))
     middle = F.get(chars, F.floor(F.size(chars) / 2).cast("int"))
     same = n - F.length(F.replace(plain, middle, F.lit("")))
     return F.when(n == 0, F.lit(False)).otherwise(same / n > threshold)
