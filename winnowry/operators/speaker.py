@@ -5,6 +5,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,8 @@ from pyspark.sql.window import Window
 from winnowry.functions.numeric import dot, l2_normalise
 
 SEED, RESAMPLES = 20260803, 128
+#: Vectors of a block, on either side, and blocks a side at least when all vectors meet.
+BLOCK, LEAST_BLOCKS = 16384, 4
 
 
 def centroids(vectors: DataFrame, source: str = "source", vector: str = "vector") -> DataFrame:
@@ -39,6 +43,55 @@ def cross_source(vectors: DataFrame, key: str = "key", source: str = "source", v
     return median_over_sources(pairs.groupBy(key, "other").agg(F.max("score").alias("score")), key)
 
 
+def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each length; vectors that are null or hold null are left out."""
+    length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = vectors.is_valid().to_numpy(zero_copy_only=False).copy()
+    flat, parent = vectors.flatten(), pc.list_parent_indices(vectors).to_numpy(zero_copy_only=False)
+    whole[parent[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    values, begin = flat.to_numpy(zero_copy_only=False).astype(float), np.cumsum(length) - length
+    out = {}
+    for k in np.unique(length[whole]).tolist():
+        rows = np.flatnonzero(whole & (length == k))
+        out[k] = rows, values[begin[rows][:, None] + np.arange(k)]
+    return out
+
+
+def cross_source_all(vectors: DataFrame, key: str = "key", source: str = "source", vector: str = "vector", block: int = BLOCK) -> DataFrame:
+    """What ``cross_source`` gives, for whole tables: every vector meets all vectors of other sources. A task has a block of vectors and some
+    sources (or a piece of a large one), and returns a maximum per vector and source. Rows without a source meet none; vectors that
+    are null, hold null or differ in length have no similarity."""
+    rows = vectors.where(F.col(source).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(vector).cast("array<double>").alias("vector"))
+    total = rows.count()
+    many = max(LEAST_BLOCKS, -(-total // block))
+    sizes = rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) * F.lit(many) / F.lit(max(total, 1))).cast("int").alias("pieces")).withColumn("g", F.pmod(F.xxhash64("source"), F.lit(many)).cast("int"))
+    groups = sizes.groupBy("g").agg(F.max("pieces").alias("pieces")).select("g", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"))
+    left = rows.withColumn("i", F.pmod(F.xxhash64("key"), F.lit(many)).cast("int")).crossJoin(F.broadcast(groups))
+    right = rows.join(sizes, "source").withColumn("p", F.pmod(F.xxhash64("key", F.lit("p")), F.col("pieces")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    types = dict(rows.dtypes)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            ours, theirs = _by_length(a["vector"].combine_chunks()), b["vector"].combine_chunks()
+            for other in pc.unique(b["source"]):
+                apart = pc.not_equal(a["source"], other).to_numpy()
+                best, known = np.full(a.num_rows, -np.inf), np.zeros(a.num_rows, bool)
+                for k, (_, v) in _by_length(theirs.filter(pc.equal(b["source"], other).combine_chunks())).items():
+                    at, u = ours.get(k, (np.zeros(0, np.int64), None))
+                    for low in range(0, len(at), 512):
+                        best[at[low : low + 512]] = (u[low : low + 512] @ v.T).max(1)
+                    known[at] = True
+                some = np.flatnonzero(apart)
+                out.append(pa.table({"key": a["key"].take(pa.array(some)), "other": pa.repeat(other, len(some)), "score": pa.array(best[some], mask=~known[some])}))
+        return pa.concat_tables(out) if out else pa.table({"key": a["key"].slice(0, 0), "other": a["source"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    met = left.select("i", "g", "p", "key", "source", "vector").groupBy("i", "g", "p").cogroup(right.select("i", "g", "p", "source", "vector").toDF("i2", "g2", "p2", "source", "vector").groupBy("i2", "g2", "p2"))
+    scores = met.applyInArrow(meet, f"key {types['key']}, other {types['source']}, score double")
+    best = median_over_sources(scores.groupBy("key", "other").agg(F.max("score").alias("score")), "key")
+    return best.withColumnRenamed("key", key)
+
+
 def candidates(records: DataFrame, per_source: int = 40) -> DataFrame:
     """The first records of each source by start offset, then key."""
     order = Window.partitionBy("source").orderBy("start", "key")
