@@ -1,11 +1,12 @@
 """Line dedup by an exact set-similarity join.
 
-A line is its set of words (A-Z lower-cased); lines of fewer than ``MIN_WORDS`` different words are left alone. Lines with
+A line is its set of words (A-Z lower-cased); lines without words are left alone. Lines with
 the same set form a class, which its earliest line (by document id and line number) stands for. Two classes are linked
 if their sets' Jaccard similarity is at least ``SIMILAR / OF``. A line is removed if an earlier line has its set, or one linked to it.
 
 1. Words are ordered by rarity: by the count of their hash bucket over the whole corpus (2^16 counters, whatever the
    corpus), then by hash. Any order is correct; this one makes common words rare in prefixes.
+   Sets of fewer than ``LEAST_LINKED`` words can't be linked with another set, so their classes are whole without the join.
 2. The first n - ceil(t n) + 1 words of a line are its prefix; linked lines share a word there. Postings (word, class,
    length, position, 128-bit map of the set) meet word by word; length, positional and bit-map filters leave few classes
    with a possible partner of which the word may be the first in common. Only classes and such words are written, not pairs.
@@ -13,7 +14,7 @@ if their sets' Jaccard similarity is at least ``SIMILAR / OF``. A line is remove
    whole sets, and each task returns for each class its number of links and its earliest linked line: rows grow with
    the classes, not with the pairs.
 
-Defined results: a null text has one empty line; empty lines and short lines are kept; rows that repeat an id number
+Defined results: a null text has one empty line; lines without words are kept; rows that repeat an id number
 their lines alike, so equal lines of theirs count as one line, and a line goes from all of them if it goes from one; extra
 columns stay as they are; rows without id come before all others, and drop_lines leaves them whole; an empty table gives an empty result.
 """
@@ -31,7 +32,9 @@ from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix,
 from ._store import lookup, materialise, partitions
 
 SIMILAR, OF = 85, 100
-MIN_WORDS = 5
+MIN_WORDS = 1
+#: Different sets share at most n of n + 1 words, so the smallest of which one may be linked has this many.
+LEAST_LINKED = -(-SIMILAR // (OF - SIMILAR))
 COUNTERS = 1 << 16
 #: Postings that a task of the join holds on average.
 TASK_POSTINGS = 400_000
@@ -107,7 +110,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """(id, line, n, key, set): a row per line; key names its set, null for short lines; set is the key's first half."""
+    """(id, line, n, key, set): a row per line; key names its set, null without words; set is the key's first half."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +159,7 @@ def postings(texts: DataFrame, counts: np.ndarray, tasks: int) -> DataFrame:
                 _, one = np.unique(sets, return_index=True)
                 use = np.zeros(len(n), bool)
                 use[one] = True
-                use &= n >= MIN_WORDS
+                use &= n >= LEAST_LINKED
                 bit = U64(1) << (words >> U64(20) & U64(63))
                 half = words >> U64(26) & U64(1)
                 bits = np.stack([np.bitwise_or.reduceat(np.append(np.where(half == k, bit, U64(0)), U64(0)), of[:-1]) for k in (0, 1)], 1)
@@ -226,7 +229,7 @@ def sets_of(texts: DataFrame, counts: np.ndarray, chosen: np.ndarray) -> DataFra
                 _, _, words, of, line = line_sets(data, at)
                 keys = keys_of(words, of)
                 bit = keys[:, 0] % U64(BLOOM_BITS)
-                use = (chosen[(bit >> U64(5)).astype(np.int64)] >> (bit & U64(31)).astype(np.uint32) & np.uint32(1)).astype(bool) & (np.diff(of) >= MIN_WORDS)
+                use = (chosen[(bit >> U64(5)).astype(np.int64)] >> (bit & U64(31)).astype(np.uint32) & np.uint32(1)).astype(bool) & (np.diff(of) >= LEAST_LINKED)
                 _, one = np.unique(keys[:, 0], return_index=True)
                 once = np.zeros(len(use), bool)
                 once[one] = True
@@ -324,12 +327,12 @@ def join_links(sets: DataFrame, tasks: int) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: id, line (from 0), n_words (different ones), class_id and class_line (the earliest line with the same
-    set; null for short lines), n_links (other sets linked with it), removed."""
+    set; null without words), n_links (other sets linked with it), removed."""
     texts = _texts(docs, id_col, text_col)
     lines = materialise(lines_of(texts), "lines")
     classes = materialise(lines.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), F.min("set").alias("set")), "classes")
     counts = word_counts(texts)
-    total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR / OF) + 1)).first()[0] or 0
+    total = classes.where(F.col("n") >= LEAST_LINKED).agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR / OF) + 1)).first()[0] or 0
     least = partitions(docs.sparkSession)
     marks = flagged(texts, counts, max(least, -(-int(total) // TASK_POSTINGS)))
     sets = materialise(marks.groupBy("set").agg(F.collect_set("word").alias("marks")), "flagged")
