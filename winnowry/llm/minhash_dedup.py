@@ -14,7 +14,7 @@ merge by their maximum. The sketch is locality-sensitive: at similarity 0.75 two
    block, and only pairs that the likelihood doesn't give up leave the task. Keys with very many members outside are
    first refined by a second band.
 
-The chance that a pair at the threshold shares no band is below 1e-6, that the likelihood gives it up below 1e-5.
+The chance that a pair at the threshold shares no band is below 1e-6, that the likelihood gives it up below 1e-7.
 Verification is by blocks: a document's set travels once to each pair of blocks, not once a pair.
 
 Defined results: a null or wordless text has an empty set, links with nothing and stands alone; a text of fewer words
@@ -41,7 +41,7 @@ BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.1, 20.0
 #: How much less likely (natural logarithm) the threshold has to be than the best similarity for a pair to be given up.
-GIVE_UP = 10.0
+GIVE_UP = 14.0
 #: Bands of the first round.
 FIRST = 6
 #: Members outside a key's largest component that meet its others at once; beyond, the key is refined by second bands.
