@@ -11,8 +11,7 @@ merge by their maximum. The sketch is locality-sensitive: at similarity 0.75 two
    of the similarity. A pair goes on unless the threshold and all above it are far less likely than the best value.
 4. Pairs that go on are verified on full sets, first the likeliest of each document, then those between components.
 5. Keys that still hold more than one component: members outside the key's largest component meet the others block by
-   block, and only pairs that the likelihood doesn't give up leave the task. Keys with very many members outside are
-   first refined by a second band.
+   block, whatever their number, and only pairs that the likelihood doesn't give up leave the task.
 
 The chance that a pair at the threshold shares no band is below 1e-6, that the likelihood gives it up below 1e-7.
 Verification is by blocks: a document's set travels once to each pair of blocks, not once a pair.
@@ -44,8 +43,6 @@ BASE, RATE = 1.1, 20.0
 GIVE_UP = 14.0
 #: Bands of the first round.
 FIRST = 6
-#: Members outside a key's largest component that meet its others at once; beyond, the key is refined by second bands.
-MANY = 512
 #: Registers that agree at least. At the threshold 182 of 240 do on average, with a deviation of 6.5.
 LEAST_EQUAL = 140
 #: Documents of a block when pairs are verified, and members and outside members of a key's block.
@@ -252,15 +249,14 @@ def star_pairs(bands: DataFrame) -> DataFrame:
     return bands.join(centres.hint("merge"), "key").where("c != c_b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def leftover_pairs(bands: DataFrame, detail: DataFrame, every: DataFrame, refine: bool = True) -> DataFrame:
+def leftover_pairs(bands: DataFrame, detail: DataFrame) -> DataFrame:
     """Pairs that stars didn't try: in keys that hold several components, members outside the key's largest one with all members of other components.
-    bands: key, id, c; detail: sizes and registers by id; every: the bands from which second ones are taken. Pairs that the likelihood gives up don't leave their task."""
+    bands: key, id, c; detail: sizes and registers by id. Pairs that the likelihood gives up don't leave their task."""
     parts = bands.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1 and all > 2")
     mixed = materialise(mixed.select("key", F.col("top.c").alias("main"), "all", (F.col("all") - F.col("top.k")).alias("outside")), "mixed")
-    here = mixed.where(F.col("outside") <= MANY) if refine else mixed
     tasks = F.ceil(F.col("outside") / BLOCK).cast("int").alias("u_tasks"), F.ceil(F.col("all") / (4 * BLOCK)).cast("int").alias("m_tasks")
-    members = bands.join(here.select("key", "main", *tasks).hint("merge"), "key").join(detail.hint("merge"), "id")
+    members = bands.join(mixed.select("key", "main", *tasks).hint("merge"), "key").join(detail.hint("merge"), "id")
     members = materialise(members, "members")
     dealt = lambda many, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(many)).cast("int")
     every_of = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
@@ -282,16 +278,7 @@ def leftover_pairs(bands: DataFrame, detail: DataFrame, every: DataFrame, refine
                     out_b.append(np.minimum(id_y[some], id_x[k]))
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
-    pairs = outside.groupBy("key", "u", "m").cogroup(others.groupBy("key2", "u2", "m2")).applyInArrow(meet, "a long, b long").distinct()
-    if not refine:
-        return pairs
-    hot = materialise(bands.join(mixed.where(F.col("outside") > MANY).select("key").hint("merge"), "key", "left_semi"), "hot")
-    if hot.isEmpty():
-        return pairs
-    second = every.select("id", F.col("key").alias("other"))
-    finer = hot.join(second.hint("merge"), "id").where("key < other").select(F.xxhash64("key", "other").alias("key"), "id", "c")
-    finer = materialise(finer, "finer")
-    return pairs.unionByName(leftover_pairs(finer, detail, every, refine=False)).distinct()
+    return outside.groupBy("key", "u", "m").cogroup(others.groupBy("key2", "u2", "m2")).applyInArrow(meet, "a long, b long").distinct()
 
 
 def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, labels = _more(links, labels, estimated(star_pairs(bands), classes).select("a", "b"), texts)
     bands = labelled(bands.drop("c"), labels, "id", "c")
     bands = materialise(bands, "bands")
-    links, labels = _more(links, labels, leftover_pairs(bands, classes.select("id", "n", "regs"), bands), texts)
+    links, labels = _more(links, labels, leftover_pairs(bands, classes.select("id", "n", "regs")), texts)
     found = labelled(classes.select(*same, "id"), labels, "id", "component_id").drop("id")
     found = materialise(found, "found")
     out = sketched.select("id", *same).join(found.hint("merge"), same, "left").withColumn("component_id", F.coalesce("component_id", "id"))
