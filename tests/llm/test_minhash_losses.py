@@ -22,6 +22,6 @@ def test_pairs_of_a_hot_key_meet_without_a_second_band(spark):
     rng = np.random.default_rng(4)
     regs = rng.integers(0, 256, (1400, m.REGISTERS), dtype=np.uint8)
     regs[900] = regs[5]
-    bands = spark.createDataFrame([(7, k, k) for k in range(1400)], "key long, id long, c long")
-    detail = spark.createDataFrame([(k, 100, bytearray(r.tobytes())) for k, r in enumerate(regs)], "id long, n long, regs binary")
-    assert [tuple(r) for r in m.leftover_pairs(m.materialise(bands, "bands"), m.materialise(detail, "detail")).collect()] == [(900, 5)]
+    bands = spark.createDataFrame([(7, 0, k, k) for k in range(1400)], "key long, band byte, v long, c long")
+    detail = spark.createDataFrame([(k, 100, bytearray(r.tobytes())) for k, r in enumerate(regs)], "v long, n long, regs binary")
+    assert {tuple(sorted(r)) for r in m.leftover_forest(m.materialise(bands, "bands"), m.materialise(detail, "detail")).collect()} == {(5, 900)}

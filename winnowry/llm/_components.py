@@ -6,6 +6,7 @@ by broadcast of their few rows (see ``lookup``). Each round is written to the sh
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,18 @@ def components(links: DataFrame) -> DataFrame:
         small = _hook(large)
         small = small.select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         links = materialise(small.where(u != v).distinct(), "links")
+
+
+def forest(close: np.ndarray, id_x: np.ndarray, id_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest: every vertex with the smallest id that it reaches within the block."""
+    rows, columns = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    part, far = close[np.ix_(rows, columns)], np.iinfo(np.int64).max
+    a, b = id_x[rows].copy(), id_y[columns].copy()
+    while True:
+        new_b = np.minimum(b, np.where(part, a[:, None], far).min(0))
+        new_a = np.minimum(a, np.where(part, new_b[None, :], far).min(1))
+        if (new_a == a).all() and (new_b == b).all():
+            return np.concatenate([id_x[rows], id_y[columns]]), np.concatenate([a, b])
+        a, b = new_a, new_b

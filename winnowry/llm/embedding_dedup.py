@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import components, forest
 from ._store import materialise
 
 THRESHOLD = 0.9
@@ -113,21 +113,6 @@ def local_links(x: np.ndarray, y: np.ndarray, id_x: np.ndarray, id_y: np.ndarray
     return close
 
 
-def forest(close: np.ndarray, id_x: np.ndarray, id_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest: every vertex with the smallest id that it reaches within the block."""
-    rows, columns = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    part, far = close[np.ix_(rows, columns)], np.iinfo(np.int64).max
-    a, b = id_x[rows].copy(), id_y[columns].copy()
-    while True:
-        new_b = np.minimum(b, np.where(part, a[:, None], far).min(0))
-        new_a = np.minimum(a, np.where(part, new_b[None, :], far).min(1))
-        if (new_a == a).all() and (new_b == b).all():
-            return np.concatenate([id_x[rows], id_y[columns]]), np.concatenate([a, b])
-        a, b = new_a, new_b
-
-
 def _vectors(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, size).astype(float)
 

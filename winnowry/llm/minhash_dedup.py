@@ -4,22 +4,28 @@ A document's set holds its distinct shingles of five words. Register i of its sk
 spaced minimum: floor(1 - log_b(x_i)), x_i being the smallest of the shingles' exponential hashes; registers of parts
 merge by their maximum. The sketch is locality-sensitive: at similarity 0.75 two registers agree with chance 0.76.
 
-1. Documents with the same set form a class; its smallest id stands for it from here on.
+1. Documents with the same set form a class, the vertex of all that follows.
 2. Bands of register values are keys. Within a key every class is paired with the smallest one: as many pairs as rows.
    A few bands come first; of all bands only keys that then still hold more than one component are read on.
 3. Registers of a pair give counts of greater, smaller and equal values; with the known set sizes they make a likelihood
    of the similarity. A pair goes on unless the threshold and all above it are far less likely than the best value.
-4. Pairs that go on are verified on full sets, first the likeliest of each document, then those between components.
-5. Keys that still hold more than one component: members outside the key's largest component meet the others block by
-   block, whatever their number, and only pairs that the likelihood doesn't give up leave the task.
-
-The chance that a pair at the threshold shares no band is below 1e-6, that the likelihood gives it up below 1e-7.
-Verification is by blocks: a document's set travels once to each pair of blocks, not once a pair.
+   Pairs that go on are verified on full sets, first the likeliest of each class, then those between components.
+4. Keys that still hold more than one component: members outside the key's largest component meet the others block by
+   block, whatever their number. A block returns a spanning forest of the pairs that the likelihood doesn't give up, so
+   rows grow with the members, not with the pairs. The trees of all blocks together are families.
+5. A family's sets meet, block by block too, and every pair of different components is verified there by counting common
+   shingles; a block returns the links that join components, at most one less than it has components.
+
+What can be lost: a pair at the threshold shares no band with chance below 1e-6 (48 bands of 5), and the likelihood
+(``GIVE_UP``, with ``LEAST_EQUAL`` before it, which is 6.5 deviations below the mean) gives it up with chance below 1e-7.
+Sets are of 64-bit hashes of shingles (a polynomial modulo 2^64 of mixed word hashes, mixed again): two different shingles
+of a pair of documents with 10^4 shingles each collide with chance below 1e-11, and one collision moves a similarity by
+10^-4; classes are told apart by two 64-bit sums of mixed hashes and the size.
 
 Defined results: a null or wordless text has an empty set, links with nothing and stands alone; a text of fewer words
-than a shingle is one shingle; rows that repeat an id are one vertex; a row without
-id is no vertex, and is kept unless a document has its set; extra columns are ignored; an empty table gives an
-empty result.
+than a shingle is one shingle; rows that repeat an id are rows of their own, and an id's component is that of its own
+text; a row without id has the component of its text, null if no row of the component has an id; extra columns are
+ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans, words_per_row
-from ._components import components
+from ._components import components, forest
 from ._store import materialise
 
 SHINGLE = 5
@@ -45,8 +51,12 @@ GIVE_UP = 14.0
 FIRST = 6
 #: Registers that agree at least. At the threshold 182 of 240 do on average, with a deviation of 6.5.
 LEAST_EQUAL = 140
-#: Documents of a block when pairs are verified, and members and outside members of a key's block.
+#: Classes of a block when pairs are verified, and members and outside members of a key's block.
 BLOCK = 1024
+#: Bytes of sets that a family's block holds on average, at most.
+BLOCK_BYTES = 8 << 20
+#: Bits of the map of needed sets: a fixed 2 MB, whatever the corpus. It only spares work, as false hits are dropped by a join.
+MAP_BITS = 1 << 24
 _RNG = np.random.default_rng(19)
 _FLIP = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -126,6 +136,15 @@ def likelihoods(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray)
 SKETCH = "id long, n long, h1 long, h2 long, regs binary"
 
 
+def set_sums(hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set: sums of its elements, mixed in two ways."""
+    sums = []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.concatenate([[U64(0)], np.cumsum(mix(hashes ^ U64(salt)), dtype=U64)])
+        sums.append((total[of[1:]] - total[of[:-1]]).view(np.int64))
+    return sums[0], sums[1]
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: size of its set, two hashes of the set, its registers."""
 
@@ -133,26 +152,44 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for low, high, data, at in blocks(batch.column(1), 1 << 18):
                 hashes, of = shingle_sets(data, at)
-                sums = []
-                for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    total = np.concatenate([[U64(0)], np.cumsum(mix(hashes ^ U64(salt)), dtype=U64)])
-                    sums.append((total[of[1:]] - total[of[:-1]]).view(np.int64))
-                rows = registers(hashes, of)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(of)), pa.array(sums[0]), pa.array(sums[1]), binary_array(rows.ravel(), np.arange(high - low + 1) * REGISTERS)], ["id", "n", "h1", "h2", "regs"])
+                h1, h2 = set_sums(hashes, of)
+                rows = binary_array(registers(hashes, of).ravel(), np.arange(high - low + 1) * REGISTERS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(of)), pa.array(h1), pa.array(h2), rows], ["id", "n", "h1", "h2", "regs"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(go, SKETCH)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """(id, elements): the sorted 64-bit hashes of each document's shingles. docs: id, text."""
+def _map_of(need: DataFrame) -> np.ndarray:
+    """A bit map of fixed size with a bit for each h1."""
+    bit = F.pmod("h1", F.lit(MAP_BITS))
+    rows = need.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(h1, {MAP_BITS}) & 31 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(MAP_BITS // 32, np.uint32)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def sets_of(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(v, elements): the sorted 64-bit hashes of the shingles of the needed classes. docs: text; need: v, h1, h2, a written table.
+    Other texts are dropped in the scan, so that only sets that may be needed are shuffled."""
+    chosen = _map_of(need)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, at in blocks(batch.column(1)):
+            for _, _, data, at in blocks(batch.column(0)):
                 hashes, of = shingle_sets(data, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), binary_array(hashes, of)], ["id", "elements"])
+                h1, h2 = set_sums(hashes, of)
+                bit = h1 & (MAP_BITS - 1)
+                use = (chosen[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool) & (np.diff(of) > 0)
+                once = np.zeros(len(use), bool)
+                once[np.unique(np.stack([h1, h2]), axis=1, return_index=True)[1]] = True
+                rows = np.flatnonzero(use & once)
+                sizes = np.diff(of)[rows]
+                ends = np.cumsum(sizes)
+                flat = hashes[np.repeat(of[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(h1[rows]), pa.array(h2[rows]), binary_array(flat, np.concatenate([[0], ends]))], ["h1", "h2", "elements"])
 
-    return docs.mapInArrow(go, "id long, elements binary")
+    found = docs.select("text").mapInArrow(go, "h1 long, h2 long, elements binary").groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
+    return found.join(need.select("v", "h1", "h2").hint("merge"), ["h1", "h2"]).select("v", "elements")
 
 
 def _matrix(column: pa.Array, dtype=np.uint8) -> np.ndarray:
@@ -160,7 +197,7 @@ def _matrix(column: pa.Array, dtype=np.uint8) -> np.ndarray:
 
 
 def bands_of(classes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame:
-    """(key, id, c): a row per band of each class (id, c, regs)."""
+    """(key, band, v, c): a row per band of each class (v, c, regs)."""
     weights = np.random.default_rng(23).integers(1, 1 << 62, (BANDS, ROWS), dtype=U64) * U64(2) + U64(1)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +206,10 @@ def bands_of(classes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame
                 part = batch.slice(low, 4096)
                 regs = _matrix(part.column(2)).reshape(-1, BANDS, ROWS).astype(U64)
                 keys = mix((mix(regs + U64(1)) * weights).sum(2, dtype=U64) + np.arange(BANDS, dtype=U64))[:, first:last]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *[pa.array(np.repeat(part.column(k).to_numpy(), last - first)) for k in (0, 1)]], ["key", "id", "c"])
+                band = np.tile(np.arange(first, last, dtype=np.int8), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(band), *[pa.array(np.repeat(part.column(k).to_numpy(), last - first)) for k in (0, 1)]], ["key", "band", "v", "c"])
 
-    return classes.select("id", "c", "regs").mapInArrow(go, "key long, id long, c long")
+    return classes.select("v", "c", "regs").mapInArrow(go, "key long, band byte, v long, c long")
 
 
 def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +228,7 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that the likelihood doesn't give up, with the likeliest similarity."""
-    side = classes.select("id", "n", "regs")
+    side = classes.select("v", "n", "regs")
     both = pairs.join(side.toDF("a", "n_a", "regs_a").hint("merge"), "a").join(side.toDF("b", "n_b", "regs_b").hint("merge"), "b")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +242,18 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(go, "a long, b long, likely double")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the threshold. docs: id, text. Documents are dealt into blocks; a task has the pairs of two blocks and the sets they need."""
-    pairs = materialise(pairs.select("a", "b"), "to_verify")
-    need = materialise(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct(), "need")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b), a written table, whose full sets reach the threshold. Classes are dealt into blocks; a task has the pairs of two blocks and the sets they need."""
+    need = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    need = materialise(need.join(classes.select("v", "h1", "h2").hint("merge"), "v"), "need")
     many = max(1, -(-need.count() // BLOCK))
-    sets = materialise(sets_of(docs.join(need.hint("merge"), "id", "left_semi").select("id", "text").dropDuplicates(["id"])), "sets")
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
-    pairs = pairs.withColumns({"i": block("a"), "j": block("b")})
-    sent = pairs.select("i", "j", F.col("a").alias("id")).distinct().union(pairs.select("i", "j", "b").distinct()).distinct()
-    sent = sent.join(sets.hint("merge"), "id").select(F.col("i").alias("i2"), F.col("j").alias("j2"), "id", "elements")
+    pairs = pairs.select("a", "b").withColumns({"i": block("a"), "j": block("b")})
+    sent = pairs.select("i", "j", F.col("a").alias("v")).union(pairs.select("i", "j", "b")).distinct()
+    sent = sent.join(sets_of(docs, need).hint("merge"), "v").select(F.col("i").alias("i2"), F.col("j").alias("j2"), "v", "elements")
 
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = {k: np.frombuffer(v, U64) for k, v in zip(right["id"].to_pylist(), right["elements"].to_pylist(), strict=True)}
+        held = {k: np.frombuffer(v, U64) for k, v in zip(right["v"].to_pylist(), right["elements"].to_pylist(), strict=True)}
         keep = []
         for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
             x, y = held[a], held[b]
@@ -233,93 +270,184 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataFrame:
-    """Adds the component of an id column; an id without links is its own component."""
+    """Adds the component of a class; one without links is its own component."""
     return rows.join(labels.select(F.col("id").alias(column), F.col("component").alias("_c")).hint("merge"), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
 
 
-def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    return labelled(labelled(pairs, labels, "a", "c_a"), labels, "b", "c_b").where("c_a != c_b").drop("c_a", "c_b")
-
-
 def star_pairs(bands: DataFrame) -> DataFrame:
     """Each member of a key with the key's smallest member, where their components differ: distinct pairs (a, b), b < a.
     The table of bands is read twice; both sides of the join are shuffled, so a hot key can be split."""
-    centres = bands.groupBy("key").agg(F.min(F.struct("id", "c")).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-    centres = materialise(centres.select("key", F.col("m.id").alias("b"), F.col("m.c").alias("c_b")), "centres")
-    return bands.join(centres.hint("merge"), "key").where("c != c_b").select(F.col("id").alias("a"), "b").distinct()
+    centres = bands.groupBy("key").agg(F.min(F.struct("v", "c")).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    centres = materialise(centres.select("key", F.col("m.v").alias("b"), F.col("m.c").alias("c_b")), "centres")
+    return bands.join(centres.hint("merge"), "key").where("c != c_b").select(F.col("v").alias("a"), "b").distinct()
 
 
-def leftover_pairs(bands: DataFrame, detail: DataFrame) -> DataFrame:
-    """Pairs that stars didn't try: in keys that hold several components, members outside the key's largest one with all members of other components.
-    bands: key, id, c; detail: sizes and registers by id. Pairs that the likelihood gives up don't leave their task."""
+def _dealt(many: str, salt: str) -> F.Column:
+    return F.pmod(F.xxhash64("v", F.lit(salt)), F.col(many)).cast("int")
+
+
+def _every_of(many: str) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+
+
+def leftover_forest(bands: DataFrame, detail: DataFrame) -> DataFrame:
+    """What stars didn't try: in keys that hold several components, members outside the key's largest one with all members of other components.
+    bands: key, band, v, c; detail: sizes and registers by v. Returns links (u, v) of a spanning forest of each block's pairs that the likelihood
+    doesn't give up. A pair that shares several bands counts where the first of them is."""
     parts = bands.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1 and all > 2")
     mixed = materialise(mixed.select("key", F.col("top.c").alias("main"), "all", (F.col("all") - F.col("top.k")).alias("outside")), "mixed")
     tasks = F.ceil(F.col("outside") / BLOCK).cast("int").alias("u_tasks"), F.ceil(F.col("all") / (4 * BLOCK)).cast("int").alias("m_tasks")
-    members = bands.join(mixed.select("key", "main", *tasks).hint("merge"), "key").join(detail.hint("merge"), "id")
+    members = bands.join(mixed.select("key", "main", *tasks).hint("merge"), "key").join(detail.hint("merge"), "v")
     members = materialise(members, "members")
-    dealt = lambda many, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(many)).cast("int")
-    every_of = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    outside = members.where("c != main").withColumn("u", dealt("u_tasks", "u")).withColumn("m", every_of("m_tasks")).select("key", "u", "m", "id", "c", "n", "regs")
-    others = members.withColumn("m", dealt("m_tasks", "m")).withColumn("u", every_of("u_tasks")).select("key", "u", "m", "id", "c", "main", "n", "regs").toDF("key2", "u2", "m2", "id", "c", "main", "n", "regs")
+    outside = members.where("c != main").withColumn("u", _dealt("u_tasks", "u")).withColumn("m", _every_of("m_tasks")).select("key", "u", "m", "band", "v", "c", "n", "regs")
+    others = members.withColumn("m", _dealt("m_tasks", "m")).withColumn("u", _every_of("u_tasks")).select("key", "u", "m", "v", "c", "main", "n", "regs").toDF("key2", "u2", "m2", "v", "c", "main", "n", "regs")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if left.num_rows and right.num_rows:
-            x, y = _matrix(left["regs"].combine_chunks()), _matrix(right["regs"].combine_chunks())
-            id_x, id_y, c_x, c_y, n_x, n_y = (t[k].to_numpy() for k in ("id", "c", "n") for t in (left, right))
-            main = c_y == right["main"].to_numpy()
-            for k in range(len(id_x)):
-                some = np.flatnonzero((c_y != c_x[k]) & (main | (id_y < id_x[k])) & (OF * np.minimum(n_y, n_x[k]) >= SIMILAR * np.maximum(n_y, n_x[k])))
-                if len(some):
-                    keep, _ = plausible(np.broadcast_to(x[k], (len(some), x.shape[1])), y[some], np.full(len(some), n_x[k]), n_y[some])
-                    some = some[keep]
-                    out_a.append(np.maximum(id_y[some], id_x[k]))
-                    out_b.append(np.minimum(id_y[some], id_x[k]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return outside.groupBy("key", "u", "m").cogroup(others.groupBy("key2", "u2", "m2")).applyInArrow(meet, "a long, b long").distinct()
-
-
-def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and components with those of the pairs that prove true; without pairs as they are."""
-    pairs = materialise(pairs, "pairs")
-    if pairs.isEmpty():
-        return links, labels
-    new = verified(pairs, texts)
-    if new.isEmpty():
-        return links, labels
-    links = links.unionByName(new)
-    return links, materialise(components(links.toDF("u", "v")), "labels")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included), kept (the component's smallest id)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        x, y = _matrix(left["regs"].combine_chunks()), _matrix(right["regs"].combine_chunks())
+        id_x, id_y, c_x, c_y, n_x, n_y = (t[k].to_numpy() for k in ("v", "c", "n") for t in (left, right))
+        main, band = c_y == right["main"].to_numpy(), left["band"][0].as_py()
+        close = np.zeros((len(id_x), len(id_y)), bool)
+        for k in range(len(id_x)):
+            some = np.flatnonzero((c_y != c_x[k]) & (main | (id_y < id_x[k])) & (OF * np.minimum(n_y, n_x[k]) >= SIMILAR * np.maximum(n_y, n_x[k])))
+            for low in range(0, len(some), 512):
+                part = some[low : low + 512]
+                same = y[part] == x[k]
+                part = part[(same.sum(1) >= LEAST_EQUAL) & (same.reshape(len(part), BANDS, ROWS).all(2).argmax(1) == band)]
+                if len(part):
+                    close[k, part] = plausible(np.broadcast_to(x[k], (len(part), x.shape[1])), y[part], np.full(len(part), n_x[k]), n_y[part])[0]
+        u, v = forest(close, id_x, id_y)
+        return pa.table({"u": u, "v": v})
+
+    return outside.groupBy("key", "u", "m").cogroup(others.groupBy("key2", "u2", "m2")).applyInArrow(meet, "u long, v long").where("u != v").distinct()
+
+
+def joining(v: np.ndarray, c: np.ndarray, block: np.ndarray, sets: list[np.ndarray], main: int) -> list[tuple[int, int]]:
+    """Verified links between different components, enough of them to join what they join. Pairs within one block count only where no other block is at hand."""
+    parent = {k: k for k in c.tolist()}
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    kinds, number = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    holder, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(kinds)))])
+    at = np.concatenate([[0], np.cumsum(n)])
+    alone, out = block.min() == block.max(), []
+    for x in np.flatnonzero(c != main).tolist():
+        fit = (c != c[x]) & ((c == main) | (v < v[x])) & (OF * np.minimum(n, n[x]) >= SIMILAR * np.maximum(n, n[x]))
+        if not alone:
+            fit &= block != block[x]
+        if not fit.any():
+            continue
+        mine = number[at[x] : at[x + 1]]
+        many = begin[mine + 1] - begin[mine]
+        place = np.repeat(begin[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(holder[place], minlength=len(sets))
+        linked = np.flatnonzero(fit & (OF * both >= SIMILAR * (n + n[x] - both)))
+        if len(linked):
+            kinds_c, first = np.unique(c[linked], return_index=True)
+            for other, y in zip(kinds_c.tolist(), linked[first].tolist(), strict=True):
+                a, b = root(int(c[x])), root(other)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(v[x]), int(v[y])))
+    return out
+
+
+def family_links(families: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """families: (id, component) of the plausible pairs' trees. Verified links (a, b) between components, of all pairs within families."""
+    members = families.select(F.col("id").alias("v"), F.col("component").alias("family"))
+    need = materialise(members.join(classes.select("v", "n", "h1", "h2").hint("merge"), "v"), "need")
+    held = materialise(labelled(need.select("v", "n", "family"), labels, "v", "c"), "held")
+    of_c = held.groupBy("family", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("bytes"))
+    sizes = of_c.groupBy("family").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"), (8 * F.sum("bytes")).alias("bytes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    sizes = materialise(sizes.select("family", F.col("top.c").alias("main"), F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("q")), "families")
+    dealt = held.join(sizes.hint("merge"), "family").withColumn("block", _dealt("q", "family")).join(sets_of(docs, need).hint("merge"), "v")
+    dealt = materialise(dealt.select("family", "main", "q", "block", "v", "c", "elements"), "dealt")
+    met = dealt.withColumn("other", _every_of("q")).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "main", "block", "v", "c", "elements")
+
+    def go(table: pa.Table) -> pa.Table:
+        block = table["block"].to_numpy()
+        links: list[tuple[int, int]] = []
+        if table["i"][0] == table["j"][0] or block.min() != block.max():
+            sets = [np.frombuffer(x.as_buffer(), U64) for x in table["elements"]]
+            links = joining(table["v"].to_numpy(), table["c"].to_numpy(), block, sets, table["main"][0].as_py())
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return materialise(met.groupBy("family", "i", "j").applyInArrow(go, "a long, b long"), "links")
+
+
+def _components_of(links: DataFrame) -> DataFrame:
+    return materialise(components(links.toDF("u", "v")), "labels")
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sketches without registers (id, n, h1, h2), the classes of equal sets (v, n, h1, h2, regs), and (id, component) of those with links; all written."""
+    texts = docs.select(F.col(text_col).alias("text"))
     sketched = materialise(sketches(docs, id_col, text_col), "sketches")
-    same = ["n", "h1", "h2"]
-    classes = materialise(sketched.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.min("regs").alias("regs")), "classes")
-    alone = classes.withColumn("c", F.col("id"))
-    tried = materialise(estimated(star_pairs(materialise(bands_of(alone, 0, FIRST), "bands")), classes), "likely")
+    classes = sketched.where("n > 0").groupBy("n", "h1", "h2").agg(F.first("regs").alias("regs")).withColumn("v", F.monotonically_increasing_id())
+    classes = materialise(classes, "classes")
+    tried = materialise(estimated(star_pairs(materialise(bands_of(classes.withColumn("c", F.col("v")), 0, FIRST), "bands")), classes), "likely")
     best = materialise(tried.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b")), "best")
-    links = verified(best, texts)
-    labels = materialise(components(links.toDF("u", "v")), "labels")
-    links, labels = _more(links, labels, between(tried.select("a", "b"), labels).join(best.hint("merge"), ["a", "b"], "left_anti"), texts)
+    links = verified(best, texts, classes)
+    labels = _components_of(links)
     # of all bands, those rows whose key still holds more than one component
-    bands = bands_of(labelled(classes, labels, "id", "c"))
+    bands = bands_of(labelled(classes, labels, "v", "c"))
     open_ = bands.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
     bands = materialise(bands.join(materialise(open_, "open").hint("merge"), "key", "left_semi"), "bands")
-    links, labels = _more(links, labels, estimated(star_pairs(bands), classes).select("a", "b"), texts)
-    bands = labelled(bands.drop("c"), labels, "id", "c")
-    bands = materialise(bands, "bands")
-    links, labels = _more(links, labels, leftover_pairs(bands, classes.select("id", "n", "regs")), texts)
-    found = labelled(classes.select(*same, "id"), labels, "id", "component_id").drop("id")
-    found = materialise(found, "found")
-    out = sketched.select("id", *same).join(found.hint("merge"), same, "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    pairs = materialise(estimated(star_pairs(bands), classes).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(verified(pairs, texts, classes))
+    labels = _components_of(links)
+    bands = materialise(labelled(bands.drop("c"), labels, "v", "c"), "bands")
+    families = materialise(components(leftover_forest(bands, classes.select("v", "n", "regs"))), "trees")
+    if not families.isEmpty():
+        links = links.unionByName(family_links(families, labels, texts, classes))
+        labels = _components_of(links)
+    return sketched.drop("regs"), classes, labels
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included), kept (the component's smallest id)."""
+    return _told(*classes_of(docs, id_col, text_col)).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _told(sketched: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """sketched with its component: its label (null for an empty set) and its smallest id. Ids are reduced by set, then by label, before they're joined, so large groups combine."""
+    same = ["n", "h1", "h2"]
+    least = sketched.where("n > 0").groupBy(*same).agg(F.min("id").alias("id"))
+    named = materialise(labelled(classes.select("v", *same), labels, "v", "label").join(least.hint("merge"), same), "named")
+    smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    found = materialise(named.select(*same, "label").join(smallest.hint("merge"), "label"), "found")
+    met = sketched.join(found.hint("merge"), same, "left")
+    return met.withColumn("component_id", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that their component keeps."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(materialise(kept, "kept").hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each component, all columns: the one with the smallest id (null ids last); of rows that repeat an id, one whose set has the
+    smallest hash, and of rows that repeat a set too, any one. Documents with an empty set all stay."""
+    told = _told(*classes_of(docs, id_col, text_col))
+    first = told.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("m"))
+    keep = materialise(first.select(F.col("m.id").alias("k_id"), F.col("m.h1").alias("k_h1"), F.col("m.h2").alias("k_h2")), "keep")
+    names = docs.columns
+    held = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, at in blocks(batch.column(1)):
+                hashes, of = shingle_sets(data, at)
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(of)), *map(pa.array, set_sums(hashes, of))], ["id", "row", "n", "h1", "h2"])
+
+    row = held.schema["row"].dataType.simpleString()
+    told = held.mapInArrow(go, f"id long, row {row}, n long, h1 long, h2 long")
+    here = (F.col("id").eqNullSafe(F.col("k_id"))) & (F.col("h1") == F.col("k_h1")) & (F.col("h2") == F.col("k_h2"))
+    one = told.where("n > 0").join(keep.hint("merge"), here, "left_semi").groupBy("id", "h1", "h2").agg(F.first("row").alias("row")).select("row")
+    return one.unionByName(told.where("n = 0").select("row")).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
