@@ -34,7 +34,7 @@ def test_stream_equals_batch(spark, tmp_path):
     want = sorted((r["session_id"], r["number"], r["style"], r["sentence"]) for r in batch.collect())
     stream = spark.readStream.schema("session_id string, turn long, seq long, token string").option("maxFilesPerTrigger", 1).parquet(source)
     out, at = str(tmp_path / "out"), str(tmp_path / "at")
-    sentences.stream_sentences(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    sentences.stream_sentences(stream, idle_minutes=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["session_id"], r["number"], r["style"], r["sentence"]) for r in spark.read.parquet(out).collect())
     assert got == want
 
@@ -52,3 +52,50 @@ def test_session_stream(spark, tmp_path):
     session.stream_sessions(stream, ttl_minutes=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["session_id"], r["archived"], r["kept"]) for r in spark.read.parquet(out).collect()}
     assert ("s", 10, 16) in got and ("t", 0, 2) in got
+
+
+@pytest.mark.parametrize("limits", [(0, 4), (3, 4), (50, 0)])
+def test_limits_are_checked(limits):
+    with pytest.raises(ValueError):
+        sentences.Splitter(*limits)
+
+
+def test_each_token_gives_what_has_ended():
+    splitter = sentences.Splitter()
+    assert splitter.feed("你好") == [] and splitter.feed("呀。再") == ["你好呀。"] and splitter.flush() == ["再"]
+    parser = sentences.StyleParser("温柔")
+    assert parser.feed("【说话语") == "" and not parser.done
+    assert parser.feed("气:倔强】谁说我小！") == "谁说我小！" and parser.style == "倔强"
+    assert sentences.StyleParser("温柔").feed("你好。") == "你好。" and sentences.StyleParser("温柔").style == "温柔" and sentences.StyleParser("odd").style == "日常"
+
+
+def test_tokens_one_by_one_lose_nothing():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("字a，。！ （）*[]\\\n") for _ in range(rng.randint(0, 200)))
+        for tokens in (list(text), [text]):
+            splitter = sentences.Splitter(12, 3)
+            out = [x for t in tokens for x in splitter.feed(t)] + splitter.flush()
+            assert "".join("".join(out).split()) == "".join(text.split())
+            assert not splitter.text and not splitter.places
+
+
+def test_a_long_turn_takes_linear_time():
+    import time
+
+    began = time.time()
+    splitter = sentences.Splitter()
+    got = [x for c in "字" * 40_000 for x in splitter.feed(c)] + splitter.flush()
+    assert "".join(got) == "字" * 40_000 and time.time() - began < 10
+
+
+def test_files_are_polled_once(spark, tmp_path):
+    from winnowry.streaming import chain
+
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    for part in range(2):
+        spark.createDataFrame([(part,)], "k int").write.mode("append").json(source)
+        chain.run_available(chain.poll(spark, source, "k int"), out, mark)
+        assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == list(range(part + 1))
