@@ -28,8 +28,9 @@ def _edit_rate(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     def rate(r: str, h: str) -> float:
         if not r:
             return float(bool(h))
-        cost = {"replace": lambda n, m: max(n, m), "delete": lambda n, m: n, "insert": lambda n, m: m, "equal": lambda n, m: 0}
-        return sum(cost[tag](i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in SequenceMatcher(None, r, h).get_opcodes()) / len(r)
+        blocks = [(0, 0, 0), *SequenceMatcher(None, r, h).get_matching_blocks()]  # the last one is empty, at both ends
+        gaps = [(b[0] - a[0] - a[2], b[1] - a[1] - a[2]) for a, b in zip(blocks, blocks[1:])]
+        return sum(map(max, gaps)) / len(r)
 
     return pd.Series([rate(r or "", h or "") for r, h in zip(ref, hyp, strict=True)], dtype="float64")
 

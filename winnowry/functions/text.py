@@ -4,10 +4,11 @@ Patterns begin with (?s) where a dot must take line ends. White space is Unicode
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnowry.config import TextLimits
+from winnowry.functions import codepoints
 
 # Character classes that results depend on.
 SPACE = r"(?U)\s"
@@ -18,6 +19,18 @@ SCRIPT = {"ja": f"[{KANA}{CJK}ー～…、。！？]", "zh": f"[{CJK}，。！
 LANGUAGES = {"ja": ("jp", "jpn", "japanese"), "zh": ("cn", "zho", "chinese", "zh-cn", "zh-tw"), "en": ("eng", "english")}
 
 
+#: What is counted in one pass over a text, each a class of one character.
+KINDS = {
+    "space": "[" + codepoints.WHITE + "]", "punctuation": PUNCTUATION[:-1], "hangul": r"[\uac00-\ud7af]", "kana": f"[{KANA}]", "cjk": f"[{CJK}]", "latin": "[A-Za-z]",
+    "alnum": r"[\p{L}\p{N}]", "digits": r"\p{Nd}", "control": r"(?![\n\t])\p{C}", "script_ja": SCRIPT["ja"], "script_zh": SCRIPT["zh"], "script_en": SCRIPT["en"],
+}
+
+
+def measures(text: Column) -> Column:
+    """Counts of characters by kind and repetitions of the stripped text, as a struct (see ``codepoints.MEASURES``)."""
+    return codepoints.measures(text, KINDS)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -42,7 +55,7 @@ def normalize_lang(lang: Column) -> Column:
 
 def content_chars(text: Column) -> Column:
     """Without punctuation and white space; runs of 3 or more equal characters become one."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), PUNCTUATION, ""), r"(?d)(.)\1{2,}", "$1")
+    return codepoints.without(text, PUNCTUATION[:-1])
 
 
 def text_key(text: Column) -> Column:
@@ -117,28 +130,43 @@ def first_reason(*gates: tuple[Column, str | Column]) -> Column:
 
 def quality_reasons(text: Column, lang: Column, limits: TextLimits | None = None) -> Column:
     """All reasons against a transcript, in fixed order; empty means keep."""
+    return measured_reasons(measures(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("/"))), lang, limits)
+
+
+def measured_share(m: Column, name: str) -> Column:
+    """A kind's share of the characters that aren't white space."""
+    return F.when(m["plain"] > 0, m[name] / m["plain"]).otherwise(0.0)
+
+
+def measured_script_ratio(m: Column, lang: Column) -> Column:
+    """As ``script_ratio``, from measures; lang is a two-letter code."""
+    out = F.lit(0.0)
+    for name in SCRIPT:
+        out = F.when(lang == name, measured_share(m, f"script_{name}")).otherwise(out)
+    return out
+
+
+def measured_reasons(m: Column, lang: Column, limits: TextLimits | None = None) -> Column:
+    """``quality_reasons`` from the text's measures ("|" read as "/")."""
     limits = limits or TextLimits()
-    raw = strip(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("/")))
     code = normalize_lang(lang)
-    native, latin = script_ratio(raw, code), latin_ratio(raw)
-    cjk = code.isin("ja", "zh")
-    # letters and digits as Unicode has them
-    alnum, digits = count_of(raw, r"[\p{L}\p{N}]"), count_of(raw, r"\p{Nd}")
+    native, latin = measured_script_ratio(m, code), measured_share(m, "latin")
+    chinese_or_japanese = code.isin("ja", "zh")
     return reasons(
-        (F.length(raw) < 2, "short_text"),
+        (m["length"] < 2, "short_text"),
         (~code.isin("ja", "zh", "en"), "unsupported_lang"),
         ((code == "en") & F.lit(not limits.allow_en), "en_disabled"),
-        (has_hangul(raw), "hangul"),
-        (is_char_repetitive(raw), "repetitive_char"),
-        (has_phrase_loop(raw), "phrase_loop"),
-        (has_char_run(raw), "char_run"),
-        (is_nonlexical(raw, max(2, limits.min_content_chars)), "nonlexical"),
-        (cjk & (native < limits.min_script_ratio), "script_mismatch"),
-        ((code == "ja") & ~has_kana(raw) & ~has_cjk(raw), "ja_without_jp_script"),
-        ((code == "zh") & ~has_cjk(raw), "zh_without_cjk"),
-        (cjk & (latin > limits.max_latin_ratio) & ((native < 0.70) | (latin > 0.60)), "latin_heavy"),
-        ((alnum > 0) & (digits / F.greatest(alnum, F.lit(1)) > 0.80), "digit_heavy"),
-        (raw.rlike(r"[\p{C}&&[^\n\t]]"), "control_chars"),
+        (m["hangul"] > 0, "hangul"),
+        (m["top"], "repetitive_char"),
+        (m["loop"], "phrase_loop"),
+        (m["run"], "char_run"),
+        (m["content"] < max(2, limits.min_content_chars), "nonlexical"),
+        (chinese_or_japanese & (native < limits.min_script_ratio), "script_mismatch"),
+        ((code == "ja") & (m["kana"] + m["cjk"] == 0), "ja_without_jp_script"),
+        ((code == "zh") & (m["cjk"] == 0), "zh_without_cjk"),
+        (chinese_or_japanese & (latin > limits.max_latin_ratio) & ((native < 0.70) | (latin > 0.60)), "latin_heavy"),
+        ((m["alnum"] > 0) & (m["digits"] / F.greatest(m["alnum"], F.lit(1)) > 0.80), "digit_heavy"),
+        (m["control"] > 0, "control_chars"),
     )
 
 
@@ -157,9 +185,24 @@ SIMPLIFIED = "们个这来说时会对学国过还后里么样点开关问间听
 
 
 def to_simplified(text: Column, traditional: str = TRADITIONAL, simplified: str = SIMPLIFIED) -> Column:
+    """Character by character. The fixed table holds the commonest characters only; pass the strings of a whole one (see ``character_map``)."""
     return F.translate(text, traditional, simplified)
 
 
+def character_map(table: DataFrame, most: int = 65_536) -> tuple[str, str]:
+    """The two strings of a conversion table (traditional, simplified), single characters each, for ``to_simplified``."""
+    rows = table.select("traditional", "simplified").distinct().orderBy("traditional").limit(most + 1).collect()
+    if len(rows) > most or any(len(x) != 1 for r in rows for x in r) or len({r[0] for r in rows}) < len(rows):
+        raise ValueError("a conversion table has one character for each of its characters")
+    return "".join(r[0] for r in rows), "".join(r[1] for r in rows)
+
+
+def joined_parts(parts: Column, lang: Column) -> Column:
+    """A transcript of its segments' texts: stripped, blank ones left out, joined without a space in Chinese and Japanese."""
+    said = F.filter(F.transform(parts, lambda p: strip(F.coalesce(p, F.lit("")))), lambda p: p != "")
+    return F.when(lang.isin("zh", "ja"), F.array_join(said, "")).otherwise(F.array_join(said, " "))
+
+
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", "")
 

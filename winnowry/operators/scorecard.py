@@ -23,11 +23,11 @@ def union_of_stages(filters: DataFrame, speakers: DataFrame, asr: DataFrame, ali
     return whole.withColumns({"tier": F.coalesce(F.nullif("tier", F.lit("")), F.lit("C")), "risks": F.coalesce("risks", F.array().cast("array<string>"))})
 
 
-def soft_components(cfg: ScorecardConfig, similarity: Column, lang_prob: Column, logprob: Column, speaker: Column, text: Column, lang: Column, tier: Column, risks: Column, duration: Column) -> dict[str, Column]:
+def soft_components(cfg: ScorecardConfig, similarity: Column, lang_prob: Column, logprob: Column, speaker: Column, measured: Column, lang: Column, tier: Column, risks: Column, duration: Column) -> dict[str, Column]:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     span = -cfg.min_avg_logprob
     scaled = clamp((logprob - F.lit(cfg.min_avg_logprob)) / F.lit(span)) if span > 0 else F.lit(0.0)
-    n = F.length(T.content_chars(text))
+    n = measured["content"]
     content = F.when(n < 2, 0.0).when(n <= 40, 1.0).otherwise(F.greatest(F.lit(0.5), F.lit(40.0) / F.greatest(n, F.lit(1))))
     source = F.lit(0.6)
     for name, value in cfg.tier_src_score:
@@ -39,7 +39,7 @@ def soft_components(cfg: ScorecardConfig, similarity: Column, lang_prob: Column,
         "align": clamp(zero(similarity)),
         "asr": 0.5 * clamp(zero(lang_prob)) + 0.5 * zero(scaled),
         "spk": clamp(zero(speaker)),
-        "text": clamp(T.script_ratio(text, lang) * content),
+        "text": clamp(T.measured_script_ratio(measured, lang) * content),
         "src": clamp(source * F.when(F.arrays_overlap(risks, F.array(F.lit("watch"), F.lit("bgm"))), 0.85).otherwise(1.0)),
         "dur": clamp(F.when(duration.isNull(), 0.0).when(duration.between(2.0, 12.0), 1.0).when((duration >= low) & (duration < 2.0), ramp_up).when((duration > 12.0) & (duration <= high), ramp_down).otherwise(0.0)),
     }
@@ -59,12 +59,13 @@ def scorecard(stages: DataFrame, cfg: ScorecardConfig | None = None) -> DataFram
     use_forced = F.col("g.keep").eqNullSafe(F.lit(True)) & (F.col("similarity") >= F.col("need")) & (forced != "")
     text = F.when(F.coalesce(use_forced, F.lit(False)), forced).otherwise(T.strip(F.coalesce("a.text", F.lit(""))))
     rows = rows.withColumn("text", F.when(F.col("lang") == "zh", T.to_simplified(text)).otherwise(text))
+    rows = rows.withColumn("measured", T.measures(F.replace("text", F.lit("|"), F.lit("/"))))
     no_asr, no_align, lang = F.col("a").isNull(), F.col("g").isNull(), F.when(F.col("lang") == "", "zh").otherwise(F.col("lang"))
     speaker_bad = F.col("s").isNull() | ~F.coalesce("s.decision", F.lit("")).isin(*POLICIES.get(c.speaker_policy, ("accept",)))
     weak_clip = (F.col("tier") == "A") & (F.col("score_lower").isNull() | (F.col("score_lower") < c.clip_min_score_lower))
     asr_bad = (F.col("language_probability").isNull() | (F.col("language_probability") < c.min_language_probability) | F.col("avg_logprob").isNull() | (F.col("avg_logprob") < c.min_avg_logprob)
                | F.coalesce(num("a.max_no_speech_probability") > c.max_no_speech_probability, F.lit(False)) | F.coalesce(num("a.max_compression_ratio") > c.max_compression_ratio, F.lit(False)))
-    quality = (F.col("text") == "") | (F.size(T.quality_reasons(F.col("text"), lang, TextLimits(allow_en="en" in c.languages))) > 0)
+    quality = (F.col("text") == "") | (F.size(T.measured_reasons(F.col("measured"), lang, TextLimits(allow_en="en" in c.languages))) > 0)
     gates = T.reasons(
         (F.col("duration").isNull() | ~F.col("duration").between(c.duration_min, c.duration_max), "duration"),
         (F.col("rms_db").isNull() | (F.col("rms_db") < c.min_rms_db), "low_energy"),
@@ -77,7 +78,7 @@ def scorecard(stages: DataFrame, cfg: ScorecardConfig | None = None) -> DataFram
         (no_align | F.col("similarity").isNull() | (F.col("similarity") < F.col("need")), "alignment"),
         (quality, "text_quality"),
     )
-    parts = soft_components(c, *[F.col(x) for x in ("similarity", "language_probability", "avg_logprob", "speaker_score", "text")], lang, F.col("tier"), F.col("risks"), F.col("duration"))
+    parts = soft_components(c, *[F.col(x) for x in ("similarity", "language_probability", "avg_logprob", "speaker_score", "measured")], lang, F.col("tier"), F.col("risks"), F.col("duration"))
     rows = rows.withColumn("components", F.struct(*[v.alias(k) for k, v in parts.items()])).withColumn("reject_reasons", F.array_distinct(gates))
     raw = weighted_mean({k: F.col(f"components.{k}") for k in parts}, vars(c.weights))
     metrics = F.struct("duration", "similarity", "speaker_score", "score_lower", "language_probability", "avg_logprob", "rms_db")
