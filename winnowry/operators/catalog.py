@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from winnowry.functions.dates import plan_date, record_date
-from winnowry.operators.windows import best_stream_per_date, longest_per_id, running_budget
+from winnowry.operators.windows import best_stream_per_date, in_order, longest_per_id
 
 # Ids and keywords that the plan's rules name.
 EXCLUDED = ("BV1Hh9XBnEPF", "BV18ro9BVEQJ", "BV1ReodBdEM1", "BV1e6oZB8EeD", "BV1yGzyB8EVn")
@@ -90,11 +90,13 @@ def build_plan(catalog: DataFrame, min_duration: dict[str, int] | None = None) -
 
 
 def to_download(plan: DataFrame, known: DataFrame, tiers: tuple[str, ...] = ("A", "B", "C"), max_hours: float | None = None) -> DataFrame:
-    """Planned or failed rows of the tiers without known ids; with a budget the head by priority, whose first row always stays. The budget needs one order over all rows: a plan has a row per recording."""
+    """Planned or failed rows of the tiers without known ids; with a budget the head by priority, whose first row always stays."""
     rows = plan.where(F.col("status").isin("planned", "failed") & F.col("tier").isin(*tiers)).join(known.select("source_id").distinct(), "source_id", "left_anti")
     if max_hours is None:
         return rows
-    return running_budget(rows.withColumn("_h", F.col("duration") / 3600), [F.lit(0)], "_h", max_hours, F.desc("priority_score"), F.asc("source_id")).drop("_h", "running")
+    hours = F.col("duration") / 3600
+    placed = in_order(rows, F.desc("priority_score"), F.asc("source_id"), amount=hours)
+    return placed.where((F.col("_place") == 1) | (F.col("_before") + hours <= max_hours)).drop("_place", "_before")
 
 
 def in_date_range(records: DataFrame, first: str, last: str) -> DataFrame:

@@ -10,8 +10,8 @@ from winnowry.operators.selection import seeded
 from winnowry.operators.windows import top_per_key
 
 MAX_FACTS, MAX_EXAMPLES = 4, 5
-#: A table of facts, examples or scenes is joined to queries by broadcast only up to this many rows; beyond, Spark picks the way.
-MAX_BROADCAST_ROWS = 20_000
+#: A table of facts, examples or scenes is joined to queries by broadcast only up to this many bytes (as JSON); beyond, Spark picks the way.
+MAX_BROADCAST_BYTES = 16 << 20
 # The keywords of the scenes.
 SCENES = {
     "问候": ("你好", "早安", "晚安", "早上好", "晚上好", "欢迎", "在吗", "辛苦了", "こんにちは", "おはよう"),
@@ -32,8 +32,9 @@ SENSITIVE = "sensitive"
 
 
 def small(rows: DataFrame) -> DataFrame:
-    """Marked for broadcast if it's counted small."""
-    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else rows
+    """Marked for broadcast if it's measured small."""
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0]
+    return F.broadcast(rows) if (size or 0) <= MAX_BROADCAST_BYTES else rows
 
 
 def fact_hits(queries: DataFrame, facts: DataFrame) -> DataFrame:

@@ -32,14 +32,12 @@ def quotas(pool: DataFrame, n_target: int, ratio: float, share: float, primary:
 
 def select_quota(items: DataFrame, n_target: int, ratio: float, s_min: float, max_source_share: float, primary: str = "zh", secondary: str = "ja") -> DataFrame:
     """The best candidates under a language quota and a cap per source: text duplicates go first, then sources' extra rows, then what the quota has no room for.
-    Rows of a language are ranked only up to the quota after the cap; quotas are one broadcast row."""
+    The quotas are one row, fetched first, so that a language's rows are ranked only up to its quota."""
     pool = items.where((F.col("decision") == "candidate") & (F.coalesce("score", F.lit(0.0)) >= s_min)).withColumn("lang", normalize_lang(F.col("lang")))
     pool = dedupe_texts(pool, text_key(F.col("text"))).where(F.col("lang").isin(primary, secondary)).withColumn("source_id", F.coalesce("source_id", F.lit("")))
-    plan = F.broadcast(quotas(pool, n_target, ratio, max_source_share, primary, secondary))
-    first = F.col("lang") == primary
-    rows = pool.crossJoin(plan).withColumns({"_n": F.when(first, F.col("n_p")).otherwise(F.col("n_s")), "_cap": F.when(first, F.col("cap_p")).otherwise(F.col("cap_s"))})
-    taken = capped(rows, ["lang"], "source_id", F.col("_cap"), F.col("_n"), F.desc("score"), F.asc("path"))
-    return taken.select(*items.columns)
+    plan = quotas(pool, n_target, ratio, max_source_share, primary, secondary).first()
+    parts = [capped(pool.where(F.col("lang") == lang), "source_id", int(plan[f"cap_{k}"]), int(plan[f"n_{k}"]), F.desc("score"), F.asc("path")) for lang, k in ((primary, "p"), (secondary, "s"))]
+    return parts[0].unionByName(parts[1]).select(*items.columns)
 
 
 def selection_stats(items: DataFrame, selected: DataFrame, n_target: int, ratio: float, s_min: float, share: float, primary: str = "zh", secondary: str = "ja") -> DataFrame:

@@ -31,6 +31,39 @@ def against_centroids(vectors: DataFrame, centres: DataFrame, key: str = "key",
     return vectors.join(F.broadcast(other) if broadcast else other, F.col(source) != F.col("other")).select(key, source, "other", dot(F.col(vector), F.col("centroid")).alias("score"))
 
 
+#: Centroids are sent to the executors as one matrix up to this many bytes; more are joined.
+MAX_MATRIX_BYTES = 64 << 20
+
+
+def median_against_centroids(vectors: DataFrame, centres: DataFrame, key: str = "key", source: str = "source", vector: str = "vector") -> DataFrame:
+    """(key, score): the median of each vector's similarities to the centroids of other sources. Centroids of a measured size go to the tasks as a matrix, and
+    a vector's scores never leave its task; otherwise pairs are joined."""
+    n, size = centres.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    if not n or 8 * n * size > MAX_MATRIX_BYTES:
+        return median_over_sources(against_centroids(vectors, centres, key, source, vector), key)
+    rows = centres.select(source, "centroid").orderBy(source).collect()
+    names, matrix = pa.array([r[0] for r in rows]), np.array([r["centroid"] for r in rows], float)
+    kind = dict(vectors.dtypes)[key]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pc.index_in(batch.column(1), value_set=names)
+            place = own.fill_null(-1).to_numpy(zero_copy_only=False)
+            score = np.full(batch.num_rows, np.nan)
+            for at, v in _by_length(batch.column(2)).values():
+                if v.shape[1] == matrix.shape[1]:
+                    each = v @ matrix.T
+                    mine = place[at]
+                    each[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.nan
+                    if each.shape[1] > 1:
+                        score[at] = np.nanmedian(each, axis=1)
+            known = ~np.isnan(score) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["key", "score"]).filter(pa.array(known))
+
+    out = vectors.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(vector).cast("array<double>").alias("vector")).mapInArrow(go, f"key {kind}, score double")
+    return out.withColumnRenamed("key", key)
+
+
 def median_over_sources(scores: DataFrame, key: str = "key") -> DataFrame:
     return scores.groupBy(key).agg(F.percentile("score", F.lit(0.5)).alias("score"))
 
@@ -107,7 +140,7 @@ def calibrate(vectors: DataFrame, references: int = 8) -> tuple[DataFrame, DataF
     """Calibration of bounded candidates (key, source, vector): the centroids of refined references, and one row of thresholds."""
     cross = cross_source(vectors)
     first = _top(vectors.join(cross, "key"), max(2 * references, 8))
-    refined = median_over_sources(against_centroids(vectors, centroids(first)))
+    refined = median_against_centroids(vectors, centroids(first))
     chosen = _top(vectors.join(refined, "key"), references)
     centres = centroids(chosen)
     sums = centres.select(F.posexplode("centroid").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("k"))

@@ -14,6 +14,13 @@ CRITICAL = ("非本人", "文不对题")
 LAYERS = {"L1": 0.25, "L2": 0.25, "L3": 0.20, "L4": 0.15, "L5": 0.15}
 
 
+def source_caps(rows: DataFrame, share: float, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, n, sources, most, over): rows and sources of each language, the most rows of one source, and whether those are over its share."""
+    each = rows.groupBy(F.col(lang).alias("lang"), F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("k"))
+    caps = each.groupBy("lang").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("sources"), F.max("k").alias("most"))
+    return caps.withColumn("over", F.col("most") > F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n"))))
+
+
 def validate(manifest: DataFrame, stats: DataFrame, scores: DataFrame, annotation: DataFrame, files: DataFrame, ratio: float, share: float, limits: ValidationLimits | None = None, cfg: ScorecardConfig | None = None, languages: tuple[str, str] = ("zh", "ja"), tags: tuple[str, ...] = ("ZH", "JP")) -> DataFrame:
     """(id, pass, detail), a row per check. manifest and scores are keyed by path; stats is the selection's one row."""
     v, c = limits or ValidationLimits(), cfg or ScorecardConfig()
@@ -25,9 +32,8 @@ def validate(manifest: DataFrame, stats: DataFrame, scores: DataFrame, annotatio
     sims = met.agg(F.count("sim").alias("n"), F.percentile("sim", F.lit(0.5)).alias("median"), F.percentile("sim", F.lit(0.1)).alias("p10"))
     lows = met.agg(F.percentile("low", F.lit(0.05)).alias("chosen")).crossJoin(scores.where("decision = 'candidate'").agg(F.percentile("metrics.score_lower", F.lit(0.05)).alias("pool")))
     code = T.normalize_lang(F.col("lang"))
-    per_source = manifest.select(code.alias("lang"), F.coalesce("source_id", F.lit("")).alias("source")).where(F.col("lang").isin(*languages)).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("k"))
-    caps = per_source.groupBy("lang").agg(F.sum("k").alias("n"), F.max("k").alias("most"))
-    over = caps.agg(F.count_if(F.col("most") > F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n")))).alias("over"))
+    per_source = manifest.select(code.alias("lang"), F.coalesce("source_id", F.lit("")).alias("source")).where(F.col("lang").isin(*languages))
+    over = source_caps(per_source, share).agg(F.count_if("over").alias("over"))
     texts = manifest.select(T.text_key(F.col("text")).alias("key"), (F.size(T.quality_reasons(F.col("text"), code, TextLimits(allow_en="en" in languages))) > 0).alias("poor"))
     keys = texts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.count_if("poor").alias("poor")).agg(F.coalesce(F.sum("poor"), F.lit(0)).alias("poor"), F.count_if(F.col("k") > 1).alias("twice"))
     parts = F.split("value", r"\|")

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from winnowry.sources.scratch import written
+
 
 def best_per_key(rows: DataFrame, key: list[str | Column], *order: Column) -> DataFrame:
     """The first row of each key in the order."""
@@ -34,10 +36,26 @@ def best_stream_per_date(rows: DataFrame, priority: Column) -> DataFrame:
     return best_per_key(rows.withColumn("_key", key), ["_key"], priority.desc(), F.desc("duration"), F.asc("ordinal")).drop("_key")
 
 
-def capped(rows: DataFrame, group: list[str], source: str, cap: Column, n: Column, *order: Column) -> DataFrame:
-    """Per group the first n rows in the order that are among the first ``cap`` of their source: the greedy choice under a cap."""
-    within = rows.withColumn("_s", F.row_number().over(Window.partitionBy(*group, source).orderBy(*order))).where(F.col("_s") <= cap)
-    return within.withColumn("_g", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_g") <= n).drop("_s", "_g")
+def capped(rows: DataFrame, source: str, cap: int, n: int, *order: Column) -> DataFrame:
+    """The first n rows in the order that are among the first ``cap`` of their source: the greedy choice under a cap. Both limits
+    are literals, so partitions keep no more rows than these before they meet."""
+    within = rows.withColumn("_s", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col("_s") <= cap)
+    return within.orderBy(*order).limit(n).drop("_s")
+
+
+def in_order(rows: DataFrame, *order: Column, amount: Column | None = None) -> DataFrame:
+    """Adds ``_place``, each row's number from 1 in one order over all rows, and with an amount ``_before``, the sum of those before it. Rows are
+    sorted by ranges of the order and written; counts and sums of the ranges, a row each, give where a range begins, so no task holds all rows."""
+    sorted_ = rows.withColumn("_amount", F.lit(0) if amount is None else amount).repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = written(sorted_.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ordered")
+    ranges = sorted_.groupBy("_range").agg(F.count(F.lit(1)).alias("_k"), F.sum("_amount").alias("_s"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    ranges = ranges.select("_range", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_k"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"))
+    met = sorted_.join(F.broadcast(ranges), "_range").withColumn("_place", F.col("_k") + F.col("_at") + 1)
+    if amount is not None:
+        within = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        met = met.withColumn("_before", F.col("_s") + F.coalesce(F.sum("_amount").over(within), F.lit(0)))
+    return met.drop("_amount", "_range", "_at", "_k", "_s")
 
 
 def running_budget(rows: DataFrame, key: list[str], amount: str, most: float, *order: Column, inclusive: bool = True) -> DataFrame:

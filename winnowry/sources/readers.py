@@ -19,12 +19,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_json_list(spark: SparkSession, path: str, ddl: str, required: bool = True) -> DataFrame:
-    """A JSON array of records under an explicit schema. A missing file is an error if required, else an empty table; malformed JSON and anything but an array of objects is an error."""
+def read_json_list(spark: SparkSession, path: str, ddl: str, required: bool = True, lines: bool = False) -> DataFrame:
+    """A JSON array of records under an explicit schema. A missing file is an error if required, else an empty table; malformed JSON and anything but an array of objects
+    is an error. An array is one document, which one task parses (2 GB at most a file): large tables are JSON lines, read in splits with ``lines``."""
     if not exists(spark, path):
         if required:
             raise FileNotFoundError(path)
         return spark.createDataFrame([], schema(ddl))
+    if lines:
+        return spark.read.schema(schema(ddl)).json(path, mode="FAILFAST")
     raw = spark.read.text(path, wholetext=True)
     items = F.when(F.ltrim(F.col("value")).startswith("["), F.from_json("value", f"ARRAY<STRUCT<{fields(ddl)}>>", {"mode": "FAILFAST"})).otherwise(F.raise_error(F.lit(f"not a list: {path}")))
     return raw.select(F.posexplode(items).alias("ordinal", "x")).select("x.*")
@@ -46,21 +49,27 @@ def read_items(spark: SparkSession, path: str, ddl: str, strict: bool = False) -
     return raw.select(F.posexplode(items).alias("ordinal", "x")).select("x.*", F.col("ordinal").cast("long").alias("ordinal"))
 
 
+def _one_per_key(rows: DataFrame, key: tuple[str | Column, ...], pick, ordinal: str) -> DataFrame:
+    names = [f"_k{k}" for k in range(len(key))]
+    best = rows.groupBy(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip(names, key, strict=True)]).agg(pick(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.col(ordinal)).alias("_row"))
+    return best.select("_row.*")
+
+
 def last_wins(rows: DataFrame, *key: str | Column, ordinal: str = "ordinal") -> DataFrame:
-    """One row per key, the one with the largest ordinal."""
-    order = Window.partitionBy(*key).orderBy(F.desc(ordinal))
-    return rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    """One row per key, the one with the largest ordinal; by a combining aggregate, so a key that very many rows share is reduced where it's read."""
+    return _one_per_key(rows, key, F.max_by, ordinal)
 
 
 def first_wins(rows: DataFrame, *key: str | Column, ordinal: str = "ordinal") -> DataFrame:
-    order = Window.partitionBy(*key).orderBy(ordinal)
-    return rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    return _one_per_key(rows, key, F.min_by, ordinal)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, value): the lines of a text file in order."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)).alias("ordinal", "value")).select(F.col("ordinal").cast("long"), "value")
+    """(ordinal, value): the lines of a text file, or of a folder's files by name, in order. Files are split as Spark splits them; counts per split, a row each, give the ordinals."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    splits = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("low"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(splits.select("f", "b", "low", before.alias("before")), ["f", "b"]).select((F.col("before") + F.col("m") - F.col("low")).alias("ordinal"), "value")
 
 
 def training_assets(lines: DataFrame) -> DataFrame:
@@ -164,6 +173,14 @@ def stream_deltas(lines: DataFrame) -> DataFrame:
     return lines.withColumn("delta", delta).where("delta is not null")
 
 
+def answering_attempt(lines: DataFrame) -> DataFrame:
+    """Lines (request_id, attempt, ordinal, value) of requests that were tried again: the deltas of the first attempt that brought any. A request is
+    tried again only before its first delta, so attempts after that one aren't read."""
+    deltas = stream_deltas(lines)
+    first = deltas.groupBy("request_id").agg(F.min("attempt").alias("attempt"))
+    return deltas.join(first, ["request_id", "attempt"], "left_semi").select("request_id", "attempt", "ordinal", "delta")
+
+
 def split_events(raw: Column) -> Column:
     """struct(events, rest): blocks that a blank line ends, and what follows the last of them."""
     blocks = F.split(raw, "\n\n", -1)

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from winnowry.functions.text import language_tag
+from winnowry.operators.windows import in_order
+from winnowry.sources.scratch import written
 
 
 def write_table(rows: DataFrame, path: str, form: str = "parquet") -> None:
-    """Replace a table; readers see the old one or the new one. A NaN in a double column is an error, as JSON has none."""
+    """Replace a table. Each file appears whole, but on a plain file system a reader may find the table half replaced: write to a new path and switch readers
+    where that matters. A NaN in a double column is an error, as JSON has none."""
     for name, kind in rows.dtypes:
         if kind in ("double", "float"):
             rows = rows.withColumn(name, F.when(F.isnan(name), F.raise_error(F.lit(f"NaN in {name}")).cast(kind)).otherwise(F.col(name)))
@@ -17,9 +20,11 @@ def write_table(rows: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def numbered(rows: DataFrame, order: list, form: str, *parts: Column, name: str = "output_name", group: list | None = None) -> DataFrame:
-    """A dense number by the order, within groups if given, put through a printf form with further parts. One global number needs one sorted task: number within groups where the table is large."""
-    window = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-    return rows.withColumn(name, F.format_string(form, F.row_number().over(window), *parts))
+    """A dense number by the order, within groups if given, put through a printf form with further parts. Numbers over all rows are given range by range."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    if group:
+        return rows.withColumn(name, F.format_string(form, F.row_number().over(Window.partitionBy(*group).orderBy(*order)), *parts))
+    return in_order(rows, *order).withColumn(name, F.format_string(form, F.col("_place"), *parts)).drop("_place")
 
 
 def dataset_names(kept: DataFrame, order: list, width: int = 3) -> DataFrame:
@@ -49,7 +54,8 @@ def stale_outputs(existing: DataFrame, current: DataFrame, pattern: str = r"^\d{
 
 
 def split_decisions(decided: DataFrame, out: str) -> None:
-    """Kept rows, dropped rows and a histogram of tiers, each a table under ``out``."""
+    """Kept rows, dropped rows and a histogram of tiers, each a table under ``out``. The input is computed once."""
+    decided = written(decided, "decided")
     write_table(decided.where("decision = 'keep'"), f"{out}/manifest")
     decided.where("decision <> 'keep'").write.mode("overwrite").json(f"{out}/dropped")
     write_table(decided.groupBy("decision", "tier").count(), f"{out}/report", "json")

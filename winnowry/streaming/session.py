@@ -125,6 +125,13 @@ def stream_sessions(messages: DataFrame, limits: CompactionLimits | None = None,
     return messages.groupBy("session_id").applyInPandasWithState(go, "session_id string, archived int, kept int", "kept array<int>", "append", GroupStateTimeout.NoTimeout if ttl_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def to_evict(sessions: DataFrame, most: int) -> DataFrame:
+    """Sessions (session_id, last_used, reservations, locked) that go so that ``most`` stay: the longest unused that nobody holds. Busy ones stay, even above the limit."""
+    over = max(0, sessions.count() - most)
+    idle = sessions.where((F.coalesce("reservations", F.lit(0)) == 0) & ~F.coalesce("locked", F.lit(False)))
+    return idle.orderBy("last_used", "session_id").limit(over).select("session_id")
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Event-time counts per window and type, with a watermark (an addition of this engine; batch and stream)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
