@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from winnowry.config import CompactionLimits
 from winnowry.functions import text as T
 from winnowry.functions.numeric import l2_normalise
-from winnowry.operators import aggregates, joins, scorecard, selection, speaker
+from winnowry.operators import aggregates, joins, scorecard, selection, speaker, validation
 from winnowry.plans import sql
 from winnowry.streaming import sentences, session
 
@@ -97,10 +97,10 @@ z AS (SELECT *, least(1, greatest(0, coalesce(sim, 0))) AS c_align, CASE WHEN a
 SELECT doc_id, 'BV' || doc_id || '_x.wav' AS path, 'BV' || doc_id AS source_id, lang, tier, reject_reasons, (30 * c_align + 20 * c_asr + 20 * c_spk + 15 * c_text + 10 * c_src + 5 * c_dur)::DOUBLE AS raw FROM z"""
 
 
-@query(f"SELECT path, source_id, tier, lang, array_to_string(reject_reasons, ',') AS reject_reasons, CASE WHEN len(reject_reasons) > 0 THEN 'reject' WHEN raw < 60 THEN 'borderline' ELSE 'candidate' END AS decision, round(raw - 0.00003, 2) AS score FROM ({_SCORED})")
+@query(f"SELECT path, source_id, tier, lang, array_to_string(reject_reasons, ',') AS reject_reasons, CASE WHEN len(reject_reasons) > 0 THEN 'reject' WHEN raw < 60 THEN 'borderline' ELSE 'candidate' END AS decision, round(raw::DECIMAL(18, 9), 4)::DOUBLE AS score FROM ({_SCORED})")
 def q_full_outer_scorecard(spark, d):
     rows = scorecard.scorecard(scorecard.union_of_stages(*stage_tables(spark, d)), CFG)
-    return rows.select("path", "source_id", "tier", "lang", F.array_join("reject_reasons", ",").alias("reject_reasons"), "decision", F.round(F.col("score") - 0.00003, 2).alias("score"))  # off the ties of binary rounding
+    return rows.select("path", "source_id", "tier", "lang", F.array_join("reject_reasons", ",").alias("reject_reasons"), "decision", F.round("score", 4).alias("score"))
 
 
 def quota_items(spark, d) -> DataFrame:
@@ -122,8 +122,7 @@ def q_quota_select(spark, d):
 
 @query("SELECT lang, max(k) AS most, sum(k)::BIGINT AS n, count(*) AS sources, max(k) > greatest(1, floor(0.15 * sum(k))) AS over FROM (SELECT lang, source, count(*) AS k FROM documents GROUP BY ALL) GROUP BY lang")
 def q_source_cap_check(spark, d):
-    each = table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("k"))
-    return each.groupBy("lang").agg(F.max("k").alias("most"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("sources"), (F.max("k") > F.greatest(F.lit(1), F.floor(0.15 * F.sum("k")))).alias("over"))
+    return validation.source_caps(table(spark, d, "documents"), 0.15)
 
 
 @query("SELECT lang, count(n_chars) AS n, " + ", ".join(f"quantile_cont(n_chars::DOUBLE, {p / 100}) AS p{p:02d}" for p in aggregates.PERCENTS) + " FROM documents GROUP BY lang")
@@ -183,12 +182,11 @@ def q_centroids(spark, d):
 @query(f"WITH {_UNIT}, {_CENTRES} SELECT vec_id AS key, round(quantile_cont(s, 0.5), 6) AS score FROM (SELECT v.vec_id, list_dot_product(v.u, k.c) AS s FROM v JOIN k ON v.label <> k.label) GROUP BY vec_id")
 def q_cross_source_median(spark, d):
     v = vectors(spark, d)
-    return speaker.median_over_sources(speaker.against_centroids(v, speaker.centroids(v))).select("key", F.round("score", 6).alias("score"))
+    return speaker.median_against_centroids(v, speaker.centroids(v)).select("key", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_UNIT}, b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v), p AS (SELECT a.vec_id, o.label, max(list_dot_product(a.u, o.u)) AS s FROM b a JOIN b o ON a.label <> o.label WHERE a.rn <= 20 AND o.rn <= 20 GROUP BY ALL) SELECT vec_id AS key, round(quantile_cont(s, 0.5), 6) AS score FROM p GROUP BY vec_id")
+@query(f"WITH {_UNIT}, p AS (SELECT a.vec_id, o.label, max(list_dot_product(a.u, o.u)) AS s FROM v a JOIN v o ON a.label <> o.label GROUP BY ALL) SELECT vec_id AS key, round(quantile_cont(s, 0.5), 6) AS score FROM p GROUP BY vec_id")
 def q_cross_source_max(spark, d):
-    # every vector is scored; the SQL above still takes the first 20 a label, so it agrees only where labels have at most 20
     return speaker.cross_source_all(vectors(spark, d)).select("key", F.round("score", 6).alias("score"))
 
 
