@@ -4,10 +4,11 @@ Each word has a language; its score comes from hashed features (prefixes, suffix
 if it's in the learned lexicon), and learned transitions tie neighbours together. Forward-backward gives each word's
 posterior in code-switched text; a document's language is the one with the largest sum of posteriors.
 
-Fitting uses a bounded sample: about ``DOCS_PER_LANGUAGE`` documents of each language (chosen by a hash of the id,
-whole texts), from which training sequences are spliced so that languages switch within a sequence. Scoring runs over
-whole texts in Arrow batches: features are computed once for each distinct word of a block, and forward-backward is
-exact, as a scan over runs of 16 words.
+Fitting uses a bounded sample: of every language that occurs about ``DOCS_PER_LANGUAGE`` documents and ``BYTES_PER_LANGUAGE``
+bytes of text (chosen by a hash of id and text, whole texts of at most ``LONGEST_SAMPLE`` characters), from which training
+sequences are spliced so that languages switch within a sequence. The model takes 0.5 MB a language. Scoring runs over
+whole texts, of any length, in Arrow batches: features are computed once for each distinct word of a block, and
+forward-backward is exact, as a scan over runs of 16 words.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter; where nothing could be learned every
 text is ``und``; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from ._arrow import LOWER_BYTES, U64, Rolling, blocks, byte_class, mix, spans, text_bytes, words_per_row
 
 DOCS_PER_LANGUAGE = 400
-MAX_LANGUAGES = 500
+BYTES_PER_LANGUAGE = 1 << 20
+LONGEST_SAMPLE = 1 << 16
 FEATURE_BITS = 17
 RUN = 16
 LETTERS = byte_class(list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256)))
@@ -140,20 +142,46 @@ def posteriors(potentials: np.ndarray, move: np.ndarray, at: np.ndarray) -> np.n
     return out[valid]
 
 
+def vocabulary(texts: list[str]):
+    """Distinct words of a sample by hash; each word's number among them and its document; the lexicon (words of at least 3 documents); the distinct
+    words' features, flat, and where each word's begin. Texts are read a block at a time, twice, as features need the lexicon."""
+    column, words, docs = pa.array(texts, pa.string()), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for low, _, data, at in blocks(column):
+        starts, ends = spans(data, at, LETTERS)
+        words.append(Rolling(data, LOWER_BYTES)(starts, ends))
+        docs.append(low + np.repeat(np.arange(len(at) - 1), np.diff(words_per_row(starts, at))))
+    of_doc = np.concatenate(docs)
+    hashes, first, number = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+    spread = np.unique(number * np.int64(len(texts) + 1) + of_doc) // (len(texts) + 1)
+    lexicon = hashes[np.bincount(spread, minlength=len(hashes)) >= 3]
+    begin, parts, sizes = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    by_place = np.argsort(first)
+    for _, _, data, at in blocks(column):
+        starts, ends = spans(data, at, LETTERS)
+        mine = by_place[slice(*np.searchsorted(first[by_place], [begin, begin + len(starts)]))]
+        if len(mine):
+            here = first[mine] - begin
+            flat, offsets = features(Rolling(data, LOWER_BYTES), starts[here], ends[here], hashes[mine], lexicon)
+            parts.append(flat.astype(np.int32))
+            sizes.append(np.diff(offsets))
+        begin += len(starts)
+    many, flat = np.concatenate(sizes), np.concatenate(parts)
+    back = np.empty(len(by_place), np.int64)
+    back[by_place] = np.arange(len(by_place))
+    at = np.concatenate([[0], np.cumsum(many)])
+    kept = many[back]
+    offsets = np.concatenate([[0], np.cumsum(kept)])
+    return hashes, number, of_doc, lexicon, flat[np.repeat(at[back] - offsets[:-1], kept) + np.arange(len(flat))], offsets
+
+
 def train(texts: list[str], labels: list[str], rounds: int = 250, batch: int = 64, length: int = 40, rate: float = 0.5, seed: int = 7) -> Model | None:
     """Stochastic gradient ascent on the likelihood of spliced sequences. Words that stand in at least 3 documents make up the lexicon."""
     names = sorted(set(labels))
     if not names:
         return None
     size = len(names)
-    data, at = text_bytes(pa.array(texts, pa.string()))
-    starts, ends = spans(data, at, LETTERS)
-    rolling, hashes, first, number = distinct_words(data, starts, ends)
-    of_doc = np.repeat(np.arange(len(texts)), np.diff(words_per_row(starts, at)))
-    spread = np.unique(number * np.int64(len(texts) + 1) + of_doc) // (len(texts) + 1)
-    lexicon = hashes[np.flatnonzero(np.bincount(spread, minlength=len(hashes)) >= 3)] if len(hashes) else hashes
-    model = Model(names, np.zeros((1 << FEATURE_BITS, size)), np.zeros((size, size)), lexicon)
-    flat, offsets = features(rolling, starts[first], ends[first], hashes, lexicon)
+    hashes, number, of_doc, lexicon, flat, offsets = vocabulary(texts)
+    model = Model(names, np.zeros((1 << FEATURE_BITS, size), np.float32), np.zeros((size, size)), lexicon)
     scale = 1 / np.sqrt(np.diff(offsets))
     truth = np.array([names.index(x) for x in labels])[of_doc]
     by_label = [np.flatnonzero(truth == k) for k in range(size)]
@@ -260,17 +288,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def sample(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> pd.DataFrame:
-    """A bounded sample of (text, lang): rows for which ``learn_from`` holds, about ``per_language`` of each of the most frequent languages, chosen by a hash of the id."""
-    able = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = able.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    """A bounded sample of (text, lang): rows for which ``learn_from`` holds, about ``per_language`` of each language and no more than about
+    ``BYTES_PER_LANGUAGE`` bytes, chosen by a hash of id and text, so that the same table gives the same sample; repeated rows count once."""
+    id_, text, lang = F.col(id_col), F.col(text_col), F.col(lang_col)
+    able = docs.where(learn_from & lang.isNotNull() & text.isNotNull() & (F.length(text) <= LONGEST_SAMPLE)).select(id_.alias("id"), text.alias("text"), lang.alias("lang"))
+    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
     grain = 1 << 30
-    least = F.lit(0)
-    for row in counts:
-        least = F.when(F.col(lang_col) == row[lang_col], int(min(1.0, per_language / row["count"]) * grain)).otherwise(least)
-    chosen = able.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(grain)) < least)
-    return chosen.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).limit(2 * per_language * len(counts)).toPandas().sort_values(["lang", "id"], kind="stable")
+    least = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["k"], BYTES_PER_LANGUAGE / max(r["bytes"], 1)) * grain))])
+    chosen = able.where(F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(grain)) < least[F.col("lang")])
+    return chosen.dropDuplicates(["id", "text", "lang"]).toPandas().sort_values(["lang", "id", "text"], kind="stable")
 
 
 def fit(docs: DataFrame, learn_from, **columns) -> Model | None:
