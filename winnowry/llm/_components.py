@@ -37,6 +37,17 @@ def components(links: DataFrame) -> DataFrame:
         links = materialise(small.where(u != v).distinct(), "links")
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that ``labels`` (id, component) become with more links (a, b). Only the components that the links join are looked at again."""
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")).hint("merge")
+    met = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v"))
+    over = components(met)
+    over = materialise(over.select(F.col("id").alias("component"), F.col("component").alias("into")), "over")
+    new = over.join(labels.select(F.col("id").alias("component")).hint("merge"), "component", "left_anti").select(F.col("component").alias("id"), F.col("into").alias("component"))
+    old = labels.join(over.hint("merge"), "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+    return materialise(old.unionByName(new), "labels")
+
+
 def forest(close: np.ndarray, id_x: np.ndarray, id_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest: every vertex with the smallest id that it reaches within the block."""
     rows, columns = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans, words_per_row
-from ._components import components, forest
+from ._components import components, forest, joined
 from ._store import materialise
 
 SHINGLE = 5
@@ -133,7 +133,7 @@ def likelihoods(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray)
     return np.where(possible, out, -np.inf)
 
 
-SKETCH = "id long, n long, h1 long, h2 long, regs binary"
+SKETCH = "id long, t long, n long, h1 long, h2 long, regs binary"
 
 
 def set_sums(hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,49 +146,45 @@ def set_sums(hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: size of its set, two hashes of the set, its registers."""
+    """One row per document: id, a hash of its text, the size of its set, two hashes of the set, its registers."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, at in blocks(batch.column(1), 1 << 18):
+            for low, high, data, at in blocks(batch.column(2), 1 << 18):
                 hashes, of = shingle_sets(data, at)
                 h1, h2 = set_sums(hashes, of)
                 rows = binary_array(registers(hashes, of).ravel(), np.arange(high - low + 1) * REGISTERS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(of)), pa.array(h1), pa.array(h2), rows], ["id", "n", "h1", "h2", "regs"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in (0, 1)), pa.array(np.diff(of)), pa.array(h1), pa.array(h2), rows], ["id", "t", "n", "h1", "h2", "regs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(go, SKETCH)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).mapInArrow(go, SKETCH)
 
 
 def _map_of(need: DataFrame) -> np.ndarray:
-    """A bit map of fixed size with a bit for each h1."""
-    bit = F.pmod("h1", F.lit(MAP_BITS))
-    rows = need.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(h1, {MAP_BITS}) & 31 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    """A bit map of fixed size with a bit for each t."""
+    bit = F.pmod("t", F.lit(MAP_BITS))
+    rows = need.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(t, {MAP_BITS}) & 31 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(MAP_BITS // 32, np.uint32)
     out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
 def sets_of(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(v, elements): the sorted 64-bit hashes of the shingles of the needed classes. docs: text; need: v, h1, h2, a written table.
-    Other texts are dropped in the scan, so that only sets that may be needed are shuffled."""
+    """(v, elements): the sorted 64-bit hashes of the shingles of the needed classes. docs: text; need: v, t, h1, h2, a written table; t is the hash of one
+    of the class's texts. Other texts are dropped in the scan by their hash, so that few are shingled again and only sets that may be needed are shuffled."""
     chosen = _map_of(need)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in blocks(batch.column(0)):
+            t = batch.column(0).to_numpy()
+            bit = t & (MAP_BITS - 1)
+            use = np.flatnonzero(chosen[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1))
+            use = use[np.unique(t[use], return_index=True)[1]]
+            for _, _, data, at in blocks(batch.column(1).take(pa.array(use))):
                 hashes, of = shingle_sets(data, at)
                 h1, h2 = set_sums(hashes, of)
-                bit = h1 & (MAP_BITS - 1)
-                use = (chosen[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool) & (np.diff(of) > 0)
-                once = np.zeros(len(use), bool)
-                once[np.unique(np.stack([h1, h2]), axis=1, return_index=True)[1]] = True
-                rows = np.flatnonzero(use & once)
-                sizes = np.diff(of)[rows]
-                ends = np.cumsum(sizes)
-                flat = hashes[np.repeat(of[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(h1[rows]), pa.array(h2[rows]), binary_array(flat, np.concatenate([[0], ends]))], ["h1", "h2", "elements"])
-
-    found = docs.select("text").mapInArrow(go, "h1 long, h2 long, elements binary").groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), binary_array(hashes, of)], ["h1", "h2", "elements"])
+
+    found = docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(go, "h1 long, h2 long, elements binary").groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
     return found.join(need.select("v", "h1", "h2").hint("merge"), ["h1", "h2"]).select("v", "elements")
 
 
@@ -245,7 +241,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b), a written table, whose full sets reach the threshold. Classes are dealt into blocks; a task has the pairs of two blocks and the sets they need."""
     need = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    need = materialise(need.join(classes.select("v", "h1", "h2").hint("merge"), "v"), "need")
+    need = materialise(need.join(classes.select("v", "t", "h1", "h2").hint("merge"), "v"), "need")
     many = max(1, -(-need.count() // BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
     pairs = pairs.select("a", "b").withColumns({"i": block("a"), "j": block("b")})
@@ -365,7 +361,7 @@ def joining(v: np.ndarray, c: np.ndarray, block: np.ndarray, sets: list[np.ndarr
 def family_links(families: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """families: (id, component) of the plausible pairs' trees. Verified links (a, b) between components, of all pairs within families."""
     members = families.select(F.col("id").alias("v"), F.col("component").alias("family"))
-    need = materialise(members.join(classes.select("v", "n", "h1", "h2").hint("merge"), "v"), "need")
+    need = materialise(members.join(classes.select("v", "t", "n", "h1", "h2").hint("merge"), "v"), "need")
     held = materialise(labelled(need.select("v", "n", "family"), labels, "v", "c"), "held")
     of_c = held.groupBy("family", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("bytes"))
     sizes = of_c.groupBy("family").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"), (8 * F.sum("bytes")).alias("bytes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -385,33 +381,26 @@ def family_links(families: DataFrame, labels: DataFrame, docs: DataFrame, classe
     return materialise(met.groupBy("family", "i", "j").applyInArrow(go, "a long, b long"), "links")
 
 
-def _components_of(links: DataFrame) -> DataFrame:
-    return materialise(components(links.toDF("u", "v")), "labels")
-
-
 def classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sketches without registers (id, n, h1, h2), the classes of equal sets (v, n, h1, h2, regs), and (id, component) of those with links; all written."""
     texts = docs.select(F.col(text_col).alias("text"))
     sketched = materialise(sketches(docs, id_col, text_col), "sketches")
-    classes = sketched.where("n > 0").groupBy("n", "h1", "h2").agg(F.first("regs").alias("regs")).withColumn("v", F.monotonically_increasing_id())
+    classes = sketched.where("n > 0").groupBy("n", "h1", "h2").agg(F.first("t").alias("t"), F.first("regs").alias("regs")).withColumn("v", F.monotonically_increasing_id())
     classes = materialise(classes, "classes")
     tried = materialise(estimated(star_pairs(materialise(bands_of(classes.withColumn("c", F.col("v")), 0, FIRST), "bands")), classes), "likely")
     best = materialise(tried.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b")), "best")
-    links = verified(best, texts, classes)
-    labels = _components_of(links)
+    labels = materialise(components(verified(best, texts, classes).toDF("u", "v")), "labels")
     # of all bands, those rows whose key still holds more than one component
     bands = bands_of(labelled(classes, labels, "v", "c"))
     open_ = bands.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
     bands = materialise(bands.join(materialise(open_, "open").hint("merge"), "key", "left_semi"), "bands")
     pairs = materialise(estimated(star_pairs(bands), classes).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(verified(pairs, texts, classes))
-    labels = _components_of(links)
+    labels = joined(labels, verified(pairs, texts, classes))
     bands = materialise(labelled(bands.drop("c"), labels, "v", "c"), "bands")
     families = materialise(components(leftover_forest(bands, classes.select("v", "n", "regs"))), "trees")
     if not families.isEmpty():
-        links = links.unionByName(family_links(families, labels, texts, classes))
-        labels = _components_of(links)
-    return sketched.drop("regs"), classes, labels
+        labels = joined(labels, family_links(families, labels, texts, classes))
+    return sketched.drop("regs", "t"), classes, labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
