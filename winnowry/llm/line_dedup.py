@@ -14,6 +14,10 @@ if their sets' Jaccard similarity is at least ``SIMILAR / OF``. A line is remove
    whole sets, and each task returns for each class its number of links and its earliest linked line: rows grow with
    the classes, not with the pairs.
 
+Words in the prefixes of very many lines (lines made from one template share their rarest words) are split: their classes
+are dealt into blocks of about ``BLOCK`` and each two blocks meet in a task of their own, in both joins. The counts that
+decide it are of all lines.
+
 Defined results: a null text has one empty line; lines without words are kept; rows that repeat an id number
 their lines alike, so equal lines of theirs count as one line, and a line goes from all of them if it goes from one; extra
 columns stay as they are; rows without id come before all others, and drop_lines leaves them whole; an empty table gives an empty result.
@@ -40,6 +44,12 @@ COUNTERS = 1 << 16
 TASK_POSTINGS = 400_000
 #: Bytes of sets that a task of the second join holds on average, at most.
 TASK_BYTES = 32 << 20
+#: Classes of a word that meet in one block.
+BLOCK = 4096
+#: Sets of a word that are compared with their neighbours one offset at a time; more are sorted by length and place first.
+FEW = 2048
+#: Largest number of blocks of a word, 16 bits of a part's number.
+MOST_BLOCKS = 1 << 15
 BLOOM_BITS = 1 << 23
 WORD_SPACE = SPACE
 
@@ -95,9 +105,9 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
     return (words >> U64(48)).astype(np.int64)
 
 
-def by_rarity(words: np.ndarray, line: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The order that sorts each line's words by rarity; words come sorted by (line, hash). counts: the buckets' ranks."""
-    rank = counts[bucket_of(words)]
+def by_rarity(words: np.ndarray, line: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The order that sorts each line's words by rarity; words come sorted by (line, hash). ranks: of the buckets."""
+    rank = ranks[bucket_of(words)]
     return order_of(line, rank.astype(U64) << U64(28) | words >> U64(20) & U64((1 << 28) - 1), words, lambda: np.lexsort((words, rank, line)))
 
 
@@ -110,106 +120,183 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """(id, line, n, key, set): a row per line; key names its set, null without words; set is the key's first half."""
+    """(id, line, n, key, set): a row per line; key names its set, null without words; set is the key's first half.
+    Rows with a bucket hold no line but k, how many words of the bucket a task has read."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        names = ["id", "line", "n", "key", "set", "bucket", "k"]
         for batch in batches:
             for low, high, data, at in blocks(batch.column(1)):
                 doc, number, words, of, _ = line_sets(data, at)
+                total += np.bincount(bucket_of(words), minlength=COUNTERS)
                 n = np.diff(of)
                 both = keys_of(words, of)
                 keys = binary_array(both.ravel(), np.arange(len(n) + 1) * 2)
                 keys = pc.if_else(pa.array(n >= MIN_WORDS), keys, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(doc)), pa.array(number), pa.array(n.astype(np.int32)), keys, pa.array(both[:, 0].copy().view(np.int64))], ["id", "line", "n", "key", "set"])
+                lines = [batch.column(0).slice(low, high - low).take(pa.array(doc)), pa.array(number), pa.array(n.astype(np.int32)), keys, pa.array(both[:, 0].copy().view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*lines, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names)
+        some = np.flatnonzero(total)
+        none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array(total[some])], names)
+
+    return texts.mapInArrow(go, "id long, line long, n int, key binary, set long, bucket int, k long")
 
-    return texts.mapInArrow(go, "id long, line long, n int, key binary, set long")
+
+def _counters(rows: DataFrame) -> np.ndarray:
+    """Sums of k by bucket, of (bucket, k)."""
+    found = rows.groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["bucket"].to_numpy(np.int64)] = found["k"].to_numpy(np.int64)
+    return counts
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """Ranks of the hash buckets by the number of their words in the whole corpus: COUNTERS numbers."""
+def word_ranks(lines: DataFrame) -> np.ndarray:
+    """Ranks of the hash buckets by the number of their words in the lines of the whole corpus: COUNTERS numbers."""
+    ranks = np.empty(COUNTERS, np.int64)
+    ranks[np.argsort(_counters(lines.where("bucket is not null").select("bucket", "k")), kind="stable")] = np.arange(COUNTERS)
+    return ranks
+
+
+class Prefixes:
+    """The prefix postings of a block: words, the line of each, its place there, and the lines' sets, lengths and words."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, ranks: np.ndarray):
+        _, _, words, self.of, line = line_sets(data, at)
+        self.n, self.sets = np.diff(self.of), keys_of(words, self.of)[:, 0]
+        use = np.zeros(len(self.n), bool)
+        use[np.unique(self.sets, return_index=True)[1]] = True  # lines with the same set give one posting a block
+        use &= self.n >= LEAST_LINKED
+        self.by_hash = words
+        ranked = words[by_rarity(words, line, ranks)]
+        place = np.arange(len(ranked)) - self.of[line]
+        pick = np.flatnonzero(use[line] & (place < prefix_length(self.n)[line]))
+        self.words, self.line, self.place = ranked[pick], line[pick], place[pick]
+
+
+def prefix_counts(texts: DataFrame, ranks: np.ndarray) -> np.ndarray:
+    """Number of postings by hash bucket over the whole corpus: COUNTERS numbers."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, _, data, at in blocks(batch.column(1)):
-                total += np.bincount(bucket_of(Rolling(data, LOWER_BYTES)(*spans(data, at, ~WORD_SPACE))), minlength=COUNTERS)
+                total += np.bincount(bucket_of(Prefixes(data, at, ranks).words), minlength=COUNTERS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "k"])
 
-    rows = texts.mapInArrow(go, "bucket int, k long").groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[rows["bucket"].to_numpy(np.int64)] = rows["k"].to_numpy(np.int64)
-    ranks = np.empty(COUNTERS, np.int64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(COUNTERS)
-    return ranks
+    return _counters(texts.mapInArrow(go, "bucket int, k long"))
+
+
+def parts_of(block: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in a block of many: the row and the number of each part that it takes part in, 0 where there is one block only, else 1 + lower block * MOST_BLOCKS + higher block."""
+    row = np.repeat(np.arange(len(block)), many)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    mine = block[row]
+    return row, np.where(many[row] > 1, 1 + np.minimum(mine, other) * MOST_BLOCKS + np.maximum(mine, other), 0)
+
+
+def part_apart(part: np.ndarray) -> np.ndarray:
+    """Whether a part is of two different blocks."""
+    return (part > 0) & ((part - 1) // MOST_BLOCKS != (part - 1) % MOST_BLOCKS)
+
+
+def task_of(words: np.ndarray, part: np.ndarray, tasks: int) -> np.ndarray:
+    return (np.where(part > 0, mix(words + part.astype(U64)), words) % U64(tasks)).astype(np.int32)
 
 
 POSTING = np.dtype([("word", "<u8"), ("set", "<u8"), ("map", "<u8", 2), ("n", "<u4"), ("at", "<u4")])
 
 
-def postings(texts: DataFrame, counts: np.ndarray, tasks: int) -> DataFrame:
-    """(task, blob): packed postings of every line's prefix; lines with the same set give one posting a block."""
+def postings(texts: DataFrame, ranks: np.ndarray, many: np.ndarray, tasks: int) -> DataFrame:
+    """(task, part, blob): packed postings of every line's prefix. many: the number of blocks of the words of each bucket."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, at in blocks(batch.column(1)):
-                _, _, words, of, line = line_sets(data, at)
-                n = np.diff(of)
-                sets = keys_of(words, of)[:, 0]
-                _, one = np.unique(sets, return_index=True)
-                use = np.zeros(len(n), bool)
-                use[one] = True
-                use &= n >= LEAST_LINKED
-                bit = U64(1) << (words >> U64(20) & U64(63))
-                half = words >> U64(26) & U64(1)
-                bits = np.stack([np.bitwise_or.reduceat(np.append(np.where(half == k, bit, U64(0)), U64(0)), of[:-1]) for k in (0, 1)], 1)
-                words = words[by_rarity(words, line, counts)]
-                place = np.arange(len(words)) - of[line]
-                pick = np.flatnonzero(use[line] & (place < prefix_length(n)[line]))
-                out = np.empty(len(pick), POSTING)
-                out["word"], out["set"], out["map"], out["n"], out["at"] = words[pick], sets[line[pick]], bits[line[pick]], n[line[pick]], place[pick]
-                task = (out["word"] % U64(tasks)).astype(np.int32)
-                order = np.argsort(task, kind="stable")
-                task, out = task[order], out[order]
-                kinds, first = np.unique(task, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), binary_array(out, np.append(first, len(out)))], ["task", "blob"])
-
-    return texts.mapInArrow(go, "task int, blob binary")
-
-
-def possible(p: np.ndarray) -> np.ndarray:
+                p = Prefixes(data, at, ranks)
+                bit = U64(1) << (p.by_hash >> U64(20) & U64(63))
+                half = p.by_hash >> U64(26) & U64(1)
+                bits = np.stack([np.bitwise_or.reduceat(np.append(np.where(half == k, bit, U64(0)), U64(0)), p.of[:-1]) for k in (0, 1)], 1)
+                split = many[bucket_of(p.words)]
+                row, part = parts_of((p.sets[p.line] % split.astype(U64)).astype(np.int64), split)
+                line = p.line[row]
+                out = np.empty(len(row), POSTING)
+                out["word"], out["set"], out["map"], out["n"], out["at"] = p.words[row], p.sets[line], bits[line], p.n[line], p.place[row]
+                task = task_of(out["word"], part, tasks)
+                order = np.lexsort((part, task))
+                task, part, out = task[order], part[order], out[order]
+                first = np.flatnonzero(np.concatenate([[True], (task[1:] != task[:-1]) | (part[1:] != part[:-1])])) if len(task) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(task[first]), pa.array(part[first]), binary_array(out, np.append(first, len(out)))], ["task", "part", "blob"])
+
+    return texts.mapInArrow(go, "task int, part long, blob binary")
+
+
+def possible(p: np.ndarray, part: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The postings whose set may be linked with another set of which their word is the first in common, by length, position and bit map."""
-    p = p[np.lexsort((p["set"], p["n"], p["word"]))]
+    order = np.lexsort((p["set"], p["n"], part, p["word"]))
+    p, part = p[order], part[order]
     if len(p):
         new = np.ones(len(p), bool)
-        new[1:] = (p["set"][1:] != p["set"][:-1]) | (p["word"][1:] != p["word"][:-1])
-        p = p[new]
+        new[1:] = (p["set"][1:] != p["set"][:-1]) | (part[1:] != part[:-1]) | (p["word"][1:] != p["word"][:-1])
+        p, part = p[new], part[new]
     hit = np.zeros(len(p), bool)
-    here = np.arange(len(p))
     n, at, bits = p["n"].astype(np.int64), p["at"].astype(np.int64), p["map"]
-    for k in range(1, len(p)):
-        here = here[here + k < len(p)]
-        i, j = here, here + k
-        same = (p["word"][i] == p["word"][j]) & (OF * n[i] >= SIMILAR * n[j])  # the lengths rise, so nothing further on can match either
-        here = i = i[same]
-        if not len(i):
-            break
-        j = i + k
+    block, apart = (p["set"] % many[bucket_of(p["word"])].astype(U64)).astype(np.int64), part_apart(part)
+    new = np.ones(len(p), bool)
+    new[1:] = (part[1:] != part[:-1]) | (p["word"][1:] != p["word"][:-1])
+    begin = np.append(np.flatnonzero(new), len(p))
+    size = np.diff(begin)
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         need = -(-SIMILAR * (n[i] + n[j]) // (OF + SIMILAR))
-        near = (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & ((n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(1).astype(np.int64)) // 2 >= need)
-        hit[i[near]] = True
-        hit[j[near]] = True
+        return (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & ((n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(-1).astype(np.int64)) // 2 >= need) & (~apart[i] | (block[i] != block[j]))
+
+    here, end = np.flatnonzero(np.repeat(size <= FEW, size)), np.repeat(begin[1:], size)
+    for k in range(1, FEW):
+        here = here[here + k < end[here]]
+        here = here[OF * n[here] >= SIMILAR * n[here + k]]  # the lengths rise, so nothing further on can match either
+        if not len(here):
+            break
+        found = here[near(here, here + k)]
+        hit[found] = hit[found + k] = True
+    for low, high in zip(begin[:-1][size > FEW].tolist(), begin[1:][size > FEW].tolist(), strict=True):
+        # a word that many sets share: only sets of lengths and places that allow it meet, and of those the ones without a partner yet
+        kinds, kind = np.unique(np.stack([n[low:high], at[low:high]], 1), axis=0, return_inverse=True)
+        held = [low + np.flatnonzero(kind.ravel() == k) for k in range(len(kinds))]
+        rest, length = kinds[:, 0] - kinds[:, 1], kinds[:, 0]
+        able = (OF * length[:, None] >= SIMILAR * length) & (OF * length >= SIMILAR * length[:, None])
+        able &= np.minimum(rest[:, None], rest) >= -(-SIMILAR * (length[:, None] + length) // (OF + SIMILAR))
+        for i, j in np.argwhere(np.tril(able)).tolist():
+            for x, y in ((held[i], held[j]), (held[j], held[i])):
+                for first in range(0, len(x), 256):
+                    rows = x[first : first + 256]
+                    rows = rows[~hit[rows]]
+                    close = near(rows[:, None], y[None, :]) & (rows[:, None] != y[None, :])
+                    hit[rows[close.any(1)]] = True
+                    hit[y[close.any(0)]] = True
     return p[hit]
 
 
-def flagged(texts: DataFrame, counts: np.ndarray, tasks: int) -> DataFrame:
+def flagged(texts: DataFrame, ranks: np.ndarray, many: np.ndarray, tasks: int) -> DataFrame:
     """(set, word): the first hash of every class with a possible partner, and the words of its prefix at which there may be one."""
 
     def go(table: pa.Table) -> pa.Table:
-        p = possible(np.frombuffer(b"".join(table["blob"].to_pylist()), POSTING))
+        blobs = table["blob"].to_pylist()
+        part = np.repeat(table["part"].to_numpy(), [len(x) // POSTING.itemsize for x in blobs])
+        p = possible(np.frombuffer(b"".join(blobs), POSTING), part, many)
         return pa.table({k: pa.array(np.ascontiguousarray(p[k]).view(np.int64)) for k in ("set", "word")})
 
-    return postings(texts, counts, tasks).groupBy("task").applyInArrow(go, "set long, word long")
+    return postings(texts, ranks, many, tasks).groupBy("task").applyInArrow(go, "set long, word long")
+
+
+def marks_of(found: DataFrame) -> DataFrame:
+    """(set, marks): the flagged words of a set, each with the number of blocks that its sets are dealt into."""
+    found = materialise(found.distinct(), "found")
+    sizes = materialise(found.groupBy("word").agg(F.count(F.lit(1)).alias("k")), "sizes")
+    sized = lookup(found, sizes, "word", "k", sizes.agg(F.sum("k")).first()[0] or 0)
+    blocks_ = F.least(F.ceil(F.col("k") / BLOCK), F.lit(MOST_BLOCKS)).cast("int")
+    return materialise(sized.groupBy("set").agg(F.collect_list(F.struct("word", blocks_.alias("many"))).alias("marks")), "flagged")
 
 
 def bloom(sets: DataFrame) -> np.ndarray:
@@ -220,7 +307,7 @@ def bloom(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(texts: DataFrame, counts: np.ndarray, chosen: np.ndarray) -> DataFrame:
+def sets_of(texts: DataFrame, ranks: np.ndarray, chosen: np.ndarray) -> DataFrame:
     """(key, words): the words by rarity of every line whose set the bit map has."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +323,7 @@ def sets_of(texts: DataFrame, counts: np.ndarray, chosen: np.ndarray) -> DataFra
                 use &= once
                 rows = np.flatnonzero(use)
                 flat, line = words[use[line]], line[use[line]]
-                flat = flat[by_rarity(flat, line, counts)]
+                flat = flat[by_rarity(flat, line, ranks)]
                 sizes = np.concatenate([[0], np.cumsum(np.diff(of)[rows])])
                 yield pa.RecordBatch.from_arrays([binary_array(keys[rows].ravel(), np.arange(len(rows) + 1) * 2), binary_array(flat, sizes)], ["key", "words"])
 
@@ -244,82 +331,98 @@ def sets_of(texts: DataFrame, counts: np.ndarray, chosen: np.ndarray) -> DataFra
 
 
 def spread(sets: DataFrame, tasks: int) -> DataFrame:
-    """A row per set and task that a marked word of its prefix belongs to: (task, places of such words, key, words, id, line)."""
+    """A row per set and task that a marked word of its prefix belongs to: (task, places of such words, their parts and the set's own blocks, key, words, id, line)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                task_of, places, rows = [], [], []
-                for r, (raw, marks) in enumerate(zip(part.column(1), part.column(4).to_pylist(), strict=True)):
+                task_no, places, parts, owns, rows = [], [], [], [], []
+                for r, (key, raw, marks) in enumerate(zip(part.column(0), part.column(1), part.column(4).to_pylist(), strict=True)):
                     words = np.frombuffer(raw.as_buffer(), U64)
-                    at = np.flatnonzero(np.isin(words[: prefix_length(np.int64(len(words)))], np.array(marks, np.int64).view(U64)))
-                    task = (words[at] % U64(tasks)).astype(np.int64)
+                    many_of = {m["word"]: m["many"] for m in marks}
+                    head = words[: prefix_length(np.int64(len(words)))]
+                    many = np.array([many_of.get(w, 0) for w in head.view(np.int64).tolist()], np.int64)
+                    at = np.flatnonzero(many)
+                    block = (np.frombuffer(key.as_buffer(), U64)[0] % many[at].astype(U64)).astype(np.int32)
+                    row, piece = parts_of(block, many[at])
+                    at, block = at[row], block[row]
+                    task = task_of(words[at], piece, tasks)
                     for t in np.unique(task).tolist():
-                        task_of.append(t)
+                        task_no.append(t)
                         places.append(at[task == t].astype(np.int32).tobytes())
+                        parts.append(piece[task == t].tobytes())
+                        owns.append(block[task == t].tobytes())
                         rows.append(r)
-                yield pa.RecordBatch.from_arrays([pa.array(task_of, pa.int32()), pa.array(places, pa.binary()), *part.take(pa.array(rows, pa.int64())).columns[:4]], ["task", "places", "key", "words", "id", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(task_no, pa.int32()), pa.array(places, pa.binary()), pa.array(parts, pa.binary()), pa.array(owns, pa.binary()), *part.take(pa.array(rows, pa.int64())).columns[:4]], ["task", "places", "parts", "owns", "key", "words", "id", "line"])
 
-    return sets.select("key", "words", "id", "line", "marks").mapInArrow(go, "task int, places binary, key binary, words binary, id long, line long")
+    return sets.select("key", "words", "id", "line", "marks").mapInArrow(go, "task int, places binary, parts binary, owns binary, key binary, words binary, id long, line long")
 
 
-def linked_within(lists: list[np.ndarray], at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Linked pairs of a word's lists whose first common word this is; ``at`` is its place in each list."""
+def linked_within(lists: list[np.ndarray], at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks (rows, columns, links as a boolean matrix) of a word's lists: pairs, each once, whose first common word this is; ``at`` is its place in each list."""
     g = len(lists)
     if g <= 16:
         sets = [frozenset(x.tolist()) for x in lists]
         heads = [frozenset(x[:k].tolist()) for x, k in zip(lists, at.tolist(), strict=True)]
+        close = np.zeros((g, g), bool)
         for i in range(g):
             for j in range(i):
-                if heads[i].isdisjoint(heads[j]) and OF * (both := len(sets[i] & sets[j])) >= SIMILAR * (len(sets[i]) + len(sets[j]) - both):
-                    yield i, j
+                close[i, j] = heads[i].isdisjoint(heads[j]) and OF * (both := len(sets[i] & sets[j])) >= SIMILAR * (len(sets[i]) + len(sets[j]) - both)
+        if close.any():
+            yield np.arange(g), np.arange(g), close
         return
     for a, b in ((a, b) for a in range(0, g, 512) for b in range(0, a + 1, 512)):
-        left, right = list(range(a, min(a + 512, g))), list(range(b, min(b + 512, g)))
-        kinds = np.unique(np.concatenate([lists[i] for i in dict.fromkeys(left + right)]))
+        left, right = np.arange(a, min(a + 512, g)), np.arange(b, min(b + 512, g))
+        used = left if a == b else np.concatenate([left, right])
+        kinds = np.unique(np.concatenate([lists[i] for i in used]))
         full, head = [], []
-        for side in (left, right):
+        for side in (left,) if a == b else (left, right):
             m, h = np.zeros((len(side), len(kinds)), np.float32), np.zeros((len(side), len(kinds)), np.float32)
-            for r, i in enumerate(side):
+            for r, i in enumerate(side.tolist()):
                 column = np.searchsorted(kinds, lists[i])
                 m[r, column] = 1
                 h[r, column[: at[i]]] = 1
             full.append(m)
             head.append(h)
-        both = full[0] @ full[1].T
-        sizes = full[0].sum(1)[:, None] + full[1].sum(1)[None, :] - both
-        close = (OF * both >= SIMILAR * sizes) & (head[0] @ head[1].T == 0)
-        for i, j in zip(*np.nonzero(close), strict=True):
-            if left[i] > right[j]:
-                yield left[i], right[j]
+        both = full[0] @ full[-1].T
+        sizes = full[0].sum(1)[:, None] + full[-1].sum(1)[None, :] - both
+        yield left, right, (OF * both >= SIMILAR * sizes) & (head[0] @ head[-1].T == 0) & (left[:, None] > right[None, :])
 
 
 def join_links(sets: DataFrame, tasks: int) -> DataFrame:
-    """(key, n_links, first): per class the number of linked classes and the earliest line of any of them."""
+    """(key, n_links, linked): per class the number of linked classes and the earliest line of any of them."""
 
     def go(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, U64) for x in table["words"].to_pylist()]
         places = [np.frombuffer(x, np.int32) for x in table["places"].to_pylist()]
         row = np.repeat(np.arange(len(lists)), [len(x) for x in places])
         at = np.concatenate(places) if places else np.zeros(0, np.int32)
+        part = np.frombuffer(b"".join(table["parts"].to_pylist()), np.int64)
         word = np.concatenate([x[k] for x, k in zip(lists, places, strict=True)]) if lists else np.zeros(0, U64)
-        order = np.argsort(word, kind="stable")
-        word, row, at = word[order], row[order], at[order]
-        cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]])) if len(word) else np.zeros(1, np.int64)
-        ids, lines = table["id"].to_pylist(), table["line"].to_pylist()
-        links = np.zeros(len(lists), np.int64)
-        best: dict[int, tuple[int, int]] = {}
+        own = np.frombuffer(b"".join(table["owns"].to_pylist()), np.int32)
+        order = np.lexsort((part, word))
+        word, part, own, row, at = word[order], part[order], own[order], row[order], at[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1]), [True]])) if len(word) else np.zeros(1, np.int64)
+        ids, lines = table["id"].to_numpy(), table["line"].to_numpy()
+        by_age = np.lexsort((lines, ids))
+        age = np.empty(len(lists), np.int64)
+        age[by_age] = np.arange(len(lists))
+        links, best = np.zeros(len(lists), np.int64), np.full(len(lists), len(lists))
         for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if high - low < 2:
                 continue
-            rows = row[low:high].tolist()
-            for i, j in linked_within([lists[r] for r in rows], at[low:high]):
-                for x, y in ((rows[i], rows[j]), (rows[j], rows[i])):
-                    links[x] += 1
-                    best[x] = min(best.get(x, (1 << 62, 0)), (ids[y], lines[y]))
-        some = sorted(best)
-        return pa.table({"key": table["key"].combine_chunks().take(pa.array(some, pa.int64())) if some else pa.array([], pa.binary()), "links": pa.array(links[some]), "id": pa.array([best[x][0] for x in some], pa.int64()), "line": pa.array([best[x][1] for x in some], pa.int64())})
+            rows, apart = row[low:high], bool(part_apart(part[low]))
+            sides = own[low:high]
+            for i, j, close in linked_within([lists[r] for r in rows], at[low:high]):
+                if apart:
+                    close &= sides[i][:, None] != sides[j][None, :]
+                for x, y, m in ((rows[i], rows[j], close), (rows[j], rows[i], close.T)):
+                    links[x] += m.sum(1)
+                    best[x] = np.minimum(best[x], np.where(m, age[y][None, :], len(lists)).min(1))
+        some = np.flatnonzero(links)
+        first = by_age[best[some]]
+        return pa.table({"key": table["key"].combine_chunks().take(pa.array(some)), "links": pa.array(links[some]), "id": pa.array(ids[first]), "line": pa.array(lines[first])})
 
     met = spread(sets, tasks).groupBy("task").applyInArrow(go, "key binary, links long, id long, line long")
     return met.groupBy("key").agg(F.sum("links").alias("n_links"), F.min(F.struct("id", "line")).alias("linked"))
@@ -329,17 +432,20 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per line: id, line (from 0), n_words (different ones), class_id and class_line (the earliest line with the same
     set; null without words), n_links (other sets linked with it), removed."""
     texts = _texts(docs, id_col, text_col)
-    lines = materialise(lines_of(texts), "lines")
+    every = materialise(lines_of(texts), "lines")
+    lines = every.where("bucket is null").drop("bucket", "k")
     classes = materialise(lines.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), F.min("set").alias("set")), "classes")
-    counts = word_counts(texts)
-    total = classes.where(F.col("n") >= LEAST_LINKED).agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR / OF) + 1)).first()[0] or 0
+    ranks = word_ranks(every)
+    held = prefix_counts(texts, ranks)
+    many = np.clip(-(-held // BLOCK), 1, MOST_BLOCKS)
     least = partitions(docs.sparkSession)
-    marks = flagged(texts, counts, max(least, -(-int(total) // TASK_POSTINGS)))
-    sets = materialise(marks.groupBy("set").agg(F.collect_set("word").alias("marks")), "flagged")
+    found = flagged(texts, ranks, many, max(least, -(-int((held * many).sum()) // TASK_POSTINGS)))
+    sets = marks_of(found)
     partners = classes.join(sets.hint("merge"), "set").select("key", "first", "marks")
-    known = sets_of(texts, counts, bloom(sets)).groupBy("key").agg(F.min("words").alias("words"))
+    known = sets_of(texts, ranks, bloom(sets)).groupBy("key").agg(F.min("words").alias("words"))
     known = materialise(known.join(partners.hint("merge"), "key").select("key", "words", "first.id", "first.line", "marks"), "known")
-    size = known.agg(F.coalesce(F.sum(F.size("marks") * F.length("words")), F.lit(0))).first()[0]
+    copies = F.aggregate("marks", F.lit(0).cast("long"), lambda total, m: total + m["many"])
+    size = known.agg(F.coalesce(F.sum(copies * F.length("words")), F.lit(0))).first()[0]
     links = join_links(known, max(least, -(-int(size) // TASK_BYTES)))
     told = classes.join(links.hint("merge"), "key", "left").select("key", "k", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce(F.col("linked") < F.col("first"), F.lit(False)).alias("late"))
     told = materialise(told, "told")
@@ -355,9 +461,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their removed lines, with the columns of ``docs``. A document all of whose lines go stays, with an empty text."""
-    found = duplicate_lines(docs, id_col, text_col).where("removed").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    found = duplicate_lines(docs, id_col, text_col).where("removed").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.col("line").cast("int")).alias("_gone"))
     found = materialise(found, "gone")
-    spare = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long")))
+    # array_except hashes, so the work is linear in a text's lines; the outer transform holds the split once
+    others = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
+    spare = F.transform(F.array(F.split(F.col(text_col), "\n", -1)), others)[0]
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(spare, "\n"))
     met = docs.join(found.hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left")
     return met.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
