@@ -275,7 +275,7 @@ def test_sum_of_squares_places_where_the_sum_is_least():
             counts = np.bincount([g for g in trial.values() if 0 < g], minlength=capacity)
             return int((counts**2).sum())
 
-        options = {k: after(k) for k, g in [*gaps.items(), (len(gaps), capacity)] if g >= s}
+        options = {k: after(k) for k, g in gaps.items() if g >= s} or {len(gaps): after(len(gaps))}  # a new one only where none has room
         assert options[b] == min(options.values())
         gaps[b] = gaps.get(b, capacity) - s
 
