@@ -1,12 +1,15 @@
 """Quality classifier by supervised subword embeddings.
 
-A document is the mean of learned vectors of its words and its byte n-grams (hashed), followed by a softmax layer; both
+A document is the mean of learned vectors of its words and its character n-grams (hashed), followed by a softmax layer; both
 are fitted by stochastic gradient descent in numpy on a bounded sample of labelled documents (``MAX_TRAIN_DOCS`` of
-them, chosen by a hash of the id, whole texts). As everything after the mean is linear, scoring folds the output layer
-into one number per hashed feature, so whole texts are scored in Arrow batches by table lookups.
+them, chosen by a hash of the id, whole texts). Steps of the vectors are divided by the square root of the feature's
+share of the document (a diagonal preconditioner), so that common features of long texts learn as fast as others. As
+everything after the mean is linear, scoring folds the output layer into one number per hashed feature, so whole texts
+are scored in Arrow batches by table lookups.
 
 Defined results: an empty or null text gets the sample's share of label 1; without any labelled text the score is 0.5;
-null labels are ignored; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
+null labels are ignored; of rows that repeat an id the smallest text is learned from; repeated rows give repeated results;
+extra columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -42,7 +45,7 @@ class Model:
 
     def folded(self) -> np.ndarray:
         """What each feature adds to the log odds of label 1, before the mean."""
-        return self.vectors @ (self.output[1] - self.output[0])
+        return self.vectors.astype(float) @ (self.output[1] - self.output[0])
 
 
 def feature_runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -55,16 +58,14 @@ def feature_runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray,
     for k, back in enumerate(AGAIN):
         place = np.flatnonzero((hashes[back:] == hashes[:-back]) & (doc[back:] == doc[:-back])) + back
         yield np.full(len(place), N_FEATURES - 1 - k), np.searchsorted(place, of, "left")
+    char = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # where characters begin
+    char_at = np.searchsorted(char, at)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(char_at))
     for k, size in enumerate(GRAMS):
-        n = max(len(data) - size + 1, 0)
-        place = np.arange(n)
-        whole = np.ones(n, bool)
-        for back in range(1, size):  # not over the border of two documents
-            cut = at[1:-1] - back
-            whole[cut[(cut >= 0) & (cut < n)]] = False
-        place = place[whole]
-        number = (mix(rolling.raw(place, place + size) + U64(size)) >> U64(64 - GRAM_BITS)).astype(np.int64)
-        yield (1 << WORD_BITS) + k * (1 << GRAM_BITS) + number, np.searchsorted(place, at, "left")
+        n = max(len(doc) - size + 1, 0)
+        place = np.flatnonzero(doc[:n] == doc[len(doc) - n :])  # not over the border of two documents
+        number = (mix(rolling.raw(char[place], char[place + size]) + U64(size)) >> U64(64 - GRAM_BITS)).astype(np.int64)
+        yield (1 << WORD_BITS) + k * (1 << GRAM_BITS) + number, np.searchsorted(place, char_at, "left")
 
 
 def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -74,16 +75,16 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
         numbers = np.concatenate([x for x, _ in feature_runs(raw, np.array([0, len(raw)]))]) if len(raw) else np.zeros(0, np.int64)
         kinds, many = np.unique(numbers, return_counts=True)
-        out.append((kinds, many / max(len(numbers), 1)))
+        out.append((kinds, (many / max(len(numbers), 1)).astype(np.float32)))
     return out
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = 2.0, seed: int = 5) -> Model | None:
-    """Plain stochastic gradient descent on the cross entropy, a document a step, with a falling rate."""
+    """Stochastic gradient descent on the cross entropy, a document a step, with a falling rate and the preconditioner above."""
     if not texts:
         return None
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1, 1, (N_FEATURES, SIZE)) / SIZE
+    vectors = (2 * rng.random((N_FEATURES, SIZE), np.float32) - 1) / np.float32(SIZE)
     output, bias = rng.normal(0, 0.1, (2, SIZE)), np.zeros(2)
     sets, steps = bags(texts), epochs * len(texts)
     done = 0
@@ -92,7 +93,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
             step = rate * (1 - done / steps)
             done += 1
             kinds, share = sets[i]
-            hidden = share @ vectors[kinds]
+            rows = vectors[kinds]
+            hidden = share @ rows
             logits = output @ hidden + bias
             chance = np.exp(logits - logits.max())
             chance /= chance.sum()
@@ -101,7 +103,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
             output -= step * np.outer(chance, hidden)
             bias -= 0.1 * step * chance
             if len(kinds):
-                vectors[kinds] -= step * np.sqrt(share)[:, None] * back  # the square root lets common features of long texts learn as fast
+                vectors[kinds] = rows - np.sqrt(share)[:, None] * (step * back).astype(np.float32)
     return Model(vectors, output, bias, float(np.mean(labels)))
 
 
@@ -136,7 +138,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id
     able = labels.where(learn_from & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
     chosen = able.orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return texts.limit(2 * most).toPandas().sort_values(["id", "text"], kind="stable", na_position="first")
+    return texts.groupBy("id", "label").agg(F.min("text").alias("text")).toPandas().sort_values("id", kind="stable")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from, **columns) -> Model | None:
