@@ -5,13 +5,15 @@ Every vector lies in the cell of its nearest codewords and probes the cells with
 multi-sequence order. How many it probes is set on a bounded sample so that a pair at the threshold itself is met with
 ``TARGET_RECALL`` (pairs above it more often). Met pairs are verified by cosine in double precision.
 
-The sample (``SAMPLE`` vectors, by a hash of the id) serves only codebooks and the number of probes; every vector is
-indexed. Equal vectors form a class that is compared once. Cells are dealt into blocks, so a task holds at most
-``BLOCK`` members and ``BLOCK`` queries whatever a cell holds; a task returns counts per vector and a spanning forest
-of its links, never the links themselves. The grid has at most 2^16 cells; their sizes are broadcast.
-
-Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or have another length than
-the most frequent one link with nothing; rows that repeat a vector count as other vectors; a row
+The sample (``SAMPLE`` vectors of each length, by a hash of the id) serves only codebooks and the number of probes; every
+vector is indexed. Vectors of different lengths can't be linked, so each length has an index of its own. Equal vectors form
+a class that is compared once. Cells are dealt into blocks, so a task holds at most ``BLOCK`` members and ``BLOCK`` queries
+whatever a cell holds; a task returns counts per vector and a spanning forest of its links, never the links themselves.
+A grid has about 128 vectors a cell and at most 2^20 cells (beyond 10^8 vectors cells grow); their sizes are broadcast.
+A vector travels once to each cell that it probes.
+
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; components
+count in the precision they're given in; rows that repeat a vector count as other vectors; a row
 without id gets the links of an equal vector with one, if there is any; extra columns are ignored;
 an empty table gives an empty result.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ TARGET_RECALL = 0.98
 SAMPLE = 8192
 CALIBRATE = 1024
 BLOCK = 2048
-MAX_CODEWORDS = 256
+MAX_CODEWORDS = 1024
 
 
 @dataclass
@@ -48,6 +51,7 @@ class Grid:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -68,7 +72,12 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def halves(x: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray]:
     cut = grid.left.shape[1]
-    return distances(x[:, :cut], grid.left), distances(x[:, cut:], grid.right)
+    return distances(x[:, :cut], grid.left), distances(second_half(x, cut), grid.right)
+
+
+def second_half(x: np.ndarray, cut: int) -> np.ndarray:
+    """The components from ``cut`` on; of vectors of one component, a 0."""
+    return x[:, cut:] if x.shape[1] > cut else np.zeros((len(x), 1))
 
 
 def visit(x: np.ndarray, grid: Grid) -> np.ndarray:
@@ -89,20 +98,24 @@ def fit(x: np.ndarray, n: int, threshold: float = THRESHOLD, target: float = TAR
     """Codebooks for n vectors of which x is a sample, and the number of probes with which a pair at the threshold is met with the target's chance."""
     rng = np.random.default_rng(seed)
     x = unit(x.astype(float))
-    k = int(np.clip(round(np.sqrt(n / 128)), 2, MAX_CODEWORDS))
+    k = int(np.clip(round(np.sqrt(n / 128)), 1, max(1, min(MAX_CODEWORDS, len(x) // 8))))
     cut = max(1, x.shape[1] // 2)
-    right = x[:, cut:] if x.shape[1] > 1 else np.zeros((len(x), 1))
-    grid = Grid(codewords(x[:, :cut], k, rng), codewords(right, k, rng), k * k)
+    grid = Grid(codewords(x[:, :cut], k, rng), codewords(second_half(x, cut), k, rng), k * k)
     some = x[:CALIBRATE]
     noise = rng.normal(size=some.shape)
     noise = noise - (noise * some).sum(1, keepdims=True) * some
     other = threshold * some + np.sqrt(1 - threshold**2) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
+    sides = [halves(v, grid) for v in (some, other)]
+    cells = [(a.argmin(1), b.argmin(1)) for a, b in sides]
     ranks = []
-    for low in range(0, len(some), 64):  # the sums of all cells: up to 64 x 2^16 numbers at once
-        pair = [halves(v[low : low + 64], grid) for v in (some, other)]
-        sums = [(a[:, :, None] + b[:, None, :]).reshape(len(a), -1) for a, b in pair]
-        cell = [s.argmin(1) for s in sums]
-        ranks.append(np.minimum(*[(sums[s] < sums[s][np.arange(len(cell[0])), cell[1 - s]][:, None]).sum(1) for s in (0, 1)]))
+    for s, (a, b) in enumerate(sides):  # how many cells are nearer to one of the pair than the other's cell is
+        (i, j), b = cells[1 - s], np.sort(b, 1)
+        seen = np.empty(len(a), np.int64)
+        for r in range(len(a)):
+            limit = a[r, i[r]] + sides[s][1][r, j[r]]
+            seen[r] = np.searchsorted(b[r], limit - a[r], "left").sum()
+        ranks.append(seen)
+    ranks = [np.minimum(*ranks)]
     grid.probes = int(np.quantile(np.concatenate(ranks), target, method="higher")) + 1
     return grid
 
@@ -114,7 +127,9 @@ def local_links(x: np.ndarray, y: np.ndarray, id_x: np.ndarray, id_y: np.ndarray
 
 
 def _vectors(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, size).astype(float)
+    """Vectors of ``size`` components, kept as 4 or 8 bytes each."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * size * len(column) else np.float64).reshape(-1, size).astype(float)
 
 
 def _cells(valid: DataFrame, grid: Grid, size: int) -> DataFrame:
@@ -131,36 +146,45 @@ def _cells(valid: DataFrame, grid: Grid, size: int) -> DataFrame:
 
 
 def _packed(rows: DataFrame, vec_col: str) -> DataFrame:
-    """(id, vector, length): the float components as bytes; null where the vector can't be compared."""
+    """(id, vector, length): the components as bytes, of 4 bytes each where the column holds floats, else of 8; null where the vector can't be compared."""
+    kind = "float" if rows.schema[vec_col].dataType.elementType.simpleString() == "float" else "double"
+    wide = pa.float32() if kind == "float" else pa.float64()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, lengths = [], []
             for v in batch.column(1):
-                x = None if v.values is None else v.values.cast(pa.float32())
+                x = None if v.values is None else v.values.cast(wide)
                 if x is None or x.null_count or not len(x):
                     ok = None
                 else:
                     x = np.ascontiguousarray(x.to_numpy(zero_copy_only=False))
                     ok = x.tobytes() if np.isfinite(x).all() and x.any() else None
                 raw.append(ok)
-                lengths.append(None if ok is None else len(ok) // 4)
+                lengths.append(None if ok is None else len(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(lengths, pa.int32())], ["id", "vector", "length"])
 
-    return rows.select(F.col("id"), F.col(vec_col).cast("array<float>").alias("v")).mapInArrow(go, "id long, vector binary, length int")
+    return rows.select(F.col("id"), F.col(vec_col).cast(f"array<{kind}>").alias("v")).mapInArrow(go, "id long, vector binary, length int")
 
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """One row per input row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept (id = component_id)."""
     every = materialise(_packed(rows.withColumn("id", F.col(id_col).cast("long")), vec_col), "vectors")
-    usual = every.where("length is not null and id is not null").groupBy("length").count().orderBy(F.desc("count"), "length").first()
-    if usual is None:
+    lengths = every.where("length is not null and id is not null").groupBy("length").count().where("count > 1").orderBy("length").collect()
+    if not lengths:
         return every.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    size = usual["length"]
-    classes = materialise(every.where((F.col("length") == size) & F.col("id").isNotNull()).groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "classes")
+    known = [_of_length(every.where((F.col("length") == r["length"]) & F.col("id").isNotNull()), r["length"], threshold, target) for r in lengths]
+    out = every.join(reduce(DataFrame.unionByName, known).hint("merge"), ["length", "vector"], "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def _of_length(some: DataFrame, size: int, threshold: float, target: float) -> DataFrame:
+    """(length, vector, n_links, component_id) of each different vector of one length."""
+    classes = materialise(some.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "classes")
     n = classes.count()
-    some = classes.orderBy(F.xxhash64("id", F.lit("grid")), "id").select("vector").limit(SAMPLE).toPandas()["vector"]
-    grid = fit(np.frombuffer(b"".join(map(bytes, some)), np.float32).reshape(-1, size), n, threshold, target)
+    sample = classes.orderBy(F.xxhash64("id", F.lit("grid")), "id").select("vector").limit(SAMPLE).toPandas()["vector"]
+    grid = fit(_vectors(pa.array(map(bytes, sample), pa.binary()), size), n, threshold, target)
     placed = materialise(_cells(classes, grid, size), "placed")
     queries = placed.select("id", "weight", "vector", F.col("cells")[0].alias("own"), F.explode("cells").alias("cell"))
     members = placed.withColumn("cell", F.col("cells")[0])
@@ -205,7 +229,4 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
     counts = met.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     labels = components(met.where("kind = 1 and a != b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = classes.join(counts.hint("merge"), "id", "left").join(labels.hint("merge"), "id", "left")
-    known = materialise(known.select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "known")
-    out = every.join(known.hint("merge"), "vector", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return materialise(known.select(F.lit(size).alias("length"), "vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "known")
