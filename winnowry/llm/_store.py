@@ -1,59 +1,40 @@
 """Intermediate tables in the folder that all executors share."""
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from winnowry.sources import scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only a one-machine session may make its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not getattr(spark.sparkContext, "_winnowry_dir", None):
-        spark.sparkContext._winnowry_dir = "file://" + tempfile.mkdtemp(prefix="winnowry-")
-        remove_at_exit(spark, spark.sparkContext._winnowry_dir)
-    return spark.sparkContext._winnowry_dir
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    def go() -> None:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the JVM may be gone by then
-            pass
-
-    atexit.register(go)
+#: Scratch paths of this driver, in the order they were made.
+_made: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/winnowry/{name}-{uuid.uuid4().hex}"
-    remove_at_exit(spark, path)
-    return path
+    """A new path in the shared folder, removed when the driver ends, or with ``staged`` before."""
+    _made.append(scratch.scratch_path(spark, name))
+    return _made[-1]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts the lineage, and a lost executor costs no recomputation."""
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder, in folders by some columns if given, and read it back: it cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns, written; the scratch tables that were made for it are removed."""
+    before = len(_made)
+    out = materialise(build(), name)
+    for path in _made[before:-1]:
+        scratch.remove(spark, path)
+    del _made[before:-1]
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

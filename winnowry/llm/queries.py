@@ -1,6 +1,8 @@
 """The ten operators' queries over the whole tables, with production parameters, and their SQL where SQL can express them."""
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +55,11 @@ def _op6_sql() -> str:
         f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM words, unnest(range(1, len(w) + 1)) AS t(i) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         for phrase, label in licenses.PHRASES.items()
     )
-    own = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM plain WHERE regexp_matches(t, '(^| ){licenses.template_regex(template)}')" for label, template in licenses.TEMPLATES.items())
+    # markup put straight into a regular expression, apart from the operator's own reading of it
+    marks = {"<<beginOptional>>": "(?:", "<<endOptional>>": ")?"}
+    item = lambda x: marks.get(x) or ("(?:[^ ]+ ){%s,%s}" % re.search(r"(\d+)-(\d+)", x).groups() if x.startswith("<<") else x.lower() + " ")
+    pattern = lambda template: "".join(map(item, re.findall(r"<<[^>]*>>|[0-9A-Za-z]+", template)))
+    own = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM plain WHERE regexp_matches(t, '(^| ){pattern(template)}')" for label, template in licenses.TEMPLATES.items())
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -11,6 +11,7 @@ theirs in order; extra columns are ignored; an empty replica makes the other's r
 """
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,7 +39,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     copies = hashed.groupBy("record", "d", "size").agg(F.count(F.lit(1)).alias("k"))
     slots = copies.groupBy("record").agg(F.sum("k").alias("n_records"), F.sum(F.col("k") * F.col("size")).alias("length"), F.sort_array(F.collect_list(F.struct("d", "k"))).alias("each"))
     several = F.sha2(F.concat_ws(",", F.flatten(F.transform("each", lambda x: F.array_repeat(x.d, x.k.cast("int"))))), 256)
-    slots = slots.select("record", F.floor(F.col("record") / SLOTS).alias("file"), F.pmod("record", F.lit(SLOTS)).alias("slot"), "n_records", "length", F.when(F.col("n_records") == 1, F.col("each")[0]["d"]).otherwise(several).alias("digest"))
+    slots = slots.select("record", F.expr(f"(record - pmod(record, {SLOTS})) div {SLOTS}").alias("file"), F.pmod("record", F.lit(SLOTS)).alias("slot"), "n_records", "length", F.when(F.col("n_records") == 1, F.col("each")[0]["d"]).otherwise(several).alias("digest"))
     before = Window.partitionBy("file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return slots.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
 
@@ -77,7 +78,7 @@ def fixity(one: DataFrame, two: DataFrame, id_col: str = "page_id", url_col: str
     """Audit of replica ``two`` against replica ``one``, both tables of pages: id, file, slot, n_records, offset, length, record_sha256, status, file_root (of replica one).
     A record that only the second replica holds has the second's offset, length and digest."""
     leaves = [materialise(records(x, id_col, url_col, body_col), "records") for x in (one, two)]
-    trees = [materialise(tree(x), "tree") for x in leaves]
+    trees = [materialise(tree(x), "tree", "level") for x in leaves]  # a level is a folder, so a descent reads its level only
     differ = audit(*trees)
     extra = leaves[1].join(differ.where("status = 'extra'").select("file", "slot"), ["file", "slot"], "left_semi")
     every = leaves[0].unionByName(extra, allowMissingColumns=False)
@@ -87,7 +88,9 @@ def fixity(one: DataFrame, two: DataFrame, id_col: str = "page_id", url_col: str
 
 
 def parse(raw: bytes) -> Iterator[tuple[int, int, str, bytes]]:
-    """(offset, length, target, body) of each record of an uncompressed WARC file."""
+    """(offset, length, target, body) of each record of a WARC file. Offsets of a file of gzip members are those of its uncompressed bytes."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
     at = 0
     while at < len(raw):
         head_end = raw.index(b"\r\n\r\n", at) + 4
@@ -99,7 +102,7 @@ def parse(raw: bytes) -> Iterator[tuple[int, int, str, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed WARC files: path, offset, length, url, body. A file is read whole by one task."""
+    """Records of WARC files, compressed by gzip or not: path, offset, length, url, body. A file (1 GB by custom, 2 GB at most) is read whole by one task."""
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
