@@ -69,10 +69,10 @@ def stage_tables(spark, d) -> tuple[DataFrame, ...]:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     path = F.concat(F.lit("BV"), F.col("doc_id").cast("string"), F.lit("_x.wav"))
     part = lambda m, k: (F.pmod("doc_id", F.lit(m)) / float(k))
-    asr = docs.where("doc_id % 10 <> 3").select(path.alias("path"), "lang", "text", (F.col("n_chars") / 300.0).alias("audio_duration"), (0.4 + part(61, 100)).alias("language_probability"), (-part(13, 10)).alias("avg_logprob"), part(7, 10).alias("max_no_speech_probability"), (1.0 + part(17, 10)).alias("max_compression_ratio"))
-    filters = docs.where("doc_id % 7 <> 1").select(path.alias("path"), (F.col("n_chars") / 300.0).alias("duration"), (-50.0 + part(41, 1)).alias("rms_db"), part(90, 100).alias("voiced_ratio"), part(30, 100).alias("f0_cv"), part(6, 1).alias("longest_voiced"), F.lit(None).cast("string").alias("reason"))
+    asr = docs.where("doc_id % 10 <> 3").select(path.alias("path"), "lang", "text", (F.col("n_chars") / 307.0).alias("audio_duration"), (0.4 + part(61, 100)).alias("language_probability"), (-part(13, 10)).alias("avg_logprob"), part(7, 10).alias("max_no_speech_probability"), (1.0 + part(17, 10)).alias("max_compression_ratio"))
+    filters = docs.where("doc_id % 7 <> 1").select(path.alias("path"), (F.col("n_chars") / 307.0).alias("duration"), (-50.0 + part(41, 1)).alias("rms_db"), part(90, 100).alias("voiced_ratio"), part(30, 100).alias("f0_cv"), part(6, 1).alias("longest_voiced"), F.lit(None).cast("string").alias("reason"))
     speakers = labels.select(path.alias("path"), F.when(F.col("quality") == 1, "accept").otherwise("reject").alias("decision"), part(100, 100).alias("score"), part(50, 100).alias("score_lower"))
-    align = docs.where("doc_id % 11 <> 5").select(path.alias("path"), part(97, 96).alias("similarity"), (F.col("doc_id") % 2 == 0).alias("keep"), F.lit(None).cast("string").alias("forced_text"))
+    align = docs.where("doc_id % 11 <> 5").select(path.alias("path"), part(97, 97).alias("similarity"), (F.col("doc_id") % 2 == 0).alias("keep"), F.lit(None).cast("string").alias("forced_text"))
     plan = docs.where("doc_id % 3 <> 0").select(F.concat(F.lit("BV"), F.col("doc_id").cast("string")).alias("source_id"), F.when(F.col("doc_id") % 3 == 1, "A").otherwise("B").alias("tier"), F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("watch"))).otherwise(F.array().cast("array<string>")).alias("risk"))
     return filters, speakers, asr, align, plan
 
@@ -80,10 +80,10 @@ def stage_tables(spark, d) -> tuple[DataFrame, ...]:
 CFG = scorecard.ScorecardConfig(languages=("en", "zh", "ja"))
 _SCORED = f"""WITH {sql.quality("SELECT doc_id AS k, text, lang FROM documents WHERE doc_id % 10 <> 3")},
 m AS (SELECT d.doc_id, CASE WHEN d.doc_id % 10 <> 3 THEN lang ELSE '' END AS lang, CASE WHEN d.doc_id % 10 <> 3 THEN {sql.strip("text")} ELSE '' END AS text, d.doc_id % 10 <> 3 AS a, d.doc_id % 7 <> 1 AS f, l.doc_id IS NOT NULL AS s, d.doc_id % 11 <> 5 AS g,
-    CASE WHEN d.doc_id % 7 <> 1 OR d.doc_id % 10 <> 3 THEN n_chars / 300.0::DOUBLE END AS dur, CASE WHEN d.doc_id % 7 <> 1 THEN -50.0::DOUBLE + d.doc_id % 41 END AS rms, (d.doc_id % 90) / 100.0::DOUBLE AS vr, (d.doc_id % 30) / 100.0::DOUBLE AS cv, (d.doc_id % 6)::DOUBLE AS lv,
+    CASE WHEN d.doc_id % 7 <> 1 OR d.doc_id % 10 <> 3 THEN n_chars / 307.0::DOUBLE END AS dur, CASE WHEN d.doc_id % 7 <> 1 THEN -50.0::DOUBLE + d.doc_id % 41 END AS rms, (d.doc_id % 90) / 100.0::DOUBLE AS vr, (d.doc_id % 30) / 100.0::DOUBLE AS cv, (d.doc_id % 6)::DOUBLE AS lv,
     l.quality, CASE WHEN l.doc_id IS NOT NULL THEN (d.doc_id % 100) / 100.0::DOUBLE END AS spk, CASE WHEN l.doc_id IS NOT NULL THEN (d.doc_id % 50) / 100.0::DOUBLE END AS low,
     CASE WHEN d.doc_id % 10 <> 3 THEN 0.4::DOUBLE + (d.doc_id % 61) / 100.0::DOUBLE END AS lp, CASE WHEN d.doc_id % 10 <> 3 THEN -((d.doc_id % 13) / 10.0::DOUBLE) END AS lg, (d.doc_id % 7) / 10.0::DOUBLE AS nsp, 1.0::DOUBLE + (d.doc_id % 17) / 10.0::DOUBLE AS cr,
-    CASE WHEN d.doc_id % 11 <> 5 THEN (d.doc_id % 97) / 96.0::DOUBLE END AS sim, CASE WHEN d.doc_id % 3 = 1 THEN 'A' WHEN d.doc_id % 3 = 2 THEN 'B' ELSE 'C' END AS tier, d.doc_id % 3 <> 0 AND d.doc_id % 5 = 0 AS watch, q.reasons AS q
+    CASE WHEN d.doc_id % 11 <> 5 THEN (d.doc_id % 97) / 97.0::DOUBLE END AS sim, CASE WHEN d.doc_id % 3 = 1 THEN 'A' WHEN d.doc_id % 3 = 2 THEN 'B' ELSE 'C' END AS tier, d.doc_id % 3 <> 0 AND d.doc_id % 5 = 0 AS watch, q.reasons AS q
     FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN quality q ON q.k = d.doc_id),
 n AS (SELECT *, CASE WHEN tier = 'A' THEN 0.5 ELSE 0.45 END AS need, regexp_replace(text, '{sql.WS}', '', 'g') AS ns, regexp_replace(text, '{sql.PUNCT}', '', 'g') AS p FROM m),
 cl AS (SELECT doc_id, sum(CASE WHEN c >= 3 THEN 1 ELSE c END) AS cl FROM (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, (lag(ch) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM ch)::INT AS s FROM (SELECT doc_id, unnest(string_split(p, '')) AS ch, generate_subscripts(string_split(p, ''), 1) AS i FROM n WHERE p <> ''))) GROUP BY ALL) GROUP BY doc_id),

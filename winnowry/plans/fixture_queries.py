@@ -142,10 +142,12 @@ def q_durations(spark, d):
 PAIRS = "SELECT * FROM (VALUES (1, '你好，世界！', '你好世界', NULL), (2, '今天天气很好', '完全不同的话', NULL), (3, '', '', NULL), (4, '只有一个', '', NULL), (5, '今天去公园玩了很开心啊', '今天去公园玩得很开心呀', '今天去公园玩了很开心啊')) AS t(k, primary, secondary, third)"
 
 
-@query()
+@query("""SELECT k, decision, tier, final_text, round(sim_ab::DOUBLE, 9) AS sim_ab, sim_ac::DOUBLE AS sim_ac, round(sim_bc::DOUBLE, 9) AS sim_bc, round(cer_ab::DOUBLE, 9) AS cer_ab, chosen FROM (VALUES (1, 'keep', 'strict', '你好，世界！', 1, NULL, NULL, 0, 'primary'),
+(2, 'drop', 'drop_low_sim', NULL, 0, NULL, NULL, 1, NULL), (3, 'drop', 'drop_empty', NULL, NULL, NULL, NULL, NULL, NULL), (4, 'drop', 'drop_no_pair', NULL, 0, NULL, NULL, NULL, NULL),
+(5, 'drop', 'drop_low_sim', NULL, 18 / 22.0::DOUBLE, 1, 18 / 22.0::DOUBLE, 2 / 11.0::DOUBLE, NULL)) AS t(k, decision, tier, final_text, sim_ab, sim_ac, sim_bc, cer_ab, chosen)""")
 def q_similarity_consensus(spark, d):
     rows = values(spark, PAIRS).withColumns({"primary_logprob": F.lit(None).cast("double"), "secondary_logprob": F.lit(None).cast("double")})
-    return consensus.adjudicate(rows).select("k", "decision", "tier", "final_text", "sim_ab", "sim_ac", "sim_bc", "cer_ab", "chosen")
+    return consensus.adjudicate(rows).select("k", "decision", "tier", "final_text", *[F.round(c, 9).alias(c) for c in ("sim_ab", "sim_ac", "sim_bc", "cer_ab")], "chosen")
 
 
 @query("SELECT NULL AS lang, 3::BIGINT AS n, 2::BIGINT AS kept, round(2 / 3.0, 9)::DOUBLE AS keep_rate, 0.965::DOUBLE AS mean_sim, 0.93::DOUBLE AS min_sim UNION ALL SELECT 'zh', 2, 1, 0.5, 1.0, 1.0 UNION ALL SELECT 'ja', 1, 1, 1.0, 0.93, 0.93")
@@ -168,7 +170,11 @@ def q_fact_retrieval(spark, d):
     return retrieval.retrieve_facts(queries, facts).select("query_id", "sensitive", "fact_id", "hits")
 
 
-@query()
+@query("""WITH q(id, scene, kana) AS (VALUES (1, '问候', false), (2, '', false), (3, '问候', true)), p(text) AS (VALUES ('今天吃什么'), ('再见啦'), ('我们开始吧')),
+c(part, o, text, scene, kana) AS (VALUES (0, 1, '你好呀大家', '问候', false), (0, 2, '谢谢你们', '感谢', false), (0, 3, 'こんにちは', '问候', true), (1, 1, '早上好', '问候', false), (1, 2, '好吃', '食物', false)),
+m AS (SELECT q.id, c.text, 0 AS tier, printf('%d%012d', part, o) AS place FROM q JOIN c ON (q.scene = '' OR q.scene = c.scene) AND (NOT c.kana OR q.kana)),
+f AS (SELECT id, p.text, 3 AS tier, md5('7|' || id || '|' || p.text) AS place FROM (SELECT id FROM m GROUP BY id HAVING count(*) < 3), p)
+SELECT id AS query_id, text, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, place) AS rank FROM (SELECT * FROM m UNION ALL SELECT * FROM f)) WHERE rank <= 5""")
 def q_fewshot_fill(spark, d):
     rows = lambda text: values(spark, f"SELECT ordinal, text, lang, split(scenes, ',') AS scenes, CAST(NULL AS STRING) AS era_tag FROM (VALUES {text}) AS t(ordinal, text, lang, scenes)")
     official = rows("(1, '你好呀大家', 'zh', '问候'), (2, '谢谢你们', 'zh', '感谢'), (3, 'こんにちは', 'ja', '问候')")
@@ -246,7 +252,7 @@ def q_finite_clamp(spark, d):
     return rows.select("k", x.alias("value"), numeric.clamp(x).alias("clamped"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, '今天很好呀'), (2, '今天很好'), (3, '今天很好')) AS t(k, text)")
 def q_corrections(spark, d):
     rows = values(spark, "SELECT * FROM (VALUES (1, '今天很好', '今天很好呀'), (2, '今天很好', '完全不同'), (3, '今天很好', ' ')) AS t(k, old, new)")
     return rows.select("k", similarity.accept_correction(F.col("old"), F.col("new")).alias("text"))
