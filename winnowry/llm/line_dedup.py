@@ -41,7 +41,7 @@ MIN_WORDS = 1
 LEAST_LINKED = -(-SIMILAR // (OF - SIMILAR))
 COUNTERS = 1 << 16
 #: Postings that a task of the join holds on average.
-TASK_POSTINGS = 400_000
+TASK_POSTINGS = 200_000
 #: Bytes of sets that a task of the second join holds on average, at most.
 TASK_BYTES = 32 << 20
 #: Classes of a word that meet in one block.
@@ -300,23 +300,28 @@ def marks_of(found: DataFrame) -> DataFrame:
 
 
 def bloom(sets: DataFrame) -> np.ndarray:
-    """A bit map of fixed size, with a bit for each set; it only spares work, as false hits are dropped by a join."""
+    """A bit map of fixed size, with a bit for each number in ``set``; it only spares work, as false hits are dropped by a join."""
     rows = sets.selectExpr(f"shiftright(pmod(set, {BLOOM_BITS}), 5) AS w", f"shiftleft(1L, CAST(pmod(set, {BLOOM_BITS}) & 31 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(BLOOM_BITS // 32, np.uint32)
     out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
-def sets_of(texts: DataFrame, ranks: np.ndarray, chosen: np.ndarray) -> DataFrame:
-    """(key, words): the words by rarity of every line whose set the bit map has."""
+def in_map(numbers: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    bit = numbers % U64(BLOOM_BITS)
+    return (chosen[(bit >> U64(5)).astype(np.int64)] >> (bit & U64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def sets_of(texts: DataFrame, ranks: np.ndarray, chosen: np.ndarray, holders: np.ndarray) -> DataFrame:
+    """(key, words): the words by rarity of lines whose set the bit map ``chosen`` has, in texts whose id the bit map ``holders`` has; other texts aren't read."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in blocks(batch.column(1)):
+            held = np.flatnonzero(in_map(batch.column(0).to_numpy().view(U64), holders))
+            for _, _, data, at in blocks(batch.column(1).take(pa.array(held))):
                 _, _, words, of, line = line_sets(data, at)
                 keys = keys_of(words, of)
-                bit = keys[:, 0] % U64(BLOOM_BITS)
-                use = (chosen[(bit >> U64(5)).astype(np.int64)] >> (bit & U64(31)).astype(np.uint32) & np.uint32(1)).astype(bool) & (np.diff(of) >= LEAST_LINKED)
+                use = in_map(keys[:, 0], chosen) & (np.diff(of) >= LEAST_LINKED)
                 _, one = np.unique(keys[:, 0], return_index=True)
                 once = np.zeros(len(use), bool)
                 once[one] = True
@@ -441,8 +446,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = partitions(docs.sparkSession)
     found = flagged(texts, ranks, many, max(least, -(-int((held * many).sum()) // TASK_POSTINGS)))
     sets = marks_of(found)
-    partners = classes.join(sets.hint("merge"), "set").select("key", "first", "marks")
-    known = sets_of(texts, ranks, bloom(sets)).groupBy("key").agg(F.min("words").alias("words"))
+    partners = materialise(classes.join(sets.hint("merge"), "set").select("key", "first", "marks"), "partners")
+    holders = bloom(partners.select(F.col("first.id").alias("set")))  # a class is read where its first line stands
+    known = sets_of(texts, ranks, bloom(sets), holders).groupBy("key").agg(F.min("words").alias("words"))
     known = materialise(known.join(partners.hint("merge"), "key").select("key", "words", "first.id", "first.line", "marks"), "known")
     copies = F.aggregate("marks", F.lit(0).cast("long"), lambda total, m: total + m["many"])
     size = known.agg(F.coalesce(F.sum(copies * F.length("words")), F.lit(0))).first()[0]
