@@ -1,4 +1,4 @@
-"""The ten operators' queries over the whole tables, with production parameters, and their SQL where SQL can express them."""
+"""The operators' queries over the whole tables, with production parameters, and their SQL where SQL can express them."""
 from __future__ import annotations
 
 import re
@@ -7,9 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, langid, licenses, line_dedup, minhash_dedup, mixing, packing, quality, warc
+from . import alignment, bpe_words, embedding_dedup, exact_dedup, fill_in_middle, langid, licenses, line_dedup, minhash_dedup, mixing, packing, quality, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER, PIECE_MODEL = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,5 +147,43 @@ SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CASE WHEN tokens >
        CASE WHEN n_tokens = 0 THEN 1 ELSE passes + (start + n_tokens <= quota - passes * tokens)::BIGINT END AS copies, block, start FROM z"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op3_language_id, op4_embedding_dedup, op5_warc_fixity, op6_license_scan, op7_line_dedup, op8_best_fit_packing, op9_minhash_dedup, op10_source_mixing)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op5_warc_fixity": _op5_sql(), "op6_license_scan": _op6_sql(), "op10_source_mixing": op10_sql()}
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_words.encode_and_decode(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned, _ = alignment.align_tokenizers(table(spark, sf_dir, "documents"), TOKENIZER, PIECE_MODEL)
+    return aligned.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select(
+        F.col("id").alias("doc_id"), "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS p, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(p)::BIGINT AS n, least(h1 % (len(p) + 1), h2 % (len(p) + 1)) AS low, greatest(h1 % (len(p) + 1), h2 % (len(p) + 1)) AS high,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+s AS (SELECT *, coalesce(array_to_string(p[1:low], ''), '') AS a, coalesce(array_to_string(p[low + 1:high], ''), '') AS b, coalesce(array_to_string(p[high + 1:], ''), '') AS c FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b WHEN 'spm' THEN '<S>' || c || '<P>' || a || '<M>' || b ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM s
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_exact_dedup, op3_language_id, op4_embedding_dedup, op5_warc_fixity, op6_license_scan, op7_line_dedup, op8_best_fit_packing, op9_minhash_dedup, op10_source_mixing,
+        op11_bpe_round_trip, op12_tokenizer_alignment, op13_fill_in_middle,
+    )
+}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op5_warc_fixity": _op5_sql(), "op6_license_scan": _op6_sql(), "op10_source_mixing": op10_sql(), "op13_fill_in_middle": OP13_SQL}
