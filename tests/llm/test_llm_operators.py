@@ -30,7 +30,7 @@ def docs(spark, *texts, extra=None):
 def awkward(spark):
     """Nulls, empty and very long texts, repeated rows, copies, near copies, odd white space, and columns whose names clash with inner ones."""
     near = BASE.replace("tok7 ", "other ")
-    return docs(spark, None, "", " \n\t ", "a", "a b c d", BASE, BASE, near, BASE.upper(), LONG, LONG + " end", "x　y\r\nz <|endoftext|> q", "one line here of words\none line here of words\n\n", "ü é ñ", "123 456", extra=("id", "key", "set", "n", "line", "row", "words", "digest", "label", "component", "u", "v", "block", "start", "copies"))
+    return docs(spark, None, "", " \n\t ", "a", "a b c d", BASE, BASE, near, BASE.upper(), LONG, LONG + " end", "x　y\r\nz <|endoftext|> q", "one line here of words\none line here of words\n\n", "ü é ñ", "123 456", extra=("id", "key", "set", "n", "line", "row", "words", "digest", "label", "component", "u", "v", "block", "start", "copies", "_id", "_gone", "gone", "_row", "kept", "score", "component_id", "weight", "rest"))
 
 
 @pytest.fixture(scope="module")

@@ -27,7 +27,7 @@ def test_pipeline(spark):
     docs = corpus_pipeline.table(spark, SF, "documents")
     columns, n = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialise(stage(spark, docs, SF), name)
+        docs = corpus_pipeline.staged(spark, lambda stage=stage, docs=docs: stage(spark, docs, SF), name)
         assert docs.columns == columns and docs.count() > 0.5 * n
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()

@@ -25,6 +25,16 @@ def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """Write a table to the shared folder in n buckets by a column, and read it back: what groups by the column later doesn't shuffle it. Each task
+    writes its own rows; the catalog forgets the table when the driver ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def staged(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``build`` returns, written; the scratch tables that were made for it are removed."""
     before = len(_made)

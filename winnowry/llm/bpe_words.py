@@ -2,8 +2,9 @@
 
 Texts are split at ASCII white space in the scan; each block of rows lists its distinct words once, dealt by a hash into
 shards. A shard's task encodes each of its distinct words once, whatever number of blocks ask for it, and the ids go back to
-the blocks, where the places of a text's words turn into its ids. The distinct ids of a block are joined to the
-vocabulary's pieces, and these spell the decoded text. Only packed places, distinct words and ids travel.
+the blocks, where the places of a text's words turn into its ids. To decode, a block's distinct ids are joined with the broadcast table of
+ids and pieces, as large as the vocabulary, and the pieces at a text's ids spell it. Only distinct words and their ids are
+shuffled: places are written in buckets by block and stay there.
 
 It holds for vocabularies that drop white space: whose splitter keeps matches without white space only, so that ids of words
 join to the ids of a text. ``Vocabulary`` checks this when it loads a file and refuses others. Such a file has no decoder: the
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import BLOCK_BYTES, numbered, pack_ints, runs, unpack_ints
-from ._store import materialise, partitions
+from ._store import bucketed, materialise, partitions
 
 #: Bytes of text to a shard: no shard's words can have more, and they have far less.
 SHARD_BYTES = 64 << 20
@@ -70,55 +71,75 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def word_shards(words: pa.Array, shards: int) -> np.ndarray:
+def shard_of(words: list[bytes], shards: int) -> np.ndarray:
     """The shard of each word, by a hash of its bytes."""
-    return np.fromiter((zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words)) % shards
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words in order, deflated; none holds a line end, as they're parts between white space."""
+    return zlib.compress(b"\n".join(words), 1)
+
+
+def unpack_words(packed: bytes) -> list[str]:
+    return zlib.decompress(packed).decode().split("\n")
+
+
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """The order in which words are numbered: the most frequent first, so that most places are small numbers."""
+    return np.argsort(-counts, kind="stable")
 
 
 def split(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (id, text) to rows of two kinds: (block, id, places) a document, (block, shard, words) a block's distinct words of a shard. Places count
-    a block's words shard by shard."""
+    """docs (id, text) to rows of two kinds: (block, id, places) a document, and (block, shard, words, counts) a block's distinct words of a shard, in order, with how
+    often they occur. Places number a block's words, listed shard by shard, by their counts."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in numbered(batches, 1, block_bytes):
             listed = pc.ascii_split_whitespace(pc.fill_null(rows.column(1), ""))
             coded = listed.flatten().dictionary_encode()
-            shard = word_shards(coded.dictionary, shards)
+            ids, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
+            sorted_ = pc.sort_indices(words).to_numpy()
+            names = words.take(pa.array(sorted_)).to_pylist()
+            shard = shard_of(names, shards)
             order = np.argsort(shard, kind="stable")
+            counts = np.bincount(ids, minlength=len(names))[sorted_][order]
             place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            places, at = place[coded.indices.to_numpy(zero_copy_only=False)], runs(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+            place[sorted_[order][by_count(counts)]] = np.arange(len(order))
+            places, at = place[ids], runs(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
             packed = [pack_ints(places[low:high]) for low, high in zip(at[:-1], at[1:], strict=True)]
             n = len(packed)
-            yield batch(block, rows.column(0), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())))
+            yield batch(block, rows.column(0), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
             used, first = np.unique(shard[order], return_index=True)
-            ends = np.append(first, len(order)).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), coded.dictionary.take(pa.array(order)))
-            yield batch(block, pa.nulls(len(used), rows.column(0).type), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), words)
+            cut = list(zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True))
+            own = [pack_words([names[k] for k in order[low:high].tolist()]) for low, high in cut]
+            often = [pack_ints(counts[low:high]) for low, high in cut]
+            yield batch(block, pa.nulls(len(used), rows.column(0).type), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(own, pa.binary()), pa.array(often, pa.binary()))
 
     def batch(block: int, *columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), block)), *columns], ["block", "id", "places", "shard", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), block)), *columns], ["block", "id", "places", "shard", "words", "counts"])
 
-    return docs.mapInArrow(go, f"block long, id {kind}, places binary, shard int, words array<string>")
+    return docs.mapInArrow(go, f"block long, id {kind}, places binary, shard int, words binary, counts binary")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, shard, words) to (block, shard, sizes, ids): each distinct word is encoded once, by its shard's task."""
+    """(block, shard, words, counts) to (block, shard, counts, sizes, ids): each distinct word is encoded once, by its shard's task."""
 
     def go(rows: pa.Table) -> pa.Table:
-        listed = rows["words"].combine_chunks()
-        coded = listed.flatten().dictionary_encode()
-        ids = vocabulary(path).encode(coded.dictionary.to_pylist())
-        table = pa.array(ids, pa.list_(pa.int32())).take(coded.indices)
-        sizes, at = pc.list_value_length(table).to_numpy(zero_copy_only=False), runs(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
-        low, flat = runs(sizes), table.flatten()
+        asked = [unpack_words(x) for x in rows["words"].to_pylist()]
+        known = {w: k for k, w in enumerate(dict.fromkeys(w for x in asked for w in x))}
+        ids = vocabulary(path).encode(list(known))
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        table = pa.array(ids, pa.list_(pa.int32()))
+        places = [np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in asked]
+        flat = [table.take(pa.array(p)).flatten().to_numpy(zero_copy_only=False) for p in places]
         return pa.table({
-            "block": rows["block"], "shard": rows["shard"], "sizes": pa.array([pack_ints(sizes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-            "ids": pa.ListArray.from_arrays(pa.array(low[at].astype(np.int32)), flat),
+            "block": rows["block"], "shard": rows["shard"], "counts": rows["counts"],
+            "sizes": pa.array([pack_ints(length[p]) for p in places], pa.binary()), "ids": pa.array([pack_ints(x) for x in flat], pa.binary()),
         })
 
-    return words.groupBy("shard").applyInArrow(go, "block long, shard int, sizes binary, ids array<int>")
+    return words.groupBy("shard").applyInArrow(go, "block long, shard int, counts binary, sizes binary, ids binary")
 
 
 def pieces(spark, path: str) -> DataFrame:
@@ -126,38 +147,42 @@ def pieces(spark, path: str) -> DataFrame:
     return spark.createDataFrame(vocabulary(path).pieces(), "piece_id int, piece string")
 
 
-def _spell(docs: pa.Table, told: pa.Table) -> pa.Table:
-    """A block's documents with its words' ids (rows with a shard) and its ids' pieces (rows with a piece)."""
-    words = told.filter(pc.is_valid(told["shard"])).sort_by("shard")
-    sizes = np.concatenate([unpack_ints(x) for x in words["sizes"].to_pylist()] or [np.zeros(0, np.int64)])
-    ids = pa.ListArray.from_arrays(pa.array(runs(sizes).astype(np.int32)), pc.list_flatten(words["ids"]).combine_chunks())
-    spelt = told.filter(pc.is_valid(told["piece"])).sort_by("piece_id")
-    known, piece = spelt["piece_id"].to_numpy(), pc.binary_join_element_wise(spelt["piece"].combine_chunks().cast(pa.large_string()), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
-    out_ids, out_text = [], []
-    for packed in docs["places"].to_pylist():
-        places, parts, text = unpack_ints(packed), [], []
-        for low in range(0, len(places), MERGE_WORDS):
-            found = ids.take(pa.array(places[low : low + MERGE_WORDS])).flatten().to_numpy(zero_copy_only=False)
-            parts.append(found.astype("<u4").tobytes())
-            text.append("".join(piece.take(pa.array(np.searchsorted(known, found))).to_pylist()))
-        out_ids.append(b"".join(parts))
-        out_text.append("".join(text)[:-1])
-    return pa.table({"id": docs["id"], "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
+def _speller(known: pa.Table):
+    """Puts a block's documents together; ``known`` is the table of ids and pieces."""
+
+    def go(docs: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by("shard")
+        joined = lambda name: np.concatenate([*map(unpack_ints, words[name].to_pylist()), np.zeros(0, np.int64)])
+        flat = pa.array(joined("ids").astype(np.int32))
+        ids = pa.ListArray.from_arrays(pa.array(runs(joined("sizes")).astype(np.int32)), flat).take(pa.array(by_count(joined("counts"))))
+        spelt = pa.table({"piece_id": flat.unique()}).join(known, "piece_id").sort_by("piece_id")
+        have, piece = spelt["piece_id"].to_numpy(), spelt["piece"].combine_chunks()
+        out_ids, out_text = [], []
+        for packed in docs["places"].to_pylist():
+            places, parts, text = unpack_ints(packed), [], []
+            for low in range(0, len(places), MERGE_WORDS):
+                found = ids.take(pa.array(places[low : low + MERGE_WORDS])).flatten().to_numpy(zero_copy_only=False)
+                parts.append(found.astype("<u4").tobytes())
+                text += piece.take(pa.array(np.searchsorted(have, found))).to_pylist()
+            out_ids.append(b"".join(parts))
+            out_text.append(" ".join(text))
+        return pa.table({"id": docs["id"], "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
+
+    return go
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, ids, decoded) a row: the ids as little-endian unsigned 32-bit integers, and the text that they decode to."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(partitions(docs.sparkSession), -(-size // SHARD_BYTES))
-    table = materialise(split(rows, shards, block_bytes), "bpe_split")
-    words = materialise(encode_words(table.where("shard is not null").select("block", "shard", "words"), path), "bpe_words")
-    used = words.select("block", F.explode(F.array_distinct("ids")).alias("piece_id")).distinct()
-    spelt = used.join(F.broadcast(pieces(docs.sparkSession, path)), "piece_id")
-    told = words.unionByName(spelt, allowMissingColumns=True)
+    shards = max(partitions(spark), -(-size // SHARD_BYTES))
+    table = bucketed(split(rows, shards, block_bytes), "bpe_split", "block", partitions(spark))
+    words = encode_words(table.where("shard is not null").select("block", "shard", "words", "counts"), path)
+    known = pieces(spark, path).toArrow()
     kind = rows.schema["id"].dataType.simpleString()
-    own = table.where("shard is null").select("block", "id", "places")
-    return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_spell, f"id {kind}, n_tokens long, ids binary, decoded string")
+    own = table.where("shard is null").select(F.col("block").alias("own_block"), "id", "places")
+    return own.groupBy("own_block").cogroup(words.groupBy("block")).applyInArrow(_speller(known), f"id {kind}, n_tokens long, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

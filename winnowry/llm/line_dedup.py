@@ -467,11 +467,14 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their removed lines, with the columns of ``docs``. A document all of whose lines go stays, with an empty text."""
-    found = duplicate_lines(docs, id_col, text_col).where("removed").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.col("line").cast("int")).alias("_gone"))
+    found = duplicate_lines(docs, id_col, text_col).where("removed").groupBy(F.col(id_col).alias("id")).agg(F.collect_set(F.col("line").cast("int")).alias("gone"))
     found = materialise(found, "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("id", F.col("row")[id_col].cast("long"))
+    whole = F.col("row")[text_col]
     # array_except hashes, so the work is linear in a text's lines; the outer transform holds the split once
-    others = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
-    spare = F.transform(F.array(F.split(F.col(text_col), "\n", -1)), others)[0]
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(spare, "\n"))
-    met = docs.join(found.hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left")
-    return met.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    others = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
+    spare = F.transform(F.array(F.split(whole, "\n", -1)), others)[0]
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(spare, "\n"))
+    # rows without id keep all lines: they aren't joined, so that they can't make one hot key
+    met = rows.where("id is not null").join(found.hint("merge"), "id", "left").unionByName(rows.where("id is null"), allowMissingColumns=True)
+    return met.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
