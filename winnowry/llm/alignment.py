@@ -4,6 +4,9 @@ A whole run of texts is laid out end to end: every token of A and of B has an en
 tokens end; where both end, the run is cut into groups, and sums of the marks, taken at the texts' bounds, give each text's results.
 Between two neighbouring ends of either side lies one pair of tokens that overlap: a link.
 
+Neither tokenizer has a token across a single blank between other characters, so a block's texts are split there and each distinct part is
+encoded once; a text's tokens are its parts' in order.
+
 Counts of linked id pairs over the corpus are summed per block before they're shuffled. A block then asks for its distinct
 pairs' counts, and its texts, kept as packed places of these pairs, sum them.
 
@@ -24,18 +27,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._arrow import blocks
-from ._blocks import numbered, pack_ints, runs, unpack_ints
+from ._blocks import BLOCK_BYTES, numbered, pack_ints, runs, unpack_ints
 from ._store import materialise
 
-BLOCK_BYTES = 16 << 20
 #: Bytes of text that are laid out at once.
 RUN_BYTES = 1 << 20
 CHUNK_CHARS = 1 << 20
+ENCODE_ROWS = 50_000
+#: Ids stay below this in both vocabularies; larger ones are refused.
+MOST_IDS = 1 << 17
 BLANK = "▁"
 
 
@@ -51,6 +57,13 @@ def parts(text: str, size: int) -> list[str]:
     return [*out, text[low:]]
 
 
+def _table(spelt: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The bytes of each id, and their number."""
+    if len(spelt) > MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} ids")
+    return pa.array(spelt, pa.binary()), np.asarray([len(x) for x in spelt], np.int64)
+
+
 class ByteLevel:
     """A byte-level BPE file of the tokenizers library: ids of blank + text, and the bytes of each id."""
 
@@ -72,9 +85,10 @@ class ByteLevel:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         known = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes = [b""] * (max(known.values()) + 1)
+        spelt = [b""] * (max(known.values()) + 1)
         for token, i in known.items():
-            self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+            spelt[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.table, self.width = _table(spelt)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [parts(" " + t, CHUNK_CHARS) for t in texts]
@@ -90,7 +104,7 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(BLANK, " ").encode() for i, n in enumerate(names)]
+        self.table, self.width = _table([bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(BLANK, " ").encode() for i, n in enumerate(names)])
         #: whether no piece goes on after letters into a blank: only then may texts be encoded in parts
         self.parted = not any(re.search(f"[^{BLANK}]{BLANK}", n) for n in names)
 
@@ -110,48 +124,46 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class Side:
-    """One tokenizer's tokens of a run of texts, laid out end to end."""
-
-    def __init__(self, ids: list[np.ndarray], table: pa.Array, width: np.ndarray):
-        self.ids = np.concatenate([*ids, np.zeros(0, np.int64)])
-        self.table, self.width = table, width
-        self.count = np.asarray([len(x) for x in ids], np.int64)
+class Coded:
+    """One tokenizer's ids of a list of parts, and the bytes of its tokens."""
 
-    def spelt(self) -> tuple[bytes, np.ndarray]:
-        """The bytes of all tokens, and where each text's end (n + 1)."""
-        data = b"".join(self.table.take(pa.array(self.ids)).to_pylist())
-        return data, runs(self.width[self.ids])[runs(self.count)]
+    def __init__(self, tokenizer: ByteLevel | Pieces, parts_: list[str]):
+        ids = [x for low in range(0, len(parts_), ENCODE_ROWS) for x in tokenizer.encode(parts_[low : low + ENCODE_ROWS])]
+        self.flat = np.concatenate([*ids, np.zeros(0, np.int64)])
+        self.at = runs(np.asarray([len(x) for x in ids], np.int64))
+        self.lists = pa.ListArray.from_arrays(pa.array(self.at.astype(np.int32)), pa.array(self.flat.astype(np.int32)))
+        self.width = tokenizer.width
+        table = tokenizer.table.take(pa.array(self.flat)).cast(pa.large_binary())
+        data = bytes(table.buffers()[2] or b"")
+        end = runs(self.width[self.flat])[self.at].tolist()
+        self.gives_back = np.asarray([data[low:high] == b" " + p.encode() for p, low, high in zip(parts_, end[:-1], end[1:], strict=True)], bool)
 
-    def keep(self, which: np.ndarray) -> None:
-        self.ids, self.count = self.ids[np.repeat(which, self.count)], np.where(which, self.count, 0)
 
+class Side:
+    """One tokenizer's tokens of a run of texts, laid out end to end. ``part``: parts of the texts, ``at``: where each text's begin."""
 
-def gives_back(side: Side, texts: list[bytes]) -> np.ndarray:
-    """For each text, whether the tokens' bytes are the text's."""
-    data, at = side.spelt()
-    return np.asarray([data[low:high] == t for t, low, high in zip(texts, at[:-1], at[1:], strict=True)], bool)
+    def __init__(self, coded: Coded, part: np.ndarray, at: np.ndarray):
+        self.ids = coded.lists.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.width = coded.width
+        self.count = np.diff(runs(np.diff(coded.at)[part])[at])
 
 
 class Run:
-    """Texts laid out and cut; see the module."""
+    """Texts laid out and cut; see the module. ``n_bytes``: of each text, with its blank."""
 
-    def __init__(self, texts: list[str], a: Side, b: Side):
-        spaced = [b" " + t.encode() for t in texts]
-        ok = np.asarray([bool(t) for t in texts], bool) & gives_back(a, spaced) & gives_back(b, spaced)
-        a.keep(ok)
-        b.keep(ok)
+    def __init__(self, a: Side, b: Side, n_bytes: np.ndarray):
         self.a, self.b = a, b
-        bounds = runs(np.asarray([len(t) for t in spaced], np.int64) * ok)
+        bounds = runs(n_bytes)
         n = int(bounds[-1])
         ends_a, ends_b = np.cumsum(a.width[a.ids]), np.cumsum(b.width[b.ids])
         at_a, at_b = np.bincount(ends_a, minlength=n + 1), np.bincount(ends_b, minlength=n + 1)
-        cuts, links = np.cumsum(at_a & at_b), np.cumsum(at_a | at_b)
+        both, either = at_a & at_b, at_a | at_b
+        cuts, links = np.cumsum(both), np.cumsum(either)
         self.groups, self.links = np.diff(cuts[bounds]), np.diff(links[bounds])
         # a group ends where a token of each side ends: the group of a token is the number of cuts before its end
-        self.group_a, self.group_b = cuts[ends_a] - (at_a & at_b)[ends_a], cuts[ends_b] - (at_a & at_b)[ends_b]
+        self.group_a, self.group_b = cuts[ends_a] - both[ends_a], cuts[ends_b] - both[ends_b]
         self.last_a, self.last_b = at_b[ends_a] > 0, at_a[ends_b] > 0
-        stop = np.flatnonzero(at_a | at_b)
+        stop = np.flatnonzero(either)
         self.pair_a, self.pair_b = a.ids[np.cumsum(at_a)[stop] - at_a[stop]], b.ids[np.cumsum(at_b)[stop] - at_b[stop]]
 
     def digests(self) -> list[str]:
@@ -160,19 +172,14 @@ class Run:
         # in front of a token of A stand all tokens of B of earlier groups, in front of one of B all of A up to its own group
         n_groups = int(self.groups.sum())
         before_a, before_b = runs(np.bincount(self.group_b, minlength=n_groups)), runs(np.bincount(self.group_a, minlength=n_groups))
-        place_a = np.arange(len(a.ids)) + before_a[self.group_a]
-        place_b = np.arange(len(b.ids)) + before_b[self.group_b + 1]
-        names = _names()
         order = np.empty(len(a.ids) + len(b.ids), np.int64)
-        order[place_a] = a.ids + MOST_IDS * np.where(self.last_a, 1, 0)
-        order[place_b] = b.ids + MOST_IDS * np.where(self.last_b, 2, 0)
-        told = names.take(pa.array(order)).to_pylist()
-        at = runs(a.count + b.count)
-        return [hashlib.sha256(b"".join(told[low:high])[:-1]).hexdigest() if high > low else "" for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
-#: Ids stay below this in both vocabularies; larger ones are refused.
-MOST_IDS = 1 << 17
+        order[np.arange(len(a.ids)) + before_a[self.group_a]] = a.ids + MOST_IDS * self.last_a
+        order[np.arange(len(b.ids)) + before_b[self.group_b + 1]] = b.ids + MOST_IDS * 2 * self.last_b
+        names = _names()
+        told = names.take(pa.array(order)).cast(pa.large_binary())
+        data = memoryview(told.buffers()[2]) if len(order) else memoryview(b"")
+        at = np.frombuffer(told.buffers()[1], np.int64)[runs(a.count + b.count)].tolist() if len(order) else [0] * (len(a.count) + 1)
+        return [hashlib.sha256(data[low : high - 1]).hexdigest() if high > low else "" for low, high in zip(at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(1)
@@ -181,19 +188,41 @@ def _names() -> pa.Array:
     return pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(MOST_IDS)], pa.binary())
 
 
-@lru_cache(4)
-def _tables(path_a: str, path_b: str) -> tuple:
-    out = []
-    for v in (byte_level(path_a), pieces(path_b)):
-        if len(v.bytes) > MOST_IDS:
-            raise ValueError(f"more than {MOST_IDS} ids")
-        out += [v, pa.array(v.bytes, pa.binary()), np.asarray([len(x) for x in v.bytes], np.int64)]
-    return tuple(out)
-
-
-def lay_out(texts: list[str], path_a: str, path_b: str) -> Run:
-    va, table_a, width_a, vb, table_b, width_b = _tables(path_a, path_b)
-    return Run(texts, Side(va.encode(texts), table_a, width_a), Side(vb.encode(texts), table_b, width_b))
+class Block:
+    """A block's texts as parts, each distinct part encoded once by both."""
+
+    def __init__(self, texts: pa.Array, path_a: str, path_b: str):
+        texts = pc.fill_null(texts, "")
+        listed = pc.split_pattern(texts, " ")
+        coded = listed.flatten().dictionary_encode()
+        names, part, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), runs(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        # a part that is empty or has white space at an end isn't between single blanks: such a text is one part
+        loose = np.asarray([not w or w[0].isspace() or w[-1].isspace() for w in names], bool)
+        whole = np.diff(np.concatenate(([0], np.cumsum(loose[part])))[at]) > 0
+        va, vb = byte_level(path_a), pieces(path_b)
+        if not vb.parted:
+            whole[:] = True
+        keep = np.repeat(~whole, np.diff(at))
+        used, again = np.unique(part[keep], return_inverse=True)
+        own = np.flatnonzero(whole)
+        size = np.where(whole, 1, np.diff(at))
+        self.at = runs(size)
+        self.part = np.empty(int(self.at[-1]), np.int64)
+        alone = np.repeat(whole, size)
+        self.part[~alone], self.part[alone] = again, len(used) + np.arange(len(own))
+        parts_ = [names[k] for k in used.tolist()] + texts.take(pa.array(own)).to_pylist()
+        self.a, self.b = Coded(va, parts_), Coded(vb, parts_)
+        ok = self.a.gives_back & self.b.gives_back & np.asarray([bool(p) for p in parts_], bool)
+        self.ok = np.diff(np.concatenate(([0], np.cumsum(~ok[self.part])))[self.at]) == 0
+        self.size = np.where(self.ok, pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1, 0).astype(np.int64)
+
+    def run(self, low: int, high: int) -> Run:
+        """Texts low to high; those that aren't given back have no parts here."""
+        ok = self.ok[low:high]
+        count = np.diff(self.at[low : high + 1])
+        part = self.part[self.at[low] : self.at[high]][np.repeat(ok, count)]
+        at = runs(np.where(ok, count, 0))
+        return Run(Side(self.a, part, at), Side(self.b, part, at), self.size[low:high])
 
 
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -206,14 +235,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BY
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in numbered(batches, 1, block_bytes):
-            found, keys, sizes = [], [], []
+            texts, found, keys, sizes = Block(rows.column(1), path_a, path_b), [], [], []
             for low, high, _, _ in blocks(rows.column(1), RUN_BYTES):
-                run = lay_out([t or "" for t in rows.column(1).slice(low, high - low).to_pylist()], path_a, path_b)
+                run = texts.run(low, high)
                 found += zip(run.a.count.tolist(), run.b.count.tolist(), run.groups.tolist(), run.links.tolist(), run.digests(), strict=True)
                 keys.append(run.pair_a * MOST_IDS + run.pair_b)
                 sizes.append(run.links)
-            pairs, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            at = runs(np.concatenate(sizes))
+            coded = pa.array(np.concatenate(keys)).dictionary_encode()
+            pairs, place = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+            n, at = np.bincount(place, minlength=len(pairs)), runs(np.concatenate(sizes))
             packed = [pack_ints(np.diff(np.sort(place[low:high]), prepend=0)) for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             no = lambda t: pa.nulls(len(packed), t)
