@@ -39,3 +39,11 @@ def test_query_scores_the_whole_table(spark):
     got = {r["key"]: r["score"] for r in QUERIES["q_cross_source_max"](spark, d).collect()}
     assert len(got) == len(raw) == 500
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_both_ways_of_medians_agree(spark):
+    rows = [("a", "s1", [1.0, 0.0]), ("b", "s2", [0.0, 1.0]), ("c", "s3", [0.6, 0.8]), ("null", "s1", None), ("holds null", "s2", [None, 1.0]), ("short", "s2", [1.0]), ("no source", None, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "key string, source string, vector array<double>")
+    centres = speaker.centroids(vectors.where("key IN ('a', 'b', 'c')"))
+    one, two = ({r["key"]: round(r["score"], 9) for r in speaker.median_against_centroids(vectors, centres, matrix_bytes=n).collect()} for n in (1 << 20, 0))
+    assert one == two and set(one) == {"a", "b", "c"}

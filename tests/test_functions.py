@@ -71,3 +71,16 @@ def test_similarity(spark):
 )
 def test_speech(spark, text, spoken):
     assert one(spark, speech.normalize_speech_text(F.col("t")), t=text) == spoken
+
+
+@pytest.mark.parametrize("text, want", [("结果（1+1=2）好", "结果1+1=2好"), ("看（a=b）吧", "看a=b吧"), ("甲（乙,丙）丁", "甲乙,丙丁"), ("说（笑着）话", "说话"), ("（旁白）开始", "开始"), ("{x=1}", "x=1")])
+def test_brackets_with_signs_keep_their_words(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(speech.normalize_speech_text(F.col("t"))).first()[0]
+    assert got.replace(" ", "") == want
+
+
+def test_each_cue_is_needed():
+    """A cue that another one holds, or that no direction would say, doesn't belong in the list."""
+    assert all(cue.isalpha() for cue in speech.CUES)
+    assert all(speech.reads_as_direction(cue) for cue in (*speech.CUES, *speech.WHOLE_CUES))
+    assert not any(speech.reads_as_direction(x) for x in ("=", "(", "a=b", "1,2", "CUE", "meaning"))

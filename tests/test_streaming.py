@@ -99,3 +99,41 @@ def test_files_are_polled_once(spark, tmp_path):
         spark.createDataFrame([(part,)], "k int").write.mode("append").json(source)
         chain.run_available(chain.poll(spark, source, "k int"), out, mark)
         assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == list(range(part + 1))
+
+
+def test_a_failing_sentence_is_its_own_error(spark):
+    from winnowry.streaming.chain import speech_events
+
+    def synthesise(batch):
+        if (batch == "bad").any():
+            raise ValueError("no voice for this")
+        return ["audio of " + x for x in batch]
+
+    rows = spark.createDataFrame([("s", 1, k, x) for k, x in enumerate(["one", "bad", "two"])], "session_id string, turn long, number int, sentence string").coalesce(1)
+    got = [(r["type"], r["text"], r["audio"]) for r in speech_events(rows, synthesise).collect()]
+    assert got == [
+        ("sentence", "one", None), ("audio", None, "audio of one"), ("sentence", "bad", None), ("audio_error", "ValueError: no voice for this", None),
+        ("sentence", "two", None), ("audio", None, "audio of two"),
+    ]
+
+
+def test_late_tokens_go_on_counting(spark, tmp_path):
+    import time
+
+    source, schema = str(tmp_path / "tokens"), "session_id string, turn long, seq long, token string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    put([("s", 0, 0, "你好世界。"), ("s", 0, 1, "还没说完")])
+    stream = spark.readStream.schema(schema).parquet(source)
+    out = str(tmp_path / "out")
+    run = sentences.stream_sentences(stream, idle_minutes=8 / 60).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "at")).trigger(processingTime="100 milliseconds").start()
+    try:
+        end = time.time() + 120
+        while time.time() < end and not (run.lastProgress and spark.read.schema(sentences.SENTENCES).parquet(out).count() == 2):
+            time.sleep(0.3)
+        put([("s", 0, 2, "后来的话。")])
+        while time.time() < end and spark.read.schema(sentences.SENTENCES).parquet(out).count() < 3:
+            time.sleep(0.3)
+    finally:
+        run.stop()
+    got = sorted((r["number"], r["sentence"]) for r in spark.read.schema(sentences.SENTENCES).parquet(out).collect())
+    assert got[:2] == [(0, "你好世界。"), (1, "还没说完")] and [x for _, x in got[2:]] == ["后来的话。"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from winnowry.functions.similarity import nfkc_key
 from winnowry.functions.text import has_kana, strip
 from winnowry.operators.selection import seeded
+from winnowry.operators.substrings import substring_pairs
 from winnowry.operators.windows import top_per_key
 
 MAX_FACTS, MAX_EXAMPLES = 4, 5
@@ -39,9 +40,9 @@ def small(rows: DataFrame) -> DataFrame:
 
 def fact_hits(queries: DataFrame, facts: DataFrame) -> DataFrame:
     """(query_id, fact_id, hits): how many of a fact's phrases hold the query or stand in it, both in normal form. facts: id, cat, q, fact, ordinal."""
-    said = queries.select("query_id", nfkc_key(F.col("text")).alias("said")).where("said <> ''")
+    said = queries.select(F.col("query_id").alias("key"), nfkc_key(F.col("text")).alias("text"))
     phrases = facts.select(F.col("id").alias("fact_id"), "cat", "fact", "ordinal", F.explode("q").alias("p")).withColumn("p", nfkc_key(F.col("p"))).where("p <> ''")
-    met = said.join(small(phrases), F.col("said").contains(F.col("p")) | F.col("p").contains(F.col("said")))
+    met = substring_pairs(said, phrases).withColumnRenamed("key", "query_id").join(phrases, "p")
     return met.groupBy("query_id", "fact_id", "cat", "fact", "ordinal").agg(F.count(F.lit(1)).alias("hits"))
 
 

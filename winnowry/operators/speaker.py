@@ -35,12 +35,13 @@ def against_centroids(vectors: DataFrame, centres: DataFrame, key: str = "key",
 MAX_MATRIX_BYTES = 64 << 20
 
 
-def median_against_centroids(vectors: DataFrame, centres: DataFrame, key: str = "key", source: str = "source", vector: str = "vector") -> DataFrame:
+def median_against_centroids(vectors: DataFrame, centres: DataFrame, key: str = "key", source: str = "source", vector: str = "vector", matrix_bytes: int = MAX_MATRIX_BYTES) -> DataFrame:
     """(key, score): the median of each vector's similarities to the centroids of other sources. Centroids of a measured size go to the tasks as a matrix, and
-    a vector's scores never leave its task; otherwise pairs are joined."""
+    a vector's scores never leave its task; otherwise pairs are joined. Rows that can't be scored are left out either way: without a source, with
+    no other source, and with a vector that is null, holds null or differs in length."""
     n, size = centres.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
-    if not n or 8 * n * size > MAX_MATRIX_BYTES:
-        return median_over_sources(against_centroids(vectors, centres, key, source, vector), key)
+    if not n or 8 * n * size > matrix_bytes:
+        return median_over_sources(against_centroids(vectors, centres, key, source, vector).where("score is not null"), key)
     rows = centres.select(source, "centroid").orderBy(source).collect()
     names, matrix = pa.array([r[0] for r in rows]), np.array([r["centroid"] for r in rows], float)
     kind = dict(vectors.dtypes)[key]

@@ -166,11 +166,12 @@ def select_candidates(ids: DataFrame, *caches: DataFrame) -> DataFrame:
     return rows.select("ordinal", "source_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author", F.lit("")).alias("author"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("duration", "pubdate", "play")])
 
 
-def stream_deltas(lines: DataFrame) -> DataFrame:
-    """Text deltas of 'data: {json}' lines of three chat protocols; lines that aren't JSON, and the end mark, are skipped."""
+def stream_deltas(lines: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Text deltas of 'data: {json}' lines of three chat protocols; lines that aren't JSON, and the end mark, are skipped, or kept without a delta."""
     body = F.regexp_extract("value", r"^data:\s*(\{.*\})\s*$", 1)
     delta = F.coalesce(F.get_json_object(body, "$.choices[0].delta.content"), F.get_json_object(body, "$.delta.text"), F.get_json_object(body, "$.candidates[0].content.parts[0].text"))
-    return lines.withColumn("delta", delta).where("delta is not null")
+    rows = lines.withColumn("delta", delta)
+    return rows if keep_all else rows.where("delta is not null")
 
 
 def answering_attempt(lines: DataFrame) -> DataFrame:

@@ -184,7 +184,8 @@ def split_texts(rows: DataFrame, text: Column, most: int = 50, least: int = 4, d
 
 def stream_sentences(tokens: DataFrame, most: int = 50, least: int = 4, end: str = "\0", default_style: str = DEFAULT_STYLE, idle_minutes: int | None = 10) -> DataFrame:
     """The same over a stream of tokens (session_id, turn, seq, token). A turn ends with the token ``end``, or once no token has come for ``idle_minutes``
-    (what it holds is then given out); its state goes then. Give None to a run that ends when its input does, which a timeout by the clock would keep going.
+    (what it holds is then given out). After an idle time its number and style stay for another, so that late tokens go on counting;
+    its state goes then. Give None to a run that ends when its input does, which a timeout by the clock would keep going.
     Tokens of a turn arrive in order of seq across batches and are sorted within one."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -194,15 +195,17 @@ def stream_sentences(tokens: DataFrame, most: int = 50, least: int = 4, end: str
         style, done, held, tail, number = state.get if state.exists else (None, False, "", "", 0)
         parser, splitter, out = StyleParser(default_style, style, done, held), Splitter(most, least), []
         splitter.feed(tail)  # a tail has no ending and isn't overlong, so nothing comes of it
-        over = state.hasTimedOut
-        batch = [] if over else pd.concat(list(frames)).sort_values("seq", kind="stable")["token"].fillna("").tolist()
+        idle = state.hasTimedOut
+        over = idle and not (held or tail or not done)
+        batch = [] if idle else pd.concat(list(frames)).sort_values("seq", kind="stable")["token"].fillna("").tolist()
         for token in batch:
             if token == end:
                 over = True
                 break
             out += splitter.feed(parser.feed(token))
-        if over:
+        if over or idle:
             out += splitter.feed(parser.flush()) + splitter.flush()
+        if over:
             state.remove()
         else:
             state.update((parser.style, parser.done, parser.held, splitter.text, number + len(out)))
