@@ -182,34 +182,44 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset
 
 
-#: Sequences of a group whose pieces are dealt once more.
-LOOSEST = 128
+#: How many of a group's sequences are dealt once more: tried in this order until fewer come of it.
+LOOSEST = (32, 64, 128, 256, 512)
 
 
-def tighten(lengths: np.ndarray, where: np.ndarray, offset: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same with the pieces of the loosest bins dealt anew to the tightest gap each, if that takes fewer bins. Bins stay numbered without holes."""
-    n = int(where.max()) + 1 if len(where) else 0
-    fill = np.bincount(where, weights=lengths, minlength=n)
-    loose = np.sort(np.argsort(fill, kind="stable")[:LOOSEST])
-    some = np.flatnonzero(np.isin(where, loose))
+def tightest(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
+    """Bin and offset of each length, in the order given, each in the tightest gap that holds it."""
     gaps: list[tuple[int, int]] = []
-    filled: list[int] = []
-    place, at = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
-    for k, s in enumerate(lengths[some].tolist()):
+    fill: list[int] = []
+    place, at = [], []
+    for s in lengths:
         i = bisect.bisect_left(gaps, (s, -1))
         if i < len(gaps):
             b = gaps.pop(i)[1]
         else:
-            b = len(filled)
-            filled.append(0)
-        place[k], at[k] = b, filled[b]
-        filled[b] += s
-        bisect.insort(gaps, (capacity - filled[b], b))
-    if len(filled) >= len(loose):
-        return where, offset
-    where, offset = where.copy(), offset.copy()
-    where[some], offset[some] = loose[place], at
-    return np.unique(where, return_inverse=True)[1], offset
+            b = len(fill)
+            fill.append(0)
+        place.append(b)
+        at.append(fill[b])
+        fill[b] += s
+        bisect.insort(gaps, (capacity - fill[b], b))
+    return place, at
+
+
+def tighten(lengths: np.ndarray, where: np.ndarray, offset: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the pieces of the loosest bins dealt anew, if that takes fewer bins. Bins stay numbered without holes."""
+    fill = np.bincount(where, weights=lengths)
+    order = np.argsort(fill, kind="stable")
+    for n in LOOSEST if len(where) else ():
+        loose = np.sort(order[:n])
+        if -(-int(fill[loose].sum()) // capacity) >= len(loose):
+            continue  # their tokens alone need as many
+        some = np.flatnonzero(np.isin(where, loose))
+        place, at = tightest(lengths[some].tolist(), capacity)
+        if max(place) + 1 < len(loose):
+            where, offset = where.copy(), offset.copy()
+            where[some], offset[some] = loose[place], at
+            return np.unique(where, return_inverse=True)[1], offset
+    return where, offset
 
 
 PACKED = PIECES + ", sequence_id long, offset long"
