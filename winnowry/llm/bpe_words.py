@@ -147,26 +147,38 @@ def pieces(spark, path: str) -> DataFrame:
     return spark.createDataFrame(vocabulary(path).pieces(), "piece_id int, piece string")
 
 
+def _joined(flat: pa.Array, at: np.ndarray) -> pa.Array:
+    """Binary values that are runs of the values of another binary column, from at[k] to at[k + 1]."""
+    flat = flat.cast(pa.large_binary())
+    begin = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(begin[at]), flat.buffers()[2]])
+
+
 def _speller(known: pa.Table):
     """Puts a block's documents together; ``known`` is the table of ids and pieces."""
 
     def go(docs: pa.Table, words: pa.Table) -> pa.Table:
         words = words.sort_by("shard")
         joined = lambda name: np.concatenate([*map(unpack_ints, words[name].to_pylist()), np.zeros(0, np.int64)])
-        flat = pa.array(joined("ids").astype(np.int32))
-        ids = pa.ListArray.from_arrays(pa.array(runs(joined("sizes")).astype(np.int32)), flat).take(pa.array(by_count(joined("counts"))))
-        spelt = pa.table({"piece_id": flat.unique()}).join(known, "piece_id").sort_by("piece_id")
-        have, piece = spelt["piece_id"].to_numpy(), spelt["piece"].combine_chunks()
-        out_ids, out_text = [], []
-        for packed in docs["places"].to_pylist():
-            places, parts, text = unpack_ints(packed), [], []
-            for low in range(0, len(places), MERGE_WORDS):
-                found = ids.take(pa.array(places[low : low + MERGE_WORDS])).flatten().to_numpy(zero_copy_only=False)
-                parts.append(found.astype("<u4").tobytes())
-                text += piece.take(pa.array(np.searchsorted(have, found))).to_pylist()
-            out_ids.append(b"".join(parts))
-            out_text.append(" ".join(text))
-        return pa.table({"id": docs["id"], "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
+        order, flat, at = by_count(joined("counts")), joined("ids"), runs(joined("sizes"))
+        spelt = pa.table({"piece_id": pa.array(np.unique(flat).astype(np.int32))}).join(known, "piece_id").sort_by("piece_id")
+        place_of = np.zeros(int(flat.max(initial=0)) + 1, np.int64)
+        place_of[spelt["piece_id"].to_numpy()] = np.arange(spelt.num_rows)
+        piece = pa.array([p + " " for p in spelt["piece"].to_pylist()], pa.string()).cast(pa.binary())
+        # each word once: its ids as bytes, and its pieces, each with a blank behind
+        word_text = _joined(piece.take(pa.array(place_of[flat])), at).take(pa.array(order))
+        word_ids = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(flat.astype("<u4"))]).take(pa.array(order))
+        out_ids, out_text, packed, low = [], [], docs["places"].to_pylist(), 0
+        while low < len(packed):
+            some, n = [], 0
+            while low < len(packed) and n < MERGE_WORDS:
+                some.append(unpack_ints(packed[low]))
+                n += len(some[-1])
+                low += 1
+            places, cut = pa.array(np.concatenate(some)), runs(np.asarray([len(x) for x in some], np.int64))
+            out_ids += [bytes(x) for x in _joined(word_ids.take(places), cut).to_pylist()]
+            out_text += [x[:-1] for x in _joined(word_text.take(places), cut).to_pylist()]
+        return pa.table({"id": docs["id"], "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.binary()).cast(pa.string())})
 
     return go
 
