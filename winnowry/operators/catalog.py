@@ -89,6 +89,12 @@ def build_plan(catalog: DataFrame, min_duration: dict[str, int] | None = None) -
     return planned.withColumn("priority_score", priority_score()).select("source_id", "title", "author", "duration", "pubdate", "play", "tier", "lang_hint", "risk", "stream_date", "status", "priority_score")
 
 
+def in_priority_order(plan: DataFrame) -> DataFrame:
+    """The plan with ``place``: by priority, then id, date and tier. Places are given range by range."""
+    placed = in_order(plan, F.desc("priority_score"), F.asc("source_id"), F.coalesce("stream_date", F.lit("")).asc(), F.asc("tier"))
+    return placed.withColumnRenamed("_place", "place")
+
+
 def to_download(plan: DataFrame, known: DataFrame, tiers: tuple[str, ...] = ("A", "B", "C"), max_hours: float | None = None) -> DataFrame:
     """Planned or failed rows of the tiers without known ids; with a budget the head by priority, whose first row always stays."""
     rows = plan.where(F.col("status").isin("planned", "failed") & F.col("tier").isin(*tiers)).join(known.select("source_id").distinct(), "source_id", "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from winnowry.functions.text import basename, strip
 from winnowry.schemas import schema
+from winnowry.sources.scratch import written
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -33,6 +34,39 @@ def read_json_list(spark: SparkSession, path: str, ddl: str, required: bool = Tr
     return raw.select(F.posexplode(items).alias("ordinal", "x")).select("x.*")
 
 
+def read_json_array(spark: SparkSession, path: str, ddl: str, depth: int = 1) -> DataFrame:
+    """(columns, ordinal): the objects of a JSON array, read in splits; ``depth`` 2 for the only array of a document {..., "items": [...]}. Files of a folder follow each other by
+    name. Malformed objects are an error; text outside the objects isn't checked.
+
+    Spark cuts the files after each closing brace. Whether a piece begins within a string follows from the quotes before it, and its depth from the brackets before it that
+    aren't in strings: sums over a split's pieces, and over the splits before, a row each. An object ends where a brace brings the depth back to the array's."""
+    raw = spark.read.text(path, lineSep="}").select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    # escaped characters neither open nor close; no piece begins after a backslash
+    rows = raw.withColumn("plain", F.regexp_replace("value", r"(?s)\\.", "")).withColumn("quotes", F.regexp_count("plain", F.lit('"')))
+    rows = _with_before(written(rows, "pieces"), "quotes")
+    inside = F.col("quotes_before") % 2 == 1
+    bare = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), "plain"), '(?s)"[^"]*("|$)', "")
+    cut = ((F.col("quotes") + inside.cast("int")) % 2 == 0).cast("int")  # the brace after this piece isn't in a string
+    rows = rows.withColumn("bare", bare).withColumn("steps", F.regexp_count("bare", F.lit(r"[\[{]")) - F.regexp_count("bare", F.lit(r"\]")) - cut).withColumn("cut", cut)
+    rows = _with_before(written(rows.drop("plain", "bare", "quotes", "quotes_before"), "depths"), "steps")
+    rows = rows.withColumn("ends", ((F.col("cut") == 1) & (F.col("steps_before") + F.col("steps") == depth)).cast("int"))
+    rows = _with_before(written(rows, "ends"), "ends", across_files=True)
+    record = rows.groupBy(F.col("ends_before").alias("ordinal")).agg(F.max("ends").alias("whole"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "b", "m", "value"))), lambda x: x["value"]), "}").alias("text"))
+    head = r"^[^{]*" if depth == 1 else r'^(?:\s*,|(?:[^"\[]|"(?:[^"\\]|\\.)*+")*+\[)\s*'  # what stands before an object, a document's own keys included
+    text = F.regexp_replace(F.concat("text", F.lit("}")), "(?s)" + head + r"(?=\{)", "")
+    parsed = record.where("whole = 1").select("ordinal", F.from_json(text, schema(ddl), {"mode": "FAILFAST"}).alias("x"))
+    return parsed.select("x.*", "ordinal")
+
+
+def _with_before(rows: DataFrame, amount: str, across_files: bool = False) -> DataFrame:
+    """Adds ``{amount}_before``: the sum over the pieces (f, b, m) before, of the same file or of all."""
+    splits = rows.groupBy("f", "b").agg(F.sum(amount).alias("k"))
+    earlier = Window.partitionBy(*([] if across_files else ["f"])).orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as splits
+    splits = splits.select("f", "b", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k"))
+    within = Window.partitionBy("f", "b").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(splits, ["f", "b"]).withColumn(f"{amount}_before", F.col("k") + F.coalesce(F.sum(amount).over(within), F.lit(0))).drop("k")
+
+
 def fields(ddl: str) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema(ddl))
 
