@@ -280,11 +280,14 @@ def test_sum_of_squares_places_where_the_sum_is_least():
         gaps[b] = gaps.get(b, capacity) - s
 
 
-def test_cache_of_words_survives_being_emptied(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
-    enc = packing.Encoder(TOKENIZER)
-    texts = [BASE, BASE.upper(), "naïve café\nline two", BASE + " " + BASE.upper()]
-    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+def test_parts_join_to_the_ids_of_the_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "ENCODE_ROWS", 7)
+    texts = [BASE, BASE.upper(), "naïve café\nline two", "", " lead", "trail ", "a  b", "x <|endoftext|> y<|endoftext|>", "it's ' s 'll we'll", "a\u3000 b", "a \u2003b", "tab\tbed a\t b", "日本 語", "1 234 5,6 %", "a\n b", None]
+    flat, at = packing.Encoder(TOKENIZER).encode(pa.array(texts))
+    whole = Tokenizer.from_file(TOKENIZER)
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_warc(spark):

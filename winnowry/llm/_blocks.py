@@ -45,3 +45,9 @@ def numbered(batches: Iterator[pa.RecordBatch], text: int, size: int = BLOCK_BYT
 def runs(sizes: np.ndarray) -> np.ndarray:
     """Offsets (n + 1) of consecutive runs of these sizes."""
     return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def renumbered(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes (below n) in order, and the codes as places among them."""
+    known = np.bincount(codes, minlength=n) > 0
+    return np.flatnonzero(known), (np.cumsum(known) - 1)[codes]

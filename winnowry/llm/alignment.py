@@ -27,13 +27,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._arrow import blocks
 from ._blocks import BLOCK_BYTES, numbered, pack_ints, runs, unpack_ints
+from ._parts import Parts
 from ._store import materialise
 
 #: Bytes of text that are laid out at once.
@@ -192,29 +192,13 @@ class Block:
     """A block's texts as parts, each distinct part encoded once by both."""
 
     def __init__(self, texts: pa.Array, path_a: str, path_b: str):
-        texts = pc.fill_null(texts, "")
-        listed = pc.split_pattern(texts, " ")
-        coded = listed.flatten().dictionary_encode()
-        names, part, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), runs(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
-        # a part that is empty or has white space at an end isn't between single blanks: such a text is one part
-        loose = np.asarray([not w or w[0].isspace() or w[-1].isspace() for w in names], bool)
-        whole = np.diff(np.concatenate(([0], np.cumsum(loose[part])))[at]) > 0
         va, vb = byte_level(path_a), pieces(path_b)
-        if not vb.parted:
-            whole[:] = True
-        keep = np.repeat(~whole, np.diff(at))
-        used, again = np.unique(part[keep], return_inverse=True)
-        own = np.flatnonzero(whole)
-        size = np.where(whole, 1, np.diff(at))
-        self.at = runs(size)
-        self.part = np.empty(int(self.at[-1]), np.int64)
-        alone = np.repeat(whole, size)
-        self.part[~alone], self.part[alone] = again, len(used) + np.arange(len(own))
-        parts_ = [names[k] for k in used.tolist()] + texts.take(pa.array(own)).to_pylist()
+        found = Parts(texts, not vb.parted)
+        self.at, self.part, parts_ = found.at, found.part, found.names
         self.a, self.b = Coded(va, parts_), Coded(vb, parts_)
         ok = self.a.gives_back & self.b.gives_back & np.asarray([bool(p) for p in parts_], bool)
         self.ok = np.diff(np.concatenate(([0], np.cumsum(~ok[self.part])))[self.at]) == 0
-        self.size = np.where(self.ok, pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1, 0).astype(np.int64)
+        self.size = np.where(self.ok, found.n_bytes + 1, 0)
 
     def run(self, low: int, high: int) -> Run:
         """Texts low to high; those that aren't given back have no parts here."""

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,92 +27,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrow import blocks
+from ._blocks import BLOCK_BYTES, renumbered, runs
+from ._parts import Parts
 from ._store import materialise
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Rows that one task packs. A row takes about 100 bytes there.
 GROUP_ROWS = 50_000
-#: Words whose ids a worker remembers; about 200 bytes each.
-CACHE_WORDS = 600_000
-BATCH_DOCS = 64
-
-#: White space other than " " and "\n". A text that has any, or a run of white space, is encoded whole.
-OTHER_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def plain(text: str) -> bool:
-    """Whether words are parted by single spaces or line ends throughout. The vocabulary's splitter begins a new piece at each
-    such space (it joins white space to what follows, never to what stands before), so the ids of words join to the ids of the text."""
-    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in OTHER_SPACE))
+#: Parts that are encoded at once.
+ENCODE_ROWS = 50_000
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, with a bounded cache of words."""
+    """Ids of a block's texts. The splitter of byte-level files never joins what stands around a single blank, so there parts between blanks are encoded
+    apart, each distinct one once; with other files whole texts are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
-        #: whether words may be encoded apart: bytes as tokens, this splitter, and nothing that changes a text before or after
-        self.by_words = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
-        self.cache: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)  # each character of a byte-level token stands for a byte
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words as one text and cut its ids at the words' ends. A word stands for itself with a space before it; "\n" or "\r"
-        at its head stands for a line's first and a text's first word."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        led = []
-        for w in words:
-            if w[0] == "\r":
-                self.cache[w] = self.whole(w[1:])
-            else:
-                led.append(w)
-        for low in range(0, len(led), 2000):
-            part = led[low : low + 2000]
-            spaced = [w if w[0] == "\n" else " " + w for w in part]
-            ids = np.asarray(self.tokenizer.encode("".join(spaced), add_special_tokens=False).ids, "<u4")
-            cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) for w in spaced]), "left") + 1
-            raw, before = ids.tobytes(), 0
-            for w, k in zip(part, (cut * 4).tolist(), strict=True):
-                self.cache[w] = raw[before:k]
-                before = k
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            if self.by_words and plain(text) and not any(s in text for s in self.special):
-                words = text.replace("\n", " \n").split(" ")
-                words[0] = "\r" + words[0]
-                split.append(words)
-            else:
-                split.append(None)
-        out, item = [], self.cache.__getitem__
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self.whole(text))
-                continue
-            try:
-                out.append(b"".join(map(item, words)))
-            except KeyError:
-                have = self.cache
-                self.learn([w for w in {w for x in split[len(out) :] if x for w in x} if w not in have])
-                if any(w not in have for w in words):  # the cache was emptied
-                    self.learn([w for w in set(words) if w not in have])
-                out.append(b"".join(map(item, words)))
-        return out
+        self.by_parts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        self.by_parts = self.by_parts and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin (n + 1)."""
+        found = Parts(texts, not self.by_parts)
+        first = np.zeros(len(found.part), bool)
+        first[found.at[:-1]] = True  # a text has a part at least; its first has no blank before it
+        kinds, part = renumbered(found.part * 2 + first, 2 * len(found.names))
+        names = [found.names[k >> 1] if k & 1 else " " + found.names[k >> 1] for k in kinds.tolist()]
+        ids = [e.ids for low in range(0, len(names), ENCODE_ROWS) for e in self.tokenizer.encode_batch_fast(names[low : low + ENCODE_ROWS], add_special_tokens=False)]
+        lists = pa.array(ids, pa.list_(pa.uint32())).take(pa.array(part))
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        return flat, runs(np.fromiter(map(len, ids), np.int64, len(ids))[part])[found.at]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -133,17 +89,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separ
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(low, BATCH_DOCS)
+            for low, high, _, _ in blocks(batch.column(1), BLOCK_BYTES):
+                part = batch.slice(low, high - low)
+                flat, bounds = enc.encode(part.column(1))
                 out: list[tuple] = []
-                for i, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % capacity or capacity
+                for i, begin, stop in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = flat[begin:stop].astype("<u4").tobytes() + end
+                    n = stop - begin + 1
                     at = 0
-                    for k, stop in enumerate(range(first, n + 1, capacity)):
-                        out.append((i, k, at, stop - at, zlib.crc32(ids[at * 4 : stop * 4])))
-                        at = stop
+                    for k, to in enumerate(range(n % capacity or capacity, n + 1, capacity)):
+                        out.append((i, k, at, to - at, zlib.crc32(ids[at * 4 : to * 4])))
+                        at = to
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
 
