@@ -40,6 +40,7 @@ def numbered(batches: Iterator[pa.RecordBatch], text: int, size: int = BLOCK_BYT
         for low, high, _, _ in blocks(batch.column(text), size):
             yield number, batch.slice(low, high - low)
             number += 1
+            pa.default_memory_pool().release_unused()  # workers stay for the next stages
 
 
 def runs(sizes: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import blocks
-from ._blocks import BLOCK_BYTES, renumbered, runs
+from ._blocks import renumbered, runs
 from ._parts import Parts
 from ._store import materialise
 
@@ -36,8 +36,9 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Rows that one task packs. A row takes about 100 bytes there.
 GROUP_ROWS = 50_000
-#: Parts that are encoded at once.
+#: Parts that are encoded at once, and bytes of text whose parts are.
 ENCODE_ROWS = 50_000
+BLOCK_BYTES = 4 << 20
 
 
 class Encoder:
@@ -102,6 +103,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separ
                         at = to
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+                pa.default_memory_pool().release_unused()  # workers stay for the next stages
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
