@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from winnowry.functions.numeric import dot, l2_normalise
+from winnowry.functions.numeric import dot, l2_normalise, three_way
+from winnowry.operators.windows import in_order
+from winnowry.sources.scratch import written
 
 SEED, RESAMPLES = 20260803, 128
 #: Vectors of a block, on either side, and blocks a side at least when all vectors meet.
@@ -156,24 +158,53 @@ def calibrate(vectors: DataFrame, references: int = 8) -> tuple[DataFrame, DataF
     return centres, limits.withColumn("reject_enabled", F.col("reject") + 0.03 < F.col("accept"))
 
 
-def decide(vectors: DataFrame, centres: DataFrame, limits: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
-    """(key, decision, score, score_lower, score_upper, source_scores): the median over sources, a bootstrap interval of the
-    mean centroid, and the decision it allows. The centroids, one per source of the calibration, are gathered once; vectors stream by in batches."""
+def bootstrap_means(centres: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
+    """(resample, mean): the unit vector along the mean of as many centroids as there are, drawn with replacement. Draw j of resample r is the centroid, in the order of sources,
+    whose place is the first 32 bits of md5(seed|r|j) modulo their number: the same on any engine. What a centroid adds is counted before it's multiplied."""
+    placed = in_order(centres, F.asc("source")).select((F.col("_place") - 1).alias("place"), "centroid")
+    n = placed.count()
+    draws = centres.sparkSession.range(resamples * n).select(F.floor(F.col("id") / max(n, 1)).alias("resample"), (F.col("id") % max(n, 1)).alias("j"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "resample", "j")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    times = draws.groupBy("resample", drawn.alias("place")).agg(F.count(F.lit(1)).alias("times"))
+    parts = times.join(placed, "place").select("resample", "times", F.posexplode("centroid").alias("i", "x")).groupBy("resample", "i").agg((F.sum(F.col("times") * F.col("x")) / max(n, 1)).alias("x"))
+    whole = parts.groupBy("resample").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m"))
+    return whole.select("resample", l2_normalise(F.transform("m", lambda s: s["x"])).alias("mean"))
+
+
+def source_scores(vectors: DataFrame, centres: DataFrame, matrix_bytes: int = MAX_MATRIX_BYTES) -> DataFrame:
+    """(key, score, source_scores): a vector's similarity to each source's centroid, and their median. Centroids of a measured size go to the tasks as a matrix; more are
+    joined, which gives rows as many as the scores asked for."""
+    n, size = centres.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    kind = dict(vectors.dtypes)["key"]
+    if n and 8 * n * size > matrix_bytes:
+        each = vectors.crossJoin(centres.select("source", "centroid").withColumnRenamed("source", "other")).select("key", F.col("other").cast("string").alias("other"), dot(F.col("vector"), F.col("centroid")).alias("x"))
+        return each.groupBy("key").agg(F.percentile("x", F.lit(0.5)).alias("score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("other", "x")))).alias("source_scores"))
     rows = centres.orderBy("source").collect()
     names, matrix = [str(r["source"]) for r in rows], np.array([r["centroid"] for r in rows], float)
-    accept, reject, enabled = limits.select("accept", "reject", "reject_enabled").first()
-    rng = np.random.default_rng(seed)
-    means = np.stack([matrix[rng.integers(0, len(matrix), len(matrix))].mean(0) for _ in range(resamples)])
-    means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf["vector"].to_numpy()).astype(float)
-            each, boot = v @ matrix.T, v @ means.T
-            lower, upper = np.percentile(boot, 5, axis=1), np.percentile(boot, 95, axis=1)
-            decision = np.where(lower >= accept, "accept", np.where(enabled & (upper <= reject), "reject", "uncertain"))
-            yield pd.DataFrame({"key": pdf["key"], "decision": decision, "score": np.median(each, axis=1), "score_lower": lower, "score_upper": upper, "source_scores": [dict(zip(names, x.tolist(), strict=True)) for x in each]})
-
-    return vectors.select("key", "vector").mapInPandas(go, f"key {dict(vectors.dtypes)['key']}, decision string, score double, score_lower double, score_upper double, source_scores map<string,double>")
+            if not pdf.empty:
+                each = np.stack(pdf["vector"].to_numpy()).astype(float) @ matrix.T
+                yield pd.DataFrame({"key": pdf["key"], "score": np.median(each, axis=1), "source_scores": [dict(zip(names, x.tolist(), strict=True)) for x in each]})
+
+    return vectors.select("key", "vector").mapInPandas(go, f"key {kind}, score double, source_scores map<string,double>")
+
+
+def decide(vectors: DataFrame, centres: DataFrame, limits: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
+    """(key, decision, score, score_lower, score_upper, source_scores): the median over sources, a bootstrap interval of the mean centroid, and the decision it allows. The resampled
+    means, as many as ``resamples``, go to the tasks. Vectors (unique keys) are unit vectors of the centroids' length."""
+    centres, limits = written(centres, "centres"), written(limits, "limits")  # calibration is done once
+    means = np.array([r["mean"] for r in bootstrap_means(centres, seed, resamples).orderBy("resample").collect()], float)
+    kind = dict(vectors.dtypes)["key"]
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not pdf.empty:
+                boot = np.stack(pdf["vector"].to_numpy()).astype(float) @ means.T
+                yield pd.DataFrame({"key": pdf["key"], "score_lower": np.percentile(boot, 5, axis=1), "score_upper": np.percentile(boot, 95, axis=1)})
+
+    bounds = vectors.select("key", "vector").mapInPandas(go, f"key {kind}, score_lower double, score_upper double")
+    rows = source_scores(vectors, centres).join(bounds, "key").crossJoin(F.broadcast(limits.select("accept", "reject", "reject_enabled")))
+    decision = three_way(F.col("score_lower"), F.col("score_upper"), F.col("accept"), F.col("reject"), F.col("reject_enabled"))
+    return rows.select("key", decision.alias("decision"), "score", "score_lower", "score_upper", "source_scores")

@@ -190,7 +190,37 @@ def q_cross_source_max(spark, d):
     return speaker.cross_source_all(vectors(spark, d)).select("key", F.round("score", 6).alias("score"))
 
 
-@query()
+def _centroids_sql(rows: str) -> str:
+    """(source, c) of rows (source, v)."""
+    norm = "list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-12))"
+    return f"(SELECT source, {norm} AS c FROM (SELECT source, list(x ORDER BY i) AS m FROM (SELECT source, i, avg(v[i]) AS x FROM {rows}, range(1, 1 + len(v)) AS t(i) GROUP BY 1, 2) GROUP BY 1))"
+
+
+_DECISION_SQL = f"""WITH raw AS (SELECT vec_id AS key, label AS source, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+v AS (SELECT key, source, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12)) AS v FROM raw),
+cand AS (SELECT key, source, v FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key) AS rn FROM v) WHERE rn <= 40),
+crossed AS (SELECT key, median(m) AS score FROM (SELECT a.key, b.source, max(list_dot_product(a.v, b.v)) AS m FROM cand a JOIN cand b ON a.source <> b.source GROUP BY 1, 2) GROUP BY 1),
+one AS (SELECT key, source, v FROM (SELECT c.*, row_number() OVER (PARTITION BY c.source ORDER BY x.score DESC, c.key) AS rn FROM cand c JOIN crossed x USING (key)) WHERE rn <= 16),
+c1 AS {_centroids_sql("one")},
+refined AS (SELECT a.key, median(list_dot_product(a.v, c.c)) AS score FROM cand a JOIN c1 c ON a.source <> c.source GROUP BY 1),
+chosen AS (SELECT key, source, v FROM (SELECT c.*, row_number() OVER (PARTITION BY c.source ORDER BY x.score DESC, c.key) AS rn FROM cand c JOIN refined x USING (key)) WHERE rn <= 8),
+centres AS {_centroids_sql("chosen")},
+total AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, sum(c[i]) AS x FROM centres, range(1, 1 + len(c)) AS t(i) GROUP BY 1)),
+rest AS (SELECT source, list_transform(d, lambda x: x / greatest(sqrt(list_dot_product(d, d)), 1e-12)) AS o FROM (SELECT source, list_transform(range(1, 1 + len(c)), lambda i: t[i] - c[i]) AS d FROM centres, total)),
+accept AS (SELECT quantile_cont(list_dot_product(v, o), 0.05) - 0.02 AS accept FROM chosen JOIN rest USING (source)),
+unused AS (SELECT c.key, c.v, row_number() OVER (ORDER BY x.score, c.key) AS rn, count(*) OVER () AS n FROM cand c JOIN crossed x USING (key) WHERE c.key NOT IN (SELECT key FROM chosen)),
+g AS (SELECT list_transform(t, lambda x: x / greatest(sqrt(list_dot_product(t, t)), 1e-12)) AS g FROM total),
+reject AS (SELECT coalesce(quantile_cont(list_dot_product(v, g), 0.99), -1) AS reject FROM unused, g WHERE rn <= greatest(8, n // 5)),
+placed AS (SELECT c, row_number() OVER (ORDER BY source) - 1 AS place, count(*) OVER () AS n FROM centres),
+draws AS (SELECT r, ('0x' || substr(md5(concat_ws('|', {speaker.SEED}, r, j)), 1, 8))::BIGINT % (SELECT max(n) FROM placed) AS place FROM range({speaker.RESAMPLES}) AS a(r), (SELECT unnest(range((SELECT max(n) FROM placed))) AS j)),
+mean AS (SELECT r, list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-12)) AS m FROM (SELECT r, list(x ORDER BY i) AS m FROM (SELECT r, i, avg(c[i]) AS x FROM draws JOIN placed USING (place), range(1, 1 + len(c)) AS t(i) GROUP BY 1, 2) GROUP BY 1)),
+b AS (SELECT key, quantile_cont(list_dot_product(v, m), 0.05) AS score_lower, quantile_cont(list_dot_product(v, m), 0.95) AS score_upper FROM v, mean GROUP BY 1),
+s AS (SELECT key, median(list_dot_product(v, c)) AS score FROM v, centres GROUP BY 1)
+SELECT key, CASE WHEN score_lower >= accept THEN 'accept' WHEN reject + 0.03 < accept AND score_upper <= reject THEN 'reject' ELSE 'uncertain' END AS decision, round(score, 6) AS score, round(score_lower, 6) AS score_lower, round(score_upper, 6) AS score_upper
+FROM b JOIN s USING (key), accept, reject"""
+
+
+@query(_DECISION_SQL)
 def q_speaker_decision(spark, d):
     v = vectors(spark, d)
     bounded = speaker.candidates(v.withColumn("start", F.col("key")), 40).drop("start")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from winnowry.functions import dates, numeric, speech
 from winnowry.functions import text as T
-from winnowry.operators import aggregates, catalog, gates
+from winnowry.operators import aggregates, catalog, consensus, corrections, gates, joins, retrieval
 from winnowry.plans import fixture_queries, sql
 from winnowry.plans.corpus_queries import table
 from winnowry.plans.stage_queries import client_events
@@ -178,6 +178,81 @@ def q_finite_table(spark, d):
     return table(spark, d, "orders").select("o_orderkey", x.alias("value"), numeric.clamp(x, 0.0, 200000.0).alias("clamped"))
 
 
+# --- consensus, corrections, examples: texts whose similarity is known, as they are equal, share no character, or lose a known tail ----
+
+_ALPHABET, _SHORTER, _OTHER = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstu", "ЖЖЩЖЩЩЖ"
+_SAID = "SELECT conv_id * 1000 + turn AS k, conv_id, turn, coalesce(text, '') AS text FROM conversations"
+_COMPACT = r"""regexp_replace({}, '[\s\x0b\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}，。！？、；：…,.!?;:·~～\-_/\\|@#$%^&*+=<>()（）「」『』【】\[\]{{}}"''“”‘’]+', '', 'g')"""
+
+
+@query(f"""WITH s AS ({_SAID}), e AS (SELECT k, k % 6 AS m, CASE WHEN k % 6 = 5 THEN '{_ALPHABET}' ELSE text END AS a, CASE k % 6 WHEN 0 THEN text WHEN 1 THEN '{_OTHER}' WHEN 3 THEN '.,' WHEN 4 THEN text || '!!' ELSE '{_SHORTER}' END AS b, k % 12 = 5 AS third FROM s),
+n AS (SELECT *, length({_COMPACT.format("a")}) AS na FROM e),
+t AS (SELECT k, CASE WHEN m = 2 THEN 'drop_no_funasr' WHEN m = 3 THEN CASE WHEN na = 0 THEN 'drop_empty' ELSE 'drop_no_pair' END WHEN na = 0 THEN CASE WHEN m IN (0, 4) THEN 'drop_empty' ELSE 'drop_no_pair' END WHEN m = 1 THEN 'drop_low_sim'
+    WHEN m = 5 THEN CASE WHEN third THEN 'soft_third' ELSE 'drop_low_sim' END WHEN na < 2 THEN 'drop_empty' ELSE 'strict' END AS tier, {sql.strip("a")} AS final FROM n),
+{sql.quality("SELECT k, final AS text, 'en' AS lang FROM t")},
+u AS (SELECT t.k, CASE WHEN tier IN ('strict', 'soft_third') AND len(reasons) > 0 THEN 'drop_text_quality' ELSE tier END AS tier, final FROM t JOIN quality q ON q.k = t.k)
+SELECT k, tier, CASE WHEN tier LIKE 'drop%' THEN 'drop' ELSE 'keep' END AS decision, CASE WHEN tier NOT LIKE 'drop%' THEN md5(final) END AS digest FROM u""")
+def q_consensus_table(spark, d):
+    """Three engines' transcripts of every message: equal ones, unequal ones, missing and empty ones, and pairs that need the third."""
+    said = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("m", F.col("k") % 6)
+    name = F.concat(F.lit("n"), "k")
+    engine = lambda text, keep: said.where(keep).select(name.alias("name"), F.lit("").alias("path"), text.alias("text"), F.lit(None).cast("double").alias("avg_logprob"), F.col("k").alias("ordinal"))
+    second = F.when(F.col("m") == 0, F.col("text")).when(F.col("m") == 1, _OTHER).when(F.col("m") == 3, ".,").when(F.col("m") == 4, F.concat("text", F.lit("!!"))).otherwise(_SHORTER)
+    first = F.when(F.col("m") == 5, _ALPHABET).otherwise(F.col("text"))
+    rows = joins.engines(said.select("k", name.alias("name"), F.lit("en").alias("lang")), engine(first, F.lit(True)), engine(second, F.col("m") != 2), engine(F.lit(_ALPHABET), F.col("k") % 12 == 5))
+    return consensus.build_consensus(rows).select("k", "tier", "decision", F.md5("final_text").alias("digest"))
+
+
+@query(f"""WITH s AS ({_SAID}) SELECT k, CASE k % 4 WHEN 0 THEN 'no_pass3' WHEN 3 THEN 'drop' ELSE CASE WHEN length({_COMPACT.format("text")}) = 0 THEN 'drop' ELSE 'keep' END END AS decision,
+CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.0 END::DOUBLE AS sim13, CASE k % 4 WHEN 0 THEN NULL WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS sim23, CASE WHEN k % 4 IN (1, 2) THEN md5(text) END AS digest FROM s WHERE length({_COMPACT.format("text")}) > 0""")
+def q_third_pass_table(spark, d):
+    said = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.coalesce("text", F.lit("")).alias("text")).where(F.length(T.compact_text(F.col("text"))) > 0)
+    m = F.col("k") % 4
+    rows = said.select("k", F.when(m == 1, F.col("text")).otherwise(_OTHER).alias("text1"), F.when(m == 2, F.col("text")).otherwise(_OTHER).alias("text2"), F.when(m == 0, None).when(m == 3, _ALPHABET.upper()).otherwise(F.col("text")).alias("text3"))
+    return consensus.third_pass(rows).select("k", "decision", "sim13", "sim23", F.md5("text_new").alias("digest"))
+
+
+@query(f"""SELECT conv_id, turn, md5(CASE WHEN conv_id % 7 = 3 OR turn % 4 <> 0 OR regexp_replace(coalesce(text, ''), '{sql.WS}', '', 'g') = '' THEN coalesce(text, '') ELSE '  ' || coalesce(text, '') END) AS digest FROM conversations""")
+def q_corrections_table(spark, d):
+    """A model's answers on every message: spaced ones are taken, strange and blank ones aren't, some are left out, and some answers aren't JSON."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    new = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("  "), "text")).when(F.col("turn") % 4 == 1, _OTHER).otherwise(" ")
+    items = rows.where("turn % 4 <> 3").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").cast("int").alias("index"), new.alias("text")))).alias("results"))
+    answer = F.to_json(F.struct("results"))
+    fenced = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).otherwise(answer)
+    answers = items.select(F.col("conv_id").alias("batch"), F.when(F.col("conv_id") % 7 == 3, F.lit("I can't do that")).otherwise(fenced).alias("content"))
+    done = corrections.apply_answers(rows.withColumns({"batch": F.col("conv_id"), "place": F.col("turn")}), answers)
+    return done.select("conv_id", "turn", F.md5("corrected").alias("digest"))
+
+
+@query(f"""WITH q AS (SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN '问候' ELSE '食物' END AS scene FROM benchmark),
+c AS (SELECT CASE role WHEN 'user' THEN 0 ELSE 1 END AS part, conv_id * 100 + turn AS o, {sql.strip("text")} AS text, CASE WHEN conv_id % 40 = 0 THEN '问候' WHEN conv_id % 30 = 1 THEN '食物' ELSE '其他' END AS scene FROM conversations WHERE role IN ('user', 'assistant')),
+m AS (SELECT q.id, c.text, 0 AS tier, printf('%d%012d', part, o) AS place FROM q JOIN c ON (q.scene = '' OR q.scene = c.scene) WHERE c.text <> ''),
+f AS (SELECT id, text, tier, place FROM (SELECT *, row_number() OVER (PARTITION BY id, text ORDER BY tier, place) AS rn FROM m) WHERE rn = 1),
+few AS (SELECT q.id FROM q LEFT JOIN f USING (id) GROUP BY q.id HAVING count(f.text) < 3),
+p AS (SELECT few.id, c_name AS text, 3 AS tier, md5('5|' || few.id || '|' || c_name) AS place FROM few, customer WHERE c_name NOT IN (SELECT text FROM f WHERE f.id = few.id))
+SELECT id AS query_id, md5(text) AS digest, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, place) AS rank FROM (SELECT * FROM f UNION ALL SELECT * FROM p)) WHERE rank <= {retrieval.MAX_EXAMPLES}""")
+def q_examples_table(spark, d):
+    """Examples for every benchmark item from the conversations, filled up with names where too few match."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("CASE item_id % 3 WHEN 0 THEN 'zzz' WHEN 1 THEN '你好' ELSE '好吃' END").alias("text"))
+    talk = table(spark, d, "conversations")
+    scene = F.array(F.when(F.col("conv_id") % 40 == 0, "问候").when(F.col("conv_id") % 30 == 1, "食物").otherwise("其他"))
+    lines = lambda role: talk.where(F.col("role") == role).select((F.col("conv_id") * 100 + F.col("turn")).alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"), F.lit("zh").alias("lang"), scene.alias("scenes"), F.lit(None).cast("string").alias("era_tag"))
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("text"), F.lit("zh").alias("lang"), F.array().cast("array<string>").alias("scenes"), F.lit(None).cast("string").alias("era_tag"))
+    return retrieval.pick_examples(asked, lines("user"), lines("assistant"), names, 5).select("query_id", F.md5("text").alias("digest"), "rank")
+
+
+@query("""SELECT c_custkey, list_extract(['日常', '元气', '温柔', '俏皮', '倔强', '惊讶'], (c_custkey % 7 + 1)::INT) AS style, 'a' || c_custkey AS audio, c_name AS prompt_text, CASE WHEN c_custkey % 3 = 0 THEN 'zh' ELSE 'ja' END AS lang,
+CASE WHEN c_custkey % 4 = 0 THEN list_extract(['日常', '元气', '温柔', '俏皮', '倔强', '惊讶'], (c_custkey % 7 + 1)::INT) ELSE 'id' || c_custkey END AS clip_id FROM customer WHERE c_custkey % 7 <> 6 AND c_custkey % 5 <> 0""")
+def q_style_clips_table(spark, d):
+    """A bank of clips per customer; unknown styles and clips without audio go."""
+    style = F.expr("element_at(array('日常', '元气', '温柔', '俏皮', '倔强', '惊讶', '别的'), CAST(c_custkey % 7 + 1 AS INT))")
+    clip = F.struct(F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("a"), "c_custkey")).alias("audio"), F.concat(F.lit(" "), "c_name").alias("prompt_text"), F.when(F.col("c_custkey") % 3 != 0, "ja").alias("lang"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("id"), "c_custkey")).alias("id"))
+    banks = table(spark, d, "customer").select("c_custkey", F.create_map(style, F.struct(clip.alias("primary"))).alias("styles"))
+    found = readers.style_clips(banks).withColumn("c_custkey", F.regexp_extract("audio", r"(\d+)", 1).cast("long"))
+    return found.select("c_custkey", "style", "audio", "prompt_text", "lang", "clip_id")
+
+
 # --- what the sinks write and the sources read ---------------------------------------------------------------------------
 
 
