@@ -37,7 +37,7 @@ from ._store import bucketed, materialise, partitions
 #: Bytes of text to a shard: no shard's words can have more, and they have far less.
 SHARD_BYTES = 64 << 20
 #: Words that are turned into ids at once when a block's rows are put together.
-MERGE_WORDS = 1 << 20
+MERGE_WORDS = 1 << 18
 
 
 class Vocabulary:
@@ -176,9 +176,11 @@ def _speller(known: pa.Table):
                 n += len(some[-1])
                 low += 1
             places, cut = pa.array(np.concatenate(some)), runs(np.asarray([len(x) for x in some], np.int64))
-            out_ids += [bytes(x) for x in _joined(word_ids.take(places), cut).to_pylist()]
-            out_text += [x[:-1] for x in _joined(word_text.take(places), cut).to_pylist()]
-        return pa.table({"id": docs["id"], "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.binary()).cast(pa.string())})
+            out_ids.append(_joined(word_ids.take(places), cut).cast(pa.binary()))
+            out_text.append(pa.array([x[:-1] for x in _joined(word_text.take(places), cut).to_pylist()], pa.binary()).cast(pa.string()))
+        ids, text = pa.chunked_array(out_ids, pa.binary()), pa.chunked_array(out_text, pa.string())
+        pa.default_memory_pool().release_unused()
+        return pa.table({"id": docs["id"], "n_tokens": pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), "ids": ids, "decoded": text})
 
     return go
 
