@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from winnowry.config import CompactionLimits
-from winnowry.functions import slicing
+from winnowry.functions import conversion, slicing
 from winnowry.operators import substrings
 from winnowry.plans.corpus_queries import table
 from winnowry.sources import event_lines, readers, scratch, snapshots
@@ -214,6 +214,16 @@ def q_phrases_joined(spark, d):
     return _told(substrings.substring_pairs(texts, phrases, index_bytes=0))
 
 
+@query("""WITH p AS (SELECT DISTINCT unnest([split_part(text, ' ', 2), split_part(text, ' ', 3), split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)]) AS p FROM benchmark),
+r AS (SELECT string_agg(regexp_escape(p), '|' ORDER BY length(p) DESC, p) AS r FROM p WHERE p <> '') SELECT doc_id, md5(regexp_replace(text, '(' || r || ')', '<\\1>', 'g')) AS digest FROM documents, r""")
+def q_converted_texts(spark, d):
+    """Texts converted by a table of words and pairs of words, the longest at each place."""
+    word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
+    phrases = table(spark, d, "benchmark").select(F.explode(F.array(word(2), word(3), F.concat(word(3), F.lit(" "), word(4)))).alias("phrase"))
+    change = conversion.longest_match(phrases.select("phrase", F.concat(F.lit("<"), "phrase", F.lit(">")).alias("replacement")))
+    return table(spark, d, "documents").select("doc_id", F.md5(change("text")).alias("digest"))
+
+
 def _told(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("p")), "\n")).alias("digest"))
 
