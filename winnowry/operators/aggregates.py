@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from winnowry.sources.scratch import written
+
 from winnowry.functions.numeric import longest_run, rms_db, variation
 
 PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -128,3 +130,45 @@ def most_frequent_share(rows: DataFrame, key: str, text: str) -> DataFrame:
     chars = rows.select(key, F.explode(F.split(F.regexp_replace(text, r"(?U)\s", ""), "")).alias("c")).where("c <> ''")
     each = chars.groupBy(key, "c").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy(key).agg((F.max("n") / F.sum("n")).alias("share"))
+
+
+#: Values of an interval that are sorted in one task, buckets that a larger one is counted in, and intervals that are broadcast.
+LEAF_VALUES, FAN, MOST_BROADCAST = 100_000, 1024, 100_000
+
+
+def percentiles_by_selection(rows: DataFrame, value: str, keys: list[str], percents: tuple[int, ...] = PERCENTS, leaf: int = LEAF_VALUES) -> DataFrame:
+    """What ``percentiles`` gives, for groups of any size and any number of different values: each wanted rank lies in an interval of its group; intervals with more than ``leaf`` values are
+    counted in buckets, round by round, and give way to the bucket with the rank, from its least to its largest value. Then only what lies in the last intervals is sorted. Nulls and NaN aren't
+    values; a group of them has nulls."""
+    rows = rows.select(F.struct(*keys).alias("key"), F.col(value).cast("double").alias("v"))
+    rows = written(rows.withColumn("v", F.when(~F.isnan("v"), F.col("v"))), "values")
+    groups = written(rows.groupBy("key").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "groups")
+    at = (F.col("n") - 1) * F.col("p") / 100
+    asked = groups.where("n > 0").select("key", "n", "low", "high", F.explode(F.array(*map(F.lit, percents))).alias("p")).withColumn("at", at)
+    ranks = asked.select("key", "n", "low", "high", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank")).distinct()
+    open_ = written(ranks.select("key", "rank", "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("m")), "ranks")
+    done, wide = [], (F.col("m") > leaf) & (F.col("low") < F.col("high"))
+    while True:
+        done.append(open_.where(~wide))
+        open_ = open_.where(wide)
+        intervals = open_.select("key", "low", "high").distinct()
+        many = intervals.count()
+        if not many:
+            break
+        met = rows.join(F.broadcast(intervals) if many <= MOST_BROADCAST else intervals, "key").where(F.col("v").between(F.col("low"), F.col("high")))
+        bucket = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * FAN), F.lit(FAN - 1))
+        counts = met.groupBy("key", "low", "high", bucket.alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("least"), F.max("v").alias("most"))
+        before = F.coalesce(F.sum("k").over(Window.partitionBy("key", "low", "high").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        narrow = open_.join(counts.withColumn("before", before), ["key", "low", "high"]).where((F.col("rank") >= F.col("below") + F.col("before")) & (F.col("rank") < F.col("below") + F.col("before") + F.col("k")))
+        open_ = written(narrow.select("key", "rank", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("below") + F.col("before")).alias("below"), F.col("k").alias("m")), "ranks")
+    last = done[0]
+    for part in done[1:]:
+        last = last.unionByName(part)
+    last = written(last, "last")
+    spread = last.where("low < high").select("key", "low", "high").distinct()
+    inside = rows.join(spread, "key").where(F.col("v").between(F.col("low"), F.col("high"))).groupBy("key", "low", "high").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    found = last.join(inside, ["key", "low", "high"], "left").select("key", "rank", F.coalesce(F.get("vs", (F.col("rank") - F.col("below")).cast("int")), F.col("low")).alias("v"))
+    one, two = (found.select("key", F.col("rank").alias(r), F.col("v").alias(v)) for r, v in (("r1", "v1"), ("r2", "v2")))
+    each = asked.withColumns({"r1": F.floor("at"), "r2": F.ceil("at")}).join(one, ["key", "r1"]).join(two, ["key", "r2"])
+    each = each.groupBy("key").agg(*[F.max(F.when(F.col("p") == p, F.col("v1") + (F.col("v2") - F.col("v1")) * (F.col("at") - F.col("r1")))).alias(f"p{p:02d}") for p in percents])
+    return groups.select("key", "n").join(each, "key", "left").select("key.*", "n", *[f"p{p:02d}" for p in percents])

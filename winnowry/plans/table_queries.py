@@ -317,3 +317,10 @@ def q_validation_report(spark, d):
     checks = table(spark, d, "documents").where("lang is not null").groupBy(F.col("lang").alias("id")).agg((F.count_if(F.coalesce("text", F.lit("")) == "") == 0).alias("pass"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" rows")).alias("detail"))
     _, report = sinks.validation_report(checks)
     return spark.createDataFrame([(x,) for x in report.split("\n")], "line string")
+
+
+@query("SELECT l_returnflag, count(l_extendedprice) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 4) AS p{p:02d}" for p in aggregates.PERCENTS) + " FROM lineitem GROUP BY 1")
+def q_selected_percentiles(spark, d):
+    """Exact percentiles of prices, nearly all of which differ, by rounds of counting."""
+    rows = aggregates.percentiles_by_selection(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"], leaf=1000)
+    return rows.select("l_returnflag", "n", *[F.round(f"p{p:02d}", 4).alias(f"p{p:02d}") for p in aggregates.PERCENTS])
