@@ -285,7 +285,10 @@ def test_parts_join_to_the_ids_of_the_text(monkeypatch):
 
     monkeypatch.setattr(packing, "ENCODE_ROWS", 7)
     texts = [BASE, BASE.upper(), "naïve café\nline two", "", " lead", "trail ", "a  b", "x <|endoftext|> y<|endoftext|>", "it's ' s 'll we'll", "a\u3000 b", "a \u2003b", "tab\tbed a\t b", "日本 語", "1 234 5,6 %", "a\n b", None]
-    flat, at = packing.Encoder(TOKENIZER).encode(pa.array(texts))
+    monkeypatch.setattr(packing, "CACHE_PARTS", 30)
+    enc = packing.Encoder(TOKENIZER)
+    enc.encode(pa.array(["tok3 tok7 line two", "it's"]))
+    flat, at = enc.encode(pa.array(texts))
     whole = Tokenizer.from_file(TOKENIZER)
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 

@@ -16,8 +16,8 @@ class Parts:
         texts = pc.fill_null(texts, "")
         listed = pc.split_pattern(texts, " ")
         coded = listed.flatten().dictionary_encode()
-        names, part, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), runs(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
-        loose = np.asarray([not w or w[0].isspace() or w[-1].isspace() for w in names], bool)
+        names, part, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), runs(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        loose = pc.or_(pc.equal(names, ""), pc.not_equal(pc.utf8_trim_whitespace(names), names)).to_numpy(zero_copy_only=False)
         self.whole = (np.diff(np.concatenate(([0], np.cumsum(loose[part])))[at]) > 0) | whole
         used, again = renumbered(part[np.repeat(~self.whole, np.diff(at))], len(names))
         own = np.flatnonzero(self.whole)
@@ -26,5 +26,5 @@ class Parts:
         self.part = np.empty(int(self.at[-1]), np.int64)
         alone = np.repeat(self.whole, size)
         self.part[~alone], self.part[alone] = again, len(used) + np.arange(len(own))
-        self.names = [names[k] for k in used.tolist()] + texts.take(pa.array(own)).to_pylist()
+        self.names = pa.concat_arrays([names.take(pa.array(used)), texts.take(pa.array(own))])
         self.n_bytes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)

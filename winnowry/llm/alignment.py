@@ -194,7 +194,7 @@ class Block:
     def __init__(self, texts: pa.Array, path_a: str, path_b: str):
         va, vb = byte_level(path_a), pieces(path_b)
         found = Parts(texts, not vb.parted)
-        self.at, self.part, parts_ = found.at, found.part, found.names
+        self.at, self.part, parts_ = found.at, found.part, found.names.to_pylist()
         self.a, self.b = Coded(va, parts_), Coded(vb, parts_)
         ok = self.a.gives_back & self.b.gives_back & np.asarray([bool(p) for p in parts_], bool)
         self.ok = np.diff(np.concatenate(([0], np.cumsum(~ok[self.part])))[self.at]) == 0

@@ -19,11 +19,13 @@ import bisect
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,14 @@ SEPARATOR = 0
 GROUP_ROWS = 50_000
 #: Parts that are encoded at once, and bytes of text whose parts are.
 ENCODE_ROWS = 50_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: Parts whose ids a worker remembers, the first that it meets, and the longest of them in bytes: about 40 MB.
+CACHE_PARTS, LONGEST_CACHED = 1_000_000, 24
 
 
 class Encoder:
     """Ids of a block's texts. The splitter of byte-level files never joins what stands around a single blank, so there parts between blanks are encoded
-    apart, each distinct one once; with other files whole texts are."""
+    apart, each distinct one of a block once, and the commonest once a worker; with other files whole texts are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,6 +59,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
         self.by_parts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
         self.by_parts = self.by_parts and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
 
@@ -64,11 +69,28 @@ class Encoder:
         first = np.zeros(len(found.part), bool)
         first[found.at[:-1]] = True  # a text has a part at least; its first has no blank before it
         kinds, part = renumbered(found.part * 2 + first, 2 * len(found.names))
-        names = [found.names[k >> 1] if k & 1 else " " + found.names[k >> 1] for k in kinds.tolist()]
-        ids = [e.ids for low in range(0, len(names), ENCODE_ROWS) for e in self.tokenizer.encode_batch_fast(names[low : low + ENCODE_ROWS], add_special_tokens=False)]
-        lists = pa.array(ids, pa.list_(pa.uint32())).take(pa.array(part))
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        return flat, runs(np.fromiter(map(len, ids), np.int64, len(ids))[part])[found.at]
+        head = pa.array(np.where(kinds & 1, "", " "), pa.string())
+        places, ids = self._ids(pc.binary_join_element_wise(head, found.names.take(pa.array(kinds >> 1)), ""))
+        taken = ids.take(pa.array(places[part]))
+        begin = np.frombuffer(taken.buffers()[1], np.int64)[: len(part) + 1] // 4 if len(part) else np.zeros(1, np.int64)
+        data = taken.buffers()[2]
+        return np.frombuffer(data, "<u4")[: int(begin[-1])] if data is not None else np.zeros(0, "<u4"), begin[found.at]
+
+    def _ids(self, names: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Where each part's ids stand in a column of ids, as little-endian bytes."""
+        places = pc.index_in(names, value_set=self.known)
+        new = names.filter(pc.is_null(places))
+        told = []
+        for low in range(0, len(new), ENCODE_ROWS):
+            told += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new.slice(low, ENCODE_ROWS).to_pylist(), add_special_tokens=False)]
+        fresh = pa.array(told, pa.large_binary())
+        out = places.to_numpy(zero_copy_only=False).copy()
+        out[np.isnan(out)] = len(self.known) + np.arange(len(new))
+        ids = pa.concat_arrays([self.ids, fresh])
+        if room := CACHE_PARTS - len(self.known):
+            short = pc.less_equal(pc.binary_length(new), LONGEST_CACHED)
+            self.known, self.ids = pa.concat_arrays([self.known, new.filter(short)[:room]]), pa.concat_arrays([self.ids, fresh.filter(short)[:room]])
+        return out.astype(np.int64), ids
 
 
 _encoders: dict[str, Encoder] = {}
