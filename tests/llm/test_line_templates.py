@@ -51,3 +51,23 @@ def test_a_text_of_very_many_lines_is_done_in_seconds(spark):
     gone = {r["line"] for r in found}
     assert kept == [x for k, x in enumerate(text.split("\n")) if k not in gone] and len(kept) < 60_001
     assert time.time() - began < 120
+
+
+def test_long_lines_meet_in_bounded_matrices(monkeypatch):
+    """Sides by lists and by words, and several ranges of columns, against sets."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(m, "SIDE_WORDS", 900)
+    monkeypatch.setattr(m, "COLUMNS", 64)
+    base = rng.permutation(5000)[:300].astype(np.uint64)
+    lists = [np.unique(np.concatenate([rng.choice(base, k, replace=False), rng.integers(5000, 6000, 8).astype(np.uint64)])) for k in rng.integers(20, 290, 60)] + [base[:200], base[:210], base[:205]]
+    lists = [rng.permutation(x) for x in lists]
+    at = rng.integers(0, 3, len(lists))
+    got = {(int(i[r]), int(j[c])) for i, j, close in m.linked_within(lists, at) for r, c in zip(*np.nonzero(close), strict=True)}
+    want = set()
+    for i in range(len(lists)):
+        for j in range(i):
+            both = len(set(lists[i].tolist()) & set(lists[j].tolist()))
+            apart = not set(lists[i][: at[i]].tolist()) & set(lists[j][: at[j]].tolist())
+            if apart and m.OF * both >= m.SIMILAR * (len(lists[i]) + len(lists[j]) - both):
+                want.add((i, j))
+    assert got == want and len(want) >= 3

@@ -377,22 +377,55 @@ def linked_within(lists: list[np.ndarray], at: np.ndarray) -> Iterator[tuple[np.
         if close.any():
             yield np.arange(g), np.arange(g), close
         return
-    for a, b in ((a, b) for a in range(0, g, 512) for b in range(0, a + 1, 512)):
-        left, right = np.arange(a, min(a + 512, g)), np.arange(b, min(b + 512, g))
-        used = left if a == b else np.concatenate([left, right])
-        kinds = np.unique(np.concatenate([lists[i] for i in used]))
-        full, head = [], []
-        for side in (left,) if a == b else (left, right):
-            m, h = np.zeros((len(side), len(kinds)), np.float32), np.zeros((len(side), len(kinds)), np.float32)
-            for r, i in enumerate(side.tolist()):
-                column = np.searchsorted(kinds, lists[i])
-                m[r, column] = 1
-                h[r, column[: at[i]]] = 1
-            full.append(m)
-            head.append(h)
-        both = full[0] @ full[-1].T
-        sizes = full[0].sum(1)[:, None] + full[-1].sum(1)[None, :] - both
-        yield left, right, (OF * both >= SIMILAR * sizes) & (head[0] @ head[-1].T == 0) & (left[:, None] > right[None, :])
+    sides = _sides(np.asarray([len(x) for x in lists], np.int64))
+    for a, left in enumerate(sides):
+        for right in sides[: a + 1]:
+            kinds = np.unique(np.concatenate([lists[i] for i in (left if left is right else np.concatenate([left, right]))]))
+            ours = _Side(lists, left, at, kinds)
+            theirs = ours if left is right else _Side(lists, right, at, kinds)
+            both, heads = np.zeros((2, len(left), len(right)), np.float32)
+            for low in range(0, len(kinds), COLUMNS):
+                m, h = ours.matrices(low)
+                n, k = (m, h) if theirs is ours else theirs.matrices(low)
+                both += m @ n.T
+                heads += h @ k.T
+            sizes = ours.size[:, None] + theirs.size[None, :] - both
+            yield left, right, (OF * both >= SIMILAR * sizes) & (heads == 0) & (left[:, None] > right[None, :])
+
+
+#: Lists and words of a side of a comparison, and columns of its matrices: a matrix has 16 MB at most.
+SIDE_LISTS, SIDE_WORDS, COLUMNS = 512, 1 << 20, 1 << 13
+
+
+def _sides(size: np.ndarray) -> list[np.ndarray]:
+    """Consecutive lists of at most SIDE_LISTS lists and SIDE_WORDS words, or one longer list."""
+    out, low = [], 0
+    ends = np.cumsum(size)
+    while low < len(size):
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SIDE_WORDS, "right"))
+        high = min(max(high, low + 1), low + SIDE_LISTS)
+        out.append(np.arange(low, high))
+        low = high
+    return out
+
+
+class _Side:
+    """Lists as rows of 0 and 1 over the columns ``kinds``; ``heads`` are their words before a place."""
+
+    def __init__(self, lists: list[np.ndarray], side: np.ndarray, at: np.ndarray, kinds: np.ndarray):
+        self.size = np.asarray([len(lists[i]) for i in side], np.int64)
+        row = np.repeat(np.arange(len(side), dtype=np.int32), self.size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        column = np.searchsorted(kinds, np.concatenate([lists[i] for i in side])).astype(np.int32)
+        order = np.argsort(column, kind="stable")
+        self.row, self.column, self.head = row[order], column[order], (place < at[side][row])[order]
+
+    def matrices(self, low: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.column, (low, low + COLUMNS))
+        m, h = np.zeros((2, len(self.size), COLUMNS), np.float32)
+        m[self.row[a:b], self.column[a:b] - low] = 1
+        h[self.row[a:b], self.column[a:b] - low] = self.head[a:b]
+        return m, h
 
 
 def join_links(sets: DataFrame, tasks: int) -> DataFrame:
