@@ -76,10 +76,6 @@ def script_ratio(text: Column, lang: Column) -> Column:
     return out
 
 
-def latin_ratio(text: Column) -> Column:
-    return _share(text, "[A-Za-z]")
-
-
 def is_char_repetitive(text: Column, threshold: float = 0.5) -> Column:
     """Whether one character makes up more than ``threshold`` of the non-space characters.
     From one half up only one character can: sorted, it's the one in the middle, so one count decides."""
@@ -93,31 +89,10 @@ def is_char_repetitive(text: Column, threshold: float = 0.5) -> Column:
     return F.when(n == 0, F.lit(False)).otherwise(same / n > threshold)
 
 
-def has_phrase_loop(text: Column, min_unit: int = 2, max_unit: int = 8, min_repeats: int = 3) -> Column:
-    """Whether a unit of 2 to 8 characters stands three times in a row, white space aside."""
-    return no_space(text).rlike(rf"(?d)(.{{{min_unit},{max_unit}}})\1{{{min_repeats - 1},}}")
-
-
-def has_char_run(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(r"(?d)(.)\1{4,}")
-
-
-def has_hangul(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike("[가-힯]")
-
-
 def has_kana(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(f"[{KANA}]")
 
 
-def has_cjk(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(f"[{CJK}]")
-
-
-def is_nonlexical(text: Column, least: int = 2) -> Column:
-    return F.length(content_chars(text)) < least
-
-
 def reasons(*gates: tuple[Column, str | Column]) -> Column:
     """Names of all gates whose condition holds, in order; a null condition doesn't hold."""
     return F.filter(F.array(*[F.when(condition, name if isinstance(name, Column) else F.lit(name)) for condition, name in gates]), lambda x: x.isNotNull())
