@@ -52,6 +52,8 @@ FEW = 2048
 MOST_BLOCKS = 1 << 15
 BLOOM_BITS = 1 << 23
 WORD_SPACE = SPACE
+#: Bytes of texts that are read together: their arrays of 8 bytes a byte stay in a core's cache.
+TEXT_BYTES = 1 << 18
 
 
 def order_of(line: np.ndarray, rest: np.ndarray, words: np.ndarray, exact) -> np.ndarray:
@@ -64,8 +66,8 @@ def order_of(line: np.ndarray, rest: np.ndarray, words: np.ndarray, exact) -> np
     return exact() if (tied & (words[order[1:]] != words[order[:-1]])).any() else order
 
 
-def line_sets(data: np.ndarray, at: np.ndarray):
-    """Of a block: each line's document and number, the hashes of its distinct words (sorted), and where each line's begin."""
+def line_sets(data: np.ndarray, at: np.ndarray, ranks: np.ndarray | None = None):
+    """Of a block: each line's document and number, the hashes of its distinct words (sorted, by rarity if the buckets' ranks are given), and where each line's begin."""
     ends_line = np.flatnonzero(data == 10) + 1
     doc_of_break = np.searchsorted(at, ends_line - 1, "right") - 1
     per_doc = np.bincount(doc_of_break, minlength=len(at) - 1) + 1 if len(at) > 1 else np.zeros(0, np.int64)
@@ -79,7 +81,7 @@ def line_sets(data: np.ndarray, at: np.ndarray):
     words = Rolling(data, LOWER_BYTES)(starts, ends)
     # lines with equal beginnings are empty ones before the last; a word belongs to the last line that begins at or before it
     line = np.searchsorted(begin, starts, "right") - 1
-    order = order_of(line, words >> U64(20), words, lambda: np.lexsort((words, line)))
+    order = order_of(line, words >> U64(20), words, lambda: np.lexsort((words, line))) if ranks is None else by_rarity(words, line, ranks)
     words, line = words[order], line[order]
     if len(words):
         new = np.ones(len(words), bool)
@@ -106,7 +108,7 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
 
 
 def by_rarity(words: np.ndarray, line: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The order that sorts each line's words by rarity; words come sorted by (line, hash). ranks: of the buckets."""
+    """The order that sorts each line's words by rarity; words come line by line. ranks: of the buckets."""
     rank = ranks[bucket_of(words)]
     return order_of(line, rank.astype(U64) << U64(28) | words >> U64(20) & U64((1 << 28) - 1), words, lambda: np.lexsort((words, rank, line)))
 
@@ -127,7 +129,7 @@ def lines_of(texts: DataFrame) -> DataFrame:
         total = np.zeros(COUNTERS, np.int64)
         names = ["id", "line", "n", "key", "set", "bucket", "k"]
         for batch in batches:
-            for low, high, data, at in blocks(batch.column(1)):
+            for low, high, data, at in blocks(batch.column(1), TEXT_BYTES):
                 doc, number, words, of, _ = line_sets(data, at)
                 total += np.bincount(bucket_of(words), minlength=COUNTERS)
                 n = np.diff(of)
@@ -162,13 +164,12 @@ class Prefixes:
     """The prefix postings of a block: words, the line of each, its place there, and the lines' sets, lengths and words."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, ranks: np.ndarray):
-        _, _, words, self.of, line = line_sets(data, at)
-        self.n, self.sets = np.diff(self.of), keys_of(words, self.of)[:, 0]
+        _, _, ranked, self.of, line = line_sets(data, at, ranks)
+        self.n, self.sets = np.diff(self.of), keys_of(ranked, self.of)[:, 0]
         use = np.zeros(len(self.n), bool)
         use[np.unique(self.sets, return_index=True)[1]] = True  # lines with the same set give one posting a block
         use &= self.n >= LEAST_LINKED
-        self.by_hash = words
-        ranked = words[by_rarity(words, line, ranks)]
+        self.ranked = ranked
         place = np.arange(len(ranked)) - self.of[line]
         pick = np.flatnonzero(use[line] & (place < prefix_length(self.n)[line]))
         self.words, self.line, self.place = ranked[pick], line[pick], place[pick]
@@ -180,7 +181,7 @@ def prefix_counts(texts: DataFrame, ranks: np.ndarray) -> np.ndarray:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, _, data, at in blocks(batch.column(1)):
+            for _, _, data, at in blocks(batch.column(1), TEXT_BYTES):
                 total += np.bincount(bucket_of(Prefixes(data, at, ranks).words), minlength=COUNTERS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "k"])
@@ -213,10 +214,10 @@ def postings(texts: DataFrame, ranks: np.ndarray, many: np.ndarray, tasks: int)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in blocks(batch.column(1)):
+            for _, _, data, at in blocks(batch.column(1), TEXT_BYTES):
                 p = Prefixes(data, at, ranks)
-                bit = U64(1) << (p.by_hash >> U64(20) & U64(63))
-                half = p.by_hash >> U64(26) & U64(1)
+                bit = U64(1) << (p.ranked >> U64(20) & U64(63))
+                half = p.ranked >> U64(26) & U64(1)
                 bits = np.stack([np.bitwise_or.reduceat(np.append(np.where(half == k, bit, U64(0)), U64(0)), p.of[:-1]) for k in (0, 1)], 1)
                 split = many[bucket_of(p.words)]
                 row, part = parts_of((p.sets[p.line] % split.astype(U64)).astype(np.int64), split)
@@ -318,8 +319,8 @@ def sets_of(texts: DataFrame, ranks: np.ndarray, chosen: np.ndarray, holders: np
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = np.flatnonzero(in_map(batch.column(0).to_numpy().view(U64), holders))
-            for _, _, data, at in blocks(batch.column(1).take(pa.array(held))):
-                _, _, words, of, line = line_sets(data, at)
+            for _, _, data, at in blocks(batch.column(1).take(pa.array(held)), TEXT_BYTES):
+                _, _, words, of, line = line_sets(data, at, ranks)
                 keys = keys_of(words, of)
                 use = in_map(keys[:, 0], chosen) & (np.diff(of) >= LEAST_LINKED)
                 _, one = np.unique(keys[:, 0], return_index=True)
@@ -327,8 +328,7 @@ def sets_of(texts: DataFrame, ranks: np.ndarray, chosen: np.ndarray, holders: np
                 once[one] = True
                 use &= once
                 rows = np.flatnonzero(use)
-                flat, line = words[use[line]], line[use[line]]
-                flat = flat[by_rarity(flat, line, ranks)]
+                flat = words[use[line]]
                 sizes = np.concatenate([[0], np.cumsum(np.diff(of)[rows])])
                 yield pa.RecordBatch.from_arrays([binary_array(keys[rows].ravel(), np.arange(len(rows) + 1) * 2), binary_array(flat, sizes)], ["key", "words"])
 
@@ -368,14 +368,19 @@ def linked_within(lists: list[np.ndarray], at: np.ndarray) -> Iterator[tuple[np.
     """Blocks (rows, columns, links as a boolean matrix) of a word's lists: pairs, each once, whose first common word this is; ``at`` is its place in each list."""
     g = len(lists)
     if g <= 16:
-        sets = [frozenset(x.tolist()) for x in lists]
-        heads = [frozenset(x[:k].tolist()) for x, k in zip(lists, at.tolist(), strict=True)]
-        close = np.zeros((g, g), bool)
-        for i in range(g):
-            for j in range(i):
-                close[i, j] = heads[i].isdisjoint(heads[j]) and OF * (both := len(sets[i] & sets[j])) >= SIMILAR * (len(sets[i]) + len(sets[j]) - both)
-        if close.any():
-            yield np.arange(g), np.arange(g), close
+        # with heads apart, sets share at most what begins at the places; sets are only made for pairs that this and their heads leave
+        size, rest = [len(x) for x in lists], [len(x) - k for x, k in zip(lists, at.tolist(), strict=True)]
+        pairs = [(i, j) for i in range(g) for j in range(i) if (OF + SIMILAR) * min(rest[i], rest[j]) >= SIMILAR * (size[i] + size[j])]
+        if pairs:
+            heads = [frozenset(x[:k].tolist()) for x, k in zip(lists, at.tolist(), strict=True)]
+            pairs = [(i, j) for i, j in pairs if heads[i].isdisjoint(heads[j])]
+        if pairs:
+            sets = {i: frozenset(lists[i].tolist()) for i in {i for pair in pairs for i in pair}}
+            close = np.zeros((g, g), bool)
+            for i, j in pairs:
+                close[i, j] = OF * (both := len(sets[i] & sets[j])) >= SIMILAR * (size[i] + size[j] - both)
+            if close.any():
+                yield np.arange(g), np.arange(g), close
         return
     sides = _sides(np.asarray([len(x) for x in lists], np.int64))
     for a, left in enumerate(sides):
