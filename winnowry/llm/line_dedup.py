@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans
-from ._store import lookup, materialise, partitions
+from ._store import lookup, materialise, partitions, small_batches
 
 SIMILAR, OF = 85, 100
 MIN_WORDS = 1
@@ -474,6 +474,11 @@ def join_links(sets: DataFrame, tasks: int) -> DataFrame:
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: id, line (from 0), n_words (different ones), class_id and class_line (the earliest line with the same
     set; null without words), n_links (other sets linked with it), removed."""
+    with small_batches(docs.sparkSession):
+        return _duplicate_lines(docs, id_col, text_col)
+
+
+def _duplicate_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = _texts(docs, id_col, text_col)
     every = materialise(lines_of(texts), "lines")
     lines = every.where("bucket is null").drop("bucket", "k")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans, words_per_row
 from ._components import components, forest, joined
-from ._store import materialise
+from ._store import materialise, small_batches
 
 SHINGLE = 5
 SIMILAR, OF = 75, 100
@@ -55,6 +55,8 @@ LEAST_EQUAL = 140
 BLOCK = 1024
 #: Bytes of sets that a family's block holds on average, at most.
 BLOCK_BYTES = 8 << 20
+#: Bytes of texts that are shingled together.
+TEXT_BYTES = 1 << 18
 #: Bits of the map of needed sets: a fixed 2 MB, whatever the corpus. It only spares work, as false hits are dropped by a join.
 MAP_BITS = 1 << 24
 _RNG = np.random.default_rng(19)
@@ -150,7 +152,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, at in blocks(batch.column(2), 1 << 18):
+            for low, high, data, at in blocks(batch.column(2), TEXT_BYTES):
                 hashes, of = shingle_sets(data, at)
                 h1, h2 = set_sums(hashes, of)
                 rows = binary_array(registers(hashes, of).ravel(), np.arange(high - low + 1) * REGISTERS)
@@ -179,7 +181,7 @@ def sets_of(docs: DataFrame, need: DataFrame) -> DataFrame:
             bit = t & (MAP_BITS - 1)
             use = np.flatnonzero(chosen[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1))
             use = use[np.unique(t[use], return_index=True)[1]]
-            for _, _, data, at in blocks(batch.column(1).take(pa.array(use))):
+            for _, _, data, at in blocks(batch.column(1).take(pa.array(use)), TEXT_BYTES):
                 hashes, of = shingle_sets(data, at)
                 h1, h2 = set_sums(hashes, of)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), binary_array(hashes, of)], ["h1", "h2", "elements"])
@@ -198,8 +200,8 @@ def bands_of(classes: DataFrame, first: int = 0, last: int = BANDS) -> DataFrame
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
                 regs = _matrix(part.column(2)).reshape(-1, BANDS, ROWS).astype(U64)
                 keys = mix((mix(regs + U64(1)) * weights).sum(2, dtype=U64) + np.arange(BANDS, dtype=U64))[:, first:last]
                 band = np.tile(np.arange(first, last, dtype=np.int8), len(keys))
@@ -383,6 +385,11 @@ def family_links(families: DataFrame, labels: DataFrame, docs: DataFrame, classe
 
 def classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sketches without registers (id, n, h1, h2), the classes of equal sets (v, n, h1, h2, regs), and (id, component) of those with links; all written."""
+    with small_batches(docs.sparkSession):
+        return _classes_of(docs, id_col, text_col)
+
+
+def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = docs.select(F.col(text_col).alias("text"))
     sketched = materialise(sketches(docs, id_col, text_col), "sketches")
     classes = sketched.where("n > 0").groupBy("n", "h1", "h2").agg(F.first("t").alias("t"), F.first("regs").alias("regs")).withColumn("v", F.monotonically_increasing_id())
@@ -426,14 +433,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = told.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("m"))
     keep = materialise(first.select(F.col("m.id").alias("k_id"), F.col("m.h1").alias("k_h1"), F.col("m.h2").alias("k_h2")), "keep")
     names = docs.columns
-    held = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    text = names.index(text_col)
+    held = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, at in blocks(batch.column(1)):
+            for low, high, data, at in blocks(batch.column(1).field(text), TEXT_BYTES):
                 hashes, of = shingle_sets(data, at)
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(of)), *map(pa.array, set_sums(hashes, of))], ["id", "row", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(of)), *map(pa.array, set_sums(hashes, of))], ["id", "row", "n", "h1", "h2"])
 
     row = held.schema["row"].dataType.simpleString()
     told = held.mapInArrow(go, f"id long, row {row}, n long, h1 long, h2 long")
