@@ -225,7 +225,7 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the likelihood doesn't give up, with the likeliest similarity."""
+    """Pairs (a, b, c_a, c_b) that the likelihood doesn't give up, with the likeliest similarity."""
     side = classes.select("v", "n", "regs")
     both = pairs.join(side.toDF("a", "n_a", "regs_a").hint("merge"), "a").join(side.toDF("b", "n_b", "regs_b").hint("merge"), "b")
 
@@ -233,20 +233,20 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
-                a, b, n_a, n_b, x, y = part.columns
+                *names, n_a, n_b, x, y = part.columns
                 keep, likely = plausible(_matrix(x), _matrix(y), n_a.to_numpy(), n_b.to_numpy())
-                yield pa.RecordBatch.from_arrays([a, b, pa.array(likely)], ["a", "b", "likely"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*names, pa.array(likely)], ["a", "b", "c_a", "c_b", "likely"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(go, "a long, b long, likely double")
+    return both.select("a", "b", "c_a", "c_b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(go, "a long, b long, c_a long, c_b long, likely double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b), a written table, whose full sets reach the threshold. Classes are dealt into blocks; a task has the pairs of two blocks and the sets they need."""
+    """The components (u, v) of those of the pairs (a, b, c_a, c_b), a written table, whose full sets reach the threshold. Classes are dealt into blocks; a task has the pairs of two blocks and the sets they need."""
     need = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     need = materialise(need.join(classes.select("v", "t", "h1", "h2").hint("merge"), "v"), "need")
     many = max(1, -(-need.count() // BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
-    pairs = pairs.select("a", "b").withColumns({"i": block("a"), "j": block("b")})
+    pairs = pairs.select("a", "b", "c_a", "c_b").withColumns({"i": block("a"), "j": block("b")})
     sent = pairs.select("i", "j", F.col("a").alias("v")).union(pairs.select("i", "j", "b")).distinct()
     sent = sent.join(sets_of(docs, need).hint("merge"), "v").select(F.col("i").alias("i2"), F.col("j").alias("j2"), "v", "elements")
 
@@ -262,9 +262,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
             together.sort()
             shared = int(np.count_nonzero(together[1:] == together[:-1]))
             keep.append(OF * shared >= SIMILAR * (len(x) + len(y) - shared))
-        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        return left.select(["c_a", "c_b"]).rename_columns(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(pairs.groupBy("i", "j").cogroup(sent.groupBy("i2", "j2")).applyInArrow(go, "a long, b long"), "links")
+    return pairs.groupBy("i", "j").cogroup(sent.groupBy("i2", "j2")).applyInArrow(go, "u long, v long")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataFrame:
@@ -273,11 +273,12 @@ def labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataFr
 
 
 def star_pairs(bands: DataFrame) -> DataFrame:
-    """Each member of a key with the key's smallest member, where their components differ: distinct pairs (a, b), b < a.
+    """Each member of a key with the key's smallest member, where their components differ: distinct pairs (a, b), b < a,
+    with their components c_a and c_b, dealt by a: what follows joins there first.
     The table of bands is read twice; both sides of the join are shuffled, so a hot key can be split."""
     centres = bands.groupBy("key").agg(F.min(F.struct("v", "c")).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
     centres = materialise(centres.select("key", F.col("m.v").alias("b"), F.col("m.c").alias("c_b")), "centres")
-    return bands.join(centres.hint("merge"), "key").where("c != c_b").select(F.col("v").alias("a"), "b").distinct()
+    return bands.join(centres.hint("merge"), "key").where("c != c_b").select(F.col("v").alias("a"), "b", F.col("c").alias("c_a"), "c_b").repartition("a").distinct()
 
 
 def _dealt(many: str, salt: str) -> F.Column:
@@ -319,7 +320,7 @@ def leftover_forest(bands: DataFrame, detail: DataFrame) -> DataFrame:
         u, v = forest(close, id_x, id_y)
         return pa.table({"u": u, "v": v})
 
-    return outside.groupBy("key", "u", "m").cogroup(others.groupBy("key2", "u2", "m2")).applyInArrow(meet, "u long, v long").where("u != v").distinct()
+    return outside.groupBy("key", "u", "m").cogroup(others.groupBy("key2", "u2", "m2")).applyInArrow(meet, "u long, v long").where("u != v")
 
 
 def joining(v: np.ndarray, c: np.ndarray, block: np.ndarray, sets: list[np.ndarray], main: int) -> list[tuple[int, int]]:
@@ -361,7 +362,7 @@ def joining(v: np.ndarray, c: np.ndarray, block: np.ndarray, sets: list[np.ndarr
 
 
 def family_links(families: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """families: (id, component) of the plausible pairs' trees. Verified links (a, b) between components, of all pairs within families."""
+    """families: (id, component) of the plausible pairs' trees. Components (u, v) that verified links join, of all pairs within families."""
     members = families.select(F.col("id").alias("v"), F.col("component").alias("family"))
     need = materialise(members.join(classes.select("v", "t", "n", "h1", "h2").hint("merge"), "v"), "need")
     held = materialise(labelled(need.select("v", "n", "family"), labels, "v", "c"), "held")
@@ -378,9 +379,10 @@ def family_links(families: DataFrame, labels: DataFrame, docs: DataFrame, classe
         if table["i"][0] == table["j"][0] or block.min() != block.max():
             sets = [np.frombuffer(x.as_buffer(), U64) for x in table["elements"]]
             links = joining(table["v"].to_numpy(), table["c"].to_numpy(), block, sets, table["main"][0].as_py())
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        of = dict(zip(table["v"].to_pylist(), table["c"].to_pylist(), strict=True)) if links else {}
+        return pa.table({"u": pa.array([of[a] for a, _ in links], pa.int64()), "v": pa.array([of[b] for _, b in links], pa.int64())})
 
-    return materialise(met.groupBy("family", "i", "j").applyInArrow(go, "a long, b long"), "links")
+    return met.groupBy("family", "i", "j").applyInArrow(go, "u long, v long")
 
 
 def classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -394,17 +396,18 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     sketched = materialise(sketches(docs, id_col, text_col), "sketches")
     classes = sketched.where("n > 0").groupBy("n", "h1", "h2").agg(F.first("t").alias("t"), F.first("regs").alias("regs")).withColumn("v", F.monotonically_increasing_id())
     classes = materialise(classes, "classes")
-    tried = materialise(estimated(star_pairs(materialise(bands_of(classes.withColumn("c", F.col("v")), 0, FIRST), "bands")), classes), "likely")
-    best = materialise(tried.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b")), "best")
-    labels = materialise(components(verified(best, texts, classes).toDF("u", "v")), "labels")
+    tried = estimated(star_pairs(materialise(bands_of(classes.withColumn("c", F.col("v")), 0, FIRST), "bands")), classes)
+    best = tried.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b"))
+    best = materialise(best.select("a", "b", F.col("a").alias("c_a"), F.col("b").alias("c_b")), "best")
+    labels = components(verified(best, texts, classes))
     # of all bands, those rows whose key still holds more than one component
     bands = bands_of(labelled(classes, labels, "v", "c"))
     open_ = bands.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
     bands = materialise(bands.join(materialise(open_, "open").hint("merge"), "key", "left_semi"), "bands")
-    pairs = materialise(estimated(star_pairs(bands), classes).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    pairs = materialise(estimated(star_pairs(bands), classes).drop("likely").join(best.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
     labels = joined(labels, verified(pairs, texts, classes))
     bands = materialise(labelled(bands.drop("c"), labels, "v", "c"), "bands")
-    families = materialise(components(leftover_forest(bands, classes.select("v", "n", "regs"))), "trees")
+    families = components(leftover_forest(bands, classes.select("v", "n", "regs")))
     if not families.isEmpty():
         labels = joined(labels, family_links(families, labels, texts, classes))
     return sketched.drop("regs", "t"), classes, labels
