@@ -76,7 +76,7 @@ def spans(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    member = inside[data]
+    member = np.frombuffer(data.tobytes().translate(inside.tobytes()), bool)  # faster than indexing, which widens the bytes
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before = np.empty(n, bool)

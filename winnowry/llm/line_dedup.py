@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans
+from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans, text_bytes
 from ._store import lookup, materialise, partitions, small_batches
 
 SIMILAR, OF = 85, 100
@@ -335,6 +335,26 @@ def sets_of(texts: DataFrame, ranks: np.ndarray, chosen: np.ndarray, holders: np
     return texts.mapInArrow(go, "key binary, words binary")
 
 
+def marked(words: np.ndarray, of: np.ndarray, marks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set, place and number of blocks of the marked words in the sets' prefixes; set i has words[of[i]:of[i + 1]] and marks[i]."""
+    n = prefix_length(np.diff(of))
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    flat, k = marks.flatten(), pc.list_value_length(marks).to_numpy(zero_copy_only=False).astype(np.int64)
+    word, many = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+    kinds, code = np.unique(word, return_inverse=True)
+    held = np.repeat(np.arange(len(k)), k) * len(kinds) + code
+    order = np.argsort(held)
+    held, many = held[order], many[order]
+    head = words[of[row] + place].view(np.int64)
+    found = np.minimum(np.searchsorted(kinds, head), max(len(kinds) - 1, 0))
+    known = np.flatnonzero(kinds[found] == head) if len(kinds) else np.zeros(0, np.int64)
+    row, place, wanted = row[known], place[known], row[known] * len(kinds) + found[known]
+    at = np.minimum(np.searchsorted(held, wanted), max(len(held) - 1, 0))
+    own = np.flatnonzero(held[at] == wanted) if len(held) else np.zeros(0, np.int64)
+    return row[own], place[own], many[at[own]]
+
+
 def spread(sets: DataFrame, tasks: int) -> DataFrame:
     """A row per set and task that a marked word of its prefix belongs to: (task, places of such words, their parts and the set's own blocks, key, words, id, line)."""
 
@@ -342,24 +362,20 @@ def spread(sets: DataFrame, tasks: int) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                task_no, places, parts, owns, rows = [], [], [], [], []
-                for r, (key, raw, marks) in enumerate(zip(part.column(0), part.column(1), part.column(4).to_pylist(), strict=True)):
-                    words = np.frombuffer(raw.as_buffer(), U64)
-                    many_of = {m["word"]: m["many"] for m in marks}
-                    head = words[: prefix_length(np.int64(len(words)))]
-                    many = np.array([many_of.get(w, 0) for w in head.view(np.int64).tolist()], np.int64)
-                    at = np.flatnonzero(many)
-                    block = (np.frombuffer(key.as_buffer(), U64)[0] % many[at].astype(U64)).astype(np.int32)
-                    row, piece = parts_of(block, many[at])
-                    at, block = at[row], block[row]
-                    task = task_of(words[at], piece, tasks)
-                    for t in np.unique(task).tolist():
-                        task_no.append(t)
-                        places.append(at[task == t].astype(np.int32).tobytes())
-                        parts.append(piece[task == t].tobytes())
-                        owns.append(block[task == t].tobytes())
-                        rows.append(r)
-                yield pa.RecordBatch.from_arrays([pa.array(task_no, pa.int32()), pa.array(places, pa.binary()), pa.array(parts, pa.binary()), pa.array(owns, pa.binary()), *part.take(pa.array(rows, pa.int64())).columns[:4]], ["task", "places", "parts", "owns", "key", "words", "id", "line"])
+                flat, of = text_bytes(part.column(1))
+                words, of = flat.view(U64), of // 8
+                first = text_bytes(part.column(0))[0].view(U64)[::2]
+                row, place, many = marked(words, of, part.column(4))
+                block = (first[row] % many.astype(U64)).astype(np.int32)
+                hit, piece = parts_of(block, many)
+                row, place, block = row[hit], place[hit], block[hit]
+                task = task_of(words[of[row] + place], piece, tasks)
+                order = np.lexsort((task, row))
+                row, task, place, piece, block = row[order], task[order], place[order], piece[order], block[order]
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (task[1:] != task[:-1])])) if len(row) else np.zeros(0, np.int64)
+                cut = np.append(new, len(row))
+                lists = [binary_array(x, cut) for x in (place.astype(np.int32), piece, block)]
+                yield pa.RecordBatch.from_arrays([pa.array(task[new]), *lists, *part.take(pa.array(row[new])).columns[:4]], ["task", "places", "parts", "owns", "key", "words", "id", "line"])
 
     return sets.select("key", "words", "id", "line", "marks").mapInArrow(go, "task int, places binary, parts binary, owns binary, key binary, words binary, id long, line long")
 
