@@ -105,6 +105,28 @@ class Rolling:
         return mix(self.raw(starts, ends))
 
 
+_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of at least one byte, A-Z as a-z, from their length and eight bytes at a time: work grows with the words, where ``Rolling`` prepares every byte."""
+    padded = data.tobytes().translate(_TO_LOWER) + bytes(8)
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes that begin at each place
+    size = ends - starts
+    out = mix((eight[starts] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(U64) * U64(_P))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        many = (size[long] - 1) >> 3
+        first = np.cumsum(many) - many
+        at = (np.arange(first[-1] + many[-1]) - np.repeat(first, many) + 1) << 3
+        row = np.repeat(long, many)
+        part = eight[starts[row] + at] & _FIRST_BYTES[np.minimum(size[row] - at, 8)]
+        out[long] = mix(out[long] + np.add.reduceat(mix(part + at.astype(U64) * U64(_P_INV)), first))
+    return out
+
+
 def words_per_row(starts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where each document's words begin among ``starts`` (n + 1 offsets)."""
     return np.searchsorted(starts, at, "left")

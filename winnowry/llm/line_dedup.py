@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans, text_bytes
+from ._arrow import SPACE, U64, binary_array, blocks, mix, spans, text_bytes, word_hashes
 from ._store import lookup, materialise, partitions, small_batches
 
 SIMILAR, OF = 85, 100
@@ -40,6 +40,8 @@ MIN_WORDS = 1
 #: Different sets share at most n of n + 1 words, so the smallest of which one may be linked has this many.
 LEAST_LINKED = -(-SIMILAR // (OF - SIMILAR))
 COUNTERS = 1 << 16
+#: Counters that a row holds.
+ROW_COUNTERS = 1 << 10
 #: Postings that a task of the join holds on average.
 TASK_POSTINGS = 200_000
 #: Bytes of sets that a task of the second join holds on average, at most.
@@ -78,7 +80,7 @@ def line_sets(data: np.ndarray, at: np.ndarray, ranks: np.ndarray | None = None)
     begin[first[:-1]] = at[:-1]
     begin[first[doc_of_break] + 1 + np.arange(len(ends_line)) - np.concatenate([[0], np.cumsum(per_doc - 1)])[doc_of_break]] = ends_line
     starts, ends = spans(data, at, ~WORD_SPACE)
-    words = Rolling(data, LOWER_BYTES)(starts, ends)
+    words = word_hashes(data, starts, ends)
     # lines with equal beginnings are empty ones before the last; a word belongs to the last line that begins at or before it
     line = np.searchsorted(begin, starts, "right") - 1
     order = order_of(line, words >> U64(20), words, lambda: np.lexsort((words, line))) if ranks is None else by_rarity(words, line, ranks)
@@ -123,7 +125,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lines_of(texts: DataFrame) -> DataFrame:
     """(id, line, n, key, set): a row per line; key names its set, null without words; set is the key's first half.
-    Rows with a bucket hold no line but k, how many words of the bucket a task has read."""
+    Rows with a bucket hold no line but k, how many words a task has read of ROW_COUNTERS buckets from that one on."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -137,12 +139,12 @@ def lines_of(texts: DataFrame) -> DataFrame:
                 keys = binary_array(both.ravel(), np.arange(len(n) + 1) * 2)
                 keys = pc.if_else(pa.array(n >= MIN_WORDS), keys, pa.scalar(None, pa.binary()))
                 lines = [batch.column(0).slice(low, high - low).take(pa.array(doc)), pa.array(number), pa.array(n.astype(np.int32)), keys, pa.array(both[:, 0].copy().view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*lines, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())], names)
-        some = np.flatnonzero(total)
-        none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array(total[some])], names)
+                yield pa.RecordBatch.from_arrays([*lines, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.list_(pa.int64()))], names)
+        first = np.arange(0, COUNTERS, ROW_COUNTERS, dtype=np.int32)
+        none = [pa.nulls(len(first), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(first), pa.ListArray.from_arrays(np.append(first, np.int32(COUNTERS)), total)], names)
 
-    return texts.mapInArrow(go, "id long, line long, n int, key binary, set long, bucket int, k long")
+    return texts.mapInArrow(go, "id long, line long, n int, key binary, set long, bucket int, k array<long>")
 
 
 def _counters(rows: DataFrame) -> np.ndarray:
@@ -156,7 +158,8 @@ def _counters(rows: DataFrame) -> np.ndarray:
 def word_ranks(lines: DataFrame) -> np.ndarray:
     """Ranks of the hash buckets by the number of their words in the lines of the whole corpus: COUNTERS numbers."""
     ranks = np.empty(COUNTERS, np.int64)
-    ranks[np.argsort(_counters(lines.where("bucket is not null").select("bucket", "k")), kind="stable")] = np.arange(COUNTERS)
+    rows = lines.where("bucket is not null").select("bucket", F.posexplode("k").alias("place", "k")).select((F.col("bucket") + F.col("place")).alias("bucket"), "k")
+    ranks[np.argsort(_counters(rows), kind="stable")] = np.arange(COUNTERS)
     return ranks
 
 
@@ -292,12 +295,13 @@ def flagged(texts: DataFrame, ranks: np.ndarray, many: np.ndarray, tasks: int) -
 
 
 def marks_of(found: DataFrame) -> DataFrame:
-    """(set, marks): the flagged words of a set, each with the number of blocks that its sets are dealt into."""
+    """(set, marks, copies): the flagged words of a set, each with the number of blocks that its sets are dealt into, and the sum of these numbers.
+    Only words of several blocks are broadcast: at most a row for each BLOCK rows of ``found``."""
     found = materialise(found.distinct(), "found")
-    sizes = materialise(found.groupBy("word").agg(F.count(F.lit(1)).alias("k")), "sizes")
-    sized = lookup(found, sizes, "word", "k", sizes.agg(F.sum("k")).first()[0] or 0)
-    blocks_ = F.least(F.ceil(F.col("k") / BLOCK), F.lit(MOST_BLOCKS)).cast("int")
-    return materialise(sized.groupBy("set").agg(F.collect_list(F.struct("word", blocks_.alias("many"))).alias("marks")), "flagged")
+    split = found.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK)
+    blocks_ = split.select("word", F.least(F.ceil(F.col("k") / BLOCK), F.lit(MOST_BLOCKS)).cast("int").alias("many"))
+    dealt = found.join(F.broadcast(blocks_), "word", "left").withColumn("many", F.coalesce("many", F.lit(1)))
+    return dealt.groupBy("set").agg(F.collect_list(F.struct("word", "many")).alias("marks"), F.sum("many").alias("copies"))
 
 
 def bloom(sets: DataFrame) -> np.ndarray:
@@ -504,19 +508,18 @@ def _duplicate_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     many = np.clip(-(-held // BLOCK), 1, MOST_BLOCKS)
     least = partitions(docs.sparkSession)
     found = flagged(texts, ranks, many, max(least, -(-int((held * many).sum()) // TASK_POSTINGS)))
-    sets = marks_of(found)
-    partners = materialise(classes.join(sets.hint("merge"), "set").select("key", "first", "marks"), "partners")
+    partners = materialise(classes.join(marks_of(found).hint("merge"), "set").select("key", "set", "n", "first", "marks", "copies"), "partners")
     holders = bloom(partners.select(F.col("first.id").alias("set")))  # a class is read where its first line stands
-    known = sets_of(texts, ranks, bloom(sets), holders).groupBy("key").agg(F.min("words").alias("words"))
-    known = materialise(known.join(partners.hint("merge"), "key").select("key", "words", "first.id", "first.line", "marks"), "known")
-    copies = F.aggregate("marks", F.lit(0).cast("long"), lambda total, m: total + m["many"])
-    size = known.agg(F.coalesce(F.sum(copies * F.length("words")), F.lit(0))).first()[0]
+    words = sets_of(texts, ranks, bloom(partners), holders).groupBy("key").agg(F.min("words").alias("words"))
+    known = words.join(partners.hint("merge"), "key").select("key", "words", "first.id", "first.line", "marks")
+    size = partners.agg(F.coalesce(F.sum(F.col("copies") * F.col("n")), F.lit(0))).first()[0] * 8
     links = join_links(known, max(least, -(-int(size) // TASK_BYTES)))
     told = classes.join(links.hint("merge"), "key", "left").select("key", "k", "first", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce(F.col("linked") < F.col("first"), F.lit(False)).alias("late"))
-    told = materialise(told, "told")
+    told = materialise(told.where("k > 1 OR n_links > 0"), "told")  # a line that is alone in its class, without links, tells all of it
     keyed = lines.where("key is not null")
-    met = lookup(keyed, told, "key", "k", told.agg(F.sum("k")).first()[0] or 0)
+    met = lookup(keyed, told, "key", "k", told.agg(F.sum("k")).first()[0] or 0, "left")
     here = F.struct("id", "line")
+    met = met.withColumns({"first": F.coalesce("first", here), "n_links": F.coalesce("n_links", F.lit(0).cast("long")), "late": F.coalesce("late", F.lit(False))})
     out = met.select("id", "line", F.col("n").alias("n_words"), F.col("first.id").alias("class_id"), F.col("first.line").alias("class_line"), "n_links", (F.col("late") | (here != F.col("first"))).alias("removed"))
     none = F.lit(None).cast("long")
     out = out.unionByName(lines.where("key is null").select("id", "line", F.col("n").alias("n_words"), none.alias("class_id"), none.alias("class_line"), F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed")))
