@@ -1,6 +1,7 @@
 """Vectorised reading of text columns: numpy over the bytes that Arrow holds, without a Python object per word."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,17 @@ EXACT_BYTES = _RNG.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 LOWER_BYTES = EXACT_BYTES.copy()
 LOWER_BYTES[65:91] = EXACT_BYTES[97:123]
 BLOCK_BYTES = 1 << 20
+#: What operators keep in a worker from task to task, such as a loaded vocabulary, until a task begins with ``tidy``.
+remembered: dict[str, object] = {}
+
+
+def tidy() -> None:
+    """Workers stay from stage to stage: what other operators' tasks remembered in this one goes, and memory that they freed goes back to the system."""
+    remembered.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def byte_class(members: str | bytes | list[int]) -> np.ndarray:

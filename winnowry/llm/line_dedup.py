@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import SPACE, U64, binary_array, blocks, mix, spans, text_bytes, word_hashes
+from ._arrow import SPACE, U64, binary_array, blocks, mix, spans, text_bytes, tidy, word_hashes
 from ._store import lookup, materialise, partitions, small_batches
 
 SIMILAR, OF = 85, 100
@@ -128,6 +128,7 @@ def lines_of(texts: DataFrame) -> DataFrame:
     Rows with a bucket hold no line but k, how many words a task has read of ROW_COUNTERS buckets from that one on."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         total = np.zeros(COUNTERS, np.int64)
         names = ["id", "line", "n", "key", "set", "bucket", "k"]
         for batch in batches:

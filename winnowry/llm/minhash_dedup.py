@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans, words_per_row
+from ._arrow import LOWER_BYTES, SPACE, U64, Rolling, binary_array, blocks, mix, spans, tidy, words_per_row
 from ._components import components, forest, joined
 from ._store import materialise, small_batches
 
@@ -151,6 +151,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: id, a hash of its text, the size of its set, two hashes of the set, its registers."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for low, high, data, at in blocks(batch.column(2), TEXT_BYTES):
                 hashes, of = shingle_sets(data, at)
@@ -176,6 +177,7 @@ def sets_of(docs: DataFrame, need: DataFrame) -> DataFrame:
     chosen = _map_of(need)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             t = batch.column(0).to_numpy()
             bit = t & (MAP_BITS - 1)
@@ -386,7 +388,7 @@ def family_links(families: DataFrame, labels: DataFrame, docs: DataFrame, classe
 
 
 def classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents' sketches without registers (id, n, h1, h2), the classes of equal sets (v, n, h1, h2, regs), and (id, component) of those with links; all written."""
+    """The documents' sketches without registers (id, t, n, h1, h2), the classes of equal sets (v, n, h1, h2, regs), and (id, component) of those with links; all written."""
     with small_batches(docs.sparkSession):
         return _classes_of(docs, id_col, text_col)
 
@@ -410,7 +412,7 @@ def _classes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     families = components(leftover_forest(bands, classes.select("v", "n", "regs")))
     if not families.isEmpty():
         labels = joined(labels, family_links(families, labels, texts, classes))
-    return sketched.drop("regs", "t"), classes, labels
+    return sketched.drop("regs"), classes, labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,25 +431,20 @@ def _told(sketched: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
     return met.withColumn("component_id", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")))
 
 
+#: A character of a word.
+_OF_WORD = "[^\\x20\\x09-\\x0D]"
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, all columns: the one with the smallest id (null ids last); of rows that repeat an id, one whose set has the
-    smallest hash, and of rows that repeat a set too, any one. Documents with an empty set all stay."""
+    smallest hash, and of rows that repeat a set too, any one. Documents with an empty set all stay. Rows don't pass through Python: those that repeat
+    an id are told apart by the 64-bit hashes of their texts."""
     told = _told(*classes_of(docs, id_col, text_col))
-    first = told.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("m"))
-    keep = materialise(first.select(F.col("m.id").alias("k_id"), F.col("m.h1").alias("k_h1"), F.col("m.h2").alias("k_h2")), "keep")
+    first = told.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2", "t")).alias("m"))
+    same = ["none", "id", "t"]  # without nulls, so that rows are dealt once for both the group and the join
+    keep = materialise(first.select("m.none", F.coalesce("m.id", F.lit(0)).alias("id"), "m.t"), "keep")
     names = docs.columns
-    text = names.index(text_col)
-    held = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, data, at in blocks(batch.column(1).field(text), TEXT_BYTES):
-                hashes, of = shingle_sets(data, at)
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(of)), *map(pa.array, set_sums(hashes, of))], ["id", "row", "n", "h1", "h2"])
-
-    row = held.schema["row"].dataType.simpleString()
-    told = held.mapInArrow(go, f"id long, row {row}, n long, h1 long, h2 long")
-    here = (F.col("id").eqNullSafe(F.col("k_id"))) & (F.col("h1") == F.col("k_h1")) & (F.col("h2") == F.col("k_h2"))
-    one = told.where("n > 0").join(keep.hint("merge"), here, "left_semi").groupBy("id", "h1", "h2").agg(F.first("row").alias("row")).select("row")
-    return one.unionByName(told.where("n = 0").select("row")).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
+    id_, row = F.col(f"`{id_col}`").cast("long"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    held = docs.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text_col).alias("t"), F.coalesce(F.col(text_col).rlike(_OF_WORD), F.lit(False)).alias("words"), row.alias("row"))
+    one = held.where("words").groupBy(*same).agg(F.first("row").alias("row")).join(keep.hint("merge"), same, "left_semi").select("row")
+    return one.unionByName(held.where("not words").select("row")).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

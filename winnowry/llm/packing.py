@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import blocks
+from ._arrow import blocks, remembered
 from ._blocks import renumbered, runs
 from ._parts import Parts
 from ._store import materialise
@@ -93,13 +93,10 @@ class Encoder:
         return out.astype(np.int64), ids
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in remembered:
+        remembered[path] = Encoder(path)
+    return remembered[path]
 
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
