@@ -86,9 +86,10 @@ def sample_per_group(rows: DataFrame, group: str, key: str, n: int, seed: int |
 
 
 def dev_split(rows: DataFrame, key: str, share: float, seed: int | str) -> DataFrame:
-    """Adds ``part``: dev for max(1, int(share * n)) keys in seeded order, train for the rest."""
-    n = rows.select(key).distinct().count()
-    dev = rows.select(key).distinct().orderBy(seeded(seed, key), key).limit(max(1, int(n * share))).withColumn("part", F.lit("dev"))
+    """Adds ``part``: dev for max(1, int(share * n)) of the n different keys in seeded order, train for the rest and for rows without a key."""
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    n = keys.count()
+    dev = keys.orderBy(seeded(seed, key), key).limit(max(1, int(n * share))).withColumn("part", F.lit("dev"))
     return rows.join(dev, key, "left").withColumn("part", F.coalesce("part", F.lit("train")))
 
 
