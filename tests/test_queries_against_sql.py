@@ -22,3 +22,10 @@ def test_dev_split_rounds_down(spark, tmp_path):
     rows = [(k,) for k in range(30)] + [(3,), (4,), (None,)]
     got = same(spark, tmp_path, "q_dev_split", documents=(rows, "doc_id long"))
     assert len({k for k, part in got if part == "dev"}) == 1 and len(got) == 33
+
+
+def test_session_memory_of_conversations_far_apart(spark, tmp_path):
+    # conversation 0 goes on in the second part, when those numbered 5000 are in the stream; turn 2 of conversation 0 comes twice
+    rows = [(c, t, ("user", "assistant")[t % 2], f"m{c}.{t}") for c in (0, 1, 5000, 5001) for t in range(12)] + [(0, 2, "user", "a tie")]
+    got = same(spark, tmp_path, "q_session_memory", conversations=(rows, "conv_id long, turn long, role string, text string"))
+    assert {"0", "1", "5000", "5001"} == {r[0] for r in got if r[1] > 8}

@@ -74,7 +74,7 @@ def q_event_lines(spark, d):
 
 LIMITS = CompactionLimits(trigger_turns=3, trigger_chars=4000, recent_turns=1)
 #: A commit of two messages comes after every fourth message; conversations divisible by 5 commit a wrong prefix from their second on.
-_TALK = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, coalesce(text, '') AS content FROM conversations WHERE role IN ('user', 'assistant')"
+_TALK = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, coalesce(text, '')) - 1 AS i, role, coalesce(text, '') AS content FROM conversations WHERE role IN ('user', 'assistant')"
 _MEMORY_SQL = f"""WITH m AS ({_TALK}), c AS (SELECT conv_id, i, i // 4 AS k FROM m WHERE i % 4 = 3),
 done AS (SELECT m.conv_id, m.i, least(m.i // 4, CASE WHEN m.conv_id % 5 = 0 THEN 1 ELSE 1000000 END) AS k FROM m),
 all_ AS (SELECT conv_id, list(role ORDER BY i) AS roles, list(content ORDER BY i) AS contents FROM m GROUP BY 1),
@@ -90,14 +90,15 @@ SELECT conv_id::VARCHAR AS session_id, seq, kind, archived, digest, kept FROM pl
 
 
 def memory_turns(spark, d) -> DataFrame:
-    """Messages of the conversations and commits of their summaries, as ``stateful.memory`` takes them, with the part in which they come."""
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    """Messages of the conversations and commits of their summaries, as ``stateful.memory`` takes them, with the part in which they come. All conversations
+    go on at once, a message a second, so no row of a later part is behind the rows of an earlier one."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", F.coalesce("text", F.lit("")))) - 1
     talk = table(spark, d, "conversations").where("role IN ('user', 'assistant')").select("conv_id", place.alias("i"), "role", F.coalesce("text", F.lit("")).alias("content"))
     said = F.concat("role", F.lit("\x1f"), "content")
     pair = Window.partitionBy("conv_id", F.floor(F.col("i") / 2)).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     digest = F.sha2(F.array_join(F.collect_list(said).over(pair), "\x1e").cast("binary"), 256)
     digests = talk.withColumn("digest", digest).where("i % 2 = 0").select("conv_id", (F.col("i") / 2).cast("long").alias("k"), "digest")
-    when = lambda i: F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") + i)
+    when = lambda i: F.timestamp_seconds(F.lit(1704067200) + i)
     messages = talk.select("conv_id", (F.col("i") * 2).cast("long").alias("seq"), F.col("role").alias("kind"), "content", F.lit(None).cast("int").alias("archived"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("previous"), when(F.col("i")).alias("ts"))
     due = talk.where("i % 4 = 3").select("conv_id", "i", F.floor(F.col("i") / 4).cast("long").alias("k")).join(digests, ["conv_id", "k"])
     wrong = (F.col("conv_id") % 5 == 0) & (F.col("k") > 0)
