@@ -9,8 +9,11 @@ from winnowry.functions.text import has_kana, strip
 from winnowry.operators.selection import seeded
 from winnowry.operators.substrings import substring_pairs
 from winnowry.operators.windows import top_per_key
+from winnowry.sources.scratch import written
 
 MAX_FACTS, MAX_EXAMPLES = 4, 5
+#: Queries with fewer examples of their scenes are filled up. Parts into which the texts to choose from are dealt.
+LEAST_EXAMPLES, SLOTS = 3, 64
 #: A table of facts, examples or scenes is joined to queries by broadcast only up to this many bytes (as JSON); beyond, Spark picks the way.
 MAX_BROADCAST_BYTES = 16 << 20
 # The keywords of the scenes.
@@ -69,26 +72,45 @@ def era_allowed(era: Column, scenes: Column) -> Column:
 
 def pick_examples(queries: DataFrame, official: DataFrame, fan: DataFrame, pool: DataFrame | None, seed: int | str, most: int = MAX_EXAMPLES) -> DataFrame:
     """(query_id, text, rank): up to ``most`` different texts per query, by tiers: official and fan lines of a matched scene (all of
-    them if no scene matched), transcripts of a matched scene, and where fewer than three were found other transcripts in seeded order. Texts with kana only for queries with kana."""
+    them if no scene matched), transcripts of a matched scene, and where fewer than three were found other transcripts in seeded order. Texts with kana only for queries with kana.
+
+    Which lines the first two tiers give follows from the scenes and the kana of a query alone, so lines meet the few different kinds of queries. Only queries left with fewer
+    than three meet the transcripts, twice: of the digests in each of ``SLOTS`` parts or more of the texts the smallest tell a bound for the ones wanted, then what keeps
+    within it is ranked. Neither pass keeps or shuffles the pairs."""
     asked = queries.select("query_id", F.col("text").alias("said")).withColumns({"scenes_asked": matched_scenes(F.col("said")), "kana": has_kana(F.col("said"))})
-    part = lambda rows, k: rows.select(F.lit(k).alias("part"), "ordinal", strip(F.col("text")).alias("text"), "lang", "scenes", "era_tag")
+    asked = asked.withColumn("kind", F.to_json(F.struct("scenes_asked", "kana"))).drop("said")
+    part = lambda rows, k: rows.select(F.lit(k).alias("part"), "ordinal", strip(F.col("text")).alias("text"), "lang", "scenes", "era_tag").where("text <> ''").withColumn("in_kana", has_kana(F.col("text")))
+    readable = ~F.col("in_kana") | F.col("kana")
+    told = era_allowed(F.col("era_tag"), F.col("scenes_asked")) & ((F.col("lang") == "zh") | ((F.col("lang") == "ja") & F.col("kana")))
+    script = F.when(F.col("lang") == "ja", 1).otherwise(0)
     items = part(official, 0).unionByName(part(fan, 1))
     if pool is not None:
-        items = items.unionByName(part(pool, 2))
-    met = asked.join(small(items.where("text <> ''")), (~has_kana(F.col("text"))) | F.col("kana"))
-    met = met.where((F.col("part") < 2) | era_allowed(F.col("era_tag"), F.col("scenes_asked")))
-    met = met.where((F.col("part") < 2) | (F.col("lang") == "zh") | ((F.col("lang") == "ja") & F.col("kana")))
-    none, share = F.size("scenes_asked") == 0, F.arrays_overlap("scenes", "scenes_asked")
-    curated, script = F.col("part") < 2, F.when(F.col("lang") == "ja", 1).otherwise(0)
-    tier = F.when(curated & (none | share), 0).when(curated, None).when(~none & share, 1 + script).otherwise(3 + script)
-    rows = met.withColumn("tier", tier).where("tier is not null").withColumn("place", F.when(F.col("tier") >= 3, seeded(seed, "query_id", "text")).otherwise(F.format_string("%d%012d", "part", "ordinal")))
-    first = top_per_key(rows, ["query_id", "text"], 1, F.asc("tier"), F.asc("place"))
-    sure = first.where("tier < 3").groupBy("query_id").agg(F.count(F.lit(1)).alias("sure"))
-    first = first.join(sure, "query_id", "left").where((F.col("tier") < 3) | (F.coalesce("sure", F.lit(0)) < 3))
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "place"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "text", "rank")
+        pool = part(pool, 2)
+        items = items.unionByName(pool)
+    none, share, curated = F.size("scenes_asked") == 0, F.arrays_overlap("scenes", "scenes_asked"), F.col("part") < 2
+    kinds = asked.select("kind", "scenes_asked", "kana").distinct()
+    met = items.join(small(kinds), readable & ((curated & (none | share)) | (~curated & ~none & share & told)))
+    met = met.select("kind", "text", F.struct(F.when(curated, 0).otherwise(1 + script).alias("tier"), F.format_string("%d%012d", "part", "ordinal").alias("place")).alias("at"))
+    near = written(top_per_key(met.groupBy("kind", "text").agg(F.min("at").alias("at")), ["kind"], most, F.asc("at"), F.asc("text")), "near")
+    first = asked.select("query_id", "kind").join(small(near), "kind").groupBy("query_id", "text").agg(F.min("at").alias("at"))
+    if pool is not None:
+        sure = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("sure"))
+        few = written(asked.join(sure, "query_id", "left").where(F.coalesce("sure", F.lit(0)) < LEAST_EXAMPLES).select("query_id", "scenes_asked", "kana"), "few")
+        first = first.unionByName(_filled(few, pool.select("text", "lang", "era_tag", "in_kana").distinct(), first, readable & told, script, seed, most))
+    return top_per_key(first, ["query_id"], most, F.asc("at"), F.asc("text"), name="rank").select("query_id", "text", "rank")
+
+
+def _filled(few: DataFrame, pool: DataFrame, sure: DataFrame, fits: Column, script: Column, seed: int | str, most: int) -> DataFrame:
+    """(query_id, text, at): for each query of ``few`` the first texts of the pool by script and digest, ``most`` of those that ``sure`` hasn't, or somewhat more."""
+    place = seeded(seed, "query_id", "text")
+    rank = F.conv(F.substring(place, 1, 15), 16, 10).cast("long") + F.shiftleft(script.cast("long"), 60)  # in the order of script and digest but for ties
+    slot = F.pmod(F.xxhash64("text"), F.lit(max(SLOTS, 8 * most)))
+    least = pool.join(small(few), fits).groupBy("query_id", slot.alias("slot")).agg(F.min(rank).alias("rank"))
+    # a slot's smallest is a text of its own, and fewer than LEAST_EXAMPLES of them are among the sure ones
+    bound = least.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("rank")), F.lit(most + LEAST_EXAMPLES - 2)).alias("bound"))
+    close = pool.join(small(few.join(bound, "query_id")), fits & (F.col("bound").isNull() | (rank <= F.col("bound"))))
+    close = close.groupBy("query_id", "text").agg(F.min(F.struct((3 + script).alias("tier"), place.alias("place"))).alias("at"))
+    return close.join(sure.select("query_id", "text"), ["query_id", "text"], "left_anti")
 
 
 def reference_clip(styles: DataFrame, clips: DataFrame, default: str) -> DataFrame:

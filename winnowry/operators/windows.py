@@ -13,8 +13,10 @@ def best_per_key(rows: DataFrame, key: list[str | Column], *order: Column) -> Da
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def top_per_key(rows: DataFrame, key: list[str], n: int | Column, *order: Column) -> DataFrame:
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+def top_per_key(rows: DataFrame, key: list[str], n: int | Column, *order: Column, name: str | None = None) -> DataFrame:
+    """The first n rows of each key in the order, with their numbers from 1 if these are named."""
+    top = rows.withColumn(name or "_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name or "_rn") <= n)
+    return top if name else top.drop("_rn")
 
 
 def dedupe_texts(rows: DataFrame, key: Column) -> DataFrame:
