@@ -51,3 +51,19 @@ def test_many_phrases():
     texts = ["... phrase 00017 of many, phrase 19999 of many", "p" * 5000, "none"]
     assert sorted((r, phrases[v]) for r, v in index.within(texts)) == [(0, "p"), (0, "ph"), (0, "phrase 00017 of many"), (0, "phrase 19999 of many"), (1, "p")]
     assert len(index.around("of man")) == 20_000
+
+
+def test_join_writes_only_windows_that_may_be_anchors(spark):
+    # 2000 texts of 400 different windows of each length or so; each holds two of the phrases
+    rng = random.Random(3)
+    texts = spark.createDataFrame([(k, "".join(rng.choices("abcdefghij ", k=400)) + f" phrase {k % 50:03d} of many") for k in range(2000)], "key long, text string").repartition(4)
+    phrases = spark.createDataFrame([(f"phrase {k:03d} of",) for k in range(50)] + [("of many",)], "p string")
+
+    def written():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    assert substring_pairs(texts, phrases, index_bytes=0).count() == 4000
+    assert written() - before < 40_000

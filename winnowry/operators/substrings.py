@@ -20,6 +20,8 @@ ANCHORS = (1, 2, 4, 8, 16)
 MAX_INDEX_BYTES = 4 << 20
 BLOCK_CHARS = 1 << 20
 _FILTER = 1 << 20
+#: Bits of the map of anchors in a join: 8 MB. Beyond 4 million anchors more windows than needed are joined.
+MAX_BITS = 1 << 26
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,8 +151,23 @@ def substring_pairs(texts: DataFrame, phrases: DataFrame, both_ways: bool = True
     return texts.mapInArrow(go, f"key {texts.schema['key'].dataType.simpleString()}, p string")
 
 
+def _bit_map(anchors: DataFrame) -> np.ndarray:
+    """Bits of the hashes, about 16 for each up to MAX_BITS in all; it only spares work, as what it passes is joined. The driver gets a row for each 32 bits that are used."""
+    bits = min(max(1 << (16 * anchors.count()).bit_length(), 1 << 10), MAX_BITS)
+    rows = anchors.selectExpr(f"shiftright(h & {bits - 1}L, 5) AS w", "shiftleft(1L, CAST(h & 31 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 32, np.uint32)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _in_map(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    bit = hashes & np.uint64(len(known) * 32 - 1)
+    return (known[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def _joined(texts: DataFrame, phrases: DataFrame, both_ways: bool) -> DataFrame:
-    """The same by joins. Each string's anchor meets the different windows of the others; what meets is compared."""
+    """The same by joins. Each string's anchor meets the different windows of the others; what meets is compared. Windows whose hash is no anchor's aren't written; a pair meets once
+    a direction, and the whole strings are shuffled once, by their own row, not once a pair."""
     texts = written(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     phrases = written(phrases.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
 
@@ -160,23 +177,41 @@ def _joined(texts: DataFrame, phrases: DataFrame, both_ways: bool) -> DataFrame:
                 found = [anchor(t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([np.uint64(h).astype(np.int64) for _, h in found], pa.int64())], [name, "n", "h"])
 
-        return rows.select(name, column).mapInArrow(go, f"{name} long, n int, h long")
+        # an anchor has 16 characters at most; longer heads would be sent for nothing
+        return rows.select(name, F.substring(column, 1, max(ANCHORS))).mapInArrow(go, f"{name} long, n int, h long")
 
-    def windows(rows: DataFrame, name: str, column: str) -> DataFrame:
+    def windows(rows: DataFrame, name: str, column: str, known: np.ndarray) -> DataFrame:
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                out: list[tuple[int, int, np.ndarray]] = []
+                held = 0
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for n, h in window_hashes(t).items():
-                        h = np.unique(h).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.full(len(h), n, np.int32)), pa.array(h)], [name, "n", "h"])
+                        h = np.unique(h[_in_map(h, known)])
+                        if len(h):
+                            out.append((i, n, h))
+                            held += len(h)
+                    if held >= _FILTER:
+                        yield told(out)
+                        out, held = [], 0
+                if out:
+                    yield told(out)
+
+        def told(out: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            many = [len(h) for _, _, h in out]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat([i for i, _, _ in out], many)), pa.array(np.repeat(np.array([n for _, n, _ in out], np.int32), many)), pa.array(np.concatenate([h for _, _, h in out]).view(np.int64))], [name, "n", "h"])
 
         return rows.select(name, column).mapInArrow(go, f"{name} long, n int, h long")
 
-    met = windows(texts, "row", "text").join(anchors(phrases, "phrase", "p").hint("shuffle_hash"), ["n", "h"]).select("row", "phrase")
+    heads = written(anchors(phrases, "phrase", "p"), "heads")
+    met = windows(texts, "row", "text", _bit_map(heads)).join(heads.join(phrases, "phrase"), ["n", "h"]).select("row", "p")
+    pairs = met.join(texts, "row").where(F.col("text").contains(F.col("p"))).select("key", "p")
     if both_ways:
         longest = phrases.agg(F.max(F.length("p"))).first()[0] or 0
-        short = texts.where(F.length("text") < longest)
-        met = met.unionByName(anchors(short, "row", "text").join(windows(phrases, "phrase", "p"), ["n", "h"]).select("row", "phrase"))
-    pairs = met.distinct().join(texts, "row").join(phrases, "phrase")
-    stands = F.col("text").contains(F.col("p"))
-    return pairs.where(stands | F.col("p").contains(F.col("text")) if both_ways else stands).select("key", "p")
+        shorter = texts.where(F.length("text") < longest)
+        short = written(anchors(shorter, "row", "text"), "heads")
+        met = short.join(windows(phrases, "phrase", "p", _bit_map(short)), ["n", "h"]).select("row", "phrase").join(phrases, "phrase")
+        # equal strings met in the other direction
+        around = met.join(shorter, "row").where((F.length("p") > F.length("text")) & F.col("p").contains(F.col("text"))).select("key", "p")
+        pairs = pairs.unionByName(around)
+    return pairs
