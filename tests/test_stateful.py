@@ -3,6 +3,7 @@ import datetime as dt
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,67 @@ def test_in_order(spark):
     assert sorted((r[5], r[6]) for r in g if r[6] != "on time") == [(103, "late"), (104, "late")]
 
 
+def test_in_order_of_many_waiting_events(spark):
+    """Long turns, turns of one session with gaps of their own, and a gap that is given up behind which hundreds wait."""
+    rows = [(k % 2, "s", turn, k, "sentence", 1000 * turn + k, at(0)) for turn in (0, 1) for k in range(700) if (turn, k) != (1, 20)]
+    rows += [(0, "s", 2, 0, "sentence", 9, at(0)), (1, "s", 1, 6, "sentence", 10, at(0))]
+    rows = [r for k, type_ in enumerate(("sentence", "audio")) for r in [(p, s, t, i, type_, 2 * e + k, ts) for p, s, t, i, _, e, ts in rows]]
+    # whatever comes much later gives up the gaps that are left: sentence 20 of turn 1
+    rows += [(2, "x", 0, 0, "sentence", 1, at(5000)), (3, "x", 0, 0, "audio", 2, at(9000))]
+    got = in_parts(spark, rows, stateful.CLIENT, lambda df: stateful.in_order(df, gap="10 seconds", late="20 seconds"), "in_order")
+    for turn, wanted in ((0, [k for k in range(700)]), (1, [k for k in range(700) if k != 20]), (2, [0])):
+        told = sorted((r[2], r[4], r[3]) for r in got if r[:2] == ("s", turn) and r[6] == "on time")
+        assert told == [(2 * n + k, i, type_) for n, i in enumerate(wanted) for k, type_ in enumerate(("sentence", "audio"))]
+    assert sorted(r[5] for r in got if r[6] == "repeated") == [20, 21]
+
+
+def test_in_order_calls_its_state_a_few_times_a_batch():
+    calls = []
+
+    class State(dict):
+        def get(self):
+            return dict.get(self, "v")
+
+        def update(self, v):
+            calls.append(v)
+            self["v"] = v
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+        def removeKey(self, k):
+            calls.append(k)
+            del self[k]
+
+        def getValue(self, k):
+            calls.append(k)
+            return self[k]
+
+        def containsKey(self, k):
+            calls.append(k)
+            return k in self
+
+        def exists(self):
+            return "v" in self
+
+        def keys(self):
+            return dict.keys(self)
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a: State()
+        registerTimer = deleteTimer = lambda self, ms: calls.append(ms)
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    p = stateful._InOrder(1000)
+    p.init(Handle())
+    frame = pd.DataFrame([("s", 0, k, "sentence", k, at(0)) for k in range(1, 1000)], columns=["session_id", "turn", "index", "type", "event_id", "ts"])
+    assert list(p.handleInputRows(("s", 0), iter([frame]), Times())) == []
+    assert len(calls) < 20  # 999 events wait
+
+
 def test_session_windows_drop_late_rows(spark):
     rows = [(0, "u", 1.0, at(0)), (0, "u", 2.0, at(5)), (1, "u", 4.0, at(1000)), (2, "v", 1.0, at(1001)), (3, "u", 100.0, at(7)), (3, "w", 0.0, at(9000))]
     got = in_parts(spark, rows, "user string, value double, ts timestamp", lambda df: event_time.session_windows(df, "10 seconds", "1 minute", "user"), "sessions")

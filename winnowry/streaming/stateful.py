@@ -7,6 +7,7 @@ that they needn't.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -232,61 +233,107 @@ def position(index: int, type_: str) -> int:
     return 2 * int(index) + (type_ in ("audio", "audio_error"))
 
 
+#: Places of a turn that are kept together in one entry of its state, and waiting events of a turn that stand in its session's own entry.
+PLACES, FEW = 256, 64
+
+
+class _Turn:
+    """What is known of a turn: the next position, the next place, its timer (0 for none), the blocks that wait in the state, and by block what was read or is new."""
+
+    def __init__(self, at: int = 0, place: int = 0, timer: int = 0, held: list[int] = (), few: list[list] = ()):
+        self.at, self.place, self.timer, self.held = at, place, timer, set(held)
+        self.blocks: dict[int, dict[int, list]] = {}
+        for p, *event in few:
+            self.blocks.setdefault(p // PLACES, {})[p] = event
+
+
 class _InOrder(StatefulProcessor):
+    """Each call to the state costs far more than a row, so a session's turns are kept in one entry. Where more than FEW events of a turn wait, they're kept in blocks of places, each read and
+    written once a batch at most. Rows that go out at once aren't kept."""
+
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.next = handle.getValueState("next", "position long, place long, timer long")
-        self.waiting = handle.getMapState("waiting", "position long", "type string, index int, event_id long")
+        self.session = handle.getValueState("session", "turns string")
+        self.waiting = handle.getMapState("waiting", "turn long, block long", "events string")
+
+    def _turns(self) -> dict[int, _Turn]:
+        told = self.session.get()
+        return {turn: _Turn(*rest) for turn, *rest in json.loads(told[0])} if told else {}
 
-    def _drain(self, key, at: int, place: int) -> tuple[int, int, list[tuple]]:
+    def _block(self, turn: int, t: _Turn, b: int) -> dict[int, list]:
+        if b not in t.blocks:
+            t.blocks[b] = {p: event for p, *event in json.loads(self.waiting.getValue((turn, b))[0])} if b in t.held else {}
+        return t.blocks[b]
+
+    def _drain(self, name: str, turn: int, t: _Turn) -> list[tuple]:
         out = []
-        while self.waiting.containsKey((at,)):
-            type_, index, event = self.waiting.getValue((at,))
-            out.append((key[0], key[1], place, type_, index, event, "on time"))
-            self.waiting.removeKey((at,))
-            at, place = at + 1, place + 1
-        return at, place, out
-
-    def _settle(self, key, at: int, place: int, timer: int, now: int) -> None:
-        """A timer runs while something waits behind a gap."""
-        if timer:
-            self.handle.deleteTimer(timer)
-        timer = 0
-        if any(True for _ in self.waiting.keys()):
-            timer = now + self.gap_ms
-            self.handle.registerTimer(timer)
-        self.next.update((at, place, timer))
+        while (event := self._block(turn, t, t.at // PLACES).pop(t.at, None)) is not None:
+            out.append((name, turn, t.place, *event, "on time"))
+            t.at, t.place = t.at + 1, t.place + 1
+        return out
+
+    def _settle(self, turn: int, t: _Turn, now: int) -> None:
+        """What was touched and still waits is put back. A timer is due while something waits behind a gap."""
+        if t.held or sum(map(len, t.blocks.values())) > FEW:
+            for b, events in t.blocks.items():
+                if events:
+                    self.waiting.updateValue((turn, b), (json.dumps([(p, *event) for p, event in events.items()]),))
+                    t.held.add(b)
+                elif b in t.held:
+                    self.waiting.removeKey((turn, b))
+                    t.held.remove(b)
+            t.blocks = {}
+        t.timer = now + self.gap_ms if t.held or any(t.blocks.values()) else 0
+
+    def _keep(self, turns: dict[int, _Turn], before: set[int], after: set[int]) -> None:
+        """Puts the turns back; turns due at one time share a timer."""
+        for ms in before - after:
+            self.handle.deleteTimer(ms)
+        for ms in after - before:
+            self.handle.registerTimer(ms)
+        few = lambda t: [(p, *event) for events in t.blocks.values() for p, event in events.items()]
+        self.session.update((json.dumps([(turn, t.at, t.place, t.timer, sorted(t.held), few(t)) for turn, t in turns.items()]),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, place, timer = self.next.get() if self.next.exists() else (0, 0, 0)
-        late, now = [], 0
-        for r in _rows(rows):
-            now = max(now, int(r.ts.timestamp() * 1000))
-            p = position(r.index, r.type)
-            if p < at or self.waiting.containsKey((p,)):
-                late.append((key[0], key[1], None, r.type, r.index, r.event_id, "late" if p < at else "repeated"))
-            else:
-                self.waiting.updateValue((p,), (r.type, int(r.index), int(r.event_id)))
-        at, place, out = self._drain(key, at, place)
-        self._settle(key, at, place, timer, max(now, timerValues.getCurrentWatermarkInMs()))
+        turns, late, out = self._turns(), [], []
+        before, latest = {t.timer for t in turns.values()} - {0}, {}
+        for frame in rows:
+            for turn, index, type_, event, ms in zip(*(frame[c].tolist() for c in ("turn", "index", "type", "event_id")), (int(x.timestamp() * 1000) for x in frame["ts"]), strict=True):
+                t = turns.setdefault(turn, _Turn())
+                latest[turn] = max(latest.get(turn, 0), ms)
+                p = position(index, type_)
+                if p < t.at or p in self._block(turn, t, p // PLACES):
+                    late.append((key[0], turn, None, type_, index, event, "late" if p < t.at else "repeated"))
+                else:
+                    self._block(turn, t, p // PLACES)[p] = [type_, int(index), int(event)]
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for turn, ms in latest.items():
+            out += self._drain(key[0], turn, turns[turn])
+            self._settle(turn, turns[turn], max(ms, watermark))
+        self._keep(turns, before, {t.timer for t in turns.values()} - {0})
         if out or late:
             yield self._frame(out + late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """What was waited for isn't coming: go on at what is there."""
-        at, place, _ = self.next.get()
-        ahead = [p[0] for p in self.waiting.keys()]
-        if not ahead:
-            return
-        at, place, out = self._drain(key, min(ahead), place)
-        self._settle(key, at, place, 0, expiredTimerInfo.getExpiryTimeInMs())
-        yield self._frame(out)
+        turns, now, out = self._turns(), expiredTimerInfo.getExpiryTimeInMs(), []
+        before = {t.timer for t in turns.values()} - {0, now}
+        for turn, t in turns.items():
+            if t.timer == now:
+                first = min([*t.held, *(b for b, events in t.blocks.items() if events)])
+                t.at = min(self._block(turn, t, first))
+                out += self._drain(key[0], turn, t)
+                self._settle(turn, t, now)
+        self._keep(turns, before, {t.timer for t in turns.values()} - {0})
+        if out:
+            yield self._frame(out)
 
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["session_id", "turn", "place", "type", "index", "event_id", "state"]).astype({"place": "Int64"})
+        told = dict(zip(("session_id", "turn", "place", "type", "index", "event_id", "state"), map(list, zip(*out, strict=True)), strict=True))
+        return pd.DataFrame(told | {"place": pd.array(told["place"], "Int64")})
 
     def close(self) -> None:
         pass
@@ -298,4 +345,4 @@ def in_order(events: DataFrame, gap: str = "30 seconds", late: str = "1 minute")
     already passed is ``late``, a second event for a waiting place ``repeated``, both without a place. Events whose own time is more than ``late`` behind
     the stream are dropped by the watermark."""
     ms = int(pd.Timedelta(gap).total_seconds() * 1000)
-    return events.withWatermark("ts", late).groupBy("session_id", "turn").transformWithStateInPandas(_InOrder(ms), ORDERED, "append", "eventTime")
+    return events.withWatermark("ts", late).groupBy("session_id").transformWithStateInPandas(_InOrder(ms), ORDERED, "append", "eventTime")
