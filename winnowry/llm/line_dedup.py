@@ -54,18 +54,32 @@ FEW = 2048
 MOST_BLOCKS = 1 << 15
 BLOOM_BITS = 1 << 23
 WORD_SPACE = SPACE
+#: Bits of a word's hash (or rank and hash) that are enough to sort a block's lines by, so that ties of different words in a line are rare.
+LEAST_BITS = 32
 #: Bytes of texts that are read together: their arrays of 8 bytes a byte stay in a core's cache.
 TEXT_BYTES = 1 << 18
 
 
 def order_of(line: np.ndarray, rest: np.ndarray, words: np.ndarray, exact) -> np.ndarray:
-    """Order by line (below 2^20), then by 44 bits of ``rest``, as one number each; where that leaves different words in a tie, the order that ``exact`` gives."""
+    """Order by line (below 2^20, ascending), then by 44 bits of ``rest``, as one number each; where that leaves different words in a tie, the order that ``exact`` gives.
+    Numbers that have room for the places too are sorted themselves, which takes half as long as sorting places by them."""
     if not len(words) or line[-1] >= 1 << 20:
         return exact()
-    key = line.astype(U64) << U64(44) | rest & U64((1 << 44) - 1)
-    order = np.argsort(key)
-    tied = key[order[1:]] == key[order[:-1]]
-    return exact() if (tied & (words[order[1:]] != words[order[:-1]])).any() else order
+    low = (len(words) - 1).bit_length()
+    width = min(44, 64 - low - int(line[-1]).bit_length())
+    if width >= LEAST_BITS:
+        key = line.astype(U64) << U64(width + low)
+        key |= (rest & U64((1 << 44) - 1)) >> U64(44 - width) << U64(low)
+        key |= np.arange(len(words), dtype=U64)
+        key.sort()
+        order = (key & U64((1 << low) - 1)).astype(np.int64)
+        key >>= U64(low)
+        tied = np.flatnonzero(key[1:] == key[:-1])
+    else:
+        key = line.astype(U64) << U64(44) | rest & U64((1 << 44) - 1)
+        order = np.argsort(key)
+        tied = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    return exact() if (words[order[tied + 1]] != words[order[tied]]).any() else order
 
 
 def line_sets(data: np.ndarray, at: np.ndarray, ranks: np.ndarray | None = None):
@@ -82,7 +96,7 @@ def line_sets(data: np.ndarray, at: np.ndarray, ranks: np.ndarray | None = None)
     starts, ends = spans(data, at, ~WORD_SPACE)
     words = word_hashes(data, starts, ends)
     # lines with equal beginnings are empty ones before the last; a word belongs to the last line that begins at or before it
-    line = np.searchsorted(begin, starts, "right") - 1
+    line = np.repeat(np.arange(len(doc)), np.diff(np.searchsorted(starts, begin, "left"), append=len(starts)))
     order = order_of(line, words >> U64(20), words, lambda: np.lexsort((words, line))) if ranks is None else by_rarity(words, line, ranks)
     words, line = words[order], line[order]
     if len(words):
@@ -168,15 +182,14 @@ class Prefixes:
     """The prefix postings of a block: words, the line of each, its place there, and the lines' sets, lengths and words."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, ranks: np.ndarray):
-        _, _, ranked, self.of, line = line_sets(data, at, ranks)
-        self.n, self.sets = np.diff(self.of), keys_of(ranked, self.of)[:, 0]
-        use = np.zeros(len(self.n), bool)
-        use[np.unique(self.sets, return_index=True)[1]] = True  # lines with the same set give one posting a block
-        use &= self.n >= LEAST_LINKED
-        self.ranked = ranked
-        place = np.arange(len(ranked)) - self.of[line]
-        pick = np.flatnonzero(use[line] & (place < prefix_length(self.n)[line]))
-        self.words, self.line, self.place = ranked[pick], line[pick], place[pick]
+        _, _, self.ranked, self.of, _ = line_sets(data, at, ranks)
+        self.n, self.sets = np.diff(self.of), keys_of(self.ranked, self.of)[:, 0]
+        _, rows = np.unique(self.sets, return_index=True)  # lines with the same set give one posting a block
+        rows = np.sort(rows[self.n[rows] >= LEAST_LINKED])
+        many = prefix_length(self.n[rows])
+        self.line = np.repeat(rows, many)
+        self.place = np.arange(len(self.line)) - np.repeat(np.cumsum(many) - many, many)
+        self.words = self.ranked[self.of[self.line] + self.place]
 
 
 def prefix_counts(texts: DataFrame, ranks: np.ndarray) -> np.ndarray:
